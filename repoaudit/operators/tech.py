@@ -50,36 +50,105 @@ def first_content(files: DataFrame, *names: str) -> DataFrame:
     return own.groupBy("repo_id", "name").agg(F.min_by("content", "file_pos").alias("content"))
 
 
-def _list(df: DataFrame, items: Column) -> DataFrame:
-    return df.select("repo_id", F.explode(items).alias("x"))
-
-
 def _keys(content: str, *sections: str) -> Column:
     keys = [F.coalesce(F.map_keys(F.from_json(F.get_json_object(content, f"$.{s}"), "map<string,string>")), F.expr("cast(array() AS array<string>)")) for s in sections]
     return F.array_distinct(F.concat(*keys))
 
 
+def _found(content: str | Column, pattern: str) -> Column:
+    return F.regexp_extract_all(content, F.lit(pattern), F.lit(1))
+
+
+def requirements_names(content: str = "content") -> Column:
+    lines = F.transform(X.lines(content), lambda x: X.strip(F.split(x, "#", 2)[0]))
+    return F.transform(F.filter(lines, lambda x: (x != "") & ~x.startswith("-")), lambda x: F.lower(F.split(x, r"[<>=!~\[\s]", 2)[0]))
+
+
+def pyproject_names(content: str = "content") -> Column:
+    """Every quoted string that may be a requirement."""
+    return F.transform(_found(content, r'(?d)"([A-Za-z0-9_.\-]+)\s*(?:[<>=!~\[].*)?"'), F.lower)
+
+
+def pipfile_names(content: str = "content") -> Column:
+    names = F.transform(_found(content, r"(?dm)^([A-Za-z0-9_.\-]+)\s*="), F.lower)
+    return F.filter(names, lambda x: ~x.isin("name", "url", "verify_ssl", "python_version"))
+
+
+def setup_names(content: str = "content") -> Column:
+    block = F.regexp_extract(content, r"(?s)install_requires\s*=\s*\[(.*?)\]", 1)
+    return F.transform(_found(block, r"""['"]([A-Za-z0-9_.\-]+)"""), F.lower)
+
+
+def gemfile_names(content: str = "content") -> Column:
+    return _found(content, r"""(?dm)^\s*gem\s+['"]([^'"]+)['"]""")
+
+
+def gemfile_lock_names(content: str = "content") -> Column:
+    return _found(content, r"(?dm)^\s{4}([A-Za-z0-9_\-]+)\s*\(")
+
+
+def go_names(content: str = "content") -> Column:
+    """The first word of each line that is no module, go or comment line."""
+    lines = F.filter(F.transform(X.lines(content), X.strip), lambda x: (x != "") & ~x.rlike(r"^(?:module |go |//)"))
+    return F.transform(lines, lambda x: F.split(x, r"\s+", 2)[0])
+
+
+def cargo_names(content: str = "content") -> Column:
+    """Keys in sections whose header names dependencies; the section is carried along the lines of the row."""
+
+    def step(a: Column, line: Column) -> Column:
+        state = lambda on, out: F.struct(on.alias("on"), out.alias("out"))
+        key = F.regexp_replace(X.strip(F.split(line, "=", 2)[0]), '^"+|"+$', "")
+        header = line.startswith("[") & line.endswith("]")
+        taken = a["on"] & F.contains(line, F.lit("=")) & ~line.startswith("#")
+        return F.when(header, state(F.contains(line, F.lit("dependencies")), a["out"])).when(taken, state(a["on"], F.concat(a["out"], F.array(key)))).otherwise(a)
+
+    start = F.struct(F.lit(False).alias("on"), F.expr("cast(array() AS array<string>)").alias("out"))
+    return F.aggregate(F.transform(X.lines(content), X.strip), start, step, lambda a: a["out"])
+
+
+def java_names(content: str = "content") -> Column:
+    """The catalogue's keys that the text holds."""
+    keys = [k for kind, _, _, names in C.FRAMEWORKS if kind == "java" for k in names]
+    return F.filter(F.array(*map(F.lit, keys)), lambda k: F.contains(F.col(content), k))
+
+
+#: manifest, ecosystem, rank among its ecosystem's manifests, source that evidence names, names
+MANIFEST_DEPS = (
+    ("requirements.txt", "python", 0, "requirements.txt", requirements_names), ("pyproject.toml", "python", 1, "pyproject.toml", pyproject_names), ("Pipfile", "python", 2, "Pipfile", pipfile_names), ("setup.py", "python", 3, "setup.py", setup_names),
+    ("package.json", "javascript", 0, "package.json", lambda: _keys("content", "dependencies", "devDependencies", "peerDependencies", "optionalDependencies")), ("Gemfile", "ruby", 0, "Gemfile", gemfile_names), ("Gemfile.lock", "ruby", 1, "Gemfile.lock", gemfile_lock_names),
+    ("go.mod", "go", 0, "go.mod", go_names), ("Cargo.toml", "rust", 0, "Cargo.toml", cargo_names), ("composer.json", "php", 0, "composer.json", lambda: _keys("content", "require", "require-dev")),
+    *((name, "java", rank, "pom.xml/build.gradle", java_names) for rank, name in enumerate(("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle"))),
+)
+
+
+def all_deps(files: DataFrame, *kinds: str) -> DataFrame:
+    """(repo_id, kind, dep, source) of all ecosystems, or of ``kinds``; of a name in several manifests the first counts.
+
+    One scan: the first manifest of each name is parsed in its row by the expression for that name.
+    """
+    chosen = [m for m in MANIFEST_DEPS if not kinds or m[1] in kinds]
+    found = F.expr("cast(array() AS array<struct<kind:string,dep:string,rank:int,source:string>>)")
+    for name, kind, rank, source, names in chosen:
+        own = _described(names(), kind, rank, source)
+        found = F.when(F.col("name") == name, own).otherwise(found)
+    rows = first_content(files, *(m[0] for m in chosen)).select("repo_id", F.inline(found)).where("dep <> ''")
+    best = rows.groupBy("repo_id", "kind", "dep").agg(F.min(F.struct("rank", "source")).alias("m"))
+    return best.select("repo_id", "kind", "dep", F.col("m.source").alias("source"))
+
+
+def _described(names: Column, kind: str, rank: int, source: str) -> Column:
+    return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("dep"), F.lit(rank).alias("rank"), F.lit(source).alias("source")))
+
+
 def python_deps(files: DataFrame) -> DataFrame:
     """(repo_id, dep, source): requirements.txt before pyproject.toml, Pipfile and setup.py."""
-    first = first_content(files, "requirements.txt", "pyproject.toml", "Pipfile", "setup.py")
-    req = _list(first.where("name = 'requirements.txt'"), X.lines("content")).withColumn("x", X.strip(F.split("x", "#", 2)[0]))
-    req = req.where((F.col("x") != "") & ~F.col("x").startswith("-")).select("repo_id", F.lower(F.split("x", r"[<>=!~\[\s]", 2)[0]).alias("dep"), F.lit(0).alias("rank"))
-    quoted = _list(first.where("name = 'pyproject.toml'"), F.regexp_extract_all("content", F.lit(r'(?d)"([A-Za-z0-9_.\-]+)\s*(?:[<>=!~\[].*)?"'), F.lit(1)))
-    keys = _list(first.where("name = 'Pipfile'"), F.regexp_extract_all("content", F.lit(r"(?dm)^([A-Za-z0-9_.\-]+)\s*="), F.lit(1)))
-    keys = keys.where(~F.lower("x").isin("name", "url", "verify_ssl", "python_version"))
-    block = F.regexp_extract("content", r"(?s)install_requires\s*=\s*\[(.*?)\]", 1)
-    setup = _list(first.where("name = 'setup.py'"), F.regexp_extract_all(block, F.lit(r"""['"]([A-Za-z0-9_.\-]+)"""), F.lit(1)))
-    out = req
-    for rank, df in enumerate((quoted, keys, setup), 1):
-        out = out.unionByName(df.select("repo_id", F.lower("x").alias("dep"), F.lit(rank).alias("rank")))
-    source = F.element_at(F.array(*map(F.lit, ("requirements.txt", "pyproject.toml", "Pipfile", "setup.py"))), F.min("rank") + 1)
-    return out.where("dep <> ''").groupBy("repo_id", "dep").agg(source.alias("source"))
+    return all_deps(files, "python").select("repo_id", "dep", "source")
 
 
 def javascript_deps(files: DataFrame) -> DataFrame:
     """(repo_id, dep) of the four dependency sections of the first package.json."""
-    first = first_content(files, "package.json")
-    return _list(first, _keys("content", "dependencies", "devDependencies", "peerDependencies", "optionalDependencies")).select("repo_id", F.col("x").alias("dep"))
+    return all_deps(files, "javascript").select("repo_id", "dep")
 
 
 def javascript_scripts(files: DataFrame) -> DataFrame:
@@ -90,29 +159,19 @@ def javascript_scripts(files: DataFrame) -> DataFrame:
 
 def ruby_deps(files: DataFrame) -> DataFrame:
     """(repo_id, dep, source): Gemfile before Gemfile.lock."""
-    first = first_content(files, "Gemfile", "Gemfile.lock")
-    gems = _list(first.where("name = 'Gemfile'"), F.regexp_extract_all("content", F.lit(r"""(?dm)^\s*gem\s+['"]([^'"]+)['"]"""), F.lit(1)))
-    locked = _list(first.where("name = 'Gemfile.lock'"), F.regexp_extract_all("content", F.lit(r"(?dm)^\s{4}([A-Za-z0-9_\-]+)\s*\("), F.lit(1)))
-    both = gems.withColumn("source", F.lit("Gemfile")).unionByName(locked.withColumn("source", F.lit("Gemfile.lock")))
-    return both.groupBy("repo_id", F.col("x").alias("dep")).agg(F.min("source").alias("source"))
+    return all_deps(files, "ruby").select("repo_id", "dep", "source")
 
 
 def go_deps(files: DataFrame) -> DataFrame:
-    """(repo_id, dep): the first word of each line that is no module, go or comment line."""
-    lines = _list(first_content(files, "go.mod"), X.lines("content")).withColumn("x", X.strip("x"))
-    lines = lines.where(~F.col("x").rlike(r"^(?:module |go |//)") & (F.col("x") != ""))
-    return lines.select("repo_id", F.split("x", r"\s+")[0].alias("dep")).distinct()
+    return all_deps(files, "go").select("repo_id", "dep")
 
 
 def rust_deps(files: DataFrame) -> DataFrame:
-    """(repo_id, dep): keys in sections whose header names dependencies; the section is carried along the lines of the row."""
-    keep = F.expr(
-        "aggregate(rust_lines, named_struct('on', false, 'out', cast(array() AS array<string>)), (a, l) -> CASE "
-        "WHEN startswith(l, '[') AND endswith(l, ']') THEN named_struct('on', contains(l, 'dependencies'), 'out', a.out) "
-        "WHEN a.on AND contains(l, '=') AND NOT startswith(l, '#') THEN named_struct('on', true, 'out', concat(a.out, array(trim(BOTH '\"' FROM trim(split(l, '=', 2)[0]))))) ELSE a END, a -> a.out)"
-    )
-    rows = first_content(files, "Cargo.toml").withColumn("rust_lines", F.transform(X.lines("content"), X.strip))
-    return _list(rows, keep).where("x <> ''").select("repo_id", F.col("x").alias("dep")).distinct()
+    return all_deps(files, "rust").select("repo_id", "dep")
+
+
+def php_deps(files: DataFrame) -> DataFrame:
+    return all_deps(files, "php").select("repo_id", "dep")
 
 
 def java_blob(files: DataFrame) -> DataFrame:
@@ -123,30 +182,15 @@ def java_blob(files: DataFrame) -> DataFrame:
     return first.groupBy("repo_id").agg(F.array_join(F.transform(ordered, lambda s: s["content"]), "\n").alias("blob"))
 
 
-def php_deps(files: DataFrame) -> DataFrame:
-    return _list(first_content(files, "composer.json"), _keys("content", "require", "require-dev")).select("repo_id", F.col("x").alias("dep"))
-
-
-def all_deps(files: DataFrame) -> DataFrame:
-    """(repo_id, kind, dep, source) of all ecosystems; java's row is the text of its manifests."""
-    lit = lambda df, kind, source: df.select("repo_id", F.lit(kind).alias("kind"), "dep", (F.col("source") if source is None else F.lit(source)).alias("source"))
-    parts = [
-        lit(python_deps(files), "python", None), lit(javascript_deps(files), "javascript", "package.json"), lit(ruby_deps(files), "ruby", None), lit(go_deps(files), "go", "go.mod"),
-        lit(rust_deps(files), "rust", "Cargo.toml"), lit(java_blob(files).withColumnRenamed("blob", "dep"), "java", "pom.xml/build.gradle"), lit(php_deps(files), "php", "composer.json"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def match_frameworks(deps: DataFrame) -> DataFrame:
     """(repo_id, name, category, confidence, evidence, place): the first key of each entry that a repository's dependencies have."""
     rows = [(kind, name, category, key, rank, i) for i, (kind, name, category, keys) in enumerate(C.FRAMEWORKS) for rank, key in enumerate(keys)]
     entries = F.broadcast(deps.sparkSession.createDataFrame(rows, "kind string, name string, category string, key string, rank int, place int"))
-    exact = deps.where("kind NOT IN ('go', 'java')").join(entries.withColumn("dep", F.col("key")), ["kind", "dep"])
-    loose = deps.where("kind IN ('go', 'java')").join(entries, "kind").where(F.when(F.col("kind") == "go", F.col("dep").startswith(F.col("key"))).otherwise(F.contains("dep", F.col("key"))))
-    both = exact.select("repo_id", "kind", "name", "category", "key", "rank", "place", "source").unionByName(loose.select("repo_id", "kind", "name", "category", "key", "rank", "place", "source"))
+    # go names match by prefix, all others as a whole; either way the catalogue is the broadcast side
+    exact = deps.where("kind <> 'go'").join(entries.withColumn("dep", F.col("key")), ["kind", "dep"])
+    loose = deps.where("kind = 'go'").join(entries, "kind").where(F.col("dep").startswith(F.col("key")))
+    fields = ("repo_id", "kind", "name", "category", "key", "rank", "place", "source")
+    both = exact.select(*fields).unionByName(loose.select(*fields))
     best = both.groupBy("repo_id", "kind", "name", "category", "place").agg(F.min(F.struct("rank", "key", "source")).alias("m"))
     confidence = F.when(F.col("kind") == "java", 0.85).otherwise(0.9)
     return best.select("repo_id", "name", "category", confidence.alias("confidence"), F.concat(F.lit("`"), "m.key", F.lit("` in "), "m.source").alias("evidence"), "place")
