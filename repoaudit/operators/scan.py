@@ -59,7 +59,8 @@ def scan_matches(files: DataFrame, rules: tuple[dict, ...], raw: str = "content"
     parts = [F.concat(*cols) if not globs else F.when(X.matches_globs("path", globs), F.concat(*cols)).otherwise(none) for globs, cols in by_globs.items()]
     # sorted by rule; matches of one rule come in the order of the text
     found = F.expr("array_sort(all_found, (a, b) -> CASE WHEN a.rule < b.rule THEN -1 WHEN a.rule > b.rule THEN 1 ELSE 0 END)")
-    hits = files.withColumn("all_found", F.concat(*parts)).where(F.size("all_found") > 0).withColumn("raw_lines", F.split(raw, X.BREAK, -1))
+    # no filter on all_found: it would be pushed down and the rules would run twice
+    hits = files.withColumn("all_found", F.concat(*parts)).withColumn("raw_lines", F.when(F.size("all_found") > 0, F.split(raw, X.BREAK, -1)))
     hits = hits.select("repo_id", "file_pos", "path", "raw_lines", F.posexplode(found).alias("match_pos", "m"))
     return hits.select("repo_id", "file_pos", "path", "match_pos", F.col("m.rule").alias("rule"), F.col("m.line").alias("line_number"), F.col("m.hit").alias("hit"), F.get("raw_lines", F.col("m.line") - 1).alias("line_text"))
 
