@@ -37,6 +37,13 @@ def id_crc32(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch of about ``most_bytes`` each, as Python objects take many times a column's bytes."""
+    step = max(1, len(batch) * most_bytes // max(1, batch.nbytes))
+    for at in range(0, len(batch), step):
+        yield batch.slice(at, step)
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., tuple]], schema: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``df`` plus what ``make()(*values of columns)`` returns per row.
 
@@ -53,7 +60,7 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             f = f or make()
             rows = [f(*v) for v in zip(*(batch.column(c).to_pylist() for c in columns))]
             made = list(zip(*rows)) if rows else [[] for _ in new.fields]

@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import map_rows, slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -188,8 +188,7 @@ def encode(documents: DataFrame, model_file: str, threads: int = 2) -> DataFrame
         codec = None
         for batch in batches:
             codec = codec or Codec(model_file)
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 2 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = codec.encode_batch(texts)
                 want = codec.reference.encode(texts, num_threads=threads)
@@ -207,8 +206,6 @@ def encode(documents: DataFrame, model_file: str, threads: int = 2) -> DataFrame
 
 def digests(encoded: DataFrame) -> DataFrame:
     """Counts and checksums of ids and decoded texts."""
-    from .common import map_rows
-
     def make():
         def row(ids, decoded, parity):
             return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(decoded.encode("utf-8", "surrogatepass")), parity
