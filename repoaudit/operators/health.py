@@ -21,7 +21,8 @@ def detect_license(files: DataFrame) -> DataFrame:
 
 def days_since(timestamp: Column, as_of: Column) -> Column:
     """Whole days passed, never below 0; null for what is no timestamp. Pass ``as_of``: results must not depend on the clock."""
-    return F.greatest(F.lit(0), F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(F.try_to_timestamp(timestamp))) / 86400)).cast("int")
+    days = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(F.try_to_timestamp(timestamp))) / 86400).cast("int")
+    return F.when(days.isNotNull(), F.greatest(F.lit(0), days))
 
 
 def _finding(condition: Column, rule_id: str, title: str, severity: str, description: Column, recommendation: str, category: str) -> Column:

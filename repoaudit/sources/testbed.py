@@ -92,7 +92,7 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPOS_SQL = """
 repos AS (SELECT CAST(c_custkey AS VARCHAR) AS repo_id, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN 'https://host/' || c_name END AS url, coalesce(n, 0) * coalesce(n, 0) * (c_custkey % 50) AS stars, coalesce(forks, 0) AS forks,
   coalesce(open, 0) * 100 AS open_issues, CASE WHEN c_custkey % 5 > 0 THEN 'MIT' END AS license, c_acctbal < 0 AS archived, last AS pushed_at, CASE WHEN c_custkey % 7 = 0 THEN 'local' ELSE 'github' END AS kind,
-  greatest(0, CAST(floor(epoch(TIMESTAMP '2001-08-01' - last) / 86400) AS INT)) AS days
+  CASE WHEN last IS NOT NULL THEN greatest(0, CAST(floor(epoch(TIMESTAMP '2001-08-01' - last) / 86400) AS INT)) END AS days
   FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS forks, count(*) FILTER (o_orderstatus = 'O') AS open, max(o_orderdate) AS last FROM orders GROUP BY 1) ON c_custkey = o_custkey)"""
 
 

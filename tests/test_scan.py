@@ -1,0 +1,97 @@
+"""Rules, masking, suppression and path context on small files."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from repoaudit.operators import masking, scan
+
+KEY = "AK" + "IA" + "Q7" * 8
+
+CASES = [
+    ("a.py", "eval(s)", {"PY001"}), ("b.py", "df.eval('a')", set()), ("c.py", "yaml.load(raw)", {"PY008"}), ("d.py", "yaml.load(\n  raw,\n  Loader=yaml.SafeLoader)", set()), ("e.py", "get(u, verify=False)", {"PY009"}),
+    ("f.py", "# eval(x)\ns = 'exec(y)'\n", set()), ("g.py", 'x = f"{eval(z)}"\n', {"PY001"}), ("h.py", "subprocess.run(a,\n shell=True)", {"PY004"}), ("i.py", "it's eval(x)", {"PY001"}),
+    ("a.js", "$scope.$eval(x)", set()), ("b.js", "el.innerHTML = x", {"JS006"}), ("c.js", "el.innerHTML === x", set()), ("d.js", "setTimeout('x')", {"JS007"}), ("e.js", "this.setTimeout('x')", set()), ("f.js", "/* eval(x) */ const t = `eval(y)`;", set()), ("g.js", "/it's/; eval(x)", {"JS001"}),
+    ("a.rb", "Marshal.load(x)", {"RB006"}), ("b.rb", "YAML.load(x) # eval(y)", {"RB007"}), ("c.rb", "`ls`", {"RB002"}),
+    ("a.php", "<?php eval($x);", {"PHP001"}), ("b.php", "system('ls');", {"PHP002"}), ("c.php", "include $_GET['p'];", {"PHP006"}), ("d.php", "$o->eval(1); // eval(2)", set()), ("e.php", "assert('x');", {"PHP009"}),
+    ("run.sh", "curl x | bash", {"SH001"}), ("x/run.sh", "curl -k y", {"SH008"}), ("y.sh", "# curl x | sh\nsudo ls", {"SH003"}), ("sub/Makefile", "\tsudo x", set()),
+    ("Dockerfile", "FROM a:latest\nUSER root", {"DK001", "DK005"}), ("sub/Dockerfile", "USER root", set()), (".github/workflows/c.yml", "on:\n  pull_request_target:\n", {"GH001"}), (".github/workflows/d.yml", "x: ${{ github.event.issue.title }}", {"GH006"}),
+    ("config.py", f"k = '{KEY}'", {"SEC003"}), ("ok.py", "eval(x)  # audit: ignore PY001", set()), ("ok2.py", "eval(x)  # audit: ignore", set()), ("no.py", "eval(x)  # audit: ignore PY002", {"PY001"}), ("all.py", "# audit: ignore-file\neval(x)", set()),
+    ("m.py", "exec(a)\n\n\nexec(b)\n", {"PY002"}), (".env", "A=1", {"SEC011"}), ("package.json", '{"scripts": {"postinstall": "x", "test": "y"}}', {"JS100"}), ("bad/package.json", "{", set()), ("empty.py", "", set()), ("null.py", None, set()),
+]
+
+
+@pytest.fixture(scope="module")
+def found(spark, files):
+    return scan.scan_files(files(*((p, c) for p, c, _ in CASES))).collect()
+
+
+@pytest.mark.parametrize("path,expected", [(p, e) for p, _, e in CASES])
+def test_rules(found, path, expected):
+    assert {r["rule_id"] for r in found if r["file_path"] == path} == expected
+
+
+def test_lines_and_redaction(found):
+    assert sorted(r["line_number"] for r in found if r["file_path"] == "m.py") == [1, 4]
+    secret = next(r for r in found if r["rule_id"] == "SEC003")
+    assert KEY not in secret["description"] and KEY[:4] + "*" * 16 in secret["description"]
+
+
+def test_low_trust_paths_drop_one_tier(files):
+    rows = scan.scan_files(files(("app.py", "eval(x)"), ("tests/a.py", "eval(x)"), ("examples/b.py", "eval(x)"))).collect()
+    assert {r["file_path"]: r["severity"] for r in rows} == {"app.py": "high", "tests/a.py": "medium", "examples/b.py": "medium"}
+
+
+def test_dedupe_is_idempotent_and_null_safe(spark):
+    rows = [("r", i, "A", "t", "high", None, None, "d", "x", "secret") for i in range(3)]
+    df = spark.createDataFrame(rows, "repo_id string, finding_pos long, rule_id string, title string, severity string, file_path string, line_number int, description string, recommendation string, category string")
+    once = scan.dedupe_findings(df)
+    assert [r["finding_pos"] for r in once.collect()] == [0] and scan.dedupe_findings(once).count() == 1
+
+
+def lexer(text, line, block, quotes):
+    """Plain reading of the masking rules, one character at a time."""
+    out, i, n = list(text), 0, len(text)
+
+    def blank(a, b):
+        for k in range(a, min(b, n)):
+            if out[k] not in "\r\n":
+                out[k] = " "
+
+    while i < n:
+        if any(text.startswith(t, i) for t in line):
+            end = text.find("\n", i)
+            end = n if end < 0 else end
+            blank(i, end)
+            i = end
+        elif block and text.startswith("/*", i):
+            end = text.find("*/", i + 2)
+            end = n if end < 0 else end + 2
+            blank(i, end)
+            i = end
+        elif text[i] in quotes:
+            j, closed = i + 1, False
+            while j < n and not closed and not (text[j] == "\n" and text[i] != "`"):
+                if text[j] == "\\":
+                    j += 2
+                    continue
+                closed = text[j] == text[i]
+                j += 1
+            if closed or text[i] == "`":
+                blank(i + 1, max(i + 1, j - 1))
+                i = j
+            else:
+                i += 1
+        else:
+            i += 1
+    return "".join(out)
+
+
+@pytest.mark.parametrize("mask,line,block,quotes", [(masking.mask_c_family, ("//",), True, "\"'`"), (masking.mask_php, ("//", "#"), True, "\"'"), (masking.mask_ruby, ("#",), False, "\"'")])
+def test_masks_agree_with_a_plain_lexer(spark, mask, line, block, quotes):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab/*#\"'`\\\n\r ") for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    got = spark.createDataFrame([(t,) for t in texts], "content string").select("content", mask(F.col("content")).alias("m")).collect()
+    wrong = [(r["content"], r["m"]) for r in got if r["m"] != lexer(r["content"], line, block, quotes)]
+    assert not wrong, wrong[:3]
