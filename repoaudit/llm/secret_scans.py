@@ -230,15 +230,24 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
     """``documents`` with every span in ``text`` replaced by ``mask`` (overlapping spans by one), and ``n_chars`` counted anew."""
-    out = scan(documents, rules, documents.columns)
+    names = documents.columns
+    # all columns go along in one struct, so none can clash with what the scan adds
+    own = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("own_row")
+    out = scan(documents.select("doc_id", "text", own), rules, ["text", "own_row"])
     step = (
         "aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct('at', greatest(a.at, s.end), 'out', CASE WHEN s.start < a.at THEN a.out "
         f"ELSE concat(a.out, substring(text, a.at + 1, s.start - a.at), '{mask}') END), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    out = out.withColumn("text", F.expr(f"CASE WHEN size(spans) > 0 THEN {step} ELSE text END"))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    out = out.withColumn("masked", F.expr(f"CASE WHEN size(spans) > 0 THEN {step} ELSE text END"))
+    columns = []
+    for i, c in enumerate(names):
+        value = F.col(f"own_row.c{i}")
+        if c == "text":
+            value = F.col("masked")
+        elif c == "n_chars":
+            value = F.when(F.size("spans") > 0, F.length("masked")).otherwise(value).cast(documents.schema[c].dataType)
+        columns.append(value.alias(c))
+    return out.select(*columns)
 
 
 def _oracle() -> str:
