@@ -21,17 +21,29 @@ from .common import saved, table
 
 SHARDS = 40
 SEED = 20240917
-ROWS = 20_000
+ROWS = 4096
+SPANS = 4096
+FEW_SOURCES = 100_000
+
+
+def _offsets(df: DataFrame, group: list[str], span: str) -> DataFrame:
+    """(group, span, before): rows in earlier spans of the group, summed in two levels so that no window is long."""
+    counts = df.groupBy(*group, span).agg(F.count("*").alias("n_span")).withColumn("block", F.expr(f"{span} div {SPANS}"))
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(*group, "block").agg(F.sum("n_span").alias("n_block"))
+    blocks = blocks.select(*group, "block", F.coalesce(F.sum("n_block").over(earlier(group, "block")), F.lit(0)).alias("before_block"))
+    inside = counts.withColumn("before_span", F.coalesce(F.sum("n_span").over(earlier([*group, "block"], span)), F.lit(0)))
+    return inside.join(blocks, [*group, "block"]).select(*group, span, (F.col("before_block") + F.col("before_span")).alias("before"))
 
 
 def _numbered(df: DataFrame, group: list[str], span: str, order: list) -> DataFrame:
-    """``df`` with ``place`` (from 1) within ``group`` in the order of (span, order); ``span`` are ranges of a bounded number of rows."""
-    counts = df.groupBy(*group, span).agg(F.count("*").alias("n_span"))
-    before = Window.partitionBy(*group).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
-    offset = counts.select(*group, span, F.coalesce(F.sum("n_span").over(before), F.lit(0)).alias("before"))
-    rank = Window.partitionBy(*group, span).orderBy(*order)
-    ranked = df.withColumn("in_span", F.row_number().over(rank))
-    return ranked.join(offset, [*group, span]).withColumn("place", F.col("before") + F.col("in_span")).drop("before", "in_span")
+    """``df`` with ``place`` (from 1) within ``group`` in the order of (span, order); spans hold a bounded number of rows.
+
+    Rows are dealt out by group and span, so that a hot group is many tasks.
+    """
+    dealt = df.repartition(*group, span)
+    ranked = dealt.withColumn("in_span", F.row_number().over(Window.partitionBy(*group, span).orderBy(*order)))
+    return ranked.join(_offsets(df, group, span), [*group, span]).withColumn("place", F.col("before") + F.col("in_span")).drop("before", "in_span")
 
 
 def interleave(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -40,26 +52,19 @@ def interleave(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     rows = saved(documents.select(
         "doc_id", "source", F.coalesce("source", F.lit("")).alias("stratum"), F.col("source").isNull().alias("no_source"),
         (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")))
-    per_source = rows.groupBy("stratum", "no_source").agg(F.count("*").alias("n"))
-    total = rows.count()
+    ).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"), F.lit(1 << 40))))
+    per_source = saved(rows.groupBy("stratum", "no_source").agg(F.count("*").alias("n")))
+    n_sources, total = per_source.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sized = F.broadcast(per_source) if n_sources <= FEW_SOURCES else per_source
     # the hash cut into equal ranges, so many that each holds about ROWS rows of its source
-    spans = F.ceil(F.col("n") / ROWS)
-    cut = F.floor(F.pmod(F.col("h"), F.lit(1 << 40)) * spans / F.lit(1 << 40)).cast("long")
-    ranked = rows.join(per_source, ["stratum", "no_source"]).withColumn("span", cut)
-    ranked = _numbered(ranked, ["stratum", "no_source"], "span", [F.pmod(F.col("h"), F.lit(1 << 40)), "h", "doc_id", "text_crc32", "size"])
+    ranked = rows.join(sized, ["stratum", "no_source"]).withColumn("span", F.floor(F.col("h") * F.ceil(F.col("n") / ROWS) / F.lit(1 << 40)).cast("long"))
+    ranked = _numbered(ranked, ["stratum", "no_source"], "span", ["h", "doc_id", "text_crc32", "size"])
     fraction = ranked.select("doc_id", "source", "size", "text_crc32", "h", ((F.col("place") - 0.5) / F.col("n")).alias("fraction"))
-    n_cuts = max(1, -(-total // ROWS))
-    fraction = fraction.withColumn("cut", F.floor(F.col("fraction") * n_cuts).cast("long"))
-    counts = fraction.groupBy("cut").agg(F.count("*").alias("n_cut"))
-    # a row per ROWS documents: the running sum over all of them is small work
-    before = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    offset = counts.select("cut", F.coalesce(F.sum("n_cut").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("cut").orderBy("fraction", F.xxhash64(F.lit(seed), "source"), "source", "h", "doc_id", "text_crc32", "size")
-    placed = fraction.withColumn("k", F.row_number().over(inside)).join(offset, "cut").withColumn("place", F.col("before") + F.col("k") - 1)
-    exact = F.expr(f"cast((place * {shards}) div {max(1, total)} as int)")
+    fraction = saved(fraction.withColumn("cut", F.floor(F.col("fraction") * max(1, -(-total // ROWS))).cast("long")))
+    placed = _numbered(fraction, [], "cut", ["fraction", F.xxhash64(F.lit(seed), "source"), "source", "h", "doc_id", "text_crc32", "size"]).withColumn("place", F.col("place") - 1)
+    placed = placed.withColumn("shard", F.expr(f"cast((place * {shards}) div {max(1, total)} as int)"))
     first = F.expr(f"(shard * cast({total} as bigint) + {shards - 1}) div {shards}")
-    return placed.withColumn("shard", exact).withColumn("slot", (F.col("place") - first).cast("long")).select("doc_id", "source", "size", "text_crc32", "place", "shard", "slot")
+    return placed.withColumn("slot", (F.col("place") - first).cast("long")).select("doc_id", "source", "size", "text_crc32", "place", "shard", "slot")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
