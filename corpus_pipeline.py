@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from repoaudit.llm import common, language_id, packing, quality_classifier, secret_scans, simhash_dedup
 
 
+#: Differing bits of near-duplicates' fingerprints.
+BITS = 6
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier scores at its threshold or above."""
     model = quality_classifier.train(docs, common.table(spark, sf_dir, "labels"))
@@ -27,9 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near-duplicates, the document with the smallest id.
 
-    Shingles of five words and fingerprints within two of 64 bits; documents with a null id stay, of rows that repeat an id one stays.
+    Shingles of five words and fingerprints within six of 64 bits, which is a similarity of about 0.9 and, by the spread of fingerprints, seldom
+    below 0.8; documents with a null id stay, of rows that repeat an id one stays.
     """
-    groups = simhash_dedup.near_duplicates(docs, n=5)
+    groups = simhash_dedup.near_duplicates(docs, n=5, limit=BITS)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     # the join deals documents out by id, which the removal of repeated ids then uses
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])

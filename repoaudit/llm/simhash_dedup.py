@@ -1,16 +1,17 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Equal fingerprints are one class. Two 64-bit fingerprints that differ in at most two bits agree on at least one of three
-bit blocks, so every class is dealt out once per block, with that block turned to the leading bits. Within a task the rows
-are sorted by Gray rank, which keeps rows of one leading block together and neighbours alike; leaves of a few rows and
-the nodes above them hold the bit pattern that all their rows share (a mask and its values). A search goes down this
-tree with the differences counted so far, adds only those on the bits that a node newly shares, and drops the whole
-group once they exceed the limit or the leading block differs.
-
-A block value held by more than ``MAX_GROUP`` classes never meets in one task: its classes are linked through the 65
-fingerprints within one bit of each instead. Two fingerprints at most two bits apart share such a neighbour, and no neighbour
-has more than 65 classes, so this way is exact and bounded for any skew. Tasks send a spanning set of their links, not all
-pairs; components come from alternating large-star and small-star steps on tables, each written to the checkpoint folder.
+Equal fingerprints are one class. Cut into ``limit + m`` bit blocks, two 64-bit fingerprints that differ in at most ``limit``
+bits agree on at least m blocks, so every class is dealt out once for each choice of m blocks (3 times for two bits, 84 times for six),
+with these blocks moved to the leading bits. Within a task the rows are sorted by Gray rank, which keeps rows of equal leading
+blocks together and neighbours alike; leaves of a few rows and the nodes above them hold the bit pattern that all their
+rows share (a mask and its values). A search goes down this tree with the differences counted so far, adds only
+those on the bits that a node newly shares, and drops the whole group once they exceed the limit or the leading blocks differ.
+
+Leading blocks shared by more than ``MAX_GROUP`` classes never meet in one task. For two bits their classes are linked through
+the 65 fingerprints within one bit of each instead: two fingerprints at most two bits apart share such a neighbour, and no neighbour has more
+than 65 classes, so this way is exact and linear for any skew. For more bits such a group is cut into tiles, and each pair of
+tiles is one bounded search. Tasks send a spanning set of their links, not all pairs; components come from alternating
+large-star and small-star steps on tables, each written to the checkpoint folder.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; repeated rows and texts share a class;
 rows with a null id get a fingerprint and a null component and link nothing; with shingles of ``n`` words, texts of fewer words count as
@@ -19,6 +20,7 @@ one shingle; other columns of the input are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, saved, table
 
-#: bits of the three blocks, leading block first
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 MAX_GROUP = 8192
 FANOUT, LEAF = 8, 16
 
@@ -58,9 +58,25 @@ def fingerprints(documents: DataFrame, n: int = 3, keep: list[str] | None = None
     return map_rows(documents, ["text"], lambda: lambda text: (fingerprint(text, n),), "fp long", keep or ["doc_id"])
 
 
-def rotated(fp: np.ndarray, by: int) -> np.ndarray:
-    by = np.uint64(by)
-    return fp if by == 0 else (fp << by) | (fp >> (np.uint64(64) - by))
+def choices(limit: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each choice of agreeing blocks: all blocks as (lowest bit, width) with the chosen ones first, and the mask of the chosen bits."""
+    m = max(1, limit // 2)
+    n = limit + m
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    blocks = [(64 - b, b - a) for a, b in zip(edges, edges[1:])]
+    out = []
+    for chosen in itertools.combinations(range(n), m):
+        order = [blocks[i] for i in chosen] + [blocks[i] for i in range(n) if i not in chosen]
+        out.append((order, sum(((1 << w) - 1) << low for low, w in order[:m])))
+    return out
+
+
+def moved(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """``fp`` with its blocks put in the given order, first block leading."""
+    out = np.zeros_like(fp)
+    for low, width in order:
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1))
+    return out
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -139,62 +155,77 @@ def local_components(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -
     return label
 
 
-def _task_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the rows of one task, which come sorted by block, block value and Gray rank of the turned fingerprint."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _task_links(limit: int):
+    """Links of the rows of one task, which come sorted by choice of blocks and the blocks' value."""
+    plan = choices(limit)
+    m = max(1, limit // 2)
 
-    def pack(block: int, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        by, width = BLOCKS[block]
-        values = rotated(fp, by)
-        order = np.argsort(gray_rank(values), kind="stable")
-        rep = rep[order]
+    def pack(choice: int, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        order, _ = plan[choice]
+        values = moved(fp, order)
+        by_rank = np.argsort(gray_rank(values), kind="stable")
+        rep = rep[by_rank]
+        width = sum(w for _, w in order[:m])
         must = ((np.uint64(1) << np.uint64(width)) - np.uint64(1)) << np.uint64(64 - width)
-        label = local_components(len(rep), GrayIndex(values[order]).links(2, must))
+        label = local_components(len(rep), GrayIndex(values[by_rank]).links(limit, must))
         own = label != np.arange(len(rep))
-        return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[label[own]])], schema=schema)
-
-    rest: dict[str, np.ndarray] | None = None
-    for batch in batches:
-        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "key", "fp", "rep")}
-        rest = new if rest is None else {c: np.concatenate([rest[c], new[c]]) for c in new}
-        edge = np.flatnonzero((rest["key"][1:] != rest["key"][:-1]) | (rest["block"][1:] != rest["block"][:-1])) + 1
-        done = 0
-        while len(rest["key"]) - done > 2 * MAX_GROUP:  # cut behind the last whole group that fits
-            fit = edge[(edge > done) & (edge <= done + MAX_GROUP)]
-            cut = int(fit[-1]) if len(fit) else int(edge[edge > done][0])
-            yield from _by_block(rest, done, cut, pack)
-            done = cut
-        rest = {c: v[done:] for c, v in rest.items()}
-    if rest is not None:
-        yield from _by_block(rest, 0, len(rest["key"]), pack)
-
-
-def _by_block(rows: dict[str, np.ndarray], start: int, end: int, pack) -> Iterator[pa.RecordBatch]:
-    for block in np.unique(rows["block"][start:end]):
-        at = start + np.flatnonzero(rows["block"][start:end] == block)
-        if len(at) > 1:
-            yield pack(int(block), rows["fp"][at].view(np.uint64), rows["rep"][at])
-
-
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b): a spanning set of the links between the classes (fp, rep) at two or fewer differing bits, by rep."""
-    blocks = []
-    for i, (by, width) in enumerate(BLOCKS):
-        turned = f"shiftleft(fp, {by}) | shiftrightunsigned(fp, {64 - by})" if by else "fp"
-        blocks.append(f"named_struct('block', {i}, 'key', shiftrightunsigned({turned}, {64 - width}))")
-    keyed = classes.select("fp", "rep", F.explode(F.expr(f"array({', '.join(blocks)})")).alias("k")).select("k.block", "k.key", "fp", "rep")
-    large = saved(keyed.groupBy("block", "key").count().where(F.col("count") > MAX_GROUP).select("block", "key"))
+        return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(rep[label[own]])], names=["a", "b"])
+
+    def packs(rows: dict[str, np.ndarray], start: int, end: int) -> Iterator[pa.RecordBatch]:
+        part = {c: v[start:end] for c, v in rows.items()}
+        same = (part["key"][1:] == part["key"][:-1]) & (part["choice"][1:] == part["choice"][:-1]) & (part["tile"][1:] == part["tile"][:-1])
+        paired = np.zeros(end - start, np.bool_)  # a row alone with its blocks has no link here
+        paired[1:] |= same
+        paired[:-1] |= same
+        group = np.cumsum(np.concatenate([[0], (part["choice"][1:] != part["choice"][:-1]) | (part["tile"][1:] != part["tile"][:-1])])) if end > start else np.empty(0, np.int64)
+        for g in np.unique(group[paired]):
+            at = np.flatnonzero(paired & (group == g))
+            yield pack(int(part["choice"][at[0]]), part["fp"][at].view(np.uint64), part["rep"][at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "tile", "key", "fp", "rep")}
+            rest = new if rest is None else {c: np.concatenate([rest[c], new[c]]) for c in new}
+            changes = (rest["key"][1:] != rest["key"][:-1]) | (rest["choice"][1:] != rest["choice"][:-1]) | (rest["tile"][1:] != rest["tile"][:-1])
+            edge, done = np.flatnonzero(changes) + 1, 0
+            while len(rest["key"]) - done > 2 * MAX_GROUP:  # cut behind the last whole group that fits
+                last = np.searchsorted(edge, done + MAX_GROUP, "right") - 1
+                if last < 0 or edge[last] <= done:
+                    last += 1
+                    if last >= len(edge):
+                        break
+                yield from packs(rest, done, int(edge[last]))
+                done = int(edge[last])
+            rest = {c: v[done:] for c, v in rest.items()}
+        if rest is not None and len(rest["key"]):
+            yield from packs(rest, 0, len(rest["key"]))
+
+    return run
+
+
+def links(classes: DataFrame, limit: int = 2) -> DataFrame:
+    """(a, b): a spanning set of the links between the classes (fp, rep) at ``limit`` or fewer differing bits, by rep."""
+    signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
+    structs = (F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("key")) for i, (_, mask) in enumerate(choices(limit)))
+    keyed = classes.select("fp", "rep", F.explode(F.array(*structs)).alias("k")).select("k.choice", "k.key", "fp", "rep")
+    large = saved(keyed.groupBy("choice", "key").count().where(F.col("count") > MAX_GROUP))
     n_large = large.count()
     if n_large:
-        small_enough = n_large <= 100_000
-        hint = F.broadcast(large) if small_enough else large
-        hot = keyed.join(hint, ["block", "key"], "left_semi").select("fp", "rep").distinct()
-        keyed = keyed.join(hint, ["block", "key"], "left_anti")
-    by_tree = keyed.repartition("block", "key").sortWithinPartitions("block", "key").mapInArrow(_task_links, "a long, b long")
-    if not n_large:
+        hint = F.broadcast(large) if n_large <= 100_000 else large
+        hot = keyed.join(hint, ["choice", "key"])
+        keyed = keyed.join(hint, ["choice", "key"], "left_anti")
+    keyed = keyed.withColumn("tile", F.lit(0).cast("long"))
+    if n_large and limit > 2:
+        tiles = F.ceil(F.col("count") * 2 / MAX_GROUP)
+        hot = hot.withColumn("own", F.pmod(F.xxhash64("fp"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        pair = F.least("own", "other") * tiles + F.greatest("own", "other") + 1
+        keyed = keyed.unionByName(hot.select("choice", "key", "fp", "rep", pair.alias("tile")))
+    by_tree = keyed.repartition("choice", "key", "tile").sortWithinPartitions("choice", "tile", "key").mapInArrow(_task_links(limit), "a long, b long")
+    if not n_large or limit > 2:
         return by_tree
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    near = hot.select("rep", F.explode(flips).alias("near")).groupBy("near").agg(F.collect_set("rep").alias("reps"))
+    near = hot.select("fp", "rep").distinct().select("rep", F.explode(flips).alias("near")).groupBy("near").agg(F.collect_set("rep").alias("reps"))
     near = near.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a <> b")
     return by_tree.unionByName(near)
 
@@ -220,11 +251,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = told
 
 
-def near_duplicates(documents: DataFrame, n: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: shingles of ``n`` words, links at two or fewer differing bits."""
+def near_duplicates(documents: DataFrame, n: int = 3, limit: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: shingles of ``n`` words, links at ``limit`` or fewer differing bits."""
     prints = saved(fingerprints(documents, n))
     classes = saved(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(links(classes))
+    linked = components(links(classes, limit))
     label = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(label, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -23,7 +23,7 @@ def plain_fingerprint(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(prints):
+def brute_components(prints, limit=2):
     """Smallest id reachable, for {id: fingerprint}."""
     ids = sorted(prints)
     label = {i: i for i in ids}
@@ -35,7 +35,7 @@ def brute_components(prints):
 
     for a in ids:
         for b in ids:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= limit:
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     return {i: root(i) for i in ids}
@@ -49,19 +49,20 @@ def test_query_equals_brute_force(spark):
     assert {i: r["component_id"] for i, r in rows.items()} == brute_components(prints)
 
 
+@pytest.mark.parametrize("limit", [2, 4, 6])
 @pytest.mark.parametrize("most", [3, 8192])
-def test_links_of_crowded_fingerprints(spark, monkeypatch, most):
+def test_links_of_crowded_fingerprints(spark, monkeypatch, most, limit):
     monkeypatch.setattr(simhash_dedup, "MAX_GROUP", most)
     rng = random.Random(most)
     centers = [rng.getrandbits(64) for _ in range(4)]
-    prints = {i: rng.choice(centers) ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 4, 6]))) for i in range(400)}
+    prints = {i: rng.choice(centers) ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 4, 6, 9, 13]))) for i in range(400)}
     classes = {}
     for i, p in prints.items():
         classes[p] = min(i, classes.get(p, i))
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     df = spark.createDataFrame([(signed(p), i) for p, i in classes.items()], "fp long, rep long")
-    got = {r["node"]: r["component"] for r in simhash_dedup.components(simhash_dedup.links(df)).collect()}
-    want = brute_components({i: p for p, i in classes.items()})
+    got = {r["node"]: r["component"] for r in simhash_dedup.components(simhash_dedup.links(df, limit)).collect()}
+    want = brute_components({i: p for p, i in classes.items()}, limit)
     assert {i: got.get(i, i) for i in want} == want
 
 
@@ -127,7 +128,7 @@ def test_pipeline_stages(spark, tmp_path):
         if k < 4:
             assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString(), name
         if k == 2:
-            groups = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, 5).collect()}
+            groups = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, 5, corpus_pipeline.BITS).collect()}
             assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({c for c in groups.values() if c is not None})
         docs = kept
     good = {r["doc_id"] for r in op1_quality_classifier(spark, SF).where("predicted = 1").collect()}
