@@ -470,3 +470,12 @@ def _archives(s: SparkSession, d: str) -> DataFrame:
 
 
 add("s2_read_archives", _archives)
+
+
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    """The folder of the tables themselves, read as one checked-out repository."""
+    root, _, name = d.rstrip("/").rpartition("/")
+    return snapshots.read_snapshots(s, root, name).select("repo_id", "file_pos", "path", "size", "is_binary", "truncated")
+
+
+add("s1_read_snapshots", _snapshots)

@@ -7,7 +7,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogs import BINARY_EXTENSIONS, SKIP_DIRECTORIES
@@ -23,14 +23,15 @@ def walk_order(path: str = "path"):
     return F.concat(folders, F.array(F.concat(F.lit("0"), F.element_at(parts, -1))))
 
 
-def read_snapshots(spark: SparkSession, root: str, max_file_size: int = 200_000) -> DataFrame:
-    """``files`` of the folders under ``root``, one repository each. Contents over the size are dropped right behind the read."""
-    from pyspark.sql import Window
-
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def read_snapshots(spark: SparkSession, root: str, repos: str = "*", max_file_size: int = 200_000) -> DataFrame:
+    """``files`` of the folders under ``root`` whose names match ``repos``, one repository each. Files over the size are listed and never opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/{repos}")
+    # the source takes a condition on the length before it reads contents
+    small = raw.where(F.col("length") <= max_file_size).select("path", "length", "content")
+    raw = small.unionByName(raw.where(F.col("length") > max_file_size).select("path", "length", F.lit(None).cast("binary").alias("content")))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:").rstrip("/") + "/"
     inside = F.substring_index("path", base, -1)
-    rows = raw.select(inside.alias("inside"), F.col("length").alias("size"), F.when(F.col("length") <= max_file_size, F.col("content")).alias("bytes"))
+    rows = raw.select(inside.alias("inside"), F.col("length").alias("size"), F.col("content").alias("bytes"))
     rows = rows.where(F.contains("inside", F.lit("/"))).select(F.split("inside", "/", 2)[0].alias("repo_id"), F.split("inside", "/", 2)[1].alias("path"), "size", "bytes")
     rows = paths.decode_text(paths.flag_binary(paths.prune_skip_dirs(rows))).withColumn("truncated", F.col("size") > max_file_size)
     rows = rows.withColumn("is_binary", F.col("is_binary") & ~F.col("truncated")).withColumn("content", F.when(~F.col("is_binary"), F.col("content"))).drop("bytes")

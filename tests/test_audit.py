@@ -123,11 +123,18 @@ def test_archives(spark):
 
 
 def test_snapshots_from_folders(spark, tmp_path):
-    for path, data in (("r1/a.txt", b"hi"), ("r1/z/b.py", b"x = 1"), ("r1/c.png", b"1"), ("r2/node_modules/q.js", b"1"), ("r2/nul.txt", b"a\x00b")):
+    for path, data in (("r1/a.txt", b"hi"), ("r1/z/b.py", b"x = 1"), ("r1/c.png", b"1"), ("r2/node_modules/q.js", b"1"), ("r2/nul.txt", b"a\x00b"), ("r2/big.txt", b"1" * 300)):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
-    got = {(r["repo_id"], r["path"]): (r["file_pos"], r["content"], r["is_binary"]) for r in snapshots.read_snapshots(spark, str(tmp_path)).collect()}
-    assert got == {("r1", "a.txt"): (0, "hi", False), ("r1", "c.png"): (1, None, True), ("r1", "z/b.py"): (2, "x = 1", False), ("r2", "nul.txt"): (0, None, True)}
+    got = {(r["repo_id"], r["path"]): (r["file_pos"], r["content"], r["is_binary"]) for r in snapshots.read_snapshots(spark, str(tmp_path), max_file_size=200).collect()}
+    assert got == {("r1", "a.txt"): (0, "hi", False), ("r1", "c.png"): (1, None, True), ("r1", "z/b.py"): (2, "x = 1", False), ("r2", "big.txt"): (0, None, False), ("r2", "nul.txt"): (1, None, True)}
+
+
+def test_advisory_documents(spark, tmp_path):
+    doc = {"id": "V1", "summary": "s", "database_specific": {"severity": "LOW"}, "affected": [{"package": {"ecosystem": "npm", "name": "a"}, "versions": ["1", "2"]}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc) + "\n")
+    got = [(r["vuln_id"], r["ecosystem"], r["name"], r["version"], r["severity_label"]) for r in snapshots.read_advisories(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("V1", "npm", "a", "1", "LOW"), ("V1", "npm", "a", "2", "LOW")]
 
 
 def test_paths(spark, files):
