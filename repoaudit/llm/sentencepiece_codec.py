@@ -22,13 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_rows, slices, table
+from .common import slices, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -130,25 +131,57 @@ class Codec:
         self.prefix = MARK if m["dummy_prefix"] else ""
         self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
         self.split = words_stand_alone(self.pieces)
-        self.words: dict[str, np.ndarray] = {}
+        self.split = self.split and self.plain and bool(self.prefix)
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.pieces])
+        #: ids by word without its first marker, as bytes, and the words in which the two libraries differ
+        self.words: dict[str, bytes] = {}
+        self.unequal: set[str] = set()
         self.reference = SentencePieceProcessor(model_proto=data)
 
     def marked(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK) if self.plain else self.normalizer.normalize_str(text)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text by the tokenizers library."""
-        marked = [self.marked(t) if t else "" for t in texts]
+    def encode_batch(self, texts: list[str], threads: int = 2) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text by the tokenizers library, and whether they equal sentencepiece's."""
         if not self.split:
-            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-        cut = [marked_words(t) for t in marked]
+            ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([self.marked(t) if t else "" for t in texts], add_special_tokens=False)]
+            want = [np.array(w, "<u4") for w in self.reference.encode(texts, num_threads=threads)]
+            same = [np.array_equal(i, w) for i, w in zip(ids, want)]
+            return [i if ok else w for i, w, ok in zip(ids, want, same)], same
+        cut = [words_of(t) for t in texts]
         if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        new = list({w for words in cut for w in words}.difference(self.words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            self.words, self.unequal = {}, set()
+        self._learn(list(set().union(*cut).difference(self.words)), threads)
         get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
+        ids = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
+        same = [not (self.unequal and self.unequal.intersection(words)) for words in cut]
+        for k in (k for k, ok in enumerate(same) if not ok):
+            ids[k] = np.array(self.reference.encode(texts[k]), "<u4")
+        return ids, same
+
+    def _learn(self, new: list[str], threads: int) -> None:
+        """Encodes words many at a time: as no piece crosses a word's start, the ids of the joined text fall into those of its words."""
+        simple = [w for w in new if w and MARK not in w]
+        groups = [simple[k : k + 64] for k in range(0, len(simple), 64)]
+        groups += [[w] for w in new if not w or MARK in w]  # their markers form runs
+        encoded = self.tokenizer.encode_batch_fast([MARK + MARK.join(g) for g in groups], add_special_tokens=False)
+        want = self.reference.encode([" ".join(g).replace(MARK, " ") for g in groups], num_threads=threads)
+        for g, e, w in zip(groups, encoded, want):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids]) if len(g) > 1 else np.zeros(1, np.int64)
+            if len(starts) == len(g) and e.ids == w:
+                raw, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+                self.words.update((x, raw[a:b]) for x, a, b in zip(g, edges, edges[1:]))
+            elif len(g) == 1:
+                self.words[g[0]] = ids.tobytes()
+                if e.ids != w and g[0]:
+                    self.unequal.add(g[0])
+            else:  # one word of these is special: each by itself
+                for x in g:
+                    own = self.tokenizer.encode(MARK + x, add_special_tokens=False).ids
+                    self.words[x] = np.array(own, "<u4").tobytes()
+                    if own != self.reference.encode(x):
+                        self.unequal.add(x)
 
     def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of id lists: the pieces' bytes joined; where these aren't valid UTF-8, the library's decoder decides."""
@@ -163,25 +196,27 @@ class Codec:
         return out
 
 
-def marked_words(text: str) -> list[str]:
-    """``text`` cut before each run of markers."""
-    parts = text.split(MARK)
+def words_of(text: str) -> list[str]:
+    """The words of a text, each without its first marker or space; further markers and spaces before a word are markers of it."""
+    if not text:
+        return []
+    if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
     out, run = [], 0
-    if parts[0]:
-        out.append(parts[0])
-    for p in parts[1:]:
-        run += 1
-        if p:
-            out.append(MARK * run + p)
+    for part in text.replace(" ", MARK).split(MARK):  # before each part stands one marker
+        if part:
+            out.append(MARK * run + part)
             run = 0
+        else:
+            run += 1
     if run:
-        out.append(MARK * run)
+        out.append(MARK * (run - 1))
     return out
 
 
 def encode(documents: DataFrame, model_file: str, threads: int = 2) -> DataFrame:
-    """(doc_id, ids, decoded, parity) of every row; ``model_file`` must be readable on the executors."""
-    schema = pa.schema([("doc_id", documents.select("doc_id").schema[0].dataType.typeName() == "long" and pa.int64() or pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("parity", pa.bool_())])
+    """(doc_id, ids, ids_crc32, decoded, parity) of every row; ``model_file`` must be readable on the executors."""
+    kind = documents.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
@@ -190,29 +225,19 @@ def encode(documents: DataFrame, model_file: str, threads: int = 2) -> DataFrame
             codec = codec or Codec(model_file)
             for part in slices(batch, 2 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = codec.encode_batch(texts)
-                want = codec.reference.encode(texts, num_threads=threads)
-                same = [len(a) == len(b) and bool((a == np.array(b, "<u4")).all()) for a, b in zip(ids, want)]
-                ids = [a if ok else np.array(b, "<u4") for a, b, ok in zip(ids, want, same)]
+                ids, same = codec.encode_batch(texts, threads)
                 decoded = codec.decode_batch(ids)
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(schema.field(0).type), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(same)], schema=schema)
+                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "ids_crc32", "decoded", "parity"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string, parity boolean")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, ids_crc32 long, decoded string, parity boolean")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
     """Counts and checksums of ids and decoded texts."""
-    def make():
-        def row(ids, decoded, parity):
-            return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(decoded.encode("utf-8", "surrogatepass")), parity
-
-        return row
-
-    return map_rows(encoded, ["ids", "decoded", "parity"], make, "n_ids long, ids_crc32 long, decoded_crc32 long, parity boolean", ["doc_id"])
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "parity")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,12 +148,16 @@ def test_genetic_steps_keep_every_item():
 
 def test_sentencepiece_parity(spark):
     model = P.path("piece_bpe_32k.model")
-    texts = [None, "", " ", "  a  b ", "▁▁x▁", "<s> </s> <0x41>", "emoji \U0001f600 中文\n\ttab", "word " * 20000]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, "a"])], "doc_id long, text string, ids string")
+    rng = random.Random(8)
+    texts = [None, "", " ", "  ", "  a  b ", "a ", " a", "▁▁x▁", "a▁ b", "<s> </s> <0x41>", "emoji \U0001f600 中文\n\ttab", "word " * 20000, "\x00 \x01"]
+    texts += ["".join(rng.choices("ab é▁ \n中<0x1>", k=rng.randint(1, 30))) for _ in range(300)]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     rows = {r["doc_id"]: r for r in sentencepiece_codec.encode(docs, model).collect()}
     codec = sentencepiece_codec.Codec(model)
     for i, t in enumerate(texts):
-        assert rows[i]["parity"] and rows[i]["ids"] == codec.reference.encode(t or "") and rows[i]["decoded"] == codec.reference.decode(rows[i]["ids"])
+        assert rows[i]["parity"] and rows[i]["ids"] == codec.reference.encode(t or ""), t
+        assert rows[i]["decoded"] == codec.reference.decode(rows[i]["ids"]) and rows[i]["ids_crc32"] == zlib.crc32(np.array(rows[i]["ids"], "<u4").tobytes())
     assert codec.decode_batch([np.array([codec.reference.piece_to_id("<0xFF>")])]) == [codec.tokenizer.decode([codec.reference.piece_to_id("<0xFF>")])]
     assert sentencepiece_codec.encode(docs.limit(0), model).count() == 0
     assert all(r["parity"] for r in sentencepiece_codec.op7_sentencepiece(spark, SF).collect())
