@@ -9,15 +9,16 @@ from .. import catalogs as C
 from ..functions import text as X
 from ..operators import advisories as A
 from ..operators import deps, health, scan, scoring, tech
+from .saved import saved
 
 
 def technologies(files: DataFrame, language_bytes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Languages, frameworks and project types."""
+    """Languages, frameworks and project types; the first two are small tables that are written once."""
     counts = tech.language_counts(files)
     if language_bytes is not None:
         counts = tech.merge_language_bytes(counts, language_bytes)
-    languages = tech.detect_languages(counts)
-    frameworks = tech.detect_frameworks(tech.match_frameworks(tech.all_deps(files)), tech.marker_frameworks(files), tech.hook_signal(tech.javascript_scripts(files)))
+    languages = saved(tech.detect_languages(counts))
+    frameworks = saved(tech.detect_frameworks(tech.match_frameworks(tech.all_deps(files)), tech.marker_frameworks(files), tech.hook_signal(tech.javascript_scripts(files))))
     return languages, frameworks, tech.classify_project_type(files, frameworks, languages)
 
 
@@ -49,6 +50,7 @@ def audit(
         g = g.select(*scan.FINDING[:1], F.struct(F.lit(i).alias("stage"), F.col("finding_pos").alias("pos")).alias("finding_pos"), *scan.FINDING[2:])
         findings = g if findings is None else findings.unionByName(g)
 
+    findings = saved(findings)  # scores, risk, counts and reports all read them; the scan of the texts runs once
     base = repos.select("repo_id")
     left = lambda df, other: df.join(other, "repo_id", "left")
     scores = left(left(left(left(base, scoring.security_score(findings)), health.maintenance_score(repos, findings, as_of)), docs), health.popularity_score(repos))

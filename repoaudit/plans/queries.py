@@ -455,7 +455,7 @@ def _archives(s: SparkSession, d: str) -> DataFrame:
 
     import pandas as pd
 
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         buffer = io.BytesIO()
         with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
             for path, content in zip(rows["path"], rows["content"]):
