@@ -14,6 +14,8 @@ from repoaudit.llm import common, language_id, packing, quality_classifier, secr
 
 #: Differing bits of near-duplicates' fingerprints.
 BITS = 6
+#: Jaccard similarity of five-word shingles from which texts are near-duplicates, however many bits they differ in.
+SIMILARITY = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near-duplicates, the document with the smallest id.
 
-    Shingles of five words and fingerprints within six of 64 bits, which is a similarity of about 0.9 and, by the spread of fingerprints, seldom
-    below 0.8; documents with a null id stay, of rows that repeat an id one stays.
+    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, each pair found by an exact join, and texts whose
+    fingerprints lie within six of 64 bits, which are seldom less alike; groups are whatever such links join. Documents with a null id stay, of rows
+    that repeat an id one stays.
     """
-    groups = simhash_dedup.near_duplicates(docs, n=5, limit=BITS)
+    groups = simhash_dedup.near_duplicates(docs, n=5, limit=BITS, least=SIMILARITY)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     # the join deals documents out by id, which the removal of repeated ids then uses
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])

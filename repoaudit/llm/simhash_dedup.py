@@ -29,22 +29,27 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingle_links
 from .common import map_rows, saved, table
 
 MAX_GROUP = 8192
 FANOUT, LEAF = 8, 16
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
-    """The signed 64-bit SimHash of one text."""
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words of one text, repeats included; none for a blank text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= n:
-        shingles = [b" ".join(words)]
+        runs = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(n))))
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+        runs = map(b" ".join, zip(*(words[k:] for k in range(n))))
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in runs], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of shingle hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         part = np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -53,6 +58,11 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str | None, n: int = 3) -> int:
+    """The signed 64-bit SimHash of one text."""
+    return majority(shingles(text, n))
+
+
 def fingerprints(documents: DataFrame, n: int = 3, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id if not given) with ``fp``, the SimHash as a signed long."""
     return map_rows(documents, ["text"], lambda: lambda text: (fingerprint(text, n),), "fp long", keep or ["doc_id"])
@@ -251,16 +261,42 @@ def components(edges: DataFrame) -> DataFrame:
         state = told
 
 
-def near_duplicates(documents: DataFrame, n: int = 3, limit: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: shingles of ``n`` words, links at ``limit`` or fewer differing bits."""
-    prints = saved(fingerprints(documents, n))
+def with_sets(documents: DataFrame, n: int, least: float) -> DataFrame:
+    """(doc_id, fp, sig, size, prefix) of every row: ``sig`` names its set of shingles, ``prefix`` are the shingles to look up."""
+    spark = documents.sparkSession
+    common, counts = shingle_links.common_shingles(documents, lambda text: shingles(text, n))
+    told = spark.sparkContext.broadcast((common, counts))
+
+    def row(text: str | None) -> tuple:
+        h = shingles(text, n)
+        s = np.unique(h)
+        first = shingle_links.ordered(s, *told.value)[: shingle_links.prefix(len(s), least)]
+        return majority(h), shingle_links.signature(s), len(s), first.view(np.int64).tolist()
+
+    return map_rows(documents, ["text"], lambda: row, "fp long, sig long, size int, prefix array<long>", ["doc_id"])
+
+
+def near_duplicates(documents: DataFrame, n: int = 3, limit: int = 2, least: float | None = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: shingles of ``n`` words, links at ``limit`` or fewer differing bits.
+
+    With ``least``, texts whose sets of shingles have this Jaccard similarity or more are linked too, however many bits they differ in.
+    """
+    prints = saved(fingerprints(documents, n) if least is None else with_sets(documents, n, least))
     classes = saved(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(links(classes, limit))
+    edges = links(classes, limit)
+    if least is not None:
+        named = saved(prints.where("doc_id IS NOT NULL").select("sig", "fp").distinct().join(classes, "fp").select("sig", "rep"))
+        reps = named.groupBy("sig").agg(F.min("rep").alias("low"))
+        equal = named.join(reps, "sig").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+        pairs = shingle_links.links(documents, prints, lambda text: shingles(text, n), least)
+        pairs = pairs.join(reps.select(F.col("sig").alias("a"), F.col("low").alias("x")), "a").join(reps.select(F.col("sig").alias("b"), F.col("low").alias("y")), "b")
+        edges = edges.unionByName(equal).unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    linked = components(edges)
     label = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(label, "fp", "left")
+    out = prints.select("doc_id", "fp").join(label, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(table(spark, sf_dir, "documents"), least=None)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

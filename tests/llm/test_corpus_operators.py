@@ -141,3 +141,33 @@ def test_pipeline_on_an_empty_table(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
+
+
+def test_pipeline_finds_every_near_copy(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    line = [word() for _ in range(12)]
+    texts = []
+    for k in range(60):
+        words = [word() for _ in range(200)] + line
+        for edits in range(k % 5 + 1):
+            copy = list(words)
+            for i in rng.sample(range(200), edits * 2):
+                copy[i] = word()
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    alike = [(a, b) for a in label for b in label[a + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    bits = {i: simhash_dedup.fingerprint(t, 5) & (1 << 64) - 1 for i, t in enumerate(texts)}
+    far = [p for p in alike if (bits[p[0]] ^ bits[p[1]]).bit_count() > corpus_pipeline.BITS]
+    assert len(far) > 20
+    near = [(a, b) for a in label for b in label[a + 1 :] if (bits[a] ^ bits[b]).bit_count() <= corpus_pipeline.BITS]
+    for _ in label:
+        for a, b in alike + near:
+            label[a] = label[b] = min(label[a], label[b])
+    for most, tile in ((64, 512), (2, 3)):  # pairs, then blocks of several tiles
+        monkeypatch.setattr(simhash_dedup.shingle_links, "MAX_LIST", most)
+        monkeypatch.setattr(simhash_dedup.shingle_links, "TILE", tile)
+        kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+        assert kept == set(label)
