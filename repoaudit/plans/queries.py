@@ -55,7 +55,15 @@ on_files(
     "f4_flag_truncated", lambda f: paths.flag_truncated(f, 3000).select("repo_id", "file_pos", "truncated", F.length("content").alias("n_chars")),
     "SELECT repo_id, file_pos, size > 3000 AS truncated, CASE WHEN size <= 3000 THEN length(content) END AS n_chars FROM files",
 )
-on_files("f5_decode_text", lambda f: paths.decode_text(f.withColumn("bytes", F.substring(F.col("content").cast("binary"), 1, 101))).select("repo_id", "file_pos", "content"))
+
+
+def _broken(f: DataFrame) -> DataFrame:
+    """Whole contents as bytes with a stray byte in front or a cut character behind."""
+    front, third = F.lit(b"\xff"), F.col("file_pos") % 3 == 0
+    return f.withColumn("bytes", F.when(third, F.concat(front, F.col("content").cast("binary"))).otherwise(F.concat(F.col("content").cast("binary"), F.lit(b"\xe2\x82"))))
+
+
+on_files("f5_decode_text", lambda f: paths.decode_text(_broken(f)).select("repo_id", "file_pos", "content"))
 on_files(
     "f6_cap_files", lambda f: paths.cap_files(f, 20).select("repo_id", "file_pos", "path", "total_seen", "cap_reached"),
     "SELECT repo_id, file_pos, path, total_seen, total_seen > 20 AS cap_reached FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_pos) AS k, count(*) OVER (PARTITION BY repo_id) AS total_seen FROM files) WHERE k <= 20",
@@ -166,6 +174,7 @@ WHERE NOT (marked AND (named = '' OR list_contains(list_transform(string_split(n
 _REDACTED = "CASE WHEN length({c}) <= 4 THEN repeat('*', length({c})) ELSE substr({c}, 1, 4) || repeat('*', greatest(8, length({c}) - 4)) END"
 add("m18_redact", lambda s, d: T.table(s, d, "documents").selectExpr("doc_id", "substring(text, 1, cast(doc_id % 30 as int)) AS secret").select("doc_id", X.redact("secret").alias("redacted")),
     f"SELECT doc_id, {_REDACTED.format(c='secret')} AS redacted FROM (SELECT doc_id, substr(text, 1, doc_id % 30) AS secret FROM documents)")
+add("m18_redact_whole", lambda s, d: T.table(s, d, "documents").select("doc_id", X.redact("text").alias("redacted")), f"SELECT doc_id, {_REDACTED.format(c='text')} AS redacted FROM documents")
 _DESCRIBED = f"CASE WHEN severity IN ('high', 'critical') OR redact THEN description || chr(10) || chr(10) || 'Matched value: `' || CASE WHEN redact THEN {_REDACTED.format(c='hit')} ELSE hit END || '`' ELSE description END"
 on_files("m19_describe", lambda f: scan.describe(scan.with_rules(scan.scan_matches(paths.scannable(f), C.pack("SEC")), C.pack("SEC"))).select("repo_id", "path", "rule_id", "line_number", "description"),
     f", kept AS (SELECT * FROM files WHERE {_SCANNABLE}), m AS ({_match_sql(C.pack('SEC'), 'content', 'kept')}), {_rules_sql(C.pack('SEC'))} SELECT repo_id, path, rule_id, line_number, {_DESCRIBED} AS description FROM m JOIN rules USING (rule)")

@@ -168,3 +168,20 @@ def test_sarif(spark):
 
 def test_registry():
     assert len(C.RULES) == 61 and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_redact_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["redacted"] for r in queries.QUERIES["m18_redact_whole"](spark, sf).collect()}
+    assert got == {k: None if t is None else "*" * len(t) if len(t) <= 4 else t[:4] + "*" * max(8, len(t) - 4) for k, t in texts.items()}
+    assert max(len(t or "") for t in got.values()) > 1000
+
+
+def test_decode_text_reads_whole_files(spark):
+    sf = "/root/testdata/sf0.001"
+    files = {(r["repo_id"], r["file_pos"]): r["content"] for r in queries.T.files(spark, sf).collect()}
+    got = {(r["repo_id"], r["file_pos"]): r["content"] for r in queries.QUERIES["f5_decode_text"](spark, sf).collect()}
+    broken = lambda pos, text: b"\xff" + text.encode() if pos % 3 == 0 else text.encode() + b"\xe2\x82"
+    assert got == {k: None if t is None else broken(k[1], t).decode("utf-8", "replace") for k, t in files.items()}
+    assert any(len(t or "") > 1000 for t in got.values())
