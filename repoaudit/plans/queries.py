@@ -374,6 +374,9 @@ def _risk(s: SparkSession, d: str) -> DataFrame:
 
 _FLAGS = ", flags AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, bool_or(event_type = 'purchase') AS critical, bool_or(event_type IN ('error', 'purchase') AND event_id % 6 < 2) AS grave FROM events WHERE event_id % 40 < 3 GROUP BY 1)"
 add("g3_risk_level", _risk, _BREAKDOWN + _FLAGS + " SELECT t.repo_id, CASE WHEN coalesce(critical, FALSE) THEN 'Critical' WHEN coalesce(grave, FALSE) OR trust < 45 THEN 'High' WHEN trust < 65 THEN 'Medium' ELSE 'Low' END AS risk FROM trusted t LEFT JOIN flags f USING (repo_id)")
+_ALL_FLAGS = ", flags AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, bool_or(event_type = 'purchase') AS critical, bool_or(event_type IN ('error', 'purchase') AND event_id % 6 < 2) AS grave FROM events GROUP BY 1)"
+add("g3_risk_level_all", lambda s, d: scoring.risk_level(scoring.trust_score(_breakdown(s, d)).select("repo_id", "trust"), _by_user(T.findings(s, d))),
+    _BREAKDOWN + _ALL_FLAGS + " SELECT t.repo_id, CASE WHEN coalesce(critical, FALSE) THEN 'Critical' WHEN coalesce(grave, FALSE) OR trust < 45 THEN 'High' WHEN trust < 65 THEN 'Medium' ELSE 'Low' END AS risk FROM trusted t LEFT JOIN flags f USING (repo_id)")
 _REC = [
     ("n_critical > 0", "Treat this repository as untrusted until its critical findings are resolved."), ("n_high > 0", "Inspect every HIGH finding before installing or building."), ("security < 60", "Review scripts and install hooks before running anything."),
     ("documentation < 50", "Ask the maintainer for setup and security guidance: documentation is thin."), ("maintenance < 50", "Maintenance is weak; consider a maintained fork or another project."),

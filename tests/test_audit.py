@@ -185,3 +185,17 @@ def test_decode_text_reads_whole_files(spark):
     broken = lambda pos, text: b"\xff" + text.encode() if pos % 3 == 0 else text.encode() + b"\xe2\x82"
     assert got == {k: None if t is None else broken(k[1], t).decode("utf-8", "replace") for k, t in files.items()}
     assert any(len(t or "") > 1000 for t in got.values())
+
+
+def test_risk_over_all_findings(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["repo_id"]: r["risk"] for r in queries.QUERIES["g3_risk_level_all"](spark, sf).collect()}
+    trust = {r["repo_id"]: r["trust"] for r in queries.QUERIES["g2_trust_score"](spark, sf).collect()}
+    critical, grave = set(), set()
+    for r in spark.read.parquet(f"{sf}/events.parquet").collect():
+        critical |= {str(r["user_id"])} if r["event_type"] == "purchase" else set()
+        grave |= {str(r["user_id"])} if r["event_type"] in ("error", "purchase") and r["event_id"] % 6 < 2 else set()
+    want = {k: "Critical" if k in critical else "High" if k in grave or t < 45 else "Medium" if t < 65 else "Low" for k, t in trust.items()}
+    assert got == want and "Critical" in want.values()
+    part = {r["repo_id"]: r["risk"] for r in queries.QUERIES["g3_risk_level"](spark, sf).collect()}
+    assert sum(part[k] != "Critical" for k in want if want[k] == "Critical") > 0
