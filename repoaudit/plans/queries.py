@@ -216,6 +216,7 @@ for _d, _fn, _k in (("d2_requirements", deps.parse_requirements, "requirements")
     on_locks(_d, _fn, _PIN[_k])
 on_locks("d7_package_lock_v1", deps.parse_package_lock_v1)
 on_files("d11_extract_versions", lambda f: deps.extract_versions(f.where("path <> 'legacy/package-lock.json'")).select("repo_id", "ecosystem", "name", "version", "source"), ", pins AS (" + " UNION ALL ".join(_PIN.values()) + ") SELECT repo_id, ecosystem, name, version, arg_min(source, file_pos) AS source FROM pins GROUP BY repo_id, ecosystem, name, version")
+on_files("d11_extract_versions_all", lambda f: deps.extract_versions(f).select("repo_id", "ecosystem", "name", "version", "source"))
 _HITS = f"WITH {T.DEPS_SQL}, {T.ADVISORIES_SQL}, hits AS (SELECT d.repo_id, d.dep_pos, ecosystem, name, version, source, vuln_id, vuln_pos FROM (SELECT * FROM dep_versions QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY dep_pos) <= 1000) d JOIN advisories USING (ecosystem, name, version))"
 _ENRICHED = ", seen AS (SELECT repo_id, vuln_id, row_number() OVER (PARTITION BY repo_id ORDER BY first_at, vuln_id) AS k FROM (SELECT repo_id, vuln_id, min({'a': dep_pos, 'b': vuln_pos}) AS first_at FROM hits GROUP BY ALL)), enriched AS (SELECT h.*, w.summary, w.details, w.severity_label FROM hits h LEFT JOIN (SELECT repo_id, vuln_id, summary, details, severity_label FROM seen JOIN advisory_details USING (vuln_id) WHERE k <= 100) w USING (repo_id, vuln_id))"
 

@@ -199,3 +199,12 @@ def test_risk_over_all_findings(spark):
     assert got == want and "Critical" in want.values()
     part = {r["repo_id"]: r["risk"] for r in queries.QUERIES["g3_risk_level"](spark, sf).collect()}
     assert sum(part[k] != "Critical" for k in want if want[k] == "Critical") > 0
+
+
+def test_extract_versions_of_all_lockfiles(spark):
+    sf = "/root/testdata/sf0.001"
+    run = lambda q: {tuple(r) for r in queries.QUERIES[q](spark, sf).collect()}
+    got, part = run("d11_extract_versions_all"), run("d11_extract_versions")
+    trees = {r["repo_id"] for r in queries.T.files(spark, sf).where("path = 'legacy/package-lock.json' AND content <> ''").collect()}
+    want = {(repo, "npm", name, version, "legacy/package-lock.json") for repo in trees for name, version in (("x", "1.1.0"), ("y", "2.2.0"))}
+    assert trees and got == part | want and not want & part
