@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,20 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared checkpoint folder, so a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a local one is made.
-    """
+    """``df`` written once to the cluster's shared checkpoint folder, so a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one is set only where the session names none (tests)."""
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return context.getCheckpointDir().get()
+    """The session's checkpoint folder, ``spark.checkpoint.dir``.
+
+    Where the session names none, a local folder is set if Spark runs in this one process (tests); on a cluster that is an error, as executors
+    would write where neither the driver nor other executors can read.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return context.getCheckpointDir()
+
+
+def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` are at most ``most``, else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def id_crc32(doc_id: Column) -> Column:
@@ -72,27 +82,44 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...,
     return df.select(*used).mapInArrow(run, out)
 
 
-def labelled_sample(examples: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` rows of ``examples`` (doc_id, label), as evenly over the labels as they allow, with the
-    ``weight`` (rows of its label that each stands for).
+def labelled_sample(examples: DataFrame, label: str, max_rows: int, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """About ``max_rows`` rows of ``examples``, as evenly over the values of ``label`` as they allow, with the ``weight`` (rows of its
+    label that each stands for).
 
-    Takes the rows whose id hash lies under a bound set per label from its exact count: no sort, no skewed window,
-    and the same rows at every partitioning. The labels themselves must be few (64 at most).
+    Every label gives up to a level L of rows, the greatest with sum(min(rows of label, L)) <= ``max_rows``. L is found from sums over the table
+    of counts, and the shares are joined to the rows, so any number of labels will do; labels beyond ``max_rows`` share it by chance.
+    A row is taken if the hash of its ``by`` columns lies under its label's share: no sort, no window, the same rows at every partitioning.
     """
-    counts = {r[0]: r[1] for r in examples.groupBy(label).count().limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("more than 64 labels")
-    if not counts:
-        return examples.limit(0).withColumn("weight", F.lit(1.0))
-    left, todo, share = max_rows, len(counts), {}
-    for value, n in sorted(counts.items(), key=lambda x: (x[1], str(x[0]))):
-        share[value] = min(1.0, left / todo / n)
-        left, todo = left - min(n, left // todo), todo - 1
-    part = F.lit(0.0)
-    for value, p in share.items():
-        part = F.when(F.col(label) == F.lit(value), F.lit(p)).otherwise(part)
-    hashed = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1 << 30))
-    return examples.withColumn("weight", 1 / part).where(hashed < part * (1 << 30))
+    counts = saved(examples.groupBy(label).agg(F.count("*").alias("n")))
+    n_labels = counts.count()
+    level = max_rows / max(1, n_labels) if n_labels >= max_rows else _level(counts, max_rows)
+    shares = counts.select(F.col(label).alias("of_label"), F.least(F.lit(1.0), F.lit(float(level)) / F.col("n")).alias("share"))
+    hashed = F.pmod(F.xxhash64(F.lit("train"), *by), F.lit(1 << 30))
+    taken = examples.join(broadcast_if(shares, n_labels, 100_000), examples[label] == F.col("of_label")).where(hashed < F.col("share") * (1 << 30))
+    return taken.withColumn("weight", 1 / F.col("share")).drop("of_label", "share")
+
+
+def _level(counts: DataFrame, max_rows: int) -> int:
+    """The greatest whole L with sum(min(n, L)) <= ``max_rows``: 64 candidates at a time, each a sum over the counts."""
+    low, high = 0, max_rows
+    while low < high:
+        step = -(-(high - low) // 64)
+        tried = list(range(low + step, high + step, step))
+        sums = counts.agg(*(F.sum(F.least("n", F.lit(x))) for x in tried)).first()
+        fit = [x for x, s in zip(tried, sums) if (s or 0) <= max_rows]
+        low, high = max([low, *fit]), min([high, *(x - 1 for x in tried if x not in fit)])
+    return low
+
+
+def bounded(rows: DataFrame, n: str, most: int) -> DataFrame:
+    """``rows`` (with ``weight``) whose numbers ``n`` add up to about ``most`` at most: all, or those under a hash bound that thins them evenly."""
+    rows = saved(rows)
+    total = rows.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if total <= most:
+        return rows
+    share = most / total
+    hashed = F.pmod(F.xxhash64(F.lit("thin"), "doc_id"), F.lit(1 << 30))
+    return rows.where(hashed < share * (1 << 30)).withColumn("weight", F.col("weight") / share)
 
 
 def keep_rows(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame], condition: str) -> DataFrame:
@@ -100,7 +127,14 @@ def keep_rows(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame
 
     All columns go along in one struct, so none can clash with what the judge adds.
     """
-    names = docs.columns
-    packed = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("own_row"))
-    kept = judge(packed, ["own_row"]).where(condition)
-    return kept.select(*(F.col(f"own_row.c{i}").alias(c) for i, c in enumerate(names)))
+    kept = judge(docs.select(F.col("text"), packed(docs)), ["own_row"]).where(condition)
+    return unpacked(kept, docs.columns)
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``own_row``, whose fields can't clash with other columns."""
+    return F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("own_row")
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"own_row.c{i}").alias(c) for i, c in enumerate(names)))

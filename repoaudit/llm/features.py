@@ -1,6 +1,6 @@
-"""Hashed n-gram features of whole texts, computed with numpy over the UTF-8 bytes.
+"""Hashed n-gram features of whole texts, computed with numpy over their code points.
 
-Words are runs of bytes outside space and 0x09-0x0D. Every hash is taken modulo 2**64, so equal n-grams get equal
+Words are runs of characters outside space and 0x09-0x0D. Every hash is taken modulo 2**64, so equal n-grams get equal
 hashes in any text and on any executor.
 """
 
@@ -32,35 +32,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def text_bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def points(text: str | None) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def word_spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word."""
-    if not len(b):
+    if not len(c):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = np.empty(len(b) + 2, np.bool_)
+    inside = np.empty(len(c) + 2, np.bool_)
     inside[0] = inside[-1] = False
-    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    inside[1:-1] = (c != 32) & ((c < 9) | (c > 13))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 
 
-def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each span of bytes, from prefix sums of a polynomial."""
-    p, q = _tables(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=total[1:])
+def span_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each span of characters, from prefix sums of a polynomial."""
+    p, q = _tables(len(c) + 1)
+    total = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum((c.astype(np.uint64) + np.uint64(1)) * p[: len(c)], out=total[1:])
     return mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
 
 
-def byte_ngrams(b: np.ndarray, n: int) -> np.ndarray:
-    if len(b) < n:
+def char_ngrams(c: np.ndarray, n: int) -> np.ndarray:
+    if len(c) < n:
         return np.empty(0, np.uint64)
-    h = np.full(len(b) - n + 1, n, np.uint64)
+    h = np.full(len(c) - n + 1, n, np.uint64)
     for k in range(n):
-        h = h * np.uint64(257) + b[k : len(b) - n + 1 + k]
+        h = h * np.uint64(0x110003) + c[k : len(c) - n + 1 + k]
     return mix(h * _P)
 
 
@@ -76,16 +77,12 @@ def distinct(idx: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def grams(text: str | None, bits: int, sizes: tuple[int, ...], words: bool) -> np.ndarray:
-    """Buckets, with repeats, of byte n-grams of the ``sizes``, and of words and pairs of neighbouring words."""
-    b = text_bytes(text)
-    parts = [bucket(byte_ngrams(b, n), bits) for n in sizes]
+    """Buckets, with repeats, of character n-grams of the ``sizes``, and of words and pairs of neighbouring words."""
+    c = points(text)
+    parts = [bucket(char_ngrams(c, n), bits) for n in sizes]
     if words:
-        s, e = word_spans(b)
-        w = span_hashes(b, s, e)
+        w = span_hashes(c, *word_spans(c))
         parts += [bucket(w, bits), bucket(mix(w[:-1] * np.uint64(3) + w[1:]), bits)]
-        # pairs of one word with itself back off to a common pair, an indicator for each power of two of their number
-        levels = int(np.count_nonzero(w[1:] == w[:-1])).bit_length()
-        parts.append(bucket(mix(np.arange(1, levels + 1, dtype=np.uint64) * _P), bits))
     return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 

@@ -1,12 +1,13 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent.
 
-A text is the mean of the embeddings of its byte 2- to 4-grams, each hashed to one of 2**BITS rows; a linear layer and a
+A text is the mean of the embeddings of its character 2- to 4-grams, each hashed to one of 2**BITS rows; a linear layer and a
 softmax follow. Embeddings and layer are trained in numpy on a bounded sample of rows with a known language (about ``max_rows``, chosen by id
-hash, evenly by language). A held-back part of that sample sets the softmax temperature and the least probability that is
-accepted. For scoring, embeddings and layer are multiplied once, so a text costs one table look-up per n-gram.
+hash, evenly by language, of at most about ``MAX_FEATURES`` n-grams together). A third of that sample is held back: it sets the softmax temperature and the least
+probability that is accepted, below which a share of ``LOST`` of its rightly predicted rows lies. For scoring, embeddings and layer are multiplied
+once, so a text costs one table look-up per n-gram. There may be any number of languages; those with few rows give all of them.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and not accepted; rows with a null id or language are
-predicted and never learnt from; repeated rows are predicted each; with no row to learn from every text is ``und``; other
+predicted and never learnt from; repeated rows are predicted each and learnt from once; with no row to learn from every text is ``und``; other
 columns of the input are not read.
 """
 
@@ -19,15 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as X
-from .common import id_crc32, labelled_sample, map_rows, table
+from .common import bounded, id_crc32, labelled_sample, map_rows, table
 
 BITS = 15
 SIZES = (2, 3, 4)
 DIM = 16
-MAX_ROWS = 2400
+MAX_ROWS = 3000
+#: Eight bytes each come to the driver.
+MAX_FEATURES = 8_000_000
 UNKNOWN = "und"
 #: Share of rightly predicted held-back rows that the rejection may lose, and the highest bound it may set.
-LOST, MOST = 0.001, 0.5
+LOST, MOST = 0.004, 0.9
+HELD = 3
 
 
 @dataclass(frozen=True)
@@ -45,18 +49,18 @@ def has_letter(text: str | None) -> bool:
 
 def _rows(documents: DataFrame, max_rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     known = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (id_crc32(F.col("doc_id")) % 4 != 2))
-    ids = labelled_sample(known.select("doc_id", "lang"), "lang", max_rows).select("doc_id").distinct()
-    # about max_rows numbers by construction, so the broadcast is bounded
-    docs = known.select("doc_id", "lang", "text").join(F.broadcast(ids.limit(2 * max_rows)), "doc_id").dropDuplicates(["doc_id"])
+    sample = labelled_sample(known.select("doc_id", "lang", F.xxhash64("text").alias("th"), "text"), "lang", max_rows, ("doc_id", "th"))
+    docs = sample.groupBy("doc_id", "lang", "th", "weight").agg(F.first("text").alias("text"))
 
     def make():
         def row(text):
             idx, n = np.unique(X.grams(text, BITS, SIZES, False), return_counts=True)
-            return idx.astype("<i4").tobytes(), n.astype("<f4").tobytes(), has_letter(text)
+            return len(idx), idx.astype("<i4").tobytes(), n.astype("<f4").tobytes(), has_letter(text)
 
         return row
 
-    got = sorted(map_rows(docs, ["text"], make, "idx binary, n binary, letters boolean", ["doc_id", "lang"]).where("letters").collect())
+    rows = map_rows(docs, ["text"], make, "size long, idx binary, n binary, letters boolean", ["doc_id", "lang", "th", "weight"]).where("letters AND size > 0")
+    got = sorted(bounded(rows, "size", MAX_FEATURES).select("doc_id", "th", "lang", "idx", "n").collect())
     return [(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in got]
 
 
@@ -68,7 +72,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
     E = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM))
     W, bias = np.zeros((DIM, len(languages))), np.zeros(len(languages))
     y = np.array([languages.index(r[0]) for r in rows])
-    train = [i for i in range(len(rows)) if i % 5] or list(range(len(rows)))
+    train = [i for i in range(len(rows)) if i % HELD] or list(range(len(rows)))
     total = epochs * len(train)
     done = 0
     for _ in range(epochs):
@@ -89,12 +93,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
             E[idx] -= step * np.outer(share * min(len(idx), 200), back)
             done += 1
     P = (E @ W).astype(np.float32)
-    held = [i for i in range(len(rows)) if i % 5 == 0] or train
+    held = [i for i in range(len(rows)) if i % HELD == 0] or train
     z = np.array([(rows[i][2] / rows[i][2].sum()) @ P[rows[i][1]] + bias for i in held])
     best = min((float(_loss(z / t, y[held])), t) for t in (0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0))[1]
     top = _softmax(z / best)
     right = np.sort(top.max(1)[top.argmax(1) == y[held]])
-    bound = float(right[int(LOST * len(right))]) - 0.05 if len(right) else 0.0
+    bound = float(right[int(LOST * len(right))]) if len(right) else 0.0
     return Model(languages, P, bias, best, max(0.0, min(MOST, bound)))
 
 

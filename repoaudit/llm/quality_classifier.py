@@ -1,15 +1,16 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Byte n-gram and word n-gram indicators, hashed to a fixed number of buckets, are scaled by class log-count ratios; a
+Character n-gram and word n-gram indicators, hashed to a fixed number of buckets, are scaled by class log-count ratios; a
 linear hinge-loss model is then fitted to the scaled, length-normalised indicators by dual coordinate descent, and
 its margins are turned into probabilities by a logistic curve fitted on out-of-fold margins.
 
-Fitting uses at most about ``max_rows`` labelled rows (a documented bound, chosen by id hash, evenly by class); the log-count
-ratios are those of that sample. Scoring streams every whole text once, without a shuffle.
+Fitting uses at most about ``max_rows`` labelled rows (a documented bound, chosen by id hash, evenly by class) of at most about ``MAX_FEATURES``
+indicators together (a second bound, which thins the rows where texts are long); the log-count ratios are those of that sample. Scoring
+streams every whole text once, without a shuffle.
 
 Defined cases: a null or empty text has no indicator and scores by the offset alone; rows with a null id are scored and
-never learnt from; repeated rows are scored each; if several labels name one id, the greatest counts; without labels of
-both classes the score is 0.5 for every row; other columns of the input are not read.
+never learnt from; repeated rows are scored each; if several labels name one id, the greatest counts, and if several texts have one id, the one of
+least hash is learnt from; without labels of both classes the score is 0.5 for every row; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as X
-from .common import id_crc32, labelled_sample, map_rows, table
+from .common import bounded, broadcast_if, id_crc32, labelled_sample, map_rows, saved, table
 
 BITS = 18
 SIZES = (2, 3, 4)
 MAX_ROWS = 3000
+#: Four bytes each come to the driver.
+MAX_FEATURES = 16_000_000
 THRESHOLD = 0.3
 DAMPING = 25.0
 
@@ -47,17 +50,25 @@ def labelled(labels: DataFrame, label: str, drop_mod: int | None = 5) -> DataFra
     return rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
 
 
-def sparse_rows(documents: DataFrame, examples: DataFrame, max_rows: int, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def sparse_rows(
+    documents: DataFrame, examples: DataFrame, max_rows: int, bits: int = BITS, sizes: tuple[int, ...] = SIZES, max_features: int = MAX_FEATURES
+) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct buckets, label and weight of a bounded sample of labelled documents; the texts stay on the executors."""
-    sample = labelled_sample(examples, "y", max_rows)
-    # about max_rows pairs of numbers by construction, so the broadcast is bounded
-    docs = documents.select("doc_id", "text").join(F.broadcast(sample.limit(2 * max_rows)), "doc_id").dropDuplicates(["doc_id"])
+    sample = saved(labelled_sample(examples, "y", max_rows))
+    docs = documents.select("doc_id", "text").join(broadcast_if(sample, sample.count(), 100_000), "doc_id")
+    docs = docs.groupBy("doc_id", "y", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make():
         seen = np.zeros(1 << bits, np.int32)
-        return lambda text: (np.sort(X.distinct(X.grams(text, bits, sizes, True), seen)).astype("<i4").tobytes(),)
 
-    got = sorted(map_rows(docs, ["text"], make, "idx binary", ["doc_id", "y", "weight"]).collect())
+        def row(text):
+            idx = np.sort(X.distinct(X.grams(text, bits, sizes, True), seen)).astype("<i4")
+            return len(idx), idx.tobytes()
+
+        return row
+
+    rows = bounded(map_rows(docs, ["text"], make, "n long, idx binary", ["doc_id", "y", "weight"]), "n", max_features)
+    got = sorted(rows.collect())
     return [np.frombuffer(r["idx"], "<i4") for r in got], np.array([r["y"] for r in got], np.int32), np.array([r["weight"] for r in got])
 
 

@@ -1,8 +1,8 @@
 """Quality rules: exact text statistics with fixed limits, and a hashed n-gram logistic regression beside them.
 
-The regression reads indicators of byte 2- to 4-grams, words and pairs of words, hashed to a fixed number of buckets. It is
+The regression reads indicators of character 2- to 4-grams, words and pairs of words, hashed to a fixed number of buckets. It is
 fitted by adaptive stochastic gradient steps to a bounded sample of labelled rows (``max_rows``, evenly by class), calibrated by a
-logistic curve on out-of-fold margins, and scored in Arrow batches against the fixed ``KEEP_AT``.
+logistic curve on out-of-fold margins, and scored in Arrow batches against the fixed ``KEEP_AT``. The sample's bounds are those of the quality classifier.
 
 Defined cases: a null text has no words, like an empty one, and so fails the word minimum; repeated rows are judged each;
 rows with null ids are judged and never learnt from; without labels of both classes the regression keeps every document;
@@ -30,25 +30,23 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 DAMPING = 60.0
 
-_IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
+_IS_SYMBOL = np.isin(np.arange(128), np.frombuffer(SYMBOLS, np.uint8))
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
-    b = X.text_bytes(text)
-    start, end = X.word_spans(b)
+    c = X.points(text)
+    start, end = X.word_spans(c)
     n = len(start)
-    lead = np.zeros(len(b) + 1, np.int64)
-    np.cumsum((b & 0xC0) != 0x80, out=lead[1:])  # code points begun before each byte
-    chars = int((lead[end] - lead[start]).sum())
-    symbols = int(np.count_nonzero(_IS_SYMBOL[b]))
+    chars = int((end - start).sum())
+    symbols = int(np.count_nonzero(_IS_SYMBOL[c[c < 128]]))
     seen: set[str] = set()
     dup = 0
     for line in (text or "").split("\n"):
         if line.strip(" \t\n\x0b\x0c\r"):
             dup += line in seen
             seen.add(line)
-    return n, chars, symbols, dup, _repeated(X.span_hashes(b, start, end))
+    return n, chars, symbols, dup, _repeated(X.span_hashes(c, start, end))
 
 
 def _repeated(words: np.ndarray) -> int:
@@ -118,7 +116,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, folds: int =
 
 
 def judge(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id if not given) with the statistics, base_failed, probability and kept."""
+    """``keep`` columns (doc_id if not given) with the statistics, base_failed, kept and probability."""
 
     def make():
         seen = np.zeros(1 << BITS, np.int32)
@@ -129,11 +127,11 @@ def judge(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
             failed = s[0] < MIN_WORDS or 100 * s[4] > MAX_REPEATED_PERCENT * s[0]
             idx = X.distinct(X.grams(text, BITS, SIZES, True), seen)
             p = X.sigmoid(model.slope * (float(weights[idx].sum()) * _size(len(idx)) + model.bias) + model.offset) if model.fitted else 1.0
-            return *s, failed, p, not failed and p >= KEEP_AT
+            return *s, failed, not failed and p >= KEEP_AT, p
 
         return row
 
-    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
+    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
     return map_rows(documents, ["text"], make, schema, keep or ["doc_id"])
 
 

@@ -1,10 +1,11 @@
-"""Links of all texts whose shingle sets have a Jaccard similarity of ``least`` or more.
+"""Links of texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
 
-Two such sets share one of the first ``size - ceil(least * size) + 1`` shingles of each, in any order of all shingles that both follow
-(prefix filter). The order puts rare shingles first, by their counts in a sample of texts; the sample decides only how many
-candidates there are, never which pairs are found. Texts that share such a shingle are candidates. A shingle of at most
-``MAX_LIST`` texts gives their pairs; longer lists are joined to blocks, and a block is cut into tiles of which each pair is one
-task's product of set matrices. Every candidate is then compared by its whole set.
+Candidates come from MinHash bands: ``ROWS`` minima of a set make one band's key, and there are so many bands that two sets at ``least`` share no key with
+a probability of ``MISSED`` only (less for sets that are more alike). Sets of one key are a group, whose links ``graph.group_links`` finds without
+comparing each with each. A pair is a link only if its whole sets, not their sketches, are at ``least`` or more.
+
+Where rows of a group must be compared each with each, a parity bitmap of each set rules out pairs first: two bitmaps differ in at most as many bits as
+the sets differ in shingles, so no link is lost there.
 """
 
 from __future__ import annotations
@@ -18,24 +19,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved
+from .common import broadcast_if, map_rows, saved
+from .features import mix
+from .graph import group_links, groups_of
+
+ROWS, MISSED = 5, 1e-5
+
 
-MAX_LIST, TILE = 64, 512
-#: Texts whose shingles are counted for the order.
-SAMPLE = 8000
+def n_bands(least: float) -> int:
+    return math.ceil(math.log(MISSED) / math.log(1 - least**ROWS)) if least < 1 else 1
 
 
-def ordered(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``shingles`` with those not in ``common`` (sorted) first, the others by their counts."""
-    if not len(common):
-        return shingles
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    return shingles[np.lexsort((shingles, np.where(common[at] == shingles, counts[at], 0)))]
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(23)
+    draw = lambda: rng.integers(0, 1 << 63, (n, 1), dtype=np.uint64) * np.uint64(2)
+    return draw(), draw() + np.uint64(1)
 
 
-def prefix(size: int, least: float) -> int:
-    """How many shingles of a set of ``size`` must be looked up."""
-    return size - math.ceil(least * size - 1e-9) + 1
+def bands(shingles: np.ndarray, least: float) -> np.ndarray:
+    """The band keys (signed) of a set of shingle hashes; none for an empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    n = n_bands(least)
+    turn, odd = _permutations(n * ROWS)
+    low = np.full(n * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 256):
+        np.minimum(low, ((shingles[None, at : at + 256] ^ turn) * odd).min(axis=1), out=low)
+    low, key = mix(low).reshape(n, ROWS), np.arange(1, n + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix(key * np.uint64(3) + low[:, k])
+    return key.view(np.int64)
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -43,136 +56,81 @@ def signature(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
 
 
-def common_shingles(documents: DataFrame, shingled: Callable[[str | None], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of two or more texts of the sample, sorted, and in how many they are."""
-    share = SAMPLE / max(SAMPLE, documents.count())
-    some = documents.where(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text").distinct()
-    each = map_rows(some, ["text"], lambda: lambda text: (np.unique(shingled(text)).view(np.int64).tolist(),), "s array<long>", [])
-    found = each.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").toArrow()
-    values, counts = found.column("s").to_numpy().view(np.uint64), found.column("count").to_numpy()
-    by = np.argsort(values)
-    return values[by], counts[by]
-
-
-def _candidates(least: float):
-    """(a, b, crowd) from rows sorted by shingle: pairs of sets of like size, or of crowded shingles each set with the first one."""
-
-    def runs(s: np.ndarray, sig: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        length = np.diff(np.append(starts, len(s)))
-        first, length = np.repeat(starts, length), np.repeat(length, length)
-        at = np.flatnonzero((length > MAX_LIST) & (np.arange(len(s)) > first))
-        found = [(sig[first[at]], sig[at], True)]
-        i = np.flatnonzero((length > 1) & (length <= MAX_LIST))
-        for d in range(1, MAX_LIST):
-            i = i[i + d < first[i] + length[i]]
-            if not len(i):
-                break
-            ok = i[np.minimum(size[i], size[i + d]) >= least * np.maximum(size[i], size[i + d]) - 1e-9]
-            found.append((sig[ok], sig[ok + d], False))
-        for a, b, crowd in found:
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], crowd))], names=["a", "b", "crowd"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 3
-        for batch in batches:
-            rest = [np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("s", "sig", "size"))]
-            if len(rest[0]) < 1 << 17:
-                continue
-            end = np.searchsorted(rest[0], rest[0][-1])  # the last shingle may go on
-            yield from runs(*(r[:end] for r in rest)) if end else ()
-            rest = [r[end:] for r in rest]
-        if len(rest[0]):
-            yield from runs(*rest)
-
-    return run
-
-
-def block_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of ``sets`` at ``least`` or more."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[value] > 1
-    column = np.cumsum(count > 1) - 1
-    owner, value = owner[shared], column[value[shared]]
-    by = np.argsort(value, kind="stable")
-    owner, value = owner[by], value[by]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(value[-1]) + 1 if len(value) else 0, 4096):
-        part = slice(*np.searchsorted(value, (low, low + 4096)))
-        x = np.zeros((len(sets), 4096), np.float32)
-        x[owner[part], value[part] - low] = 1
-        both += x @ x.T
-    alike = both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-4
-    return np.nonzero(np.triu(alike, 1))
-
-
-def _block_tasks(least: float):
-    """Links within the rows of each (block, tile), which come sorted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .simhash_dedup import local_components
-
-        def links(sigs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            label = local_components(len(sigs), iter([block_links(sets, least)]))
-            own, sig = np.flatnonzero(label != np.arange(len(sigs))), np.array(sigs, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(sig[own]), pa.array(sig[label[own]])], names=["a", "b"])
-
-        key, sigs, sets = None, [], []
-        for batch in batches:
-            for block, tile, sig, s in zip(*(batch.column(c).to_pylist() for c in ("block", "tile", "sig", "s"))):
-                if key != (block, tile) and sigs:
-                    yield links(sigs, sets)
-                    sigs, sets = [], []
-                key = block, tile
-                sigs.append(sig)
-                sets.append(np.frombuffer(s, np.uint64))
-        if sigs:
-            yield links(sigs, sets)
-
-    return run
-
-
-def _alike(least: float):
-    def row(a: bytes, b: bytes) -> tuple[bool]:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return (both >= least * (len(x) + len(y) - both) - 1e-9,)
-
-    return row
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of a power of two of bits, as many as shingles at least and 256, whether an odd number of shingles falls on it."""
+    width = max(256, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 256
+    odd = np.bincount((mix(shingles) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmaps (rows) at a smaller width."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def may_link(sizes: np.ndarray, bits: list[np.ndarray], group: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of different groups that size and parity don't rule out, in batches."""
+    words = np.array([len(b) for b in bits])
+    most = (1 - least) / (1 + least)  # of both sizes, that the sets may differ in
+    for w in np.unique(words):
+        own, wider = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        all_ = np.concatenate([own, wider])
+        flat = np.stack([bits[i] for i in own])
+        if len(wider):
+            flat = np.concatenate([flat, folded(np.stack([bits[i] for i in wider]), int(w))])
+        step = max(1, (1 << 21) // (len(all_) * int(w)))
+        for at in range(0, len(own), step):
+            q = own[at : at + step]
+            ok = (group[q][:, None] != group[all_][None]) & (np.arange(len(all_))[None] > np.arange(at, at + len(q))[:, None])
+            a, b = sizes[q][:, None], sizes[all_][None]
+            ok &= np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+            differ = np.bitwise_count(flat[at : at + len(q), None, :] ^ flat[None]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero(ok & (differ <= most * (a + b) + 1e-9))
+            if len(i):
+                yield q[i], all_[j]
 
 
 def links(documents: DataFrame, prints: DataFrame, shingled: Callable[[str | None], np.ndarray], least: float) -> DataFrame:
-    """(a, b) by signature: links that join all sets at ``least`` or more; ``prints`` has doc_id, sig, size and prefix of every row."""
-    from .simhash_dedup import components
-
-    one = prints.where("doc_id IS NOT NULL").select("sig", "size", "prefix").dropDuplicates(["sig"])
-    postings = one.select(F.explode("prefix").alias("s"), "sig", F.col("size").cast("long").alias("size"))
-    found = postings.repartition("s").sortWithinPartitions("s").mapInArrow(_candidates(least), "a long, b long, crowd boolean")
-    found = saved(found.distinct())
-    pairs = found.where("NOT crowd").select("a", "b")
-    nodes = found.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = saved(prints.where("doc_id IS NOT NULL").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    hint = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
-
-    def whole(text: str | None) -> tuple[int, bytes]:
+    """(a, b) by signature: links that join all sets at ``least`` or more.
+
+    ``documents`` has doc_id, th and text of each row, ``prints`` doc_id, th, sig, size and bands.
+    """
+    keyed = prints.select(F.explode("bands").alias("key"), "sig", "size")
+    groups = saved(keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key"))
+    members = saved(keyed.join(broadcast_if(groups, groups.count(), 1 << 18), "key").select("key", F.col("sig").alias("node"), "size").distinct())
+    nodes = members.select(F.col("node").alias("sig")).distinct()
+    # one row for each set: its texts are alike, so any of them will do
+    wanted = saved(prints.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("at.doc_id", "at.th").distinct())
+
+    def whole(text: str | None) -> tuple:
         s = np.unique(shingled(text))
-        return signature(s), s.tobytes()
-
-    sets = map_rows(documents.join(hint, "doc_id", "left_semi"), ["text"], lambda: whole, "sig long, s binary", [])
-    sets = saved(sets.dropDuplicates(["sig"]))
-    left, right = (sets.select(F.col("sig").alias(c), F.col("s").alias(f"{c}_set")) for c in "ab")
-    out = map_rows(pairs.join(left, "a").join(right, "b"), ["a_set", "b_set"], lambda: _alike(least), "alike boolean", ["a", "b"]).where("alike").select("a", "b")
-    crowded = found.where("crowd").select("a", "b")
-    if crowded.isEmpty():
-        return out
-    found = saved(components(crowded).select(F.col("node").alias("sig"), F.col("component").alias("block")))
-    blocks = found.unionByName(found.select(F.col("block").alias("sig"), "block").distinct())  # a smallest node has no row of its own
-    tiles = blocks.groupBy("block").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    dealt = blocks.join(tiles, "block").withColumn("own", F.pmod(F.xxhash64("sig"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = dealt.select("block", (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"), "sig").join(sets, "sig")
-    in_blocks = dealt.repartition("block", "tile").sortWithinPartitions("block", "tile").mapInArrow(_block_tasks(least), "a long, b long")
-    return out.unionByName(in_blocks)
+        return signature(s), len(s), s.tobytes(), parity(s).tobytes()
+
+    hint = broadcast_if(wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")), wanted.count(), 1 << 18)
+    texts = documents.join(hint, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
+    sets = saved(map_rows(texts, ["text"], lambda: whole, "sig long, size int, s binary, parity binary", []).dropDuplicates(["sig"]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda c: sets.select(F.col("sig").alias(c), F.col("size").alias(f"{c}_size"), F.col("s").alias(f"{c}_set"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-9)
+
+        def alike(a: bytes, b: bytes) -> tuple[bool]:
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            return (shared >= least * (len(x) + len(y) - shared) - 1e-9,)
+
+        return map_rows(both, ["a_set", "b_set"], lambda: alike, "alike boolean", ["a", "b"]).where("alike").select("a", "b")
+
+    def compare(rows: DataFrame) -> DataFrame:
+        rows = rows.join(sets.select(F.col("sig").alias("node"), "size", "parity"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in groups_of(batches, ("key", "tile")):
+                node, group, size = (t.column(c).to_numpy() for c in ("node", "component", "size"))
+                bits = [np.frombuffer(x, np.uint64) for x in t.column("parity").to_pylist()]
+                for i, j in may_link(size.astype(np.int64), bits, group, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+        return verify(saved(rows.mapInArrow(run, "a long, b long").distinct()))
+
+    return group_links(members.select("key", "node"), verify, compare)

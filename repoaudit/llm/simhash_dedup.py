@@ -9,13 +9,15 @@ those on the bits that a node newly shares, and drops the whole group once they
 
 Leading blocks shared by more than ``MAX_GROUP`` classes never meet in one task. For two bits their classes are linked through
 the 65 fingerprints within one bit of each instead: two fingerprints at most two bits apart share such a neighbour, and no neighbour has more
-than 65 classes, so this way is exact and linear for any skew. For more bits such a group is cut into tiles, and each pair of
-tiles is one bounded search. Tasks send a spanning set of their links, not all pairs; components come from alternating
-large-star and small-star steps on tables, each written to the checkpoint folder.
+than 65 classes, so this way is exact and linear for any skew. For more bits ``graph.group_links`` compares such groups. Tasks send a spanning set of
+their links, not all pairs; components come from alternating large-star and small-star steps on tables, each written to the checkpoint folder.
+
+Fingerprints see only very near copies: texts at a Jaccard similarity of 0.8 differ in some ten of 64 bits. ``deduplicate`` therefore links, beside texts within
+``limit`` bits, all texts whose sets of shingles are at ``least`` or more (``shingle_links``).
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; repeated rows and texts share a class;
-rows with a null id get a fingerprint and a null component and link nothing; with shingles of ``n`` words, texts of fewer words count as
-one shingle; other columns of the input are not read.
+for ``near_duplicates`` rows with a null id get a fingerprint and a null component and link nothing; with shingles of ``n`` words, texts of fewer words
+count as one shingle; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_links
-from .common import map_rows, saved, table
+from .common import broadcast_if, map_rows, packed, saved, table, unpacked
+from .graph import components, group_links, groups_of, local_components
 
 MAX_GROUP = 8192
 FANOUT, LEAF = 8, 16
@@ -145,26 +148,6 @@ class GrayIndex:
                     yield a[ok], b[ok]
 
 
-def local_components(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest place that each of ``n`` places reaches."""
-    label = np.arange(n)
-    for a, b in batches:
-        while True:
-            la, lb = label[a], label[b]
-            open_ = la != lb
-            if not open_.any():
-                break
-            a, b = a[open_], b[open_]
-            low, high = np.minimum(la, lb)[open_], np.maximum(la, lb)[open_]
-            np.minimum.at(label, high, low)
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-    return label
-
-
 def _task_links(limit: int):
     """Links of the rows of one task, which come sorted by choice of blocks and the blocks' value."""
     plan = choices(limit)
@@ -183,21 +166,20 @@ def _task_links(limit: int):
 
     def packs(rows: dict[str, np.ndarray], start: int, end: int) -> Iterator[pa.RecordBatch]:
         part = {c: v[start:end] for c, v in rows.items()}
-        same = (part["key"][1:] == part["key"][:-1]) & (part["choice"][1:] == part["choice"][:-1]) & (part["tile"][1:] == part["tile"][:-1])
+        same = (part["key"][1:] == part["key"][:-1]) & (part["choice"][1:] == part["choice"][:-1])
         paired = np.zeros(end - start, np.bool_)  # a row alone with its blocks has no link here
         paired[1:] |= same
         paired[:-1] |= same
-        group = np.cumsum(np.concatenate([[0], (part["choice"][1:] != part["choice"][:-1]) | (part["tile"][1:] != part["tile"][:-1])])) if end > start else np.empty(0, np.int64)
-        for g in np.unique(group[paired]):
-            at = np.flatnonzero(paired & (group == g))
-            yield pack(int(part["choice"][at[0]]), part["fp"][at].view(np.uint64), part["rep"][at])
+        for choice in np.unique(part["choice"][paired]):
+            at = np.flatnonzero(paired & (part["choice"] == choice))
+            yield pack(int(choice), part["fp"][at].view(np.uint64), part["rep"][at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
         for batch in batches:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "tile", "key", "fp", "rep")}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "fp", "rep")}
             rest = new if rest is None else {c: np.concatenate([rest[c], new[c]]) for c in new}
-            changes = (rest["key"][1:] != rest["key"][:-1]) | (rest["choice"][1:] != rest["choice"][:-1]) | (rest["tile"][1:] != rest["tile"][:-1])
+            changes = (rest["key"][1:] != rest["key"][:-1]) | (rest["choice"][1:] != rest["choice"][:-1])
             edge, done = np.flatnonzero(changes) + 1, 0
             while len(rest["key"]) - done > 2 * MAX_GROUP:  # cut behind the last whole group that fits
                 last = np.searchsorted(edge, done + MAX_GROUP, "right") - 1
@@ -219,84 +201,99 @@ def links(classes: DataFrame, limit: int = 2) -> DataFrame:
     signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
     structs = (F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("key")) for i, (_, mask) in enumerate(choices(limit)))
     keyed = classes.select("fp", "rep", F.explode(F.array(*structs)).alias("k")).select("k.choice", "k.key", "fp", "rep")
-    large = saved(keyed.groupBy("choice", "key").count().where(F.col("count") > MAX_GROUP))
+    large = saved(keyed.groupBy("choice", "key").count().where(F.col("count") > MAX_GROUP).select("choice", "key"))
     n_large = large.count()
     if n_large:
-        hint = F.broadcast(large) if n_large <= 100_000 else large
+        hint = broadcast_if(large, n_large, 100_000)
         hot = keyed.join(hint, ["choice", "key"])
         keyed = keyed.join(hint, ["choice", "key"], "left_anti")
-    keyed = keyed.withColumn("tile", F.lit(0).cast("long"))
-    if n_large and limit > 2:
-        tiles = F.ceil(F.col("count") * 2 / MAX_GROUP)
-        hot = hot.withColumn("own", F.pmod(F.xxhash64("fp"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        pair = F.least("own", "other") * tiles + F.greatest("own", "other") + 1
-        keyed = keyed.unionByName(hot.select("choice", "key", "fp", "rep", pair.alias("tile")))
-    by_tree = keyed.repartition("choice", "key", "tile").sortWithinPartitions("choice", "tile", "key").mapInArrow(_task_links(limit), "a long, b long")
-    if not n_large or limit > 2:
+    by_tree = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_task_links(limit), "a long, b long")
+    if not n_large:
         return by_tree
+    return by_tree.unionByName(_near(hot) if limit == 2 else _crowded(hot, limit))
+
+
+def _near(hot: DataFrame) -> DataFrame:
+    """Links at two or fewer bits, through the fingerprints within one bit of each."""
     flips = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
     near = hot.select("fp", "rep").distinct().select("rep", F.explode(flips).alias("near")).groupBy("near").agg(F.collect_set("rep").alias("reps"))
-    near = near.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a <> b")
-    return by_tree.unionByName(near)
+    return near.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a <> b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of the edges (a, b) reaches, itself included.
+def _crowded(hot: DataFrame, limit: int) -> DataFrame:
+    """Links at ``limit`` or fewer bits within large groups of equal blocks."""
+    prints = saved(hot.select("rep", "fp").distinct())
 
-    Each round's large-star step ties larger neighbours of a node to its smallest one, the small-star step the
-    smaller ones; both keep connections and end at stars.
-    """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = star.groupBy("u").agg(F.min("v").alias("m"))
-        new = star.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = saved(new.select("e.u", "e.v").where("u <> v").distinct())
-        told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if told == state:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        state = told
-
-
-def with_sets(documents: DataFrame, n: int, least: float) -> DataFrame:
-    """(doc_id, fp, sig, size, prefix) of every row: ``sig`` names its set of shingles, ``prefix`` are the shingles to look up."""
-    spark = documents.sparkSession
-    common, counts = shingle_links.common_shingles(documents, lambda text: shingles(text, n))
-    told = spark.sparkContext.broadcast((common, counts))
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda c: prints.select(F.col("rep").alias(c), F.col("fp").alias(f"{c}_fp"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= limit).select("a", "b")
 
-    def row(text: str | None) -> tuple:
-        h = shingles(text, n)
-        s = np.unique(h)
-        first = shingle_links.ordered(s, *told.value)[: shingle_links.prefix(len(s), least)]
-        return majority(h), shingle_links.signature(s), len(s), first.view(np.int64).tolist()
+    def compare(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in groups_of(batches, ("key", "tile")):
+                node, group, fp = (t.column(c).to_numpy() for c in ("node", "component", "fp"))
+                fp = fp.view(np.uint64)
+                for at in range(0, len(fp), 256):
+                    near = (np.bitwise_count(fp[at : at + 256, None] ^ fp[None]) <= limit) & (group[at : at + 256, None] != group[None])
+                    i, j = np.nonzero(near)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[at + i]), pa.array(node[j])], names=["a", "b"])
 
-    return map_rows(documents, ["text"], lambda: row, "fp long, sig long, size int, prefix array<long>", ["doc_id"])
+        rows = rows.join(prints.withColumnRenamed("rep", "node"), "node").repartition("key", "tile").sortWithinPartitions("key", "tile")
+        return rows.mapInArrow(run, "a long, b long").distinct()
 
+    return group_links(saved(hot.select(F.xxhash64("choice", "key").alias("key"), F.col("rep").alias("node")).distinct()), verify, compare)
 
-def near_duplicates(documents: DataFrame, n: int = 3, limit: int = 2, least: float | None = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: shingles of ``n`` words, links at ``limit`` or fewer differing bits.
 
-    With ``least``, texts whose sets of shingles have this Jaccard similarity or more are linked too, however many bits they differ in.
-    """
-    prints = saved(fingerprints(documents, n) if least is None else with_sets(documents, n, least))
+def near_duplicates(documents: DataFrame, n: int = 3, limit: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: shingles of ``n`` words, links at ``limit`` or fewer differing bits."""
+    prints = saved(fingerprints(documents, n))
     classes = saved(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = links(classes, limit)
-    if least is not None:
-        named = saved(prints.where("doc_id IS NOT NULL").select("sig", "fp").distinct().join(classes, "fp").select("sig", "rep"))
-        reps = named.groupBy("sig").agg(F.min("rep").alias("low"))
-        equal = named.join(reps, "sig").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-        pairs = shingle_links.links(documents, prints, lambda text: shingles(text, n), least)
-        pairs = pairs.join(reps.select(F.col("sig").alias("a"), F.col("low").alias("x")), "a").join(reps.select(F.col("sig").alias("b"), F.col("low").alias("y")), "b")
-        edges = edges.unionByName(equal).unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    linked = components(edges)
+    linked = components(links(classes, limit))
     label = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = prints.select("doc_id", "fp").join(label, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def deduplicate(documents: DataFrame, n: int = 5, limit: int = 2, least: float = 0.8) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates, all columns kept.
+
+    Texts are linked whose fingerprints lie within ``limit`` bits or whose sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more;
+    groups are whatever such links join. The row with the smallest id stays, of several the one whose text has the least hash; a null id
+    comes after all others. Rows are told apart by id and text, so no text is lost by an id that repeats; of rows equal in both one stays.
+    """
+    texts = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+    def row(text: str | None) -> tuple:
+        h = shingles(text, n)
+        s = np.unique(h)
+        return majority(h), shingle_links.signature(s), len(s), shingle_links.bands(s, least).tolist()
+
+    prints = saved(map_rows(texts, ["text"], lambda: row, "fp long, sig long, size int, bands array<long>", ["doc_id", "th"]))
+    # a class of equal fingerprints goes by the smallest signature in it
+    classes = saved(prints.groupBy("fp").agg(F.min("sig").alias("rep"), F.max("sig").alias("high")))
+    equal = prints.select("fp", F.col("sig").alias("a")).join(classes.where("rep <> high").select("fp", F.col("rep").alias("b")), "fp").select("a", "b").where("a <> b")
+    edges = links(classes.select("fp", "rep"), limit).unionByName(equal).unionByName(shingle_links.links(texts, prints, lambda text: shingles(text, n), least))
+    label = saved(components(edges)).select(F.col("node").alias("sig"), "component")
+    row_key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th").alias("row_key")
+    named = saved(prints.select("sig", row_key).join(broadcast_if(label, label.count(), 1 << 18), "sig", "left").select(F.coalesce("component", "sig").alias("group"), "row_key"))
+    groups = named.groupBy("group").agg(F.min("row_key").alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
+    marked = saved(named.join(groups, "group").select("row_key", F.col("row_key").eqNullSafe(F.col("first")).alias("stays")))
+    gone = saved(marked.where("NOT stays").select("row_key.doc_id", "row_key.th").distinct())
+    again = saved(marked.where("stays").groupBy("row_key").count().where("count > 1").select("row_key.doc_id", "row_key.th"))
+    rows = documents.select(packed(documents), "doc_id", F.xxhash64("text").alias("th"))
+
+    def matched(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = broadcast_if(keys.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")), keys.count(), 1 << 18)
+        return df.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), how)
+
+    kept = matched(rows, gone, "left_anti")
+    if not again.isEmpty():
+        repeated = matched(rows, again, "left_semi").groupBy("doc_id", "th").agg(F.first("own_row").alias("own_row"))
+        kept = matched(kept, again, "left_anti").unionByName(repeated.select("own_row", "doc_id", "th"))
+    return unpacked(kept, documents.columns)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"), least=None)
+    out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -95,6 +95,6 @@ def test_language_cases(spark, odd):
 
 
 def test_features_are_positions_free():
-    a, b = features.text_bytes("one two"), features.text_bytes("   zero one two")
+    a, b = features.points("one two"), features.points("   zero one two")
     ha, hb = features.span_hashes(a, *features.word_spans(a)), features.span_hashes(b, *features.word_spans(b))
     assert (ha == hb[1:]).all() and len(set(hb.tolist())) == 3

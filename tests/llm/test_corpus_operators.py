@@ -1,15 +1,16 @@
 """Near-duplicates, sharding and the pipeline against brute force."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
-from repoaudit.llm import sharding, simhash_dedup
-from repoaudit.llm.quality_classifier import op1_quality_classifier
+from repoaudit.llm import graph, language_id, quality_classifier, secret_scans, sharding, shingle_links, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +54,8 @@ def test_query_equals_brute_force(spark):
 @pytest.mark.parametrize("most", [3, 8192])
 def test_links_of_crowded_fingerprints(spark, monkeypatch, most, limit):
     monkeypatch.setattr(simhash_dedup, "MAX_GROUP", most)
+    monkeypatch.setattr(graph, "TILE", 5)
+    monkeypatch.setattr(graph, "ROUNDS", 1)
     rng = random.Random(most)
     centers = [rng.getrandbits(64) for _ in range(4)]
     prints = {i: rng.choice(centers) ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 4, 6, 9, 13]))) for i in range(400)}
@@ -61,7 +64,7 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, most, limit):
         classes[p] = min(i, classes.get(p, i))
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     df = spark.createDataFrame([(signed(p), i) for p, i in classes.items()], "fp long, rep long")
-    got = {r["node"]: r["component"] for r in simhash_dedup.components(simhash_dedup.links(df, limit)).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(simhash_dedup.links(df, limit)).collect()}
     want = brute_components({i: p for p, i in classes.items()}, limit)
     assert {i: got.get(i, i) for i in want} == want
 
@@ -122,17 +125,62 @@ def test_pipeline_stages(spark, tmp_path):
     extra = spark.createDataFrame([(10_001, None, None, None, None), (None, docs.first()["text"], "en", "src0", 5)], docs.schema)
     docs = docs.unionByName(extra).unionByName(docs.limit(3))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
         out = stage(spark, docs, SF)
         out.write.parquet(str(tmp_path / str(k)))
         kept = spark.read.parquet(str(tmp_path / str(k)))
+        rows = kept.collect()
         if k < 4:
             assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString(), name
+        if k == 0:  # scored one by one in this process
+            score = quality_classifier.scorer(quality_classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet")))
+            assert Counter(rows) == Counter(r for r in before if score(r["text"]) >= 0.3)
+        if k == 1:
+            said = {(r["doc_id"], r["text"]): r["accepted"] for r in language_id.identify(docs, language_id.train(docs), ["doc_id", "text"]).collect()}
+            assert Counter(rows) == Counter(r for r in before if said[r["doc_id"], r["text"]]) and not [r for r in rows if r["text"] is None]
         if k == 2:
-            groups = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, 5, corpus_pipeline.BITS).collect()}
-            assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({c for c in groups.values() if c is not None})
+            assert sorted((r["doc_id"] or 0, r["text"]) for r in rows) == brute_kept([(r["doc_id"], r["text"]) for r in before])
+        if k == 3:
+            assert sorted((r["doc_id"], masked(r["text"])) for r in before) == sorted((r["doc_id"], r["text"]) for r in rows)
+        if k == 4:
+            assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in before)
         docs = kept
-    good = {r["doc_id"] for r in op1_quality_classifier(spark, SF).where("predicted = 1").collect()}
-    assert {r["doc_id"] for r in docs.collect()} - {None, 10_001} <= good
+
+
+def masked(text):
+    """The text with each run of overlapping secrets replaced."""
+    spans = sorted(m.span() for r in secret_scans.RULES for m in re.finditer(r.pattern, text, (re.I | re.A) if r.ignore_case else re.A) if len(m.group(r.group)) >= r.least)
+    out, at = "", 0
+    for start, end in spans:
+        if start >= at:
+            out += text[at:start] + "[secret]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def five_word_sets(texts):
+    words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def brute_kept(rows):
+    """(id, text) of what stays of (id, text): the smallest row of each group, by a comparison of each with each."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    sets, prints = five_word_sets([t for _, t in rows]), [simhash_dedup.fingerprint(t, 5) & (1 << 64) - 1 for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or sets[i] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    return sorted((rows[i][0] or 0, rows[i][1]) for i in range(len(rows)) if root(i) == i)
 
 
 def test_pipeline_on_an_empty_table(spark):
@@ -143,8 +191,9 @@ def test_pipeline_on_an_empty_table(spark):
         docs = out if out.columns == docs.columns else docs
 
 
-def test_pipeline_finds_every_near_copy(spark, monkeypatch):
-    rng = random.Random(5)
+def planted(seed=5):
+    """Texts in which words were changed in 1 to 5 steps, with one line in common, and a crowd of copies."""
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     line = [word() for _ in range(12)]
     texts = []
@@ -155,19 +204,56 @@ def test_pipeline_finds_every_near_copy(spark, monkeypatch):
             for i in rng.sample(range(200), edits * 2):
                 copy[i] = word()
             texts.append(" ".join(copy))
+    crowd = [word() for _ in range(150)]
+    for _ in range(60):
+        copy = list(crowd)
+        for i in rng.sample(range(150), rng.randint(0, 5)):
+            copy[i] = word()
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("rounds", [3, 1])
+def test_every_near_copy_is_found(spark, monkeypatch, rounds):
+    monkeypatch.setattr(graph, "ROUNDS", rounds)
+    monkeypatch.setattr(graph, "TILE", 2048 if rounds > 1 else 7)
+    texts = planted()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    label = list(range(len(texts)))
-    alike = [(a, b) for a in label for b in label[a + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    bits = {i: simhash_dedup.fingerprint(t, 5) & (1 << 64) - 1 for i, t in enumerate(texts)}
-    far = [p for p in alike if (bits[p[0]] ^ bits[p[1]]).bit_count() > corpus_pipeline.BITS]
-    assert len(far) > 20
-    near = [(a, b) for a in label for b in label[a + 1 :] if (bits[a] ^ bits[b]).bit_count() <= corpus_pipeline.BITS]
-    for _ in label:
-        for a, b in alike + near:
-            label[a] = label[b] = min(label[a], label[b])
-    for most, tile in ((64, 512), (2, 3)):  # pairs, then blocks of several tiles
-        monkeypatch.setattr(simhash_dedup.shingle_links, "MAX_LIST", most)
-        monkeypatch.setattr(simhash_dedup.shingle_links, "TILE", tile)
-        kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
-        assert kept == set(label)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == brute_kept(list(enumerate(texts)))
+    sets, prints = five_word_sets(texts), [simhash_dedup.fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 300 and sum((prints[i] ^ prints[j]).bit_count() > 6 for i, j in alike) > 50  # far beyond fingerprints
+
+
+def test_bands_of_pairs_at_the_limit():
+    rng = np.random.default_rng(1)
+    missed = 0
+    for _ in range(300):
+        s = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+        a, b = np.sort(s[:85]), np.sort(np.concatenate([s[:75], s[85:]]))  # 75 of 90: a similarity of 0.83
+        missed += not (set(shingle_links.bands(a, 0.8).tolist()) & set(shingle_links.bands(b, 0.8).tolist()))
+        differ = np.bitwise_count(shingle_links.parity(a) ^ shingle_links.parity(b)).sum()
+        assert differ <= 15
+    assert missed == 0 and shingle_links.n_bands(0.8) == 29
+
+
+def test_groups_of_rows_in_many_batches():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    keys = sorted((rng.randint(0, 9), rng.randint(0, 2)) for _ in range(100))
+    table = pa.table({"k": [k for k, _ in keys], "t": [t for _, t in keys]})
+    for size in (1, 3, 7, 100):
+        got = [(g.column("k")[0].as_py(), g.column("t")[0].as_py(), len(g)) for g in graph.groups_of(iter(table.to_batches(size)), ("k", "t"))]
+        assert got == [(*k, n) for k, n in sorted(Counter(keys).items())]
+
+
+def test_rows_that_repeat_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text of its own kind here", "a"), (1, "another text with the same id", "b"), (1, long, "c"), (2, long, "d"), (3, long + " tail", "e"), (3, "kept though its id repeats one that went", "f"), (None, long, "g"), (None, "no id but a text", "h"), (None, "no id but a text", "i"), (4, None, "j"), (5, "", "k"), (4, None, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    out = simhash_dedup.deduplicate(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted([(1, rows[0][1]), (1, rows[1][1]), (1, long), (3, rows[5][1]), (0, "no id but a text"), (4, "")])
