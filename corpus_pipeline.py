@@ -12,12 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from repoaudit.llm import common, language_id, packing, quality_classifier, secret_scans, simhash_dedup
 
 
-#: Differing bits of near-duplicates' fingerprints.
-BITS = 6
-#: Jaccard similarity of five-word shingles from which texts are near-duplicates, however many bits they differ in.
-SIMILARITY = 0.8
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier scores at its threshold or above."""
     model = quality_classifier.train(docs, common.table(spark, sf_dir, "labels"))
@@ -33,15 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near-duplicates, the document with the smallest id.
 
-    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, each pair found by an exact join, and texts whose
-    fingerprints lie within six of 64 bits, which are seldom less alike; groups are whatever such links join. Documents with a null id stay, of rows
-    that repeat an id one stays.
+    Linked are texts whose fingerprints of five-word shingles lie within two bits, and all whose sets of these shingles have a Jaccard similarity of 0.8
+    or more. Documents are told apart by id and text, so no text is lost where an id repeats; of rows equal in both one stays.
     """
-    groups = simhash_dedup.near_duplicates(docs, n=5, limit=BITS, least=SIMILARITY)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    # the join deals documents out by id, which the removal of repeated ids then uses
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return simhash_dedup.deduplicate(docs, n=5, limit=2, least=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
