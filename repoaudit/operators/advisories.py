@@ -5,24 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import catalogs as C
+from ..plans.saved import saved
+
 KEY = ["ecosystem", "name", "version"]
+#: Known pins that are broadcast, and parts that a pin's repositories are dealt into where there are more.
+MAX_BROADCAST, SALTS = 200_000, 32
 
 
-def match_advisories(deps: DataFrame, advisories: DataFrame, max_queries: int | None = 1000) -> DataFrame:
+def match_advisories(deps: DataFrame, advisories: DataFrame, max_queries: int | None = C.MAX_QUERIES) -> DataFrame:
     """One row per (dependency, advisory). ``max_queries``: the first so many dependencies of a repository; None takes all.
 
-    Fleets share most pins, so distinct pins meet the advisories first and the few that have any are joined back; neither
-    side is broadcast.
+    Fleets share most pins, so distinct pins meet the advisories first. The few that have any are broadcast to the dependencies if their count allows it;
+    else both sides are salted, as one pin may stand in most repositories.
     """
+    deps = saved(deps)  # read for the distinct pins and for the join
     if max_queries is not None:
+        # only repositories with more dependencies than that are sorted
+        large = deps.groupBy("repo_id").count().where(F.col("count") > max_queries).select("repo_id")
         place = F.row_number().over(Window.partitionBy("repo_id").orderBy("dep_pos"))
-        deps = deps.withColumn("place", place).where(F.col("place") <= max_queries).drop("place")
-    known = deps.select(*KEY).distinct().join(advisories.select(*KEY, "vuln_id", "vuln_pos"), KEY)
-    return deps.join(known, KEY).select("repo_id", "dep_pos", *KEY, "source", "vuln_id", "vuln_pos")
-
-
-def enrich(hits: DataFrame, details: DataFrame, max_details: int | None = 100) -> DataFrame:
-    """Adds summary, details and severity_label for the first ``max_details`` distinct advisories of a repository."""
+        first = deps.join(large, "repo_id", "left_semi").withColumn("place", place).where(F.col("place") <= max_queries).drop("place")
+        deps = deps.join(large, "repo_id", "left_anti").unionByName(first)
+    known = saved(advisories.select(*KEY, "vuln_id", "vuln_pos").join(deps.select(*KEY).distinct(), KEY, "left_semi"))
+    if known.count() <= MAX_BROADCAST:
+        hits = deps.join(F.broadcast(known), KEY)
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = deps.withColumn("salt", F.pmod(F.xxhash64("repo_id"), F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"])
+    return hits.select("repo_id", "dep_pos", *KEY, "source", "vuln_id", "vuln_pos")
+
+
+def enrich(hits: DataFrame, details: DataFrame, max_details: int | None = C.MAX_DETAILS) -> DataFrame:
+    """Adds summary, details and severity_label for the first ``max_details`` distinct advisories of a repository; None takes all."""
     if max_details is None:
         return hits.join(details, "vuln_id", "left")
     seen = hits.groupBy("repo_id", "vuln_id").agg(F.min(F.struct("dep_pos", "vuln_pos")).alias("at"))
@@ -42,8 +56,8 @@ def advisory_summary(summary: str = "summary", details: str = "details", vuln_id
     return F.coalesce(F.when(F.col(summary) != "", F.col(summary)), F.when(head != "", head), F.col(vuln_id))
 
 
-def dependency_findings(hits: DataFrame, max_per_dep: int | None = 10) -> DataFrame:
-    """A finding for each of the first ``max_per_dep`` advisories of a dependency; ``hits`` come from ``enrich``."""
+def dependency_findings(hits: DataFrame, max_per_dep: int | None = C.MAX_PER_DEP) -> DataFrame:
+    """A finding for each of the first ``max_per_dep`` advisories of a dependency (None: of all); ``hits`` come from ``enrich``."""
     if max_per_dep is not None:
         place = F.row_number().over(Window.partitionBy("repo_id", *KEY).orderBy("vuln_pos"))
         hits = hits.withColumn("place", place).where(F.col("place") <= max_per_dep).drop("place")
@@ -62,7 +76,7 @@ def advisory_gap_findings(deps: DataFrame, status: DataFrame) -> DataFrame:
     missing = status.where(~F.col("available")).select("repo_id").distinct()
     repos = deps.select("repo_id").distinct().join(missing, "repo_id", "left_semi")
     return repos.select(
-        "repo_id", F.lit(0).cast("long").alias("finding_pos"), F.lit("DEP000").alias("rule_id"), F.lit("Dependency vulnerability check could not complete").alias("title"),
+        "repo_id", F.lit(0).cast("long").alias("finding_pos"), F.lit("DEP000").alias("rule_id"), F.lit(C.TITLES["DEP000"]).alias("title"),
         F.lit("info").alias("severity"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line_number"),
         F.lit("The advisory source was unavailable.").alias("description"), F.lit("Run again, or check the dependencies by hand.").alias("recommendation"), F.lit("coverage").alias("category"),
     )

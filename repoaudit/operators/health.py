@@ -25,8 +25,8 @@ def days_since(timestamp: Column, as_of: Column) -> Column:
     return F.when(days.isNotNull(), F.greatest(F.lit(0), days))
 
 
-def _finding(condition: Column, rule_id: str, title: str, severity: str, description: Column, recommendation: str, category: str) -> Column:
-    fields = F.struct(F.lit(rule_id).alias("rule_id"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), description.alias("description"), F.lit(recommendation).alias("recommendation"), F.lit(category).alias("category"))
+def _finding(condition: Column, rule_id: str, severity: str, description: Column, recommendation: str, category: str) -> Column:
+    fields = F.struct(F.lit(rule_id).alias("rule_id"), F.lit(C.TITLES[rule_id]).alias("title"), F.lit(severity).alias("severity"), description.alias("description"), F.lit(recommendation).alias("recommendation"), F.lit(category).alias("category"))
     return F.when(condition, fields)
 
 
@@ -39,11 +39,11 @@ def maintenance_findings(repos: DataFrame, as_of: Column) -> DataFrame:
     age = days_since(F.col("pushed_at"), as_of)
     aged = F.concat(F.lit("Last push was "), age.cast("string"), F.lit(" days ago."))
     return _findings(repos, [
-        _finding(F.coalesce("archived", F.lit(False)), "MN001", "Repository is archived", "medium", F.lit("It gets no more updates."), "Prefer a maintained fork.", "maintenance"),
-        _finding(F.col("license").isNull(), "MN002", "No license detected", "medium", F.lit("Without a licence nothing may be used."), "Ask for a licence.", "maintenance"),
-        _finding(age > 365, "MN003", "No commits in over 12 months", "medium", aged, "Confirm that the project is maintained.", "maintenance"),
-        _finding((age > 180) & (age <= 365), "MN004", "No commits in the last 6 months", "low", aged, "Check whether maintainers respond.", "maintenance"),
-        _finding(F.col("open_issues") > 500, "MN005", "Large open issue + PR backlog", "low", F.concat(F.col("open_issues").cast("string"), F.lit(" open issues and pull requests.")), "Read the issues with most votes.", "maintenance"),
+        _finding(F.coalesce("archived", F.lit(False)), "MN001", "medium", F.lit("It gets no more updates."), "Prefer a maintained fork.", "maintenance"),
+        _finding(F.col("license").isNull(), "MN002", "medium", F.lit("Without a licence nothing may be used."), "Ask for a licence.", "maintenance"),
+        _finding(age > 365, "MN003", "medium", aged, "Confirm that the project is maintained.", "maintenance"),
+        _finding((age > 180) & (age <= 365), "MN004", "low", aged, "Check whether maintainers respond.", "maintenance"),
+        _finding(F.col("open_issues") > 500, "MN005", "low", F.concat(F.col("open_issues").cast("string"), F.lit(" open issues and pull requests.")), "Read the issues with most votes.", "maintenance"),
     ])
 
 
@@ -77,8 +77,8 @@ def documentation_score(files: DataFrame) -> DataFrame:
 
 def documentation_findings(scores: DataFrame) -> DataFrame:
     return _findings(scores, [
-        _finding(~F.col("has_readme"), "DOC001", "No README found", "medium", F.lit("Nothing says what the project is."), "Add a README.", "documentation"),
-        _finding(~F.col("has_security_policy"), "DOC002", "No SECURITY.md", "low", F.lit("Nothing says how to report security issues."), "Add a SECURITY.md.", "documentation"),
+        _finding(~F.col("has_readme"), "DOC001", "medium", F.lit("Nothing says what the project is."), "Add a README.", "documentation"),
+        _finding(~F.col("has_security_policy"), "DOC002", "low", F.lit("Nothing says how to report security issues."), "Add a SECURITY.md.", "documentation"),
     ])
 
 
@@ -117,7 +117,7 @@ def coverage(files: DataFrame, inputs: DataFrame) -> DataFrame:
 def coverage_findings(cov: DataFrame) -> DataFrame:
     said = lambda column, rest: F.concat(F.col(column).cast("string"), F.lit(rest))
     return _findings(cov, [
-        _finding(F.col("is_partial"), "COV001", "Scan is partial — not all files were inspected", "low", said("not_inspected", " file(s) were not read."), "Raise the file cap.", "coverage"),
-        _finding(F.col("skipped_large") > 0, "COV002", "Oversized files were not scanned", "low", said("skipped_large", " file(s) are over the size limit."), "Inspect them, or raise the limit.", "coverage"),
-        _finding(F.col("source_uncovered"), "COV003", "No source code was inspected (metadata-only scan)", "medium", said("source_files_in_repo", " source file(s) were not read."), "Scan the source files too.", "coverage"),
+        _finding(F.col("is_partial"), "COV001", "low", said("not_inspected", " file(s) were not read."), "Raise the file cap.", "coverage"),
+        _finding(F.col("skipped_large") > 0, "COV002", "low", said("skipped_large", " file(s) are over the size limit."), "Inspect them, or raise the limit.", "coverage"),
+        _finding(F.col("source_uncovered"), "COV003", "medium", said("source_files_in_repo", " source file(s) were not read."), "Scan the source files too.", "coverage"),
     ])

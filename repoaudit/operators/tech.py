@@ -9,11 +9,14 @@ from .. import catalogs as C
 from ..functions import text as X
 
 
-def language_counts(files: DataFrame) -> DataFrame:
-    """(repo_id, lang, n, evidence, first_seen): five for each manifest that hints at a language, one for each file suffix."""
+def language_counts(files: DataFrame, by_names: tuple[tuple[str, str], ...] = C.LANGUAGE_BY_NAME, by_suffixes: tuple[tuple[str, str], ...] = C.LANGUAGE_BY_SUFFIX) -> DataFrame:
+    """(repo_id, lang, n, evidence, first_seen): five for each manifest that hints at a language, one for each file suffix.
+
+    The two catalogues, (name or suffix, language), may be the caller's own.
+    """
     spark = files.sparkSession
-    names = F.broadcast(spark.createDataFrame(list(C.LANGUAGE_BY_NAME), "name string, lang string"))
-    suffixes = F.broadcast(spark.createDataFrame(list(C.LANGUAGE_BY_SUFFIX), "suffix string, lang string"))
+    names = F.broadcast(spark.createDataFrame(list(by_names), "name string, lang string"))
+    suffixes = F.broadcast(spark.createDataFrame(list(by_suffixes), "suffix string, lang string"))
     parts = files.select("repo_id", "file_pos", X.basename().alias("name"), X.suffix().alias("suffix"))
     by_name = parts.join(names, "name").select("repo_id", "lang", F.lit(5).alias("n"), F.col("name").alias("evidence"), (F.col("file_pos") * 2).alias("at"))
     by_suffix = parts.join(suffixes, "suffix").select("repo_id", "lang", F.lit(1).alias("n"), F.concat(F.lit("`"), "suffix", F.lit("` files")).alias("evidence"), (F.col("file_pos") * 2 + 1).alias("at"))
@@ -182,9 +185,12 @@ def java_blob(files: DataFrame) -> DataFrame:
     return first.groupBy("repo_id").agg(F.array_join(F.transform(ordered, lambda s: s["content"]), "\n").alias("blob"))
 
 
-def match_frameworks(deps: DataFrame) -> DataFrame:
-    """(repo_id, name, category, confidence, evidence, place): the first key of each entry that a repository's dependencies have."""
-    rows = [(kind, name, category, key, rank, i) for i, (kind, name, category, keys) in enumerate(C.FRAMEWORKS) for rank, key in enumerate(keys)]
+def match_frameworks(deps: DataFrame, frameworks: tuple[tuple[str, str, str, tuple[str, ...]], ...] = C.FRAMEWORKS) -> DataFrame:
+    """(repo_id, name, category, confidence, evidence, place): the first key of each entry that a repository's dependencies have.
+
+    ``frameworks``: (kind of dependency, name, category, keys), the caller's own if given.
+    """
+    rows = [(kind, name, category, key, rank, i) for i, (kind, name, category, keys) in enumerate(frameworks) for rank, key in enumerate(keys)]
     entries = F.broadcast(deps.sparkSession.createDataFrame(rows, "kind string, name string, category string, key string, rank int, place int"))
     # go names match by prefix, all others as a whole; either way the catalogue is the broadcast side
     exact = deps.where("kind <> 'go'").join(entries.withColumn("dep", F.col("key")), ["kind", "dep"])

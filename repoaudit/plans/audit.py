@@ -28,28 +28,46 @@ def _gather(df: DataFrame, name: str, order: str, *fields: str) -> DataFrame:
     return df.groupBy("repo_id").agg(F.transform(rows, lambda s: s["v"]).alias(name))
 
 
+def findings_of(
+    files: DataFrame, repos: DataFrame, docs: DataFrame, cov: DataFrame, as_of: Column, advisories: DataFrame | None = None, advisory_details: DataFrame | None = None,
+    advisory_status: DataFrame | None = None, rules: tuple[dict, ...] = C.RULES, max_queries: int | None = None, max_details: int | None = None, max_per_dep: int | None = None,
+) -> DataFrame:
+    """All findings of all repositories as rows, however many one has; ``finding_pos`` is a struct that orders them.
+
+    ``advisory_status`` (repo_id, available) names the repositories whose advisories could not be read: they get a note in place of dependency findings.
+    The three limits are of use only where advisories come from a service that sets them; None, the default, takes all.
+    """
+    groups = [scan.scan_files(files, rules), health.maintenance_findings(repos, as_of), health.documentation_findings(docs), health.coverage_findings(cov)]
+    if advisories is not None:
+        pins = saved(deps.extract_versions(files))
+        if advisory_status is not None:
+            groups.append(A.advisory_gap_findings(pins, advisory_status))
+            pins = pins.join(advisory_status.where("NOT available").select("repo_id"), "repo_id", "left_anti")
+        hits = A.enrich(A.match_advisories(pins, advisories, max_queries), advisory_details, max_details)
+        groups.append(A.dependency_findings(hits, max_per_dep))
+    out = None
+    for i, g in enumerate(groups):
+        g = g.select(*scan.FINDING[:1], F.struct(F.lit(i).alias("stage"), F.col("finding_pos").alias("pos")).alias("finding_pos"), *scan.FINDING[2:])
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 def audit(
     files: DataFrame, repos: DataFrame, coverage_inputs: DataFrame, as_of: Column, language_bytes: DataFrame | None = None,
-    advisories: DataFrame | None = None, advisory_details: DataFrame | None = None, rules: tuple[dict, ...] = C.RULES, max_findings: int | None = None,
+    advisories: DataFrame | None = None, advisory_details: DataFrame | None = None, rules: tuple[dict, ...] = C.RULES, max_findings: int | None = 10_000,
+    advisory_status: DataFrame | None = None, max_queries: int | None = None, max_details: int | None = None, max_per_dep: int | None = None,
 ) -> DataFrame:
     """Everything about each row of ``repos``; local repositories take the licence of their files.
 
-    ``max_findings`` bounds the findings that a report row holds (worst first); scores always count all of them.
+    ``max_findings`` bounds the findings that one nested report row holds (worst first), so that a row stays far below what a row may hold; None takes
+    all. Scores, risk, counts and verdict always count every finding, and ``findings_of`` gives them all as rows.
     """
     licenses = health.detect_license(files).withColumnRenamed("license", "own_license")
     repos = repos.join(licenses, "repo_id", "left").withColumn("license", F.when(F.col("kind") == "local", F.col("own_license")).otherwise(F.col("license"))).drop("own_license")
     languages, frameworks, types = technologies(files, language_bytes)
     docs = health.documentation_score(files)
     cov = health.coverage(files, coverage_inputs)
-    groups = [scan.scan_files(files, rules), health.maintenance_findings(repos, as_of), health.documentation_findings(docs), health.coverage_findings(cov)]
-    if advisories is not None:
-        hits = A.enrich(A.match_advisories(deps.extract_versions(files), advisories), advisory_details)
-        groups.append(A.dependency_findings(hits))
-    findings = None
-    for i, g in enumerate(groups):
-        g = g.select(*scan.FINDING[:1], F.struct(F.lit(i).alias("stage"), F.col("finding_pos").alias("pos")).alias("finding_pos"), *scan.FINDING[2:])
-        findings = g if findings is None else findings.unionByName(g)
-
+    findings = findings_of(files, repos, docs, cov, as_of, advisories, advisory_details, advisory_status, rules, max_queries, max_details, max_per_dep)
     findings = saved(findings)  # scores, risk, counts and reports all read them; the scan of the texts runs once
     base = repos.select("repo_id")
     left = lambda df, other: df.join(other, "repo_id", "left")

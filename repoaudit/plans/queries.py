@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..operators import deps, health, masking, paths, scan, scoring, tech
 from ..sources import reports, snapshots
 from ..sources import testbed as T
 from . import audit as audits
+from .saved import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,7 +65,7 @@ def _broken(f: DataFrame) -> DataFrame:
     return f.withColumn("bytes", F.when(third, F.concat(front, F.col("content").cast("binary"))).otherwise(F.concat(F.col("content").cast("binary"), F.lit(b"\xe2\x82"))))
 
 
-on_files("f5_decode_text", lambda f: paths.decode_text(_broken(f)).select("repo_id", "file_pos", "content"))
+on_files("f5_decode_text", lambda f: paths.decode_text(_broken(f)).select("repo_id", "file_pos", "content"), "SELECT repo_id, file_pos, CASE WHEN file_pos % 3 = 0 THEN chr(65533) || content ELSE content || chr(65533) END AS content FROM files")
 on_files(
     "f6_cap_files", lambda f: paths.cap_files(f, 20).select("repo_id", "file_pos", "path", "total_seen", "cap_reached"),
     "SELECT repo_id, file_pos, path, total_seen, total_seen > 20 AS cap_reached FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_pos) AS k, count(*) OVER (PARTITION BY repo_id) AS total_seen FROM files) WHERE k <= 20",
@@ -147,10 +149,37 @@ _COUNTED = tuple(r for r in C.RULES if r["globs"])
 on_files("m1_match_rules", lambda f: scan.match_rules_to_files(f, scan.rules_frame(f.sparkSession)),
     f", r(rule_id, pattern) AS (VALUES {', '.join(chr(40) + chr(39) + r['rule_id'] + chr(39) + ', ' + chr(39) + (_globs(r['globs']).removeprefix('regexp_matches(path, ' + chr(39)).removesuffix(chr(39) + ')') if r['globs'] else '') + chr(39) + ')' for r in C.RULES)}) SELECT DISTINCT repo_id, path, rule_id FROM files JOIN r ON regexp_matches(path, pattern)")
 on_files("m2_mask_lines", lambda f: f.select("repo_id", "file_pos", masking.mask_lines(F.col("content")).alias("masked")), f"SELECT repo_id, file_pos, {_LINE_MASK} AS masked FROM files")
-_JS_LIKE = "suffix IN ('.js', '.ts')"
-on_files("m3_mask_c_family", lambda f: f.where(X.suffix().isin(*masking.C_FAMILY)).select("repo_id", "file_pos", masking.mask_c_family(F.col("content")).alias("masked")))
-on_files("m4_mask_php", lambda f: f.where(X.suffix().isin(*masking.PHP)).select("repo_id", "file_pos", masking.mask_php(F.col("content")).alias("masked")))
-on_files("m5_mask_ruby", lambda f: f.where((X.suffix() == ".rb") | X.basename().isin("Rakefile", "Gemfile")).select("repo_id", "file_pos", masking.mask_ruby(F.col("content")).alias("masked")))
+
+
+def _mask_sql(tokens: str, comments: tuple[str, ...], quotes: str) -> str:
+    """The mask of ``content`` in SQL: the same tokens, each blanked by its kind."""
+    tokens = tokens.replace("(?ds)", "(?s)").replace("++", "+").replace("*+", "*")  # this engine never backtracks
+    blank = "regexp_replace({}, '[^\\r\\n]', ' ', 'g')".format
+    is_comment = " OR ".join(f"starts_with(t, '{c}')" for c in comments)
+    # a back quote left open keeps its last character, unless that is a lone backslash
+    open_end = r"regexp_full_match(t, '(?s)`(?:[^`\\]|\\.)*\\')" if "`" in quotes else "FALSE"
+    masked = f"""
+      CASE WHEN {is_comment} THEN {blank("t")}
+        WHEN length(t) < 2 OR substr(t, 1, 1) NOT IN ({_list(quotes)}) THEN t
+        WHEN {open_end} THEN substr(t, 1, 1) || {blank("substr(t, 2)")}
+        ELSE substr(t, 1, 1) || {blank("substr(t, 2, length(t) - 2)")} || substr(t, -1) END"""
+    return f"array_to_string(list_transform(regexp_extract_all(content, {_list([tokens])}), lambda t: {masked}), '')"
+
+
+_RUBY_NAMES = ("Rakefile", "Gemfile")
+_MASKS = {
+    "m3_mask_c_family": (lambda: X.suffix().isin(*masking.C_FAMILY), masking.mask_c_family, f"suffix IN ({_list(masking.C_FAMILY)})", (masking.C_TOKENS, ("//", "/*"), "\"'`")),
+    "m4_mask_php": (lambda: X.suffix().isin(*masking.PHP), masking.mask_php, f"suffix IN ({_list(masking.PHP)})", (masking.PHP_TOKENS, ("//", "/*", "#"), "\"'")),
+    "m5_mask_ruby": (
+        lambda: (X.suffix() == ".rb") | X.basename().isin(*_RUBY_NAMES), masking.mask_ruby, f"(suffix = '.rb' OR name IN ({_list(_RUBY_NAMES)}))",
+        (masking.RUBY_TOKENS, ("#",), "\"'"),
+    ),
+}
+for _name, (_where, _mask, _where_sql, _parts) in _MASKS.items():
+    on_files(
+        _name, lambda f, where=_where, mask=_mask: f.where(where()).select("repo_id", "file_pos", mask(F.col("content")).alias("masked")),
+        f"SELECT repo_id, file_pos, {_mask_sql(*_parts)} AS masked FROM files WHERE {_where_sql}",
+    )
 on_files("m6_mask_python", lambda f: f.where(X.suffix() == ".py").select("repo_id", "file_pos", masking.mask_python(F.col("content")).alias("masked")))
 on_files("m7_mask_code", lambda f: masking.mask_code(f).select("repo_id", "file_pos", "path", "masked"))
 _TITLES = ({"rule_id": "LIC", "title": "licence line", "severity": "info", "pattern": r"\b(?:MIT|Apache) License\b", "globs": (), "literals": (), "redact": False, "category": "secret", "pack": "LIC", "description": "licence", "recommendation": "-"},)
@@ -172,8 +201,10 @@ on_files("m17_drop_suppressed", lambda f: scan.drop_suppressed(_simple(f)).selec
 SELECT repo_id, path, rule_id, line_number FROM (SELECT *, regexp_matches(line_text, 'audit:\\s*ignore') AS marked, regexp_extract(line_text, 'audit:\\s*ignore(?:\\s+([A-Z0-9,\\s]+))?', 1) AS named FROM m)
 WHERE NOT (marked AND (named = '' OR list_contains(list_transform(string_split(named, ','), lambda t: trim(t)), rule_id)))""")
 _REDACTED = "CASE WHEN length({c}) <= 4 THEN repeat('*', length({c})) ELSE substr({c}, 1, 4) || repeat('*', greatest(8, length({c}) - 4)) END"
-add("m18_redact", lambda s, d: T.table(s, d, "documents").selectExpr("doc_id", "substring(text, 1, cast(doc_id % 30 as int)) AS secret").select("doc_id", X.redact("secret").alias("redacted")),
-    f"SELECT doc_id, {_REDACTED.format(c='secret')} AS redacted FROM (SELECT doc_id, substr(text, 1, doc_id % 30) AS secret FROM documents)")
+add(
+    "m18_redact", lambda s, d: T.table(s, d, "documents").select("doc_id", X.redact("lang").alias("lang"), X.redact("source").alias("source"), X.redact("text").alias("text")),
+    f"SELECT doc_id, {_REDACTED.format(c='lang')} AS lang, {_REDACTED.format(c='source')} AS source, {_REDACTED.format(c='text')} AS text FROM documents",
+)
 add("m18_redact_whole", lambda s, d: T.table(s, d, "documents").select("doc_id", X.redact("text").alias("redacted")), f"SELECT doc_id, {_REDACTED.format(c='text')} AS redacted FROM documents")
 _DESCRIBED = f"CASE WHEN severity IN ('high', 'critical') OR redact THEN description || chr(10) || chr(10) || 'Matched value: `' || CASE WHEN redact THEN {_REDACTED.format(c='hit')} ELSE hit END || '`' ELSE description END"
 on_files("m19_describe", lambda f: scan.describe(scan.with_rules(scan.scan_matches(paths.scannable(f), C.pack("SEC")), C.pack("SEC"))).select("repo_id", "path", "rule_id", "line_number", "description"),
@@ -214,9 +245,18 @@ _MANIFESTS = "manifests(name, manager, ecosystem) AS (VALUES " + ", ".join(f"('{
 on_files("d1_manifests", deps.detect_manifests, f", {_MANIFESTS} SELECT DISTINCT repo_id, path, manager, ecosystem FROM files JOIN manifests USING (name)")
 for _d, _fn, _k in (("d2_requirements", deps.parse_requirements, "requirements"), ("d3_poetry_lock", deps.parse_poetry_lock, "poetry"), ("d4_cargo_lock", deps.parse_cargo_lock, "cargo"), ("d5_pipfile_lock", deps.parse_pipfile_lock, "pipfile"), ("d6_package_lock_v2", deps.parse_package_lock_v2, "npm2"), ("d8_gemfile_lock", deps.parse_gemfile_lock, "gems"), ("d9_composer_lock", deps.parse_composer_lock, "composer"), ("d10_go_mod", deps.parse_go_mod, "go")):
     on_locks(_d, _fn, _PIN[_k])
-on_locks("d7_package_lock_v1", deps.parse_package_lock_v1)
-on_files("d11_extract_versions", lambda f: deps.extract_versions(f.where("path <> 'legacy/package-lock.json'")).select("repo_id", "ecosystem", "name", "version", "source"), ", pins AS (" + " UNION ALL ".join(_PIN.values()) + ") SELECT repo_id, ecosystem, name, version, arg_min(source, file_pos) AS source FROM pins GROUP BY repo_id, ecosystem, name, version")
-on_files("d11_extract_versions_all", lambda f: deps.extract_versions(f).select("repo_id", "ecosystem", "name", "version", "source"))
+_PIN["npm1"] = """
+SELECT repo_id, file_pos, 'npm' AS ecosystem, key AS name, json_extract_string(tree, '$."' || key || '".version') AS version, path AS source FROM (
+  WITH RECURSIVE t(repo_id, file_pos, path, tree) AS (
+    SELECT repo_id, file_pos, path, json_extract(content, '$.dependencies') FROM files WHERE files.name = 'package-lock.json' AND json_extract(content, '$.packages') IS NULL
+    UNION ALL
+    SELECT repo_id, file_pos, path, json_extract(tree, '$."' || key || '".dependencies') FROM (SELECT *, unnest(json_keys(tree)) AS key FROM t WHERE tree IS NOT NULL))
+  SELECT *, unnest(json_keys(tree)) AS key FROM t WHERE tree IS NOT NULL)
+WHERE json_extract_string(tree, '$."' || key || '".version') IS NOT NULL"""
+on_locks("d7_package_lock_v1", deps.parse_package_lock_v1, _PIN["npm1"])
+_ALL_PINS = ", pins AS (" + " UNION ALL ".join(_PIN.values()) + ") SELECT repo_id, ecosystem, name, version, arg_min(source, file_pos) AS source FROM pins GROUP BY repo_id, ecosystem, name, version"
+for _d in ("d11_extract_versions", "d11_extract_versions_all"):
+    on_files(_d, lambda f: deps.extract_versions(f).select("repo_id", "ecosystem", "name", "version", "source"), _ALL_PINS)
 _HITS = f"WITH {T.DEPS_SQL}, {T.ADVISORIES_SQL}, hits AS (SELECT d.repo_id, d.dep_pos, ecosystem, name, version, source, vuln_id, vuln_pos FROM (SELECT * FROM dep_versions QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY dep_pos) <= 1000) d JOIN advisories USING (ecosystem, name, version))"
 _ENRICHED = ", seen AS (SELECT repo_id, vuln_id, row_number() OVER (PARTITION BY repo_id ORDER BY first_at, vuln_id) AS k FROM (SELECT repo_id, vuln_id, min({'a': dep_pos, 'b': vuln_pos}) AS first_at FROM hits GROUP BY ALL)), enriched AS (SELECT h.*, w.summary, w.details, w.severity_label FROM hits h LEFT JOIN (SELECT repo_id, vuln_id, summary, details, severity_label FROM seen JOIN advisory_details USING (vuln_id) WHERE k <= 100) w USING (repo_id, vuln_id))"
 
@@ -369,12 +409,16 @@ add("g2_trust_score", lambda s, d: scoring.trust_score(_breakdown(s, d)).select(
 
 
 def _risk(s: SparkSession, d: str) -> DataFrame:
-    trust = scoring.trust_score(_breakdown(s, d)).select("repo_id", "trust")
-    return scoring.risk_level(trust, _by_user(T.findings(s, d)).where("finding_pos % 40 < 3"))
+    """Each user's day over all its findings, with the trust of the user."""
+    findings, trust = T.findings(s, d), scoring.trust_score(_breakdown(s, d)).select(F.col("repo_id").alias("user"), "trust")
+    days = findings.select("repo_id", F.substring_index("repo_id", "@", 1).alias("user")).distinct()
+    return scoring.risk_level(days.join(trust, "user").select("repo_id", "trust"), findings)
 
 
-_FLAGS = ", flags AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, bool_or(event_type = 'purchase') AS critical, bool_or(event_type IN ('error', 'purchase') AND event_id % 6 < 2) AS grave FROM events WHERE event_id % 40 < 3 GROUP BY 1)"
-add("g3_risk_level", _risk, _BREAKDOWN + _FLAGS + " SELECT t.repo_id, CASE WHEN coalesce(critical, FALSE) THEN 'Critical' WHEN coalesce(grave, FALSE) OR trust < 45 THEN 'High' WHEN trust < 65 THEN 'Medium' ELSE 'Low' END AS risk FROM trusted t LEFT JOIN flags f USING (repo_id)")
+_DAYS = f", {T.FINDINGS_SQL}, days AS (SELECT repo_id, bool_or(severity = 'critical') AS critical, bool_or(sev >= 3 AND category IN ('secret', 'install_hook')) AS grave FROM findings GROUP BY repo_id)"
+add("g3_risk_level", _risk, _BREAKDOWN + _DAYS + """
+SELECT days.repo_id, CASE WHEN critical THEN 'Critical' WHEN grave OR trust < 45 THEN 'High' WHEN trust < 65 THEN 'Medium' ELSE 'Low' END AS risk
+FROM days JOIN trusted t ON t.repo_id = split_part(days.repo_id, '@', 1)""")
 _ALL_FLAGS = ", flags AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, bool_or(event_type = 'purchase') AS critical, bool_or(event_type IN ('error', 'purchase') AND event_id % 6 < 2) AS grave FROM events GROUP BY 1)"
 add("g3_risk_level_all", lambda s, d: scoring.risk_level(scoring.trust_score(_breakdown(s, d)).select("repo_id", "trust"), _by_user(T.findings(s, d))),
     _BREAKDOWN + _ALL_FLAGS + " SELECT t.repo_id, CASE WHEN coalesce(critical, FALSE) THEN 'Critical' WHEN coalesce(grave, FALSE) OR trust < 45 THEN 'High' WHEN trust < 65 THEN 'Medium' ELSE 'Low' END AS risk FROM trusted t LEFT JOIN flags f USING (repo_id)")
@@ -395,10 +439,19 @@ def _verdicts(s: SparkSession, d: str) -> DataFrame:
     return scoring.verdict(rows)
 
 
-add("g5_verdict", _verdicts, f"""WITH {T.REPOS_SQL}, v AS (SELECT *, CAST(repo_id AS BIGINT) AS k FROM repos)
-SELECT repo_id, concat_ws(' ', coalesce(url, name) || ' appears to be a ' || CASE WHEN k % 4 = 0 THEN 'project of unknown type' ELSE 'CLI tool' END || ' written in ' || CASE WHEN k % 6 > 0 THEN 'Go' ELSE 'an unknown language' END || CASE WHEN k % 3 = 0 THEN ' using Gin, Fiber, Cobra' ELSE '' END || '.',
-  CASE WHEN archived THEN 'The repository is archived on GitHub and will not receive updates.' END, CASE WHEN k % 5 = 0 THEN 'No suspicious patterns were detected by the rule-based scanner.' WHEN k % 3 > 0 OR k % 2 > 0 THEN 'The scan produced ' || k % 3 || ' CRITICAL and ' || k % 2 || ' HIGH severity findings that deserve manual review.' ELSE 'The scan produced low-severity findings only.' END,
-  CASE WHEN k % 2 = 0 THEN 'Dependency manifests found for: Go, Rust.' END) AS verdict FROM v""")
+def _say(part: str, *values: str) -> str:
+    """A sentence of the verdict as SQL, with expressions in its places."""
+    return f"printf({_list([C.VERDICT[part]])}{''.join(', ' + v for v in values)})"
+
+
+add("g5_verdict", _verdicts, f"""
+WITH {T.REPOS_SQL}, v AS (SELECT *, CAST(repo_id AS BIGINT) AS k FROM repos)
+SELECT repo_id, concat_ws(' ',
+  {_say("first", "coalesce(url, name)", f"CASE WHEN k % 4 = 0 THEN {_say('no_type')} ELSE 'CLI tool' END", f"CASE WHEN k % 6 > 0 THEN 'Go' ELSE {_say('no_language')} END",
+        f"CASE WHEN k % 3 = 0 THEN {_say('using', _list(['Gin, Fiber, Cobra']))} ELSE '' END")},
+  CASE WHEN archived THEN {_say("archived")} END,
+  CASE WHEN k % 5 = 0 THEN {_say("none")} WHEN k % 3 > 0 OR k % 2 > 0 THEN {_say("grave", "k % 3", "k % 2")} ELSE {_say("low")} END,
+  CASE WHEN k % 2 = 0 THEN {_say("manifests", _list(["Go, Rust"]))} END) AS verdict FROM v""")
 on_findings("g6_gate", lambda f: scoring.gate(f, "medium"), f"SELECT repo_id, ['info', 'low', 'medium', 'high', 'critical'][max(CASE WHEN category IN ({_list(C.GATED)}) AND sev >= 2 THEN sev END) + 1] AS worst FROM findings GROUP BY repo_id")
 on_findings("g7_sort_findings", lambda f: scoring.sort_findings(f).select("repo_id", "finding_pos", "place"), "SELECT repo_id, finding_pos, row_number() OVER (PARTITION BY repo_id ORDER BY sev DESC, rule_id, coalesce(file_path, ''), coalesce(line_number, 0), finding_pos) AS place FROM findings")
 on_findings("g8_severity_counts", scoring.severity_counts, "SELECT repo_id, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) AS n_findings FROM findings GROUP BY repo_id")
@@ -439,7 +492,18 @@ def secret_risk(s: SparkSession, d: str) -> DataFrame:
 add("flagship_secret_risk", secret_risk)
 add("g12_audit", lambda s, d: _audit(s, d).select("repo_id", "trust_score", "risk_level", "project_type", F.size("findings").alias("n_findings"), "verdict"))
 add("s5_json_report", lambda s, d: reports.to_json_report(_audit(s, d)))
-on_findings("s6_sarif_report", lambda f: reports.to_sarif(f))
+_RESULT_ROWS = SQL["g10_sarif_results"].split(_DESCRIPTORS)[1]
+_SARIF_SQL = _DESCRIPTORS + rf"""
+, r AS ({_RESULT_ROWS}),
+by_rule AS (SELECT repo_id, string_agg('{{"id":' || to_json(rule_id) || ',"name":' || to_json(title) || ',"shortDescription":{{"text":' || to_json(title) || '}},"fullDescription":{{"text":' || to_json(split_part(description, chr(10), 1))
+  || '}},"helpText":' || to_json(recommendation) || ',"defaultConfiguration":{{"level":' || to_json({_LEVELS}) || '}},"properties":{{"category":' || to_json(category) || ',"security-severity":' || to_json({_SEVS}) || '}}}}', ',' ORDER BY rule_index) AS rules
+  FROM d GROUP BY repo_id),
+by_result AS (SELECT repo_id, string_agg('{{"ruleId":' || to_json(rule_id) || ',"ruleIndex":' || rule_index || ',"level":' || to_json(level) || ',"message":{{"text":' || to_json(message) || '}},"properties":{{"severity":' || to_json(severity)
+  || ',"category":' || to_json(category) || '}}' || CASE WHEN start_line IS NOT NULL THEN ',"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(uri) || '}},"region":{{"startLine":' || start_line || '}}}}}}]' ELSE '' END
+  || ',"partialFingerprints":{{"{reports.TOOL}/v1":' || to_json(fingerprint) || '}}}}', ',' ORDER BY finding_pos) AS results FROM r GROUP BY repo_id)
+SELECT repo_id, '{{"$schema":"{reports.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{reports.TOOL}","rules":[' || rules || ']}}}},"results":[' || results || ']}}]}}' AS report
+FROM by_rule JOIN by_result USING (repo_id)"""
+on_findings("s6_sarif_report", lambda f: reports.to_sarif(f, None), _SARIF_SQL)
 add("s7_markdown_report", lambda s, d: reports.to_markdown(_audit(s, d)))
 
 
@@ -482,13 +546,21 @@ def _archives(s: SparkSession, d: str) -> DataFrame:
     return snapshots.read_archives(packed, max_files=None).select("repo_id", "path", "size", "is_binary", "truncated", F.length("content").alias("n_chars"))
 
 
-add("s2_read_archives", _archives)
+add("s2_read_archives", _archives, f"""
+WITH {T.FILES_SQL}, kept AS (SELECT *, coalesce(content, '') AS body, suffix IN ({_list(C.BINARY_EXTENSIONS)}) AS binary_name FROM files
+  WHERE NOT list_has_any(list_slice(string_split(path, '/'), 1, -2), [{_list(C.SKIP_DIRECTORIES)}]))
+SELECT repo_id, path, CAST(strlen(body) AS BIGINT) AS size, binary_name AS is_binary, FALSE AS truncated, CASE WHEN NOT binary_name THEN length(body) END AS n_chars FROM kept""")
 
 
 def _snapshots(s: SparkSession, d: str) -> DataFrame:
-    """The folder of the tables themselves, read as one checked-out repository."""
-    root, _, name = d.rstrip("/").rpartition("/")
-    return snapshots.read_snapshots(s, root, name).select("repo_id", "file_pos", "path", "size", "is_binary", "truncated")
+    """The fleet's texts written as a folder of checked-out repositories, each one's texts in a file, then read by the snapshot source."""
+    root = f"{shared_folder(s)}/snapshots-{uuid.uuid4().hex}"
+    texts = T.files(s, d).select(F.regexp_replace("repo_id", "/", "-").alias("repo"), F.regexp_replace(F.coalesce("content", F.lit("")), "[\r\n]+", " ").alias("value"))
+    texts.repartition("repo").write.partitionBy("repo").text(root)
+    # the writer names files anew each time, so the names are left out here
+    return snapshots.read_snapshots(s, root, "repo=*", max_file_size=64 << 20).select("repo_id", "size", "is_binary", "truncated", F.length("content").alias("n_chars"))
 
 
-add("s1_read_snapshots", _snapshots)
+add("s1_read_snapshots", _snapshots, f"""
+WITH {T.FILES_SQL}, texts AS (SELECT 'repo=' || replace(repo_id, '/', '-') AS repo_id, regexp_replace(coalesce(content, ''), '[\r\n]+', ' ', 'g') AS value FROM files)
+SELECT repo_id, CAST(sum(strlen(value) + 1) AS BIGINT) AS size, FALSE AS is_binary, FALSE AS truncated, CAST(sum(length(value) + 1) AS INT) AS n_chars FROM texts GROUP BY repo_id""")

@@ -1,16 +1,36 @@
-"""Results that several later steps read, written once."""
+"""Results that several later steps read, written once to a folder that the whole cluster shares."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, ``spark.checkpoint.dir``.
+
+    Where the session names none, a local folder is set if Spark runs in this one process (tests); on a cluster that is an error, as executors
+    would write where neither the driver nor other executors can read.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return context.getCheckpointDir()
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's ``spark.checkpoint.dir``; only where none is set (tests) a local folder is taken."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    """``df`` written once to the shared folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` are at most ``most``, else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows <= most else df

@@ -1,6 +1,7 @@
 """Report sinks: one JSON, SARIF or Markdown document per repository.
 
-``results`` are rows of ``plans.audit.audit``. ``max_findings`` bounds what one report row gathers; None takes all.
+``results`` are rows of ``plans.audit.audit``. ``max_findings`` bounds what one report row gathers, worst first (a code-scanning upload takes no more
+than some thousands anyway); None takes all.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def to_json_report(results: DataFrame) -> DataFrame:
     return results.select("repo_id", F.to_json(F.struct(*(c for c in results.columns if c != "repo_id")), {"ignoreNullFields": "false"}).alias("report"))
 
 
-def to_sarif(findings: DataFrame, max_findings: int | None = None) -> DataFrame:
+def to_sarif(findings: DataFrame, max_findings: int | None = 10_000) -> DataFrame:
     """(repo_id, report): a SARIF 2.1.0 document with one run."""
     if max_findings is not None:
         findings = scoring.sort_findings(findings).where(F.col("place") <= max_findings).drop("place")

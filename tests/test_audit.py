@@ -4,6 +4,8 @@ import io
 import json
 import tarfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from repoaudit import catalogs as C
@@ -197,14 +199,68 @@ def test_risk_over_all_findings(spark):
         grave |= {str(r["user_id"])} if r["event_type"] in ("error", "purchase") and r["event_id"] % 6 < 2 else set()
     want = {k: "Critical" if k in critical else "High" if k in grave or t < 45 else "Medium" if t < 65 else "Low" for k, t in trust.items()}
     assert got == want and "Critical" in want.values()
-    part = {r["repo_id"]: r["risk"] for r in queries.QUERIES["g3_risk_level"](spark, sf).collect()}
-    assert sum(part[k] != "Critical" for k in want if want[k] == "Critical") > 0
+    days = {r["repo_id"]: r["risk"] for r in queries.QUERIES["g3_risk_level"](spark, sf).collect()}
+    events = {(f"{r['user_id']}@{r['ts']:%Y-%m-%d}", r["event_type"] == "purchase") for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    assert {k for k, v in days.items() if v == "Critical"} == {k for k, bought in events if bought and k.split("@")[0] in trust} and len(set(days.values())) == 4
 
 
 def test_extract_versions_of_all_lockfiles(spark):
     sf = "/root/testdata/sf0.001"
     run = lambda q: {tuple(r) for r in queries.QUERIES[q](spark, sf).collect()}
-    got, part = run("d11_extract_versions_all"), run("d11_extract_versions")
     trees = {r["repo_id"] for r in queries.T.files(spark, sf).where("path = 'legacy/package-lock.json' AND content <> ''").collect()}
     want = {(repo, "npm", name, version, "legacy/package-lock.json") for repo in trees for name, version in (("x", "1.1.0"), ("y", "2.2.0"))}
-    assert trees and got == part | want and not want & part
+    got = run("d11_extract_versions_all")
+    assert trees and got == run("d11_extract_versions") and want < got
+
+
+def test_limits_of_the_audit_are_the_callers(spark, files):
+    """A large lockfile keeps all its advisories, unless the caller sets limits; an unreadable source gives a note."""
+    pins = "\n".join(f"p{i}==1.0" for i in range(1200))
+    df = files(("requirements.txt", pins))
+    adv = spark.createDataFrame([("PyPI", f"p{i}", "1.0", f"V{i}-{j}", j) for i in (0, 1100, 1199) for j in range(12)], "ecosystem string, name string, version string, vuln_id string, vuln_pos int")
+    details = spark.createDataFrame([("V1199-11", "s", "d", "CRITICAL")], "vuln_id string, summary string, details string, severity_label string")
+    repos = spark.createDataFrame([("r", "n", "github", False, "MIT", "2001-07-01 00:00:00", 0)], "repo_id string, name string, kind string, archived boolean, license string, pushed_at string, open_issues long")
+    docs, cov = health.documentation_score(df), health.coverage(df, spark.createDataFrame([("r", 1, False, False, None)], "repo_id string, intended long, cap_reached boolean, deep boolean, source_files_in_repo long"))
+    as_of = F.lit("2001-08-01 00:00:00").cast("timestamp")
+
+    def found(**limits):
+        rows = audit.findings_of(df, repos, docs, cov, as_of, adv, details, **limits).where("category = 'dependency' OR rule_id = 'DEP000'").collect()
+        return {r["rule_id"]: r["severity"] for r in rows}
+
+    everything = found()
+    assert len(everything) == 36 and everything["V1199-11"] == "high"
+    assert set(found(max_queries=1000)) == {f"V0-{j}" for j in range(12)} and len(found(max_per_dep=10)) == 30
+    assert found(max_details=5)["V1199-11"] == "medium"
+    status = spark.createDataFrame([("r", False)], "repo_id string, available boolean")
+    assert found(advisory_status=status) == {"DEP000": "info"} and len(found(advisory_status=status.withColumn("available", F.lit(True)))) == 36
+
+
+def test_hot_pins_are_salted(spark, monkeypatch):
+    d = spark.createDataFrame([(f"r{i}", 1, "npm", "a", "1", "lock") for i in range(200)], "repo_id string, dep_pos long, ecosystem string, name string, version string, source string")
+    adv = spark.createDataFrame([("npm", "a", "1", "V", 0), ("npm", "b", "1", "W", 0)], "ecosystem string, name string, version string, vuln_id string, vuln_pos int")
+    plain = sorted(map(tuple, advisories.match_advisories(d, adv).collect()))
+    monkeypatch.setattr(advisories, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, advisories.match_advisories(d, adv).collect())) == plain and len(plain) == 200
+
+
+def test_own_catalogues(spark, files):
+    df = files(("build.zig", "x"), ("a.zig", ""), ("package.json", '{"dependencies": {"left": "1"}}'))
+    assert [tuple(r) for r in deps.detect_manifests(df, (("build.zig", "zig", "Zig"),)).collect()] == [("r", "build.zig", "zig", "Zig")]
+    assert {r["lang"]: r["n"] for r in tech.language_counts(df, (("build.zig", "Zig"),), ((".zig", "Zig"),)).collect()} == {"Zig": 7}
+    kind = tech.all_deps(df).first()["kind"]
+    assert [r["name"] for r in tech.match_frameworks(tech.all_deps(df), ((kind, "Left", "Framework", ("left",)),)).collect()] == ["Left"]
+
+
+def test_checkpoint_folder_is_never_guessed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from repoaudit.plans import saved
+
+    context = lambda master: SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+    session = lambda master, folder=None: SimpleNamespace(sparkContext=context(master), conf=SimpleNamespace(get=lambda key, default: folder))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            saved.shared_folder(session(master))
+        saved.shared_folder(session(master, "hdfs://x/y"))
+    for master in ("local", "local[4]", "local[*]"):
+        saved.shared_folder(session(master))
