@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.saved import broadcast_if, saved, shared_folder  # noqa: F401  for the other modules
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared checkpoint folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, ``spark.checkpoint.dir``.
-
-    Where the session names none, a local folder is set if Spark runs in this one process (tests); on a cluster that is an error, as executors
-    would write where neither the driver nor other executors can read.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return context.getCheckpointDir()
-
-
-def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` are at most ``most``, else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def id_crc32(doc_id: Column) -> Column:
     """crc32 of the id written as decimal text."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -69,13 +69,6 @@ def bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def distinct(idx: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The distinct values of ``idx``; ``seen`` is a scratch array of the number of buckets."""
-    order = np.arange(len(idx), dtype=np.int32)
-    seen[idx] = order
-    return idx[seen[idx] == order]
-
-
 def grams(text: str | None, bits: int, sizes: tuple[int, ...], words: bool) -> np.ndarray:
     """Buckets, with repeats, of character n-grams of the ``sizes``, and of words and pairs of neighbouring words."""
     c = points(text)
@@ -86,6 +79,21 @@ def grams(text: str | None, bits: int, sizes: tuple[int, ...], words: bool) -> n
     return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
+#: Numbers of occurrences from which on an n-gram has a further indicator.
+LEVELS = (4, 16)
+
+
+def indicators(text: str | None, bits: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """The distinct buckets of a text's character and word n-grams, in order, and those of their occurring ``LEVELS`` times or more."""
+    found = np.sort(grams(text, bits, sizes, True))
+    if not len(found):
+        return found
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    count, found = np.diff(np.append(first, len(found))), found[first]
+    often = [bucket(mix(found[count >= k].astype(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)), bits) for k in LEVELS]
+    return np.unique(np.concatenate([found, *often]))
+
+
 def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve that turns margins into probabilities (Newton steps on smoothed targets).
 

@@ -32,6 +32,8 @@ UNKNOWN = "und"
 #: Share of rightly predicted held-back rows that the rejection may lose, and the highest bound it may set.
 LOST, MOST = 0.004, 0.9
 HELD = 3
+#: Least passes over the sample, and least gradient steps, for small samples of many languages.
+EPOCHS, STEPS = 6, 12_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ def _rows(documents: DataFrame, max_rows: int) -> list[tuple[str, np.ndarray, np
     return [(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in got]
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, seed: int = 5) -> Model:
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
         return Model((), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, 0.0)
@@ -73,6 +75,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
     W, bias = np.zeros((DIM, len(languages))), np.zeros(len(languages))
     y = np.array([languages.index(r[0]) for r in rows])
     train = [i for i in range(len(rows)) if i % HELD] or list(range(len(rows)))
+    epochs = max(epochs, -(-STEPS // len(train)))
     total = epochs * len(train)
     done = 0
     for _ in range(epochs):

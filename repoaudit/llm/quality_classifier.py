@@ -1,6 +1,6 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Character n-gram and word n-gram indicators, hashed to a fixed number of buckets, are scaled by class log-count ratios; a
+Character n-gram and word n-gram indicators (that a text holds an n-gram, and that it does so several times), hashed to a fixed number of buckets, are scaled by class log-count ratios; a
 linear hinge-loss model is then fitted to the scaled, length-normalised indicators by dual coordinate descent, and
 its margins are turned into probabilities by a logistic curve fitted on out-of-fold margins.
 
@@ -59,10 +59,8 @@ def sparse_rows(
     docs = docs.groupBy("doc_id", "y", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make():
-        seen = np.zeros(1 << bits, np.int32)
-
         def row(text):
-            idx = np.sort(X.distinct(X.grams(text, bits, sizes, True), seen)).astype("<i4")
+            idx = X.indicators(text, bits, sizes).astype("<i4")
             return len(idx), idx.tobytes()
 
         return row
@@ -135,11 +133,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, bits: int = B
 
 def scorer(model: Model, bits: int = BITS, sizes: tuple[int, ...] = SIZES):
     """The function that scores one text."""
-    seen = np.zeros(1 << bits, np.int32)
     scaled, squares = (model.weights * model.ratios).astype(np.float64), (model.ratios * model.ratios).astype(np.float64)
 
     def score(text: str | None) -> float:
-        idx = X.distinct(X.grams(text, bits, sizes, True), seen)
+        idx = X.indicators(text, bits, sizes)
         margin = float(scaled[idx].sum()) * _scale(float(squares[idx].sum())) + model.bias
         return X.sigmoid(model.slope * margin + model.offset)
 

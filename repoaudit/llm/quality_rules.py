@@ -1,6 +1,6 @@
 """Quality rules: exact text statistics with fixed limits, and a hashed n-gram logistic regression beside them.
 
-The regression reads indicators of character 2- to 4-grams, words and pairs of words, hashed to a fixed number of buckets. It is
+The regression reads indicators of character 2- to 4-grams, words and pairs of words (held, and held several times), hashed to a fixed number of buckets. It is
 fitted by adaptive stochastic gradient steps to a bounded sample of labelled rows (``max_rows``, evenly by class), calibrated by a
 logistic curve on out-of-fold margins, and scored in Arrow batches against the fixed ``KEEP_AT``. The sample's bounds are those of the quality classifier.
 
@@ -119,13 +119,12 @@ def judge(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
     """``keep`` columns (doc_id if not given) with the statistics, base_failed, kept and probability."""
 
     def make():
-        seen = np.zeros(1 << BITS, np.int32)
         weights = model.weights.astype(np.float64)
 
         def row(text):
             s = statistics(text)
             failed = s[0] < MIN_WORDS or 100 * s[4] > MAX_REPEATED_PERCENT * s[0]
-            idx = X.distinct(X.grams(text, BITS, SIZES, True), seen)
+            idx = X.indicators(text, BITS, SIZES)
             p = X.sigmoid(model.slope * (float(weights[idx].sum()) * _size(len(idx)) + model.bias) + model.offset) if model.fitted else 1.0
             return *s, failed, not failed and p >= KEEP_AT, p
 
