@@ -2,8 +2,9 @@
 
 Documents become token ids and one end id; only longer ones than a sequence are cut, into whole sequences with a shorter first piece.
 Whole pieces are sequences of their own. The rest is dealt by hash into blocks of about ``BLOCK`` pieces. Each block evolves on
-several islands: an individual is a grouping of the block's pieces into bins; crossover injects whole well-filled bins of one
-parent into the other, removes the bins that held any of their pieces, and best-fits the displaced pieces, longest first. After each
+several islands: an individual is a grouping of the block's pieces into bins; crossover injects whole bins of the better filled half of one
+parent into the other, removes the bins that held any of their pieces, and best-fits the displaced pieces, longest first; mutation empties some bins more,
+emptier ones rather. An epoch ends at ``CHILDREN`` births, at ``PATIENCE`` births without a better best, or when the bound by tokens is met. After each
 epoch every island's best individual, its elite, migrates to the next island of the ring. From a block's best individual the
 well-filled bins stay; pieces of the others are dealt anew in the next round, until one block is left or the rounds end.
 
@@ -32,8 +33,10 @@ END = 0
 BLOCK = 2000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-CHILDREN = 16
+POPULATION = 6
+CHILDREN = 64
+PATIENCE = 16
+MUTATED = 24
 ROUNDS = 4
 WELL_FILLED = 0.995
 
@@ -84,28 +87,27 @@ def fitness(lengths: np.ndarray, bins: np.ndarray) -> tuple[int, float]:
 
 def crossover(lengths: np.ndarray, mother: np.ndarray, father: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     fill = np.bincount(father, weights=lengths)
-    good = np.flatnonzero(fill >= WELL_FILLED * capacity)
-    chosen = good[rng.random(len(good)) < rng.uniform(0.05, 0.4)]
-    injected = np.isin(father, chosen)
-    hit = np.zeros(int(mother.max()) + 1, np.bool_)
-    hit[mother[injected]] = True
+    used = np.flatnonzero(fill)
+    good = used[fill[used] >= np.median(fill[used])]
+    injected = np.isin(father, good[rng.random(len(good)) < rng.uniform(0.05, 0.5)])
     own = np.bincount(mother, weights=lengths)
-    poor = np.flatnonzero((own > 0) & (own < WELL_FILLED * capacity))
-    if len(poor):  # mutation: some poorly filled bins are emptied too
-        hit[rng.choice(poor, size=min(len(poor), int(rng.integers(1, 9))), replace=False)] = True
+    emptied = np.zeros(len(own), np.bool_)
+    emptied[mother[injected]] = True
+    used = np.flatnonzero(own)
+    spare = capacity - own[used] + 1
+    emptied[rng.choice(used, size=min(len(used), int(rng.integers(1, MUTATED + 1))), replace=False, p=spare / spare.sum())] = True
     child = mother.copy()
-    displaced = hit[mother] & ~injected
+    displaced = emptied[mother] & ~injected
     child[injected] = len(own) + father[injected]
     child[displaced] = -1
-    used = child[~displaced]
-    labels, dense = np.unique(used, return_inverse=True)
+    labels, dense = np.unique(child[~displaced], return_inverse=True)
     child[~displaced] = dense
     room = dict(enumerate((capacity - np.bincount(dense, weights=lengths[~displaced], minlength=len(labels))).astype(np.int64).tolist()))
     best_fit(lengths, np.flatnonzero(displaced), child, room, capacity)
     return child
 
 
-def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, children: int = CHILDREN) -> np.ndarray:
+def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int, population: int = POPULATION, children: int = CHILDREN, patience: int = PATIENCE) -> np.ndarray:
     """The best grouping found; ``lengths`` stand in descending order, ``seeds`` are groupings to start from."""
     rng = np.random.default_rng(seed)
     people = list(seeds)
@@ -116,15 +118,17 @@ def evolve(lengths: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: in
         people.append(bins)
     rated = sorted(((fitness(lengths, p), k, p) for k, p in enumerate(people)), key=lambda x: x[:2], reverse=True)
     least = -(-int(lengths.sum()) // capacity)
-    born = len(rated)
+    born, since = len(rated), 0
     for _ in range(children):
-        if -rated[0][0][0] <= least:
+        if -rated[0][0][0] <= least or since >= patience:
             break
+        best = rated[0][0]
         a, b = rng.choice(len(rated), 2, replace=False)
         child = crossover(lengths, rated[min(a, b)][2], rated[max(a, b)][2], capacity, rng)
         rated.append((fitness(lengths, child), born, child))
         born += 1
         rated = sorted(rated, key=lambda x: x[:2], reverse=True)[:population]
+        since = 0 if rated[0][0] > best else since + 1
     return rated[0][2]
 
 

@@ -1,8 +1,9 @@
 """Token ids of the byte-level tokenizer file, as the tokenizers library gives them.
 
 The ``tiktoken`` ranks of the same vocabulary give the same ids some four times faster, so they are used for texts made only of characters
-that both libraries class alike in every Unicode version: ASCII, Latin, Greek, Cyrillic and common punctuation. Any other text
-goes to the tokenizers library itself; a test compares the two.
+that both libraries class alike in every Unicode version: ASCII, Latin, Greek, Cyrillic and common punctuation. Any other text, and any that holds
+the string of an added token (which the library gives that token's id), goes to the tokenizers library itself; a test compares the ids with a plain
+``Tokenizer.from_file``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 import numpy as np
 
 #: Anything outside these ranges takes the tokenizers library.
-_OTHER = re.compile("[^\\t-\\r\\x20-\\x7e\\xa1-\\u024f\\u0391-\\u03a1\\u03a3-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
+_OTHER = "[^\\t-\\r\\x20-\\x7e\\xa1-\\u024f\\u0391-\\u03a1\\u03a3-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]"
 
 
 class ByteBpe:
@@ -23,7 +24,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_file)
-        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.other = re.compile("|".join([_OTHER, *(re.escape(t.content) for t in self.exact.get_added_tokens_decoder().values())]))
         self.fast = None
         if ranks_file and pattern:
             import tiktoken
@@ -41,6 +42,6 @@ class ByteBpe:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        if self.fast is not None and not _OTHER.search(text):
+        if self.fast is not None and not self.other.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
