@@ -2,11 +2,10 @@
 
 The model file's protobuf is parsed here (pieces with scores and types, model type, normaliser settings), and the library's
 parts are rebuilt from it: the normaliser (character map, spaces, the metaspace marker), a unigram model with its scores or a
-BPE model with merges ranked by score, byte fallback, and the decoder. Where the vocabulary proves that no piece crosses the start of a
-marked word, texts are cut there first, so each distinct word of a batch is encoded once, in multithreaded batches, and kept for later batches of the task.
+BPE model with merges ranked by score, byte fallback, and the decoder. Whole texts are encoded and decoded by the library in multithreaded batches.
 
-Parity is verified for every row against the sentencepiece library: ``parity`` says whether ids and decoded text are equal, and where they differ
-the ids of sentencepiece are returned.
+Parity is verified for every row: the sentencepiece library encodes the same whole text and decodes the ids, and ``parity`` says whether ids and decoded
+text are both equal. Where they differ, ids and text of sentencepiece are returned.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows and null ids are encoded each; other
 columns of the input are not read.
@@ -29,7 +28,7 @@ from .common import slices, table
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT_WORDS = 400_000
+UNKNOWN_SURFACE = " \u2047 "
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -93,125 +92,63 @@ def merges_of(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for _, a, b in found]
 
 
-def words_stand_alone(pieces: list[tuple[str, float, int]]) -> bool:
-    """True if no piece holds a marker behind another character: then no piece crosses the start of a marked word."""
-    return not any(MARK in p.lstrip(MARK) for p, _, kind in pieces if kind in (NORMAL, USER))
-
-
 class Codec:
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str | None = None, data: bytes | None = None):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-        with open(model_file, "rb") as f:
-            data = f.read()
+        if data is None:
+            with open(model_file, "rb") as f:
+                data = f.read()
         m = parse_model(data)
-        self.pieces = m["pieces"]
-        unk = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
+        pieces = m["pieces"]
+        unk = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         if m["type"] == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=unk, byte_fallback=m["byte_fallback"])
+            # control pieces stand for no text, so theirs becomes one that texts don't hold; byte pieces get a score that no path prefers
+            least = min((s for _, s, kind in pieces if kind in (NORMAL, USER)), default=0.0) - 20
+            named = [("\U0010ffff" + p if kind in (CONTROL, UNUSED) else p, s if kind in (NORMAL, USER) else least) for p, s, kind in pieces]
+            model = models.Unigram(named, unk_id=unk, byte_fallback=m["byte_fallback"])
         elif m["type"] == BPE:
-            vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            model = models.BPE(vocab, merges_of(self.pieces), unk_token=self.pieces[unk][0], fuse_unk=True, byte_fallback=m["byte_fallback"])
+            vocab = {p: i for i, (p, _, _) in enumerate(pieces)}
+            model = models.BPE(vocab, merges_of(pieces), unk_token=pieces[unk][0], fuse_unk=True, byte_fallback=m["byte_fallback"])
         else:
             raise ValueError("a unigram or BPE model is needed")
         steps = [normalizers.Precompiled(m["charsmap"])] if m["charsmap"] else []
         if m["remove_extra"]:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         if m["dummy_prefix"]:
             steps.append(normalizers.Prepend(MARK if m["escape"] else " "))
         if m["escape"]:
             steps.append(normalizers.Replace(" ", MARK))
-        self.normalizer = normalizers.Sequence(steps)
         self.tokenizer = Tokenizer(model)
-        ends = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        self.tokenizer.decoder = decoders.Sequence(ends + ([decoders.Strip(" ", 1, 0)] if m["dummy_prefix"] else []))
-        #: without a character map and space removal, normalising is marking the spaces, which str does as well
+        #: without a character map and space removal, normalising is marking the spaces, which str.replace does some times faster
         self.plain = not m["charsmap"] and not m["remove_extra"] and m["escape"]
         self.prefix = MARK if m["dummy_prefix"] else ""
-        self.surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
-        self.split = words_stand_alone(self.pieces)
-        self.split = self.split and self.plain and bool(self.prefix)
-        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.pieces])
-        #: ids by word without its first marker, as bytes, and the words in which the two libraries differ
-        self.words: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
+        if not self.plain:
+            self.tokenizer.normalizer = normalizers.Sequence(steps)
+        ends = [decoders.ByteFallback()] if m["byte_fallback"] else [decoders.Replace(pieces[unk][0], UNKNOWN_SURFACE)]
+        ends += [decoders.Fuse(), decoders.Replace(MARK, " ")]
+        self.tokenizer.decoder = decoders.Sequence(ends + ([decoders.Strip(" ", 1, 0)] if m["dummy_prefix"] else []))
         self.reference = SentencePieceProcessor(model_proto=data)
 
-    def marked(self, text: str) -> str:
-        return self.prefix + text.replace(" ", MARK) if self.plain else self.normalizer.normalize_str(text)
-
-    def encode_batch(self, texts: list[str], threads: int = 2) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text by the tokenizers library, and whether they equal sentencepiece's."""
-        if not self.split:
-            ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([self.marked(t) if t else "" for t in texts], add_special_tokens=False)]
-            want = [np.array(w, "<u4") for w in self.reference.encode(texts, num_threads=threads)]
-            same = [np.array_equal(i, w) for i, w in zip(ids, want)]
-            return [i if ok else w for i, w, ok in zip(ids, want, same)], same
-        cut = [words_of(t) for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.unequal = {}, set()
-        self._learn(list(set().union(*cut).difference(self.words)), threads)
-        get = self.words.__getitem__
-        ids = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in cut]
-        same = [not (self.unequal and self.unequal.intersection(words)) for words in cut]
-        for k in (k for k, ok in enumerate(same) if not ok):
-            ids[k] = np.array(self.reference.encode(texts[k]), "<u4")
-        return ids, same
-
-    def _learn(self, new: list[str], threads: int) -> None:
-        """Encodes words many at a time: as no piece crosses a word's start, the ids of the joined text fall into those of its words."""
-        simple = [w for w in new if w and MARK not in w]
-        groups = [simple[k : k + 64] for k in range(0, len(simple), 64)]
-        groups += [[w] for w in new if not w or MARK in w]  # their markers form runs
-        encoded = self.tokenizer.encode_batch_fast([MARK + MARK.join(g) for g in groups], add_special_tokens=False)
-        want = self.reference.encode([" ".join(g).replace(MARK, " ") for g in groups], num_threads=threads)
-        for g, e, w in zip(groups, encoded, want):
-            ids = np.array(e.ids, "<u4")
-            starts = np.flatnonzero(self.opens[ids]) if len(g) > 1 else np.zeros(1, np.int64)
-            if len(starts) == len(g) and e.ids == w:
-                raw, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-                self.words.update((x, raw[a:b]) for x, a, b in zip(g, edges, edges[1:]))
-            elif len(g) == 1:
-                self.words[g[0]] = ids.tobytes()
-                if e.ids != w and g[0]:
-                    self.unequal.add(g[0])
-            else:  # one word of these is special: each by itself
-                for x in g:
-                    own = self.tokenizer.encode(MARK + x, add_special_tokens=False).ids
-                    self.words[x] = np.array(own, "<u4").tobytes()
-                    if own != self.reference.encode(x):
-                        self.unequal.add(x)
-
-    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
-        """Texts of id lists: the pieces' bytes joined; where these aren't valid UTF-8, the library's decoder decides."""
-        get, out = self.surface.__getitem__, []
-        for one in ids:
-            one = one.tolist()
-            try:
-                text = b"".join(map(get, one)).decode()
-                out.append(text[1:] if self.prefix and text[:1] == " " else text)
-            except UnicodeDecodeError:
-                out.append(self.tokenizer.decode(one, skip_special_tokens=False))
-        return out
-
-
-def words_of(text: str) -> list[str]:
-    """The words of a text, each without its first marker or space; further markers and spaces before a word are markers of it."""
-    if not text:
-        return []
-    if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    out, run = [], 0
-    for part in text.replace(" ", MARK).split(MARK):  # before each part stands one marker
-        if part:
-            out.append(MARK * run + part)
-            run = 0
-        else:
-            run += 1
-    if run:
-        out.append(MARK * (run - 1))
-    return out
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each whole text by the tokenizers library."""
+        full = [t for t in texts if t]
+        if self.plain:
+            full = [self.prefix + t.replace(" ", MARK) for t in full]
+        ids = iter(self.tokenizer.encode_batch_fast(full, add_special_tokens=False))
+        return [next(ids).ids if t else [] for t in texts]
+
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+    def round_trip(self, texts: list[str], threads: int = 2) -> list[tuple[list[int], str, bool]]:
+        """Ids, decoded text and parity with sentencepiece of each text."""
+        ids = self.encode_batch(texts)
+        decoded = self.decode_batch(ids)
+        want = self.reference.encode(texts, num_threads=threads)
+        said = self.reference.decode(want, num_threads=threads)
+        return [(i, d, True) if i == w and d == s else (w, s, False) for i, d, w, s in zip(ids, decoded, want, said)]
 
 
 def encode(documents: DataFrame, model_file: str, threads: int = 2) -> DataFrame:
@@ -224,12 +161,11 @@ def encode(documents: DataFrame, model_file: str, threads: int = 2) -> DataFrame
         for batch in batches:
             codec = codec or Codec(model_file)
             for part in slices(batch, 2 << 20):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids, same = codec.encode_batch(texts, threads)
-                decoded = codec.decode_batch(ids)
+                rows = codec.round_trip([t or "" for t in part.column("text").to_pylist()], threads)
+                ids = [np.array(i, "<i4") for i, _, _ in rows]
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
+                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                columns = [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array([d for _, d, _ in rows], pa.string()), pa.array([same for _, _, same in rows], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "ids_crc32", "decoded", "parity"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, ids_crc32 long, decoded string, parity boolean")
