@@ -2,12 +2,13 @@
 
 A listed entry is a host and a path prefix; it fits its host and all subdomains of it, for URLs whose path starts with its
 path. So a URL hits an entry exactly if one of its probes, a suffix of its host at a label border joined with a
-prefix of its path, is listed. Probes are made only for path lengths that the list has. The filter is a table of
+prefix of its path, is listed. Probes are made only for pairs of host and path lengths that the list has, so the work for a URL is linear in its
+length for each such host length, whatever its number of labels. The filter is a table of
 blocks: an entry's hash names one block and sets ``BITS_PER_KEY`` of its 256 bits, held as four longs. Probes whose bits are
 not all set in their block are dropped; the rest meet the list in an exact equality join, which removes the false positives.
 
-The filter is broadcast where its exact number of blocks is within ``MAX_BROADCAST_BLOCKS`` and joined by shuffle otherwise.
-All of it is DataFrame expressions.
+The filter is broadcast where its exact number of blocks is within ``MAX_BROADCAST_BLOCKS`` and joined by shuffle otherwise; likewise the list, and the
+table of lengths, whose shuffled join is salted. In shuffled joins adaptive execution splits the probes of a hot block or entry. All of it is DataFrame expressions.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and gets the default verdict; entries with a null part are
 ignored; an entry listed twice counts once, and as ``block`` if the verdicts differ; of entries that fit, the longest host
@@ -19,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import broadcast_if, saved, table
 
 BITS_PER_KEY = 6
 KEYS_PER_BLOCK = 16
 MAX_BROADCAST_BLOCKS = 1 << 18  # 10 MB of blocks
-MAX_PATH_LENGTHS = 256
+MAX_BROADCAST_KEYS = 100_000
+MAX_BROADCAST_LENGTHS = 1 << 20  # pairs of two numbers
+SALTS = 64
 DEFAULT = "allow"
 
 #: Verdict, host, path.
@@ -62,30 +65,45 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
 
 def might_be_listed(probes: DataFrame, bloom: DataFrame, blocks: int, n_keys: int) -> DataFrame:
     """The rows of ``probes`` whose ``key`` has all its bits set in the filter."""
-    hint = F.broadcast(bloom) if min(blocks, n_keys) <= MAX_BROADCAST_BLOCKS else bloom
+    hint = broadcast_if(bloom, min(blocks, n_keys), MAX_BROADCAST_BLOCKS)
     hit = _hashed(probes, blocks).join(hint, "bloom_block").where(" AND ".join(f"(b{w} & w{w}) = b{w}" for w in range(4)))
     return hit.select(*probes.columns)
 
 
+def _probes(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(row, host_len, path_len, key): each row's host suffixes and path prefixes of lengths that stand together in the list.
+
+    The distinct host lengths of the list are numbers up to its longest host, so an array of them fits in a row; the path lengths that go with each
+    are joined.
+    """
+    pairs = saved(listed.select("host_len", "path_len").distinct())
+    hosts = pairs.agg(F.sort_array(F.collect_set("host_len"))).first()[0]
+    lengths = F.array(*(F.lit(n) for n in hosts)).cast("array<int>")
+    # a suffix counts if it is the whole host or stands behind a dot
+    border = lambda n: (F.length("host") == n) | ((F.length("host") > n) & (F.col("host").substr(-n - 1, F.lit(1)) == "."))
+    probed = rows.where("host <> ''").select("row", "host", "path", F.explode(F.filter(lengths, border)).alias("host_len"))
+    by_host = pairs.groupBy("host_len").agg(F.collect_set("path_len").alias("path_lens"))
+    if pairs.count() <= MAX_BROADCAST_LENGTHS:
+        probed = probed.join(F.broadcast(by_host), "host_len")
+    else:
+        salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        probed = probed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["host_len", "salt"])
+    probed = probed.select("row", "host", "path", "host_len", F.explode(F.filter("path_lens", lambda n: n <= F.length("path"))).alias("path_len"))
+    return probed.select("row", "host_len", "path_len", F.expr("concat(substring(host, -host_len, host_len), substring(path, 1, path_len))").alias("key"))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict) of every row of ``pages`` under ``rules`` (verdict, host, path)."""
     listed = rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
     listed = saved(listed.select(F.concat("host", "path").alias("key"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), "verdict").groupBy("key", "host_len", "path_len").agg(F.max("verdict").alias("verdict")))
-    lengths = [r[0] for r in listed.select("path_len").distinct().limit(MAX_PATH_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_PATH_LENGTHS:
-        raise ValueError(f"more than {MAX_PATH_LENGTHS} lengths of listed paths")
     n_keys = listed.count()
     blocks = max(1, -(-n_keys // KEYS_PER_BLOCK))
     host, path = url_parts(url)
     # a running number tells repeated rows apart; it is written before it is used, so it stays the same
     rows = saved(pages.select(F.monotonically_increasing_id().alias("row"), F.col(key), host.alias("host"), path.alias("path")))
-    suffixes = F.expr("filter(transform(sequence(1, size(split(host, '[.]', -1))), i -> array_join(slice(split(host, '[.]', -1), i, 1000000), '.')), x -> x <> '')")
-    starts = F.array(*(F.lit(n).cast("int") for n in sorted(lengths))) if lengths else F.expr("cast(array() AS array<int>)")
-    probes = rows.select("row", F.explode(F.array_distinct(suffixes)).alias("suffix"), "path")
-    probes = probes.select("row", "suffix", "path", F.explode(starts).alias("n")).where(F.length("path") >= F.col("n"))
-    probes = probes.select("row", F.length("suffix").alias("host_len"), F.col("n").alias("path_len"), F.expr("concat(suffix, substring(path, 1, n))").alias("key"))
+    probes = _probes(rows, listed)
     hits = might_be_listed(probes, bloom_filter(listed, blocks), blocks, n_keys)
-    exact = F.broadcast(listed) if n_keys <= 100_000 else listed
+    exact = broadcast_if(listed, n_keys, MAX_BROADCAST_KEYS)
     found = hits.join(exact, ["key", "host_len", "path_len"]).groupBy("row").agg(
         F.max(F.struct((F.col("host_len") + F.col("path_len")).alias("len"), "host_len", F.col("key").alias("rule"), F.col("verdict"))).alias("best"))
     out = rows.join(found, "row", "left")
