@@ -2,16 +2,19 @@
 
 Each rule's regular expression is turned into a Boolean query over trigrams that any match must hold: a literal run asks for
 all its trigrams, an alternation for one of its branches, everything else asks for nothing. Documents are indexed once as postings
-(trigram, document) of the trigrams that the queries use, taken from the lower-cased text; intersecting and
-uniting the postings gives each rule's candidates, and only these are verified with the full expression. Rules whose
-query is empty scan every document. All of it is DataFrame and SQL expressions.
+(trigram, document) of the trigrams that the queries use, taken from the lower-cased text; a document is named by its id and a hash of its text, so
+no null or repeated id gathers the postings of many. Intersecting and uniting the postings gives each rule's candidates, and only these are verified with
+the full expression. Rules whose query is empty scan every document. All of it is DataFrame and SQL expressions.
+
+Candidates go to the texts, not the texts to them, while their counted number is within ``MAX_BROADCAST``; beyond it both meet in a shuffled join, in which the
+candidates are repeated for each of ``SALTS`` parts of the texts, so that copies of one text under one id are several tasks.
 
 Spans are code-point offsets (start, end exclusive) of leftmost non-overlapping matches per kind. To find them the text is marked
 before and behind each match and cut at the marks; the two mark characters are replaced in the text by another control
 character that no rule matches.
 
-Defined cases: a null text is empty; rows with a null id are scanned like others; repeated rows and rows of one id with different texts are scanned each (a
-candidate id makes all its rows candidates, and verification decides for each); other columns of the input are not read.
+Defined cases: a null text is empty; rows with a null id are scanned like others; repeated rows and rows of one id with different texts are scanned each;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
+MAX_BROADCAST = 250_000
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -66,7 +72,7 @@ def trigram_query(pattern: str) -> tuple:
     Follows the syntax tree of the standard library's parser. Runs of literals, possibly through groups with few
     alternatives, are joined before they are cut into trigrams.
     """
-    from re import _parser as P  # the parse tree of the standard library
+    from re import _parser as P  # the standard library's; it has no public name since the module sre_parse went
 
     def literals(tree) -> list[str] | None:
         """All texts that ``tree`` can match if these are few, else None."""
@@ -143,21 +149,21 @@ def _holds(query: tuple, found: str) -> Column:
 
 
 def postings(documents: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, doc_id): which documents hold which of ``trigrams``."""
-    low = documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    """(trigram, doc_id, th): which documents, told apart by id and hash of the text, hold which of ``trigrams``."""
+    low = documents.select("doc_id", F.xxhash64("text").alias("th"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     held = F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    return low.select("doc_id", "th", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, kinds): the rules with a trigram query that each document satisfies; documents without any are left out.
+    """(doc_id, th, kinds): the rules with a trigram query that each document satisfies; documents without any are left out.
 
-    A document has at most as many postings as the queries have trigrams, so gathering them by document is bounded.
+    A document has at most as many distinct postings as the queries have trigrams, so gathering them by document is bounded.
     """
-    found = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
+    found = index.groupBy("doc_id", "th").agg(F.collect_set("trigram").alias("held"))
     asked = [(r.kind, trigram_query(r.pattern)) for r in rules]
     kinds = F.filter(F.array(*(F.when(_holds(q, "held"), F.lit(k)) for k, q in asked if q != ("all",))), lambda k: k.isNotNull())
-    return found.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    return found.select("doc_id", "th", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
 def _sql(text: str) -> str:
@@ -197,8 +203,14 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, columns: list[st
     clean = F.when(F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")), F.translate(text, "\x01\x02", "\x03\x03")).otherwise(text)
     if indexed:
         trigrams = sorted({t for r in indexed for t in query_trigrams(asked[r.kind])})
-        found = saved(candidates(postings(documents, trigrams), rules)).withColumnRenamed("doc_id", "candidate")
-        rows = rows.join(found, rows["doc_id"].eqNullSafe(found["candidate"]), "left").drop("candidate")
+        found = saved(candidates(postings(documents, trigrams), rules)).withColumnsRenamed({"doc_id": "candidate", "th": "candidate_th"})
+        same = F.col("doc_id").eqNullSafe(F.col("candidate")) & (F.xxhash64("text") == F.col("candidate_th"))
+        if found.count() <= MAX_BROADCAST:
+            rows = rows.join(F.broadcast(found), same, "left")
+        else:
+            found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            rows = rows.join(found, same & (F.col("part") == F.col("salt")), "left")
     else:
         rows = rows.withColumn("kinds", F.expr("cast(array() AS array<string>)"))
     rows = rows.withColumn("clean", clean)
