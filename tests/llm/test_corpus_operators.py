@@ -110,6 +110,65 @@ def test_sharding(spark):
     assert sharding.interleave(df.limit(0)).count() == 0 and sharding.interleave(df.limit(3)).count() == 3
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, longs, and ints or booleans given as (value,)."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else int(v[0]).to_bytes(4, "little") if isinstance(v, tuple) else (v & (1 << 64) - 1).to_bytes(8, "little")
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def plain_places(rows, shards):
+    """(doc_id, crc, shard, slot) of rows (doc_id, text, source), ranked and sorted in one list."""
+    seed, by = sharding.SEED, {}
+    for doc_id, text, source in rows:
+        raw = (text or "").encode()
+        crc, size = zlib.crc32(raw), len(raw) + 16
+        by.setdefault(source, []).append((spark_hash((seed,), source or "", doc_id, crc, size) % (1 << 40), doc_id, crc, size))
+    out = []
+    for source, own in by.items():
+        phase = (spark_hash((seed,), "phase", source or "", (source is None,)) % (1 << 30) + 0.5) / (1 << 30)
+        tie = spark_hash((seed,), source)
+        out += [((k - phase) / len(own), tie - (1 << 64) if tie >> 63 else tie, h, doc_id, crc) for k, (h, doc_id, crc, _) in enumerate(sorted(own), 1)]
+    places = [(doc_id, crc, place * shards // len(out)) for place, (*_, doc_id, crc) in enumerate(sorted(out))]
+    first = {}
+    for place, (_, _, shard) in enumerate(places):
+        first.setdefault(shard, place)
+    return [(*p, place - first[p[2]]) for place, p in enumerate(places)]
+
+
+@pytest.mark.parametrize("rows_of", [4096, 10])
+def test_sharding_equals_a_plain_ranking(spark, monkeypatch, rows_of):
+    monkeypatch.setattr(sharding, "ROWS", rows_of)
+    monkeypatch.setattr(sharding, "SPANS", 4096 if rows_of > 10 else 3)
+    rows = [(i, None if i % 9 == 0 else "t" * (i % 50), None if i % 11 == 0 else f"s{i % 3}" if i % 2 else f"own{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.interleave(df).collect()]
+    assert sorted(got) == sorted(plain_places(rows, 40))
+
+
+@pytest.mark.parametrize("kind", ["sources", "rows", "both"])
+def test_ties_do_not_meet_in_one_task(spark, monkeypatch, kind):
+    """60 000 sources of one row each, or rows alike in everything, are dealt out like others: no group ranked in one task is large."""
+    n, most = 60_000, []
+    df = spark.range(n).selectExpr(*{
+        "sources": ("id AS doc_id", "'x' AS text", "concat('s', id) AS source"),
+        "rows": ("cast(NULL AS long) AS doc_id", "cast(NULL AS string) AS text", "'one' AS source"),
+        "both": ("id % 3 AS doc_id", "'x' AS text", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('s', id) END AS source"),
+    }[kind])
+    plain = sharding._numbered
+
+    def watched(rows, group, span, order):
+        most.append(rows.groupBy(*group, span).count().agg({"count": "max"}).first()[0])
+        return plain(rows, group, span, order)
+
+    monkeypatch.setattr(sharding, "_numbered", watched)
+    out = sharding.interleave(df).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert len(most) == 2 and max(most) <= 2 * sharding.ROWS and len(out) == 40 and all(r["count(1)"] == n // 40 == r["max(slot)"] + 1 for r in out)
+
+
 def test_sharding_in_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS", 10)
     monkeypatch.setattr(sharding, "SPANS", 3)

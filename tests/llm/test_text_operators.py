@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from repoaudit.llm import mpeg_audio, packing, secret_scans, sentencepiece_codec, tokens, url_filters
 
@@ -99,28 +102,65 @@ def test_bloom_filter_over_many_entries(spark):
     assert {r["verdict"] for r in url_filters.filter_urls(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_long_hosts_and_many_lengths(spark):
+    """A host of 100 KB takes seconds, and a list may have any number of lengths of hosts and paths."""
+    rng = random.Random(9)
+    rules = [("block", f"{'h' * (k % 40)}x.net", "/" + "p" * k) for k in range(300)] + [("block", "net", "/q")]
+    long = ".".join(["ab"] * 33_000) + ".org"
+    urls = [f"http://{long}/x", f"http://{long}", "http://a.net/q/1", "http://net/q"] + [f"http://s.{'h' * rng.randint(0, 40)}x.net/{'p' * rng.randint(0, 320)}/1" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame(rules, "verdict string, host string, path string")
+    began = time.time()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.filter_urls(pages, listed).collect()}
+    assert time.time() - began < 60 and got == {i: judged(u, rules) for i, u in enumerate(urls)} and sum(v[2] is not None for v in got.values()) > 50
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(pages, spark.createDataFrame(list(url_filters.RULES), listed.schema)).collect()}
+    assert got == {i: judged(u, url_filters.RULES)[3] for i, u in enumerate(urls)}
+
+
+def test_lists_too_large_to_broadcast(spark, monkeypatch):
+    for name in ("MAX_BROADCAST_BLOCKS", "MAX_BROADCAST_KEYS", "MAX_BROADCAST_LENGTHS"):
+        monkeypatch.setattr(url_filters, name, 0)
+    urls = [None, "http://a.Example.org/es/1", "http://com/de/", "http://x.com/fr/?a", "http://example.org/en/12", "http://b.org/x"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filters.filter_urls(pages, spark.createDataFrame(list(url_filters.RULES), "verdict string, host string, path string")).collect()
+    assert all((r["host"], r["path"], r["rule"], r["verdict"]) == judged(urls[r["page_id"]], url_filters.RULES) for r in got) and len(got) == 18
+
+
+def test_many_candidates_and_null_ids(spark, monkeypatch):
+    """Candidates beyond the broadcast, among them many rows without an id and rows that repeat one id."""
+    texts = [f"token = value{i:06d}" if i % 3 else f"nothing {i}" for i in range(60)]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts + texts[:5])], "doc_id long, text string")
+    monkeypatch.setattr(secret_scans, "MAX_BROADCAST", 0)
+    got = secret_scans.scan(docs, columns=["text"]).withColumn("said", secret_scans.joined("spans")).collect()
+    assert len(got) == 65 and all(r["said"] == brute(r["text"], secret_scans.RULES) for r in got)
+
+
 def test_fast_token_ids_equal_the_tokenizers_library(spark):
     bpe = tokens.ByteBpe.public()
     rng = random.Random(2)
     repertoire = [chr(c) for c in range(0x2100) if 0xD800 > c and not 0x370 <= c < 0x390]
     texts = ["".join(rng.choices(repertoire if i % 2 else repertoire[:0x250], k=80)) for i in range(300)] + ["a  b\n\n c\t\r\n", "<|endoftext|> it's 12 ½ \u0085x", "é́ 中文 \U0001f600"]
     texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    texts += ["<|endoftext|>", "a<|endoftext|> z", "<|endoftext|"]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for t in texts:
-        assert bpe.ids(t).tolist() == bpe.exact.encode(t, add_special_tokens=False).ids
-    assert not tokens._OTHER.search("plain, é – text\n") and tokens._OTHER.search("\u0085") and tokens._OTHER.search("\xa0")
+        assert bpe.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert bpe.ids("a<|endoftext|> z").tolist()[1] == 50256
+    assert not bpe.other.search("plain, é – text\n") and all(map(bpe.other.search, ("\u0085", "\xa0", "x<|endoftext|>")))
 
 
 def test_packing(spark):
     out = packing.op2_best_fit_packing(spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    bpe, ends, bins = tokens.ByteBpe.public(), {}, {}
+    library, ends, bins = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {}, {}
+    all_ids = {k: library.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
     for r in out:
-        ids = np.append(bpe.ids(texts[r["doc_id"]]), 0).astype("<u4")
+        ids = np.array([*all_ids[r["doc_id"]], 0], "<u4")
         part = ids[r["start"] : r["start"] + r["length"]]
         assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and len(part) == r["length"] <= 2048 and (r["piece"] == 0 or r["length"] == 2048)
         ends[r["doc_id"]] = ends.get(r["doc_id"], 0) + r["length"]
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    assert ends == {k: len(bpe.ids(t)) + 1 for k, t in texts.items()}
+    assert ends == {k: len(t) + 1 for k, t in all_ids.items()}
     for b in bins.values():
         assert all(a + n == c for (a, n), (c, _) in zip(sorted(b), [*sorted(b)[1:], (sum(x[1] for x in b), 0)])) and sum(x[1] for x in b) <= 2048
     assert len(bins) <= -(-sum(ends.values()) // 2048) + 1
@@ -146,6 +186,44 @@ def test_genetic_steps_keep_every_item():
     assert (child >= 0).all() and np.bincount(child, weights=lengths).max() <= 2048
 
 
+def test_crossover_beats_best_fit_decreasing():
+    """Instances with slack: triples that fill bins exactly, and lengths of which few fit together."""
+    rng = np.random.default_rng(0)
+    triples = []
+    for _ in range(60):
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers((2048 - a) * 0.42, (2048 - a) * 0.5))
+        triples += [a, b, 2048 - a - b]
+    for lengths in (np.array(triples), rng.integers(300, 900, 200), rng.integers(400, 1000, 2000)):
+        lengths = np.sort(lengths)[::-1].copy()
+        plain = np.full(len(lengths), -1, np.int64)
+        packing.best_fit(lengths, np.arange(len(lengths)), plain, {}, 2048)
+        alone = packing.evolve(lengths, [], 2048, 3, children=0)
+        bred = packing.evolve(lengths, [], 2048, 3, children=300, patience=300)
+        bins = [len(np.unique(x)) for x in (plain, alone, bred)]
+        assert bins[2] < bins[1] <= bins[0] and np.bincount(bred, weights=lengths).max() <= 2048, bins
+
+
+def test_islands_beat_best_fit_decreasing(spark):
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(400, 1000, 1500)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "row_id long, length long")
+    rows = packing.pack(items, block=500).collect()
+    order = np.sort(lengths)[::-1].copy()
+    plain = np.full(len(order), -1, np.int64)
+    packing.best_fit(order, np.arange(len(order)), plain, {}, 2048)
+    used, fill = {}, {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], int(lengths[r["row_id"]])))
+    for parts in used.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert sum(map(len, used.values())) == 1500 and len(used) < len(np.unique(plain))
+
+
 def test_sentencepiece_parity(spark):
     model = P.path("piece_bpe_32k.model")
     rng = random.Random(8)
@@ -156,13 +234,53 @@ def test_sentencepiece_parity(spark):
     rows = {r["doc_id"]: r for r in sentencepiece_codec.encode(docs, model).collect()}
     codec = sentencepiece_codec.Codec(model)
     for i, t in enumerate(texts):
-        assert rows[i]["parity"] and rows[i]["ids"] == codec.reference.encode(t or ""), t
-        assert rows[i]["decoded"] == codec.reference.decode(rows[i]["ids"]) and rows[i]["ids_crc32"] == zlib.crc32(np.array(rows[i]["ids"], "<u4").tobytes())
-    assert codec.decode_batch([np.array([codec.reference.piece_to_id("<0xFF>")])]) == [codec.tokenizer.decode([codec.reference.piece_to_id("<0xFF>")])]
+        want = codec.reference.encode(t or "")
+        assert rows[i]["parity"] and rows[i]["ids"] == want and rows[i]["decoded"] == codec.reference.decode(want), t
+        assert rows[i]["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+    # the backend alone, without what sentencepiece would put right
+    some = [t for t in texts if t][:200]
+    assert codec.encode_batch(some) == codec.reference.encode(some) and codec.decode_batch(codec.encode_batch(some)) == codec.reference.decode(codec.reference.encode(some))
     assert sentencepiece_codec.encode(docs.limit(0), model).count() == 0
     assert all(r["parity"] for r in sentencepiece_codec.op7_sentencepiece(spark, SF).collect())
 
 
+def wire(number, kind, value):
+    """One field of a protobuf message."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    body = varint(value) if kind == 0 else struct.pack("<f", value) if kind == 5 else varint(len(value)) + value
+    return varint(number << 3 | kind) + body
+
+
+def model_file(pieces, kind, fallback, remove_extra, prefix):
+    out = b"".join(wire(1, 2, wire(1, 2, p.encode()) + wire(2, 5, s) + wire(3, 0, t)) for p, s, t in pieces)
+    out += wire(2, 2, wire(3, 0, kind) + wire(35, 0, int(fallback)))
+    return out + wire(3, 2, wire(1, 2, b"identity") + wire(3, 0, int(prefix)) + wire(4, 0, int(remove_extra)) + wire(5, 0, 1))
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("remove_extra", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_unigram_models(fallback, remove_extra, prefix):
+    words = ["▁", "a", "b", "c", "d", "ab", "cd", "abc", "▁a", "▁ab", "▁abc", "bcd", "▁d", "é", "<", "s", ">"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if fallback else [])
+    pieces += [(w, -2 - 0.37 * k - 0.01 * (k * k % 7), 1) for k, w in enumerate(words)]
+    codec = sentencepiece_codec.Codec(data=model_file(pieces, 1, fallback, remove_extra, prefix))
+    rng = random.Random(1)
+    texts = ["", "abc", "abcd ab", "  a  b ", "x", "ab x cd", " ", "zz abc", "中 ab é", "<s> ab", "abcabcd abc", " a", "a  "] + ["".join(rng.choices("abcd  éxz", k=20)) for _ in range(200)]
+    assert all(same for _, _, same in codec.round_trip(texts))
+    assert codec.encode_batch(texts) == codec.reference.encode(texts) and codec.decode_batch(codec.encode_batch(texts)) == codec.reference.decode(codec.encode_batch(texts))
+
+
+def test_parity_shows_a_wrong_backend():
+    codec = sentencepiece_codec.Codec(P.path("piece_bpe_32k.model"))
+    right = codec.round_trip(["some text"])[0]
+    codec.prefix = ""
+    assert right[2] and codec.round_trip(["some text"])[0] == (right[0], right[1], False)
+
+
 def test_media_round_trip(spark):
     for text in (None, "", "a" * 191, "a" * 192, "é" * 500, "x" * 123456):
         payload, n = mpeg_audio.padded(text)
@@ -176,6 +294,62 @@ def test_media_round_trip(spark):
         assert (got["n_bytes"], got["payload_bytes"], got["payload_sha256"], got["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) and len(payload) % 192 == 0
 
 
+def test_media_of_odd_rows(spark):
+    rows = [(1, None, "x"), (1, "", "x"), (None, "same", "x"), (2, "same", "y"), (2, "same", "y"), (3, "é" * 300_000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
+    stored = mpeg_audio.encode_texts(docs)
+    got = mpeg_audio.digests(mpeg_audio.read_media(stored, keep=["doc_id", "media"])).collect()
+    assert got[0].asDict().keys() >= {"doc_id", "feature"} and list(got[0].asDict())[:9] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds"]
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["n_bytes"]), []).append(r)
+    assert {k: len(v) for k, v in by.items()} == {(1, 0): 2, (None, 4): 1, (2, 4): 2, (3, 600_000): 1}
+    for (doc_id, n), same in by.items():
+        raw = next((t or "").encode() for i, t, _ in rows if i == doc_id and len((t or "").encode()) == n)
+        whole = raw + b" " * ((192 - len(raw) % 192) % 192 or (0 if raw else 192))
+        for r in same:
+            assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
+    assert by[None, 4][0]["feature"] == by[2, 4][0]["feature"] and by[None, 4][0]["media_sha256"] == by[2, 4][0]["media_sha256"]
+    assert mpeg_audio.digests(mpeg_audio.read_media(mpeg_audio.encode_texts(docs.limit(0)), keep=["doc_id", "media"])).count() == 0
+
+
+def test_stored_media_agree_with_their_tables(spark):
+    payload, n = mpeg_audio.padded("some text " * 5000)
+    media = mpeg_audio.encode(payload, n)
+    # frames found by steps of 144 * rate / 48, read here from the third byte
+    rates, at, starts = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), media.index(b"\xff\xfa"), []
+    while media[at : at + 2] == b"\xff\xfa":
+        starts.append(at)
+        at += 3 * rates[media[at + 2] >> 4]
+    got = mpeg_audio.decode(media)
+    assert got["starts"] == starts[1:] and got["seconds"] == (len(starts) - 1) * 0.024 and got["tags"] == {"TXXX:n_bytes": str(n)}
+    assert got["vbr_bytes"] == at - starts[0] and len(got["seek"]) == 100 and got["seek"] == sorted(got["seek"])
+    wide = got["vbr_bytes"] // 256 + 1
+    for k in (0, 25, 50, 99):  # a seek point is the frame at that percentage, to the table's grain
+        assert 0 <= starts[1:][k * (len(starts) - 1) // 100] - starts[0] - got["seek"][k] <= wide
+
+
+def test_other_layers_tables_and_tags():
+    head = lambda b1, b2, b3: bytes([0xFF, b1, b2, b3])
+    frames = {  # header bytes, (layer, kbit/s, Hz, samples, bytes)
+        (0xFF, 0x54, 0xC0): (1, 160, 48000, 384, 160), (0xFD, 0x84, 0x00): (2, 128, 48000, 1152, 384), (0xFB, 0x92, 0x00): (3, 128, 44100, 1152, 418),
+        (0xF3, 0x84, 0x00): (3, 64, 24000, 576, 192), (0xE3, 0x80, 0xC0): (3, 64, 11025, 576, 417), (0xF5, 0x84, 0x00): (2, 64, 24000, 1152, 384),
+    }
+    for h, want in frames.items():
+        f = mpeg_audio.parse_header(head(*h))
+        assert (f["layer"], f["kbits"], f["hz"], f["samples"], f["bytes"]) == want, (h, f)
+    for h in ((0xFB, 0x00, 0), (0xFB, 0xF0, 0), (0xFB, 0x9C, 0), (0xEB, 0x90, 0), (0xF9, 0x90, 0)):
+        assert mpeg_audio.parse_header(head(*h)) is None
+    one = head(0xFB, 0x90, 0x00) + bytes(413)
+    table = (1).to_bytes(2, "big") + bytes(4) + (417 * 4).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"\0\3\0\1\0\2\0\1" + (417).to_bytes(2, "big") * 3
+    vbri = (one[:4] + bytes(32) + b"VBRI" + table).ljust(417, b"\0")
+    old = b"ID3\3\0\0" + bytes([0, 0, 0, 16]) + b"TIT2" + (6).to_bytes(4, "big") + b"\0\0" + b"\0Title"
+    v1 = b"TAG" + b"Name".ljust(30, b"\0") + b"Someone".ljust(30, b"\0") + bytes(34) + bytes(31)
+    got = mpeg_audio.decode(old + vbri + one * 3 + v1)
+    assert got["vbr_frames"] == 3 == len(got["starts"]) and got["vbr_bytes"] == 417 * 4 and got["seek"] == [417, 834, 1251] and not got["skipped"]
+    assert got["tags"] == {"TIT2": "Title", "title": "Name", "artist": "Someone"} and got["seconds"] == 3 * 1152 / 44100
+
+
 def test_media_resynchronises():
     payload, n = mpeg_audio.padded("hello " * 2000)
     media = mpeg_audio.encode(payload, n)
