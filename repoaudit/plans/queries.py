@@ -68,7 +68,10 @@ def _broken(f: DataFrame) -> DataFrame:
 on_files("f5_decode_text", lambda f: paths.decode_text(_broken(f)).select("repo_id", "file_pos", "content"), "SELECT repo_id, file_pos, CASE WHEN file_pos % 3 = 0 THEN chr(65533) || content ELSE content || chr(65533) END AS content FROM files")
 on_files(
     "f6_cap_files", lambda f: paths.cap_files(f, 20).select("repo_id", "file_pos", "path", "total_seen", "cap_reached"),
-    "SELECT repo_id, file_pos, path, total_seen, total_seen > 20 AS cap_reached FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_pos) AS k, count(*) OVER (PARTITION BY repo_id) AS total_seen FROM files) WHERE k <= 20",
+    """SELECT repo_id, file_pos, path, total_seen, total_seen > 20 AS cap_reached
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_pos) AS k, count(*) OVER (PARTITION BY repo_id) AS total_seen
+  FROM files)
+  WHERE k <= 20""",
 )
 _CURATED = f"path IN ({_list(C.CURATED_FILES)}) OR starts_with(path, '{C.ACTIONS_PREFIX}')"
 _DEEP = " OR ".join(f"ends_with(path, '{s}')" for s in C.DEEP_SUFFIXES)
@@ -147,7 +150,10 @@ def _pack(pack: str) -> Callable[[DataFrame], DataFrame]:
 
 _COUNTED = tuple(r for r in C.RULES if r["globs"])
 on_files("m1_match_rules", lambda f: scan.match_rules_to_files(f, scan.rules_frame(f.sparkSession)),
-    f", r(rule_id, pattern) AS (VALUES {', '.join(chr(40) + chr(39) + r['rule_id'] + chr(39) + ', ' + chr(39) + (_globs(r['globs']).removeprefix('regexp_matches(path, ' + chr(39)).removesuffix(chr(39) + ')') if r['globs'] else '') + chr(39) + ')' for r in C.RULES)}) SELECT DISTINCT repo_id, path, rule_id FROM files JOIN r ON regexp_matches(path, pattern)")
+    f""",
+  r(rule_id, pattern) AS (VALUES {', '.join(chr(40) + chr(39) + r['rule_id'] + chr(39) + ', ' + chr(39) + (_globs(r['globs']).removeprefix('regexp_matches(path, ' + chr(39)).removesuffix(chr(39) + ')') if r['globs'] else '') + chr(39) + ')' for r in C.RULES)}) SELECT DISTINCT repo_id, path, rule_id
+  FROM files
+  JOIN r ON regexp_matches(path, pattern)""")
 on_files("m2_mask_lines", lambda f: f.select("repo_id", "file_pos", masking.mask_lines(F.col("content")).alias("masked")), f"SELECT repo_id, file_pos, {_LINE_MASK} AS masked FROM files")
 
 
@@ -196,7 +202,15 @@ def _simple(files: DataFrame) -> DataFrame:
     return scan.with_rules(scan.scan_matches(paths.scannable(files), rules), rules)
 
 
-_SIMPLE_SQL = f", kept AS (SELECT * FROM files WHERE {_SCANNABLE}), hits AS ({_match_sql(_SIMPLE, 'content', 'kept')}), {_rules_sql(tuple({**r, 'category': 'secret'} for r in _SIMPLE))}, m AS (SELECT h.*, r.* EXCLUDE (rule), string_split(f.content, chr(10))[h.line_number] AS line_text FROM hits h JOIN rules r USING (rule) JOIN files f USING (repo_id, file_pos))"
+_SIMPLE_SQL = f""",
+  kept AS (SELECT *
+  FROM files
+  WHERE {_SCANNABLE}),
+  hits AS ({_match_sql(_SIMPLE, 'content', 'kept')}), {_rules_sql(tuple({**r, 'category': 'secret'} for r in _SIMPLE))},
+  m AS (SELECT h.*, r.* EXCLUDE (rule), string_split(f.content, chr(10))[h.line_number] AS line_text
+  FROM hits h
+  JOIN rules r USING (rule)
+  JOIN files f USING (repo_id, file_pos))"""
 on_files("m17_drop_suppressed", lambda f: scan.drop_suppressed(_simple(f)).select("repo_id", "path", "rule_id", "line_number"), _SIMPLE_SQL + """
 SELECT repo_id, path, rule_id, line_number FROM (SELECT *, regexp_matches(line_text, 'audit:\\s*ignore') AS marked, regexp_extract(line_text, 'audit:\\s*ignore(?:\\s+([A-Z0-9,\\s]+))?', 1) AS named FROM m)
 WHERE NOT (marked AND (named = '' OR list_contains(list_transform(string_split(named, ','), lambda t: trim(t)), rule_id)))""")
@@ -206,18 +220,37 @@ add(
     f"SELECT doc_id, {_REDACTED.format(c='lang')} AS lang, {_REDACTED.format(c='source')} AS source, {_REDACTED.format(c='text')} AS text FROM documents",
 )
 add("m18_redact_whole", lambda s, d: T.table(s, d, "documents").select("doc_id", X.redact("text").alias("redacted")), f"SELECT doc_id, {_REDACTED.format(c='text')} AS redacted FROM documents")
-_DESCRIBED = f"CASE WHEN severity IN ('high', 'critical') OR redact THEN description || chr(10) || chr(10) || 'Matched value: `' || CASE WHEN redact THEN {_REDACTED.format(c='hit')} ELSE hit END || '`' ELSE description END"
+_DESCRIBED = f"""CASE
+  WHEN severity IN ('high', 'critical') OR redact THEN description || chr(10) || chr(10) || 'Matched value: `' || CASE
+  WHEN redact THEN {_REDACTED.format(c='hit')}
+  ELSE hit END || '`'
+  ELSE description END"""
 on_files("m19_describe", lambda f: scan.describe(scan.with_rules(scan.scan_matches(paths.scannable(f), C.pack("SEC")), C.pack("SEC"))).select("repo_id", "path", "rule_id", "line_number", "description"),
-    f", kept AS (SELECT * FROM files WHERE {_SCANNABLE}), m AS ({_match_sql(C.pack('SEC'), 'content', 'kept')}), {_rules_sql(C.pack('SEC'))} SELECT repo_id, path, rule_id, line_number, {_DESCRIBED} AS description FROM m JOIN rules USING (rule)")
+    f""",
+  kept AS (SELECT *
+  FROM files
+  WHERE {_SCANNABLE}),
+  m AS ({_match_sql(C.pack('SEC'), 'content', 'kept')}), {_rules_sql(C.pack('SEC'))} SELECT repo_id, path, rule_id, line_number, {_DESCRIBED} AS description
+  FROM m
+  JOIN rules USING (rule)""")
 _DOWN = f"(coalesce({_LOW_TRUST.format(p='file_path')}, FALSE) AND category IN ('secret', 'code_pattern') AND sev > 0)"
 on_findings("m20_path_context", lambda f: scan.apply_path_context(f).select("repo_id", "finding_pos", "severity", "description"),
-    f"SELECT repo_id, finding_pos, CASE WHEN {_DOWN} THEN ['info', 'low', 'medium', 'high', 'critical'][sev] ELSE severity END AS severity, CASE WHEN {_DOWN} THEN description || chr(10) || chr(10) || '{scan.DOWNRANKED.strip()}' ELSE description END AS description FROM findings")
+    f"""SELECT repo_id, finding_pos, CASE
+  WHEN {_DOWN} THEN ['info', 'low', 'medium', 'high', 'critical'][sev]
+  ELSE severity END AS severity, CASE
+  WHEN {_DOWN} THEN description || chr(10) || chr(10) || '{scan.DOWNRANKED.strip()}'
+  ELSE description END AS description
+  FROM findings""")
 on_files("m21_install_hooks", lambda f: scan.install_hooks(f).select("repo_id", "rule_id", "title", "severity", "file_path", "description"), """
 , h AS (SELECT repo_id, path, unnest(['preinstall', 'install', 'postinstall', 'prepare']) AS hook, content FROM files WHERE name = 'package.json' AND content <> ''), c AS (SELECT *, json_extract_string(content, '$.scripts.' || hook) AS command FROM h)
 SELECT repo_id, 'JS100' AS rule_id, 'npm `' || hook || '` script declared' AS title, CASE hook WHEN 'prepare' THEN 'medium' ELSE 'high' END AS severity, path AS file_path, 'The script `' || hook || '` runs on install: `' || substr(command, 1, 200) || '`' AS description FROM c WHERE command IS NOT NULL""")
-on_files("m22_env_files", lambda f: scan.env_files(f).select("repo_id", "rule_id", "title", "severity", "file_path", "category"), "SELECT repo_id, 'SEC011' AS rule_id, '`' || name || '` committed to the repository' AS title, 'high' AS severity, path AS file_path, 'secret' AS category FROM files WHERE name IN ('.env', '.env.local', '.env.production') AND content <> ''")
+on_files("m22_env_files", lambda f: scan.env_files(f).select("repo_id", "rule_id", "title", "severity", "file_path", "category"), """SELECT repo_id, 'SEC011' AS rule_id, '`' || name || '` committed to the repository' AS title, 'high' AS severity, path AS file_path, 'secret' AS category
+  FROM files
+  WHERE name IN ('.env', '.env.local', '.env.production') AND content <> ''""")
 on_findings("m23_dedupe", lambda f: scan.dedupe_findings(f.withColumn("repo_id", F.substring_index("repo_id", "@", 1))).select("repo_id", "finding_pos", "rule_id", "file_path", "line_number"),
-    "SELECT split_part(repo_id, '@', 1) AS repo_id, min(finding_pos) AS finding_pos, rule_id, file_path, line_number FROM findings GROUP BY split_part(repo_id, '@', 1), rule_id, file_path, line_number, title")
+    """SELECT split_part(repo_id, '@', 1) AS repo_id, min(finding_pos) AS finding_pos, rule_id, file_path, line_number
+  FROM findings
+  GROUP BY split_part(repo_id, '@', 1), rule_id, file_path, line_number, title""")
 on_files("m24_full_scan", lambda f: scan.scan_files(f))
 
 # --- dependencies ----------------------------------------------------------------------------------------------------
@@ -232,18 +265,63 @@ def on_locks(name: str, parse: Callable[[DataFrame], DataFrame], sql: str | None
 _LINES = "unnest(string_split(content, chr(10)))"
 _REQ = "^([A-Za-z0-9._-]+)(?:\\[[^\\]]*\\])?\\s*==\\s*([A-Za-z0-9][A-Za-z0-9._-]*)"
 _PIN = {
-    "requirements": f"SELECT repo_id, file_pos, 'PyPI' AS ecosystem, lower(regexp_extract(x, '{_REQ}', 1)) AS name, regexp_extract(x, '{_REQ}', 2) AS version, path AS source FROM (SELECT *, trim(split_part(l, '#', 1)) AS x FROM (SELECT repo_id, file_pos, path, {_LINES} AS l FROM files WHERE files.name = 'requirements.txt')) WHERE NOT starts_with(x, '-') AND regexp_matches(x, '{_REQ}')",
-    "poetry": "SELECT repo_id, file_pos, 'PyPI' AS ecosystem, lower(regexp_extract(b, '(?m)^\\s*name\\s*=\\s*\"([^\"]+)\"', 1)) AS name, regexp_extract(b, '(?m)^\\s*version\\s*=\\s*\"([^\"]+)\"', 1) AS version, path AS source FROM (SELECT repo_id, file_pos, path, unnest(string_split(content, '[[package]]')[2:]) AS b FROM files WHERE files.name = 'poetry.lock')",
-    "cargo": "SELECT repo_id, file_pos, 'crates.io' AS ecosystem, regexp_extract(b, '(?m)^\\s*name\\s*=\\s*\"([^\"]+)\"', 1) AS name, regexp_extract(b, '(?m)^\\s*version\\s*=\\s*\"([^\"]+)\"', 1) AS version, path AS source FROM (SELECT repo_id, file_pos, path, unnest(string_split(content, '[[package]]')[2:]) AS b FROM files WHERE files.name = 'Cargo.lock')",
-    "pipfile": "SELECT repo_id, file_pos, 'PyPI' AS ecosystem, lower(key) AS name, regexp_extract(v, '^==\\s*([A-Za-z0-9][A-Za-z0-9._-]*)', 1) AS version, path AS source FROM (SELECT *, json_extract_string(content, '$.' || s || '.\"' || key || '\".version') AS v FROM (SELECT *, unnest(json_keys(content, '$.' || s)) AS key FROM (SELECT repo_id, file_pos, path, content, unnest(['default', 'develop']) AS s FROM files WHERE files.name = 'Pipfile.lock'))) WHERE regexp_matches(v, '^==')",
-    "npm2": "SELECT repo_id, file_pos, 'npm' AS ecosystem, list_extract(string_split(key, 'node_modules/'), -1) AS name, json_extract_string(content, '$.packages.\"' || key || '\".version') AS version, path AS source FROM (SELECT repo_id, file_pos, path, content, unnest(json_keys(content, '$.packages')) AS key FROM files WHERE files.name = 'package-lock.json' AND json_extract(content, '$.packages') IS NOT NULL) WHERE key <> ''",
-    "gems": "SELECT repo_id, file_pos, 'RubyGems' AS ecosystem, regexp_extract(l, '^    ([A-Za-z0-9._-]+) \\(([0-9][^)]*)\\)\\s*$', 1) AS name, regexp_extract(l, '^    ([A-Za-z0-9._-]+) \\(([0-9][^)]*)\\)\\s*$', 2) AS version, path AS source FROM (SELECT repo_id, file_pos, path, " + _LINES + " AS l FROM files WHERE files.name = 'Gemfile.lock') WHERE regexp_matches(l, '^    ([A-Za-z0-9._-]+) \\(([0-9][^)]*)\\)\\s*$')",
-    "composer": "SELECT repo_id, file_pos, 'Packagist' AS ecosystem, json_extract_string(p, '$.name') AS name, regexp_replace(json_extract_string(p, '$.version'), '^v+', '') AS version, path AS source FROM (SELECT repo_id, file_pos, path, unnest(list_concat(json_extract(content, '$.packages[*]'), json_extract(content, '$.\"packages-dev\"[*]'))) AS p FROM files WHERE files.name = 'composer.lock') WHERE NOT starts_with(json_extract_string(p, '$.version'), 'dev-')",
-    "go": "SELECT repo_id, file_pos, 'Go' AS ecosystem, regexp_extract(x, '^(?:require\\s+)?([^\\s]+)\\s+(v[0-9][^\\s]*)', 1) AS name, regexp_replace(regexp_extract(x, '^(?:require\\s+)?([^\\s]+)\\s+(v[0-9][^\\s]*)', 2), '^v+', '') AS version, path AS source FROM (SELECT *, trim(split_part(t, '//', 1)) AS x FROM (SELECT *, last_value(CASE WHEN starts_with(t, 'require (') THEN 1 WHEN t = ')' THEN 0 END IGNORE NULLS) OVER (PARTITION BY repo_id, file_pos ORDER BY k) AS open FROM (SELECT *, trim(replace(l, chr(9), ' ')) AS t FROM (SELECT repo_id, file_pos, path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM files WHERE files.name = 'go.mod'))) WHERE (open = 1 OR starts_with(t, 'require ')) AND NOT starts_with(t, 'require (') AND t <> ')') WHERE regexp_matches(x, '^(?:require\\s+)?([^\\s]+)\\s+(v[0-9][^\\s]*)')",
+    "requirements": f"""SELECT repo_id, file_pos, 'PyPI' AS ecosystem, lower(regexp_extract(x, '{_REQ}', 1)) AS name, regexp_extract(x, '{_REQ}', 2) AS version, path AS source
+  FROM (SELECT *, trim(split_part(l, '#', 1)) AS x
+  FROM (SELECT repo_id, file_pos, path, {_LINES} AS l
+  FROM files
+  WHERE files.name = 'requirements.txt'))
+  WHERE NOT starts_with(x, '-') AND regexp_matches(x, '{_REQ}')""",
+    "poetry": """SELECT repo_id, file_pos, 'PyPI' AS ecosystem, lower(regexp_extract(b, '(?m)^\\s*name\\s*=\\s*"([^"]+)"', 1)) AS name, regexp_extract(b, '(?m)^\\s*version\\s*=\\s*"([^"]+)"', 1) AS version, path AS source
+  FROM (SELECT repo_id, file_pos, path, unnest(string_split(content, '[[package]]')[2:]) AS b
+  FROM files
+  WHERE files.name = 'poetry.lock')""",
+    "cargo": """SELECT repo_id, file_pos, 'crates.io' AS ecosystem, regexp_extract(b, '(?m)^\\s*name\\s*=\\s*"([^"]+)"', 1) AS name, regexp_extract(b, '(?m)^\\s*version\\s*=\\s*"([^"]+)"', 1) AS version, path AS source
+  FROM (SELECT repo_id, file_pos, path, unnest(string_split(content, '[[package]]')[2:]) AS b
+  FROM files
+  WHERE files.name = 'Cargo.lock')""",
+    "pipfile": """SELECT repo_id, file_pos, 'PyPI' AS ecosystem, lower(key) AS name, regexp_extract(v, '^==\\s*([A-Za-z0-9][A-Za-z0-9._-]*)', 1) AS version, path AS source
+  FROM (SELECT *, json_extract_string(content, '$.' || s || '."' || key || '".version') AS v
+  FROM (SELECT *, unnest(json_keys(content, '$.' || s)) AS key
+  FROM (SELECT repo_id, file_pos, path, content, unnest(['default', 'develop']) AS s
+  FROM files
+  WHERE files.name = 'Pipfile.lock')))
+  WHERE regexp_matches(v, '^==')""",
+    "npm2": """SELECT repo_id, file_pos, 'npm' AS ecosystem, list_extract(string_split(key, 'node_modules/'), -1) AS name, json_extract_string(content, '$.packages."' || key || '".version') AS version, path AS source
+  FROM (SELECT repo_id, file_pos, path, content, unnest(json_keys(content, '$.packages')) AS key
+  FROM files
+  WHERE files.name = 'package-lock.json' AND json_extract(content, '$.packages') IS NOT NULL)
+  WHERE key <> ''""",
+    "gems": """SELECT repo_id, file_pos, 'RubyGems' AS ecosystem, regexp_extract(l, '^    ([A-Za-z0-9._-]+) \\(([0-9][^)]*)\\)\\s*$', 1) AS name, regexp_extract(l, '^    ([A-Za-z0-9._-]+) \\(([0-9][^)]*)\\)\\s*$', 2) AS version, path AS source
+  FROM (SELECT repo_id, file_pos, path, """ + _LINES + " AS l FROM files WHERE files.name = 'Gemfile.lock') WHERE regexp_matches(l, '^    ([A-Za-z0-9._-]+) \\(([0-9][^)]*)\\)\\s*$')",
+    "composer": """SELECT repo_id, file_pos, 'Packagist' AS ecosystem, json_extract_string(p, '$.name') AS name, regexp_replace(json_extract_string(p, '$.version'), '^v+', '') AS version, path AS source
+  FROM (SELECT repo_id, file_pos, path, unnest(list_concat(json_extract(content, '$.packages[*]'), json_extract(content, '$."packages-dev"[*]'))) AS p
+  FROM files
+  WHERE files.name = 'composer.lock')
+  WHERE NOT starts_with(json_extract_string(p, '$.version'), 'dev-')""",
+    "go": """SELECT repo_id, file_pos, 'Go' AS ecosystem, regexp_extract(x, '^(?:require\\s+)?([^\\s]+)\\s+(v[0-9][^\\s]*)', 1) AS name, regexp_replace(regexp_extract(x, '^(?:require\\s+)?([^\\s]+)\\s+(v[0-9][^\\s]*)', 2), '^v+', '') AS version, path AS source
+  FROM (SELECT *, trim(split_part(t, '//', 1)) AS x
+  FROM (SELECT *, last_value(CASE
+  WHEN starts_with(t, 'require (') THEN 1
+  WHEN t = ')' THEN 0 END IGNORE NULLS) OVER (PARTITION BY repo_id, file_pos ORDER BY k) AS open
+  FROM (SELECT *, trim(replace(l, chr(9), ' ')) AS t
+  FROM (SELECT repo_id, file_pos, path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS k
+  FROM files
+  WHERE files.name = 'go.mod')))
+  WHERE (open = 1 OR starts_with(t, 'require ')) AND NOT starts_with(t, 'require (') AND t <> ')')
+  WHERE regexp_matches(x, '^(?:require\\s+)?([^\\s]+)\\s+(v[0-9][^\\s]*)')""",
 }
 _MANIFESTS = "manifests(name, manager, ecosystem) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in C.MANIFESTS) + ")"
 on_files("d1_manifests", deps.detect_manifests, f", {_MANIFESTS} SELECT DISTINCT repo_id, path, manager, ecosystem FROM files JOIN manifests USING (name)")
-for _d, _fn, _k in (("d2_requirements", deps.parse_requirements, "requirements"), ("d3_poetry_lock", deps.parse_poetry_lock, "poetry"), ("d4_cargo_lock", deps.parse_cargo_lock, "cargo"), ("d5_pipfile_lock", deps.parse_pipfile_lock, "pipfile"), ("d6_package_lock_v2", deps.parse_package_lock_v2, "npm2"), ("d8_gemfile_lock", deps.parse_gemfile_lock, "gems"), ("d9_composer_lock", deps.parse_composer_lock, "composer"), ("d10_go_mod", deps.parse_go_mod, "go")):
+for _d, _fn, _k in (
+    ("d2_requirements", deps.parse_requirements, "requirements"),
+    ("d3_poetry_lock", deps.parse_poetry_lock, "poetry"),
+    ("d4_cargo_lock", deps.parse_cargo_lock, "cargo"),
+    ("d5_pipfile_lock", deps.parse_pipfile_lock, "pipfile"),
+    ("d6_package_lock_v2", deps.parse_package_lock_v2, "npm2"),
+    ("d8_gemfile_lock", deps.parse_gemfile_lock, "gems"),
+    ("d9_composer_lock", deps.parse_composer_lock, "composer"),
+    ("d10_go_mod", deps.parse_go_mod, "go"),
+):
     on_locks(_d, _fn, _PIN[_k])
 _PIN["npm1"] = """
 SELECT repo_id, file_pos, 'npm' AS ecosystem, key AS name, json_extract_string(tree, '$."' || key || '".version') AS version, path AS source FROM (
@@ -257,8 +335,24 @@ on_locks("d7_package_lock_v1", deps.parse_package_lock_v1, _PIN["npm1"])
 _ALL_PINS = ", pins AS (" + " UNION ALL ".join(_PIN.values()) + ") SELECT repo_id, ecosystem, name, version, arg_min(source, file_pos) AS source FROM pins GROUP BY repo_id, ecosystem, name, version"
 for _d in ("d11_extract_versions", "d11_extract_versions_all"):
     on_files(_d, lambda f: deps.extract_versions(f).select("repo_id", "ecosystem", "name", "version", "source"), _ALL_PINS)
-_HITS = f"WITH {T.DEPS_SQL}, {T.ADVISORIES_SQL}, hits AS (SELECT d.repo_id, d.dep_pos, ecosystem, name, version, source, vuln_id, vuln_pos FROM (SELECT * FROM dep_versions QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY dep_pos) <= 1000) d JOIN advisories USING (ecosystem, name, version))"
-_ENRICHED = ", seen AS (SELECT repo_id, vuln_id, row_number() OVER (PARTITION BY repo_id ORDER BY first_at, vuln_id) AS k FROM (SELECT repo_id, vuln_id, min({'a': dep_pos, 'b': vuln_pos}) AS first_at FROM hits GROUP BY ALL)), enriched AS (SELECT h.*, w.summary, w.details, w.severity_label FROM hits h LEFT JOIN (SELECT repo_id, vuln_id, summary, details, severity_label FROM seen JOIN advisory_details USING (vuln_id) WHERE k <= 100) w USING (repo_id, vuln_id))"
+_HITS = f"""WITH {T.DEPS_SQL}, {T.ADVISORIES_SQL},
+  hits AS (SELECT d.repo_id, d.dep_pos, ecosystem, name, version, source, vuln_id, vuln_pos
+  FROM (SELECT *
+  FROM dep_versions
+  QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY dep_pos) <= 1000) d
+  JOIN advisories USING (ecosystem, name, version))"""
+_ENRICHED = """,
+  seen AS (SELECT repo_id, vuln_id, row_number() OVER (PARTITION BY repo_id ORDER BY first_at, vuln_id) AS k
+  FROM (SELECT repo_id, vuln_id, min({'a': dep_pos, 'b': vuln_pos}) AS first_at
+  FROM hits
+  GROUP BY ALL)),
+  enriched AS (SELECT h.*, w.summary, w.details, w.severity_label
+  FROM hits h
+  LEFT
+  JOIN (SELECT repo_id, vuln_id, summary, details, severity_label
+  FROM seen
+  JOIN advisory_details USING (vuln_id)
+  WHERE k <= 100) w USING (repo_id, vuln_id))"""
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
@@ -276,18 +370,39 @@ _ADV_SUM = "coalesce(nullif(summary, ''), nullif(split_part(details, chr(10), 1)
 add("d14_advisory_severity", lambda s, d: T.advisory_details(s, d).select("vuln_id", A.advisory_severity().alias("severity")), f"WITH {T.ADVISORIES_SQL} SELECT vuln_id, {_ADV_SEV} AS severity FROM advisory_details")
 add("d15_advisory_summary", lambda s, d: T.advisory_details(s, d).select("vuln_id", A.advisory_summary().alias("summary")), f"WITH {T.ADVISORIES_SQL} SELECT vuln_id, {_ADV_SUM} AS summary FROM advisory_details")
 add("d16_dependency_findings", lambda s, d: A.dependency_findings(_enriched(s, d)).select("repo_id", "rule_id", "title", "severity", "description"),
-    _HITS + _ENRICHED + f" SELECT repo_id, vuln_id AS rule_id, name || ' ' || version || ': known vulnerability (' || vuln_id || ')' AS title, {_ADV_SEV} AS severity, name || ' ' || version || ' (' || ecosystem || ') is affected by ' || vuln_id || ': ' || {_ADV_SUM} AS description FROM enriched QUALIFY row_number() OVER (PARTITION BY repo_id, ecosystem, name, version ORDER BY vuln_pos) <= 10")
+    _HITS + _ENRICHED + f""" SELECT repo_id, vuln_id AS rule_id, name || ' ' || version || ': known vulnerability (' || vuln_id || ')' AS title, {_ADV_SEV} AS severity, name || ' ' || version || ' (' || ecosystem || ') is affected by ' || vuln_id || ': ' || {_ADV_SUM} AS description
+  FROM enriched
+  QUALIFY row_number() OVER (PARTITION BY repo_id, ecosystem, name, version ORDER BY vuln_pos) <= 10""")
 add("d17_advisory_gap", lambda s, d: A.advisory_gap_findings(T.dep_versions(s, d), T.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("repo_id"), (F.col("c_custkey") % 4 > 0).alias("available"))).select("repo_id", "rule_id", "severity", "category"),
-    f"WITH {T.DEPS_SQL} SELECT DISTINCT repo_id, 'DEP000' AS rule_id, 'info' AS severity, 'coverage' AS category FROM dep_versions WHERE CAST(repo_id AS BIGINT) IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)")
+    f"""WITH {T.DEPS_SQL} SELECT DISTINCT repo_id, 'DEP000' AS rule_id, 'info' AS severity, 'coverage' AS category
+  FROM dep_versions
+  WHERE CAST(repo_id AS BIGINT) IN (SELECT c_custkey
+  FROM customer
+  WHERE c_custkey % 4 = 0)""")
 
 # --- technology ------------------------------------------------------------------------------------------------------
 
 _LANGS = "by_name(name, lang) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in C.LANGUAGE_BY_NAME) + "), by_suffix(suffix, lang) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in C.LANGUAGE_BY_SUFFIX) + ")"
-_COUNTS = f", {_LANGS}, counts AS (SELECT repo_id, lang, sum(n) AS n, list_sort(list(DISTINCT evidence)) AS evidence, min(seen_at) AS first_seen FROM (SELECT repo_id, b.lang, 5 AS n, files.name AS evidence, file_pos * 2 AS seen_at FROM files JOIN by_name b ON files.name = b.name UNION ALL SELECT repo_id, b.lang, 1, '`' || b.suffix || '` files', file_pos * 2 + 1 FROM files JOIN by_suffix b ON files.suffix = b.suffix) GROUP BY repo_id, lang)"
+_COUNTS = f""", {_LANGS},
+  counts AS (SELECT repo_id, lang, sum(n) AS n, list_sort(list(DISTINCT evidence)) AS evidence, min(seen_at) AS first_seen
+  FROM (SELECT repo_id, b.lang, 5 AS n, files.name AS evidence, file_pos * 2 AS seen_at
+  FROM files
+  JOIN by_name b ON files.name = b.name
+  UNION ALL SELECT repo_id, b.lang, 1, '`' || b.suffix || '` files', file_pos * 2 + 1
+  FROM files
+  JOIN by_suffix b ON files.suffix = b.suffix)
+  GROUP BY repo_id, lang)"""
 on_files("t1_language_counts", lambda f: tech.language_counts(f).withColumn("evidence", F.array_join("evidence", "|")), _COUNTS + " SELECT repo_id, lang, CAST(n AS BIGINT) AS n, array_to_string(evidence, '|') AS evidence, first_seen FROM counts")
 # half of the repositories have counts of their own too
 _OWN = "SELECT CAST(c_custkey AS VARCHAR) AS repo_id, CASE c_custkey % 4 WHEN 0 THEN 'Go' ELSE 'Lua' END AS lang, c_custkey % 23 AS n, c_custkey AS first_seen FROM customer WHERE c_custkey % 2 = 0"
-_MERGED = f"WITH {T.LANGUAGE_BYTES_SQL}, own AS ({_OWN}), scaled AS (SELECT repo_id, lang, CAST(floor(20 * bytes / greatest(1, max(bytes) OVER (PARTITION BY repo_id))) AS BIGINT) AS scaled, lang_pos FROM language_bytes), merged AS (SELECT repo_id, lang, greatest(coalesce(n, 0), coalesce(scaled, 0)) AS n, coalesce(first_seen, 1099511627776 + lang_pos) AS first_seen FROM own FULL JOIN scaled USING (repo_id, lang))"
+_MERGED = f"""WITH {T.LANGUAGE_BYTES_SQL},
+  own AS ({_OWN}),
+  scaled AS (SELECT repo_id, lang, CAST(floor(20 * bytes / greatest(1, max(bytes) OVER (PARTITION BY repo_id))) AS BIGINT) AS scaled, lang_pos
+  FROM language_bytes),
+  merged AS (SELECT repo_id, lang, greatest(coalesce(n, 0), coalesce(scaled, 0)) AS n, coalesce(first_seen, 1099511627776 + lang_pos) AS first_seen
+  FROM own
+  FULL
+  JOIN scaled USING (repo_id, lang))"""
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
@@ -296,7 +411,12 @@ def _merged(s: SparkSession, d: str) -> DataFrame:
     return tech.merge_language_bytes(own, T.language_bytes(s, d))
 
 
-_DETECTED = ", detected AS (SELECT repo_id, lang, least(0.99, round_even(n / greatest(1, max(n) OVER (PARTITION BY repo_id)), 2)) AS confidence, n, first_seen FROM merged), placed AS (SELECT repo_id, lang, confidence, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, first_seen, lang) AS place FROM detected WHERE confidence >= 0.05)"
+_DETECTED = """,
+  detected AS (SELECT repo_id, lang, least(0.99, round_even(n / greatest(1, max(n) OVER (PARTITION BY repo_id)), 2)) AS confidence, n, first_seen
+  FROM merged),
+  placed AS (SELECT repo_id, lang, confidence, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, first_seen, lang) AS place
+  FROM detected
+  WHERE confidence >= 0.05)"""
 add("t2_merge_language_bytes", lambda s, d: _merged(s, d).select("repo_id", "lang", "n"), _MERGED + " SELECT repo_id, lang, n FROM merged")
 add("t3_detect_languages", lambda s, d: tech.detect_languages(_merged(s, d)).select("repo_id", "lang", "confidence", "place"), _MERGED + _DETECTED + " SELECT repo_id, lang, CAST(confidence AS DOUBLE) AS confidence, place FROM placed")
 add("t4_primary_language", lambda s, d: tech.primary_language(tech.detect_languages(_merged(s, d))), _MERGED + _DETECTED + " SELECT repo_id, lang AS primary_language FROM placed WHERE place = 1")
@@ -311,16 +431,35 @@ _PYDEPS = f"""SELECT repo_id, dep, ['requirements.txt', 'pyproject.toml', 'Pipfi
   UNION ALL SELECT repo_id, lower(unnest(regexp_extract_all(content, '"([A-Za-z0-9_.\\-]+)\\s*(?:[<>=!~\\[].*)?"', 1))), 1 FROM ({_first('pyproject.toml')})
   UNION ALL SELECT repo_id, lower(k), 2 FROM (SELECT repo_id, unnest(regexp_extract_all(content, '(?m)^([A-Za-z0-9_.\\-]+)\\s*=', 1)) AS k FROM ({_first('Pipfile')})) WHERE lower(k) NOT IN ('name', 'url', 'verify_ssl', 'python_version')
   UNION ALL SELECT repo_id, lower(unnest(regexp_extract_all(regexp_extract(content, '(?s)install_requires\\s*=\\s*\\[(.*?)\\]', 1), '[''"]([A-Za-z0-9_.\\-]+)', 1))), 3 FROM ({_first('setup.py')})) WHERE dep <> '' GROUP BY repo_id, dep"""
-_JSDEPS = f"SELECT DISTINCT repo_id, unnest(json_keys(content, '$.' || s)) AS dep FROM (SELECT *, unnest(['dependencies', 'devDependencies', 'peerDependencies', 'optionalDependencies']) AS s FROM ({_first('package.json')})) WHERE json_extract(content, '$.' || s) IS NOT NULL"
-_RBDEPS = f"SELECT repo_id, dep, min(source) AS source FROM (SELECT repo_id, unnest(regexp_extract_all(content, '(?m)^\\s*gem\\s+[''\"]([^''\"]+)[''\"]', 1)) AS dep, 'Gemfile' AS source FROM ({_first('Gemfile')}) UNION ALL SELECT repo_id, unnest(regexp_extract_all(content, '(?m)^\\s{{4}}([A-Za-z0-9_\\-]+)\\s*\\(', 1)), 'Gemfile.lock' FROM ({_first('Gemfile.lock')})) GROUP BY repo_id, dep"
-_GODEPS = f"SELECT DISTINCT repo_id, regexp_extract(x, '^\\S+') AS dep FROM (SELECT repo_id, trim(replace(l, chr(9), ' ')) AS x FROM (SELECT repo_id, {_LINES} AS l FROM ({_first('go.mod')}))) WHERE x <> '' AND NOT regexp_matches(x, '^(?:module |go |//)')"
+_JSDEPS = f"""SELECT DISTINCT repo_id, unnest(json_keys(content, '$.' || s)) AS dep
+  FROM (SELECT *, unnest(['dependencies', 'devDependencies', 'peerDependencies', 'optionalDependencies']) AS s
+  FROM ({_first('package.json')}))
+  WHERE json_extract(content, '$.' || s) IS NOT NULL"""
+_RBDEPS = f"""SELECT repo_id, dep, min(source) AS source
+  FROM (SELECT repo_id, unnest(regexp_extract_all(content, '(?m)^\\s*gem\\s+[''"]([^''"]+)[''"]', 1)) AS dep, 'Gemfile' AS source
+  FROM ({_first('Gemfile')})
+  UNION ALL SELECT repo_id, unnest(regexp_extract_all(content, '(?m)^\\s{{4}}([A-Za-z0-9_\\-]+)\\s*\\(', 1)), 'Gemfile.lock'
+  FROM ({_first('Gemfile.lock')}))
+  GROUP BY repo_id, dep"""
+_GODEPS = f"""SELECT DISTINCT repo_id, regexp_extract(x, '^\\S+') AS dep
+  FROM (SELECT repo_id, trim(replace(l, chr(9), ' ')) AS x
+  FROM (SELECT repo_id, {_LINES} AS l
+  FROM ({_first('go.mod')})))
+  WHERE x <> '' AND NOT regexp_matches(x, '^(?:module |go |//)')"""
 _RSDEPS = f"""SELECT DISTINCT repo_id, trim(trim(split_part(x, '=', 1)), '"') AS dep FROM (SELECT *, last_value(CASE WHEN starts_with(x, '[') AND ends_with(x, ']') THEN CAST(contains(x, 'dependencies') AS INT) END IGNORE NULLS) OVER (PARTITION BY repo_id ORDER BY k) AS inside FROM (
   SELECT repo_id, trim(unnest(string_split(content, chr(10)))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM ({_first('Cargo.toml')}))) WHERE inside = 1 AND NOT (starts_with(x, '[') AND ends_with(x, ']')) AND contains(x, '=') AND NOT starts_with(x, '#')"""
 _BLOB = "SELECT repo_id, string_agg(content, chr(10) ORDER BY k) AS blob FROM (" + " UNION ALL ".join(f"SELECT repo_id, content, {i} AS k FROM ({_first(n)})" for i, n in enumerate(("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle"))) + ") GROUP BY repo_id"
-_PHPDEPS = f"SELECT DISTINCT repo_id, unnest(json_keys(content, '$.\"' || s || '\"')) AS dep FROM (SELECT *, unnest(['require', 'require-dev']) AS s FROM ({_first('composer.json')})) WHERE json_extract(content, '$.\"' || s || '\"') IS NOT NULL"
+_PHPDEPS = f"""SELECT DISTINCT repo_id, unnest(json_keys(content, '$."' || s || '"')) AS dep
+  FROM (SELECT *, unnest(['require', 'require-dev']) AS s
+  FROM ({_first('composer.json')}))
+  WHERE json_extract(content, '$."' || s || '"') IS NOT NULL"""
 on_files("t5_python_deps", tech.python_deps, _PYDEPS)
 on_files("t6_javascript_deps", tech.javascript_deps, _JSDEPS)
-on_files("t6_javascript_scripts", tech.javascript_scripts, f"SELECT repo_id, script, command FROM (SELECT *, json_extract_string(content, '$.scripts.' || script) AS command FROM (SELECT repo_id, content, unnest(json_keys(content, '$.scripts')) AS script FROM ({_first('package.json')}))) WHERE command <> ''")
+on_files("t6_javascript_scripts", tech.javascript_scripts, f"""SELECT repo_id, script, command
+  FROM (SELECT *, json_extract_string(content, '$.scripts.' || script) AS command
+  FROM (SELECT repo_id, content, unnest(json_keys(content, '$.scripts')) AS script
+  FROM ({_first('package.json')})))
+  WHERE command <> ''""")
 on_files("t7_ruby_deps", tech.ruby_deps, _RBDEPS)
 on_files("t8_go_deps", tech.go_deps, _GODEPS)
 on_files("t9_rust_deps", tech.rust_deps, _RSDEPS)
@@ -328,17 +467,56 @@ on_files("t10_java_blob", tech.java_blob, _BLOB)
 on_files("t11_php_deps", tech.php_deps, _PHPDEPS)
 on_files("t12_first_content", lambda f: tech.first_content(f, "package-lock.json").select("repo_id", "content"), _first("package-lock.json"))
 _ENTRIES = "entries(kind, name, category, key, rank, place) AS (VALUES " + ", ".join(f"('{k}', '{n}', '{c}', '{key}', {r}, {i})" for i, (k, n, c, keys) in enumerate(C.FRAMEWORKS) for r, key in enumerate(keys)) + ")"
-_ALL_DEPS = f"alldeps AS (SELECT repo_id, 'python' AS kind, dep, source FROM ({_PYDEPS}) UNION ALL SELECT repo_id, 'javascript', dep, 'package.json' FROM ({_JSDEPS}) UNION ALL SELECT repo_id, 'ruby', dep, source FROM ({_RBDEPS}) UNION ALL SELECT repo_id, 'go', dep, 'go.mod' FROM ({_GODEPS}) UNION ALL SELECT repo_id, 'rust', dep, 'Cargo.toml' FROM ({_RSDEPS}) UNION ALL SELECT repo_id, 'java', blob, 'pom.xml/build.gradle' FROM ({_BLOB}) UNION ALL SELECT repo_id, 'php', dep, 'composer.json' FROM ({_PHPDEPS}))"
-_MATCHED = f", {_ENTRIES}, {_ALL_DEPS}, matched AS (SELECT repo_id, e.name, e.category, CASE WHEN e.kind = 'java' THEN 0.85 ELSE 0.9 END AS confidence, min({{'rank': e.rank, 'key': e.key, 'source': d.source}}) AS m, e.place FROM alldeps d JOIN entries e ON d.kind = e.kind AND CASE e.kind WHEN 'go' THEN starts_with(d.dep, e.key) WHEN 'java' THEN contains(d.dep, e.key) ELSE d.dep = e.key END GROUP BY repo_id, e.kind, e.name, e.category, e.place)"
+_ALL_DEPS = f"""alldeps AS (SELECT repo_id, 'python' AS kind, dep, source
+  FROM ({_PYDEPS})
+  UNION ALL SELECT repo_id, 'javascript', dep, 'package.json'
+  FROM ({_JSDEPS})
+  UNION ALL SELECT repo_id, 'ruby', dep, source
+  FROM ({_RBDEPS})
+  UNION ALL SELECT repo_id, 'go', dep, 'go.mod'
+  FROM ({_GODEPS})
+  UNION ALL SELECT repo_id, 'rust', dep, 'Cargo.toml'
+  FROM ({_RSDEPS})
+  UNION ALL SELECT repo_id, 'java', blob, 'pom.xml/build.gradle'
+  FROM ({_BLOB})
+  UNION ALL SELECT repo_id, 'php', dep, 'composer.json'
+  FROM ({_PHPDEPS}))"""
+_MATCHED = f""", {_ENTRIES}, {_ALL_DEPS},
+  matched AS (SELECT repo_id, e.name, e.category, CASE
+  WHEN e.kind = 'java' THEN 0.85
+  ELSE 0.9 END AS confidence, min({{'rank': e.rank, 'key': e.key, 'source': d.source}}) AS m, e.place
+  FROM alldeps d
+  JOIN entries e ON d.kind = e.kind AND CASE e.kind
+  WHEN 'go' THEN starts_with(d.dep, e.key)
+  WHEN 'java' THEN contains(d.dep, e.key)
+  ELSE d.dep = e.key END
+  GROUP BY repo_id, e.kind, e.name, e.category, e.place)"""
 on_files("t13_match_frameworks", lambda f: tech.match_frameworks(tech.all_deps(f)).select("repo_id", "name", "category", "confidence", "evidence"), _MATCHED + " SELECT repo_id, name, category, CAST(confidence AS DOUBLE) AS confidence, '`' || m.key || '` in ' || m.source AS evidence FROM matched")
-_MARKS = "marked AS (SELECT DISTINCT repo_id, u.name AS name, u.category AS category, CAST(u.confidence AS DOUBLE) AS confidence, u.evidence AS evidence, u.place AS place FROM (SELECT repo_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {{'name': '{n}', 'category': '{c}', 'confidence': {p}, 'evidence': '{e}', 'place': {k}}} END" for n, c, p, e, cond, k in (
-    ("Vite", "Tooling", 0.85, "vite.config.* present", "ends_with(path, 'vite.config.ts') OR ends_with(path, 'vite.config.js')", 100), ("Next.js", "Framework", 0.9, "next.config.* present", "ends_with(path, 'next.config.js') OR ends_with(path, 'next.config.mjs')", 101), ("Nuxt", "Framework", 0.9, "nuxt.config.* present", "ends_with(path, 'nuxt.config.ts') OR ends_with(path, 'nuxt.config.js')", 102),
+_MARKS = """marked AS (SELECT DISTINCT repo_id, u.name AS name, u.category AS category, CAST(u.confidence AS DOUBLE) AS confidence, u.evidence AS evidence, u.place AS place
+  FROM (SELECT repo_id, unnest(list_filter([""" + ", ".join(f"CASE WHEN {cond} THEN {{'name': '{n}', 'category': '{c}', 'confidence': {p}, 'evidence': '{e}', 'place': {k}}} END" for n, c, p, e, cond, k in (
+    ("Vite", "Tooling", 0.85, "vite.config.* present", "ends_with(path, 'vite.config.ts') OR ends_with(path, 'vite.config.js')", 100),
+    ("Next.js", "Framework", 0.9, "next.config.* present", "ends_with(path, 'next.config.js') OR ends_with(path, 'next.config.mjs')", 101),
+    ("Nuxt", "Framework", 0.9, "nuxt.config.* present", "ends_with(path, 'nuxt.config.ts') OR ends_with(path, 'nuxt.config.js')", 102),
     ("Angular", "Framework", 0.9, "angular.json present", "path = 'angular.json'", 103), ("Docker", "Runtime", 0.8, "Dockerfile present", "name = 'Dockerfile'", 900), ("Docker Compose", "Runtime", 0.7, "compose file present", "name IN ('docker-compose.yml', 'compose.yml')", 901))) + "], lambda x: x IS NOT NULL)) AS u FROM files))"
 on_files("t14_marker_frameworks", lambda f: tech.marker_frameworks(f).drop("place"), f", {_MARKS} SELECT repo_id, name, category, confidence, evidence FROM marked")
-_HOOKS = f"hooked AS (SELECT repo_id, 'npm install hook' AS name, 'Tooling' AS category, CAST(0.6 AS DOUBLE) AS confidence, 'package.json scripts.' || h AS evidence, 103 + k AS place FROM (SELECT repo_id, content, unnest(['preinstall', 'install', 'postinstall', 'prepare']) AS h, unnest([1, 2, 3, 4]) AS k FROM ({_first('package.json')})) WHERE json_extract_string(content, '$.scripts.' || h) <> '')"
+_HOOKS = f"""hooked AS (SELECT repo_id, 'npm install hook' AS name, 'Tooling' AS category, CAST(0.6 AS DOUBLE) AS confidence, 'package.json scripts.' || h AS evidence, 103 + k AS place
+  FROM (SELECT repo_id, content, unnest(['preinstall', 'install', 'postinstall', 'prepare']) AS h, unnest([1, 2, 3, 4]) AS k
+  FROM ({_first('package.json')}))
+  WHERE json_extract_string(content, '$.scripts.' || h) <> '')"""
 on_files("t15_hook_signal", lambda f: tech.hook_signal(tech.javascript_scripts(f)).drop("place"), f", {_HOOKS} SELECT repo_id, name, category, confidence, evidence FROM hooked")
 _N_EARLY = sum(k in ("python", "javascript") for k, *_ in C.FRAMEWORKS)
-_FRAMEWORKS = f"{_MATCHED}, {_MARKS}, {_HOOKS}, signals AS (SELECT repo_id, name, category, CAST(confidence AS DOUBLE) AS confidence, '`' || m.key || '` in ' || m.source AS evidence, CASE WHEN place >= {_N_EARLY} THEN place + 200 ELSE place END AS seen_at FROM matched UNION ALL SELECT * FROM marked UNION ALL SELECT * FROM hooked), frameworks AS (SELECT repo_id, name, arg_min(category, seen_at) AS category, max(confidence) AS confidence, string_agg(evidence, '|' ORDER BY seen_at) AS evidence FROM signals GROUP BY repo_id, name)"
+_FRAMEWORKS = f"""{_MATCHED}, {_MARKS}, {_HOOKS},
+  signals AS (SELECT repo_id, name, category, CAST(confidence AS DOUBLE) AS confidence, '`' || m.key || '` in ' || m.source AS evidence, CASE
+  WHEN place >= {_N_EARLY} THEN place + 200
+  ELSE place END AS seen_at
+  FROM matched
+  UNION ALL SELECT *
+  FROM marked
+  UNION ALL SELECT *
+  FROM hooked),
+  frameworks AS (SELECT repo_id, name, arg_min(category, seen_at) AS category, max(confidence) AS confidence, string_agg(evidence, '|' ORDER BY seen_at) AS evidence
+  FROM signals
+  GROUP BY repo_id, name)"""
 
 
 def _profile(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -346,7 +524,12 @@ def _profile(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 on_files("t16_detect_frameworks", lambda f: _profile(f)[1].withColumn("evidence", F.array_join("evidence", "|")), _FRAMEWORKS + " SELECT repo_id, name, category, confidence, evidence, row_number() OVER (PARTITION BY repo_id ORDER BY confidence DESC, name) AS place FROM frameworks")
-_FILE_LANGS = ", langs AS (SELECT repo_id, list(lang) AS lg FROM (SELECT repo_id, lang, least(0.99, round_even(n / greatest(1, max(n) OVER (PARTITION BY repo_id)), 2)) AS c FROM counts) WHERE c >= 0.05 GROUP BY repo_id)"
+_FILE_LANGS = """,
+  langs AS (SELECT repo_id, list(lang) AS lg
+  FROM (SELECT repo_id, lang, least(0.99, round_even(n / greatest(1, max(n) OVER (PARTITION BY repo_id)), 2)) AS c
+  FROM counts)
+  WHERE c >= 0.05
+  GROUP BY repo_id)"""
 on_files("t17_project_type", lambda f: _profile(f)[2], _FRAMEWORKS + _COUNTS + _FILE_LANGS + f"""
 , p AS (SELECT f.*, coalesce(fw, []) AS fw, coalesce(lg, []) AS lg FROM (SELECT repo_id, bool_or(ends_with(path, '.tf')) AS tf, bool_or(name = 'Chart.yaml') AS helm, bool_or(ends_with(path, '.ipynb')) AS nb, bool_or(name IN ('pyproject.toml', 'setup.py')) AS py, bool_or(name = 'package.json') AS npm, bool_or(name = 'Dockerfile') AS docker FROM files GROUP BY repo_id) f
   LEFT JOIN (SELECT repo_id, list(name) AS fw FROM frameworks GROUP BY repo_id) USING (repo_id) LEFT JOIN langs USING (repo_id)),
@@ -358,20 +541,52 @@ SELECT repo_id, CASE WHEN tf OR helm THEN 'Infrastructure/devops repo' WHEN nb A
 # --- health ----------------------------------------------------------------------------------------------------------
 
 _LICENSE = "CASE " + " ".join(f"WHEN regexp_matches(head, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in C.LICENSES) + " ELSE 'Detected' END"
-on_files("h1_detect_license", health.detect_license, f"SELECT repo_id, {_LICENSE} AS license FROM (SELECT repo_id, substr(arg_min(content, file_pos), 1, 4096) AS head FROM files WHERE NOT contains(path, '/') AND lower(path) IN ({_list(C.LICENSE_NAMES)}) GROUP BY repo_id)")
+on_files("h1_detect_license", health.detect_license, f"""SELECT repo_id, {_LICENSE} AS license
+  FROM (SELECT repo_id, substr(arg_min(content, file_pos), 1, 4096) AS head
+  FROM files
+  WHERE NOT contains(path, '/') AND lower(path) IN ({_list(C.LICENSE_NAMES)})
+  GROUP BY repo_id)""")
 add("h2_days_since", lambda s, d: T.repos(s, d).select("repo_id", health.days_since(F.col("pushed_at"), as_of()).alias("days")), f"WITH {T.REPOS_SQL} SELECT repo_id, days FROM repos")
-_MN = f"WITH {T.REPOS_SQL}, mn AS (SELECT repo_id, u.* FROM (SELECT repo_id, unnest(list_filter([CASE WHEN archived THEN {{'rule_id': 'MN001', 'severity': 'medium', 'lost': 15}} END, CASE WHEN license IS NULL THEN {{'rule_id': 'MN002', 'severity': 'medium', 'lost': 15}} END, CASE WHEN days > 365 THEN {{'rule_id': 'MN003', 'severity': 'medium', 'lost': 15}} WHEN days > 180 THEN {{'rule_id': 'MN004', 'severity': 'low', 'lost': 5}} END, CASE WHEN open_issues > 500 THEN {{'rule_id': 'MN005', 'severity': 'low', 'lost': 5}} END], lambda x: x IS NOT NULL)) AS u FROM repos))"
+_MN = f"""WITH {T.REPOS_SQL},
+  mn AS (SELECT repo_id, u.*
+  FROM (SELECT repo_id, unnest(list_filter([CASE
+  WHEN archived THEN {{'rule_id': 'MN001', 'severity': 'medium', 'lost': 15}} END, CASE
+  WHEN license IS NULL THEN {{'rule_id': 'MN002', 'severity': 'medium', 'lost': 15}} END, CASE
+  WHEN days > 365 THEN {{'rule_id': 'MN003', 'severity': 'medium', 'lost': 15}}
+  WHEN days > 180 THEN {{'rule_id': 'MN004', 'severity': 'low', 'lost': 5}} END, CASE
+  WHEN open_issues > 500 THEN {{'rule_id': 'MN005', 'severity': 'low', 'lost': 5}} END], lambda x: x IS NOT NULL)) AS u
+  FROM repos))"""
 add("h3_maintenance_findings", lambda s, d: health.maintenance_findings(T.repos(s, d), as_of()).select("repo_id", "rule_id", "severity"), _MN + " SELECT repo_id, rule_id, severity FROM mn")
 _MAINT = "CAST(least(100, greatest(0, 100 - coalesce(lost, 0) + CASE WHEN days IS NULL THEN -5 WHEN days < 30 THEN 5 ELSE 0 END)) AS INT)"
 add("h4_maintenance_score", lambda s, d: health.maintenance_score(T.repos(s, d), health.maintenance_findings(T.repos(s, d), as_of()), as_of()), _MN + f" SELECT repo_id, {_MAINT} AS maintenance FROM repos LEFT JOIN (SELECT repo_id, sum(lost) AS lost FROM mn GROUP BY repo_id) USING (repo_id)")
 _POP = "CASE WHEN kind <> 'local' THEN CAST(CASE WHEN stars = 0 AND forks = 0 THEN 25 ELSE least(100, greatest(0, CAST(trunc(log10(stars + forks + 1) * 20) AS INT) + 25)) END AS INT) END"
 add("h5_popularity_score", lambda s, d: health.popularity_score(T.repos(s, d)), f"WITH {T.REPOS_SQL} SELECT repo_id, {_POP} AS popularity FROM repos")
-_DOC = ", docs AS (SELECT repo_id, CAST(least(100, " + " + ".join(f"CASE WHEN bool_or(NOT contains(path, '/') AND lower(path) IN ({_list(n)})) THEN {p} ELSE 0 END" for _, n, p in C.DOCUMENTS) + " + " + " + ".join(f"CASE WHEN bool_or(contains(path, '/') AND split_part(lower(path), '/', 1) IN ({_list(n)})) THEN {p} ELSE 0 END" for n, p in C.DOCUMENT_DIRS) + f") AS INT) AS documentation, bool_or(NOT contains(path, '/') AND lower(path) IN ({_list(C.DOCUMENTS[0][1])})) AS has_readme, bool_or(path = 'SECURITY.md') AS has_security_policy FROM files GROUP BY repo_id)"
+_DOC_POINTS = " + ".join(
+    [f"CASE WHEN bool_or(NOT contains(path, '/') AND lower(path) IN ({_list(n)})) THEN {p} ELSE 0 END" for _, n, p in C.DOCUMENTS]
+    + [f"CASE WHEN bool_or(contains(path, '/') AND split_part(lower(path), '/', 1) IN ({_list(n)})) THEN {p} ELSE 0 END" for n, p in C.DOCUMENT_DIRS]
+)
+_DOC = f""", docs AS (
+  SELECT repo_id, CAST(least(100, {_DOC_POINTS}) AS INT) AS documentation,
+    bool_or(NOT contains(path, '/') AND lower(path) IN ({_list(C.DOCUMENTS[0][1])})) AS has_readme, bool_or(path = 'SECURITY.md') AS has_security_policy
+  FROM files GROUP BY repo_id)"""
 on_files("h6_documentation_score", health.documentation_score, _DOC + " SELECT * FROM docs")
 on_files("h6_documentation_findings", lambda f: health.documentation_findings(health.documentation_score(f)).select("repo_id", "rule_id", "severity"), _DOC + " SELECT repo_id, 'DOC001' AS rule_id, 'medium' AS severity FROM docs WHERE NOT has_readme UNION ALL SELECT repo_id, 'DOC002', 'low' FROM docs WHERE NOT has_security_policy")
-_SIGNALS = f", signals AS (SELECT repo_id, count(*) AS file_count, bool_or(starts_with(path, 'tests/') OR starts_with(path, 'test/') OR starts_with(path, 'spec/') OR contains(path, '/tests/') OR contains(path, '/test/')) AS has_tests, bool_or(starts_with(path, '{C.ACTIONS_PREFIX}')) AS has_ci, bool_or(name IN ({_list(m[0] for m in C.MANIFESTS)})) AS has_manifest FROM files GROUP BY repo_id)"
+_SIGNALS = f""",
+  signals AS (SELECT repo_id, count(*) AS file_count, bool_or(starts_with(path, 'tests/') OR starts_with(path, 'test/') OR starts_with(path, 'spec/') OR contains(path, '/tests/') OR contains(path, '/test/')) AS has_tests, bool_or(starts_with(path, '{C.ACTIONS_PREFIX}')) AS has_ci, bool_or(name IN ({_list(m[0] for m in C.MANIFESTS)})) AS has_manifest
+  FROM files
+  GROUP BY repo_id)"""
 on_files("h7_structure_signals", health.structure_signals, _SIGNALS + " SELECT * FROM signals")
-_STRUCT = "CAST(least(100, 40 + CASE WHEN file_count >= 5 THEN 15 ELSE 0 END + CASE WHEN file_count >= 20 THEN 10 ELSE 0 END + CASE WHEN has_manifest THEN 15 ELSE 0 END + CASE WHEN has_tests THEN 10 ELSE 0 END + CASE WHEN has_ci THEN 10 ELSE 0 END) AS INT)"
+_STRUCT = """CAST(least(100, 40 + CASE
+  WHEN file_count >= 5 THEN 15
+  ELSE 0 END + CASE
+  WHEN file_count >= 20 THEN 10
+  ELSE 0 END + CASE
+  WHEN has_manifest THEN 15
+  ELSE 0 END + CASE
+  WHEN has_tests THEN 10
+  ELSE 0 END + CASE
+  WHEN has_ci THEN 10
+  ELSE 0 END) AS INT)"""
 on_files("h8_structure_score", lambda f: health.structure_score(health.structure_signals(f)), _SIGNALS + f" SELECT repo_id, {_STRUCT} AS structure FROM signals")
 
 
@@ -380,16 +595,45 @@ def _coverage_inputs(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id").agg((n + F.expr("count(*) % 3") * 2).alias("intended"), (n > 55).alias("cap_reached"), F.lit(False).alias("deep"), F.when(n % 2 == 0, n).alias("source_files_in_repo"))
 
 
-_COV = f""", i AS (SELECT repo_id, count(*) AS loaded, count(*) + count(*) % 3 * 2 AS wanted, count(*) > 55 AS cap_reached, FALSE AS deep, CASE WHEN count(*) % 2 = 0 THEN count(*) END AS in_repo, count(*) FILTER (content IS NOT NULL AND NOT is_binary AND NOT truncated) AS analyzed, count(*) FILTER (is_binary) AS skipped_binary, count(*) FILTER (truncated) AS skipped_large, count(*) FILTER (content IS NOT NULL AND suffix IN ({_list(C.SOURCE_EXTENSIONS)})) AS source_files_inspected FROM files GROUP BY repo_id),
-cov AS (SELECT repo_id, greatest(wanted, loaded) AS intended, analyzed, skipped_binary, skipped_large, greatest(0, wanted - loaded) AS not_inspected, cap_reached, deep, greatest(coalesce(in_repo, source_files_inspected), source_files_inspected) AS source_files_in_repo, source_files_inspected, cap_reached OR wanted > loaded AS is_partial, greatest(coalesce(in_repo, source_files_inspected), source_files_inspected) > 0 AND source_files_inspected = 0 AS source_uncovered FROM i)"""
+_COV = f""", i AS (
+  SELECT repo_id, count(*) AS loaded, count(*) + count(*) % 3 * 2 AS wanted, count(*) > 55 AS cap_reached, FALSE AS deep, CASE WHEN count(*) % 2 = 0 THEN count(*) END AS in_repo,
+    count(*) FILTER (content IS NOT NULL AND NOT is_binary AND NOT truncated) AS analyzed, count(*) FILTER (is_binary) AS skipped_binary, count(*) FILTER (truncated) AS skipped_large,
+    count(*) FILTER (content IS NOT NULL AND suffix IN ({_list(C.SOURCE_EXTENSIONS)})) AS source_files_inspected
+  FROM files GROUP BY repo_id),
+cov AS (
+  SELECT repo_id, greatest(wanted, loaded) AS intended, analyzed, skipped_binary, skipped_large, greatest(0, wanted - loaded) AS not_inspected, cap_reached, deep,
+    greatest(coalesce(in_repo, source_files_inspected), source_files_inspected) AS source_files_in_repo, source_files_inspected, cap_reached OR wanted > loaded AS is_partial,
+    greatest(coalesce(in_repo, source_files_inspected), source_files_inspected) > 0 AND source_files_inspected = 0 AS source_uncovered
+  FROM i)"""
 on_files("h9_coverage", lambda f: health.coverage(f, _coverage_inputs(f)), _COV + " SELECT * FROM cov")
 on_files("h10_coverage_findings", lambda f: health.coverage_findings(health.coverage(f, _coverage_inputs(f))).select("repo_id", "rule_id", "severity", "description"),
-    _COV + " SELECT repo_id, 'COV001' AS rule_id, 'low' AS severity, not_inspected || ' file(s) were not read.' AS description FROM cov WHERE is_partial UNION ALL SELECT repo_id, 'COV002', 'low', skipped_large || ' file(s) are over the size limit.' FROM cov WHERE skipped_large > 0 UNION ALL SELECT repo_id, 'COV003', 'medium', source_files_in_repo || ' source file(s) were not read.' FROM cov WHERE source_uncovered")
+    _COV + """ SELECT repo_id, 'COV001' AS rule_id, 'low' AS severity, not_inspected || ' file(s) were not read.' AS description
+  FROM cov
+  WHERE is_partial
+  UNION ALL SELECT repo_id, 'COV002', 'low', skipped_large || ' file(s) are over the size limit.'
+  FROM cov
+  WHERE skipped_large > 0
+  UNION ALL SELECT repo_id, 'COV003', 'medium', source_files_in_repo || ' source file(s) were not read.'
+  FROM cov
+  WHERE source_uncovered""")
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 _PEN = "CASE category WHEN 'code_pattern' THEN [0, 1, 3, 6, 10][sev + 1] WHEN 'dependency' THEN [0, 3, 8, 15, 25][sev + 1] ELSE [0, 5, 12, 22, 40][sev + 1] END"
-_SECURITY = f", ranked AS (SELECT repo_id, {_PEN} AS pen, row_number() OVER (PARTITION BY repo_id, category ORDER BY sev DESC) AS k FROM findings WHERE category NOT IN ({_list(C.NOT_SECURITY)})), security AS (SELECT f.repo_id, CAST(least(100, greatest(0, round_even(100 - coalesce(lost, 0), 0))) AS INT) AS security FROM (SELECT DISTINCT repo_id FROM findings) f LEFT JOIN (SELECT repo_id, sum(pen * CASE WHEN k <= 2 THEN 1 WHEN k <= 5 THEN 0.5 ELSE 0.25 END) AS lost FROM ranked GROUP BY repo_id) l ON f.repo_id = l.repo_id)"
+_SECURITY = f""",
+  ranked AS (SELECT repo_id, {_PEN} AS pen, row_number() OVER (PARTITION BY repo_id, category ORDER BY sev DESC) AS k
+  FROM findings
+  WHERE category NOT IN ({_list(C.NOT_SECURITY)})),
+  security AS (SELECT f.repo_id, CAST(least(100, greatest(0, round_even(100 - coalesce(lost, 0), 0))) AS INT) AS security
+  FROM (SELECT DISTINCT repo_id
+  FROM findings) f
+  LEFT
+  JOIN (SELECT repo_id, sum(pen * CASE
+  WHEN k <= 2 THEN 1
+  WHEN k <= 5 THEN 0.5
+  ELSE 0.25 END) AS lost
+  FROM ranked
+  GROUP BY repo_id) l ON f.repo_id = l.repo_id)"""
 on_findings("g1_security_score", scoring.security_score, _SECURITY + " SELECT * FROM security")
 
 
@@ -404,7 +648,17 @@ def _breakdown(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("documentation", (F.col("repo_id").cast("long") % 97).cast("int")).withColumn("structure", (F.col("repo_id").cast("long") % 61 + 40).cast("int"))
 
 
-_BREAKDOWN = _MN + f", breakdown AS (SELECT repo_id, CAST(stars % 101 AS INT) AS security, {_MAINT} AS maintenance, {_POP} AS popularity, CAST(CAST(repo_id AS BIGINT) % 97 AS INT) AS documentation, CAST(CAST(repo_id AS BIGINT) % 61 + 40 AS INT) AS structure FROM repos LEFT JOIN (SELECT repo_id, sum(lost) AS lost FROM mn GROUP BY repo_id) USING (repo_id)), trusted AS (SELECT *, CAST(round_even((35 * security + 25 * maintenance + 20 * documentation + 10 * coalesce(popularity, 0) + 10 * structure) / (90 + CASE WHEN popularity IS NULL THEN 0 ELSE 10 END), 0) AS INT) AS trust FROM breakdown)"
+_BREAKDOWN = _MN + f""",
+  breakdown AS (SELECT repo_id, CAST(stars % 101 AS INT) AS security, {_MAINT} AS maintenance, {_POP} AS popularity, CAST(CAST(repo_id AS BIGINT) % 97 AS INT) AS documentation, CAST(CAST(repo_id AS BIGINT) % 61 + 40 AS INT) AS structure
+  FROM repos
+  LEFT
+  JOIN (SELECT repo_id, sum(lost) AS lost
+  FROM mn
+  GROUP BY repo_id) USING (repo_id)),
+  trusted AS (SELECT *, CAST(round_even((35 * security + 25 * maintenance + 20 * documentation + 10 * coalesce(popularity, 0) + 10 * structure) / (90 + CASE
+  WHEN popularity IS NULL THEN 0
+  ELSE 10 END), 0) AS INT) AS trust
+  FROM breakdown)"""
 add("g2_trust_score", lambda s, d: scoring.trust_score(_breakdown(s, d)).select("repo_id", "trust"), _BREAKDOWN + " SELECT repo_id, trust FROM trusted")
 
 
@@ -419,15 +673,27 @@ _DAYS = f", {T.FINDINGS_SQL}, days AS (SELECT repo_id, bool_or(severity = 'criti
 add("g3_risk_level", _risk, _BREAKDOWN + _DAYS + """
 SELECT days.repo_id, CASE WHEN critical THEN 'Critical' WHEN grave OR trust < 45 THEN 'High' WHEN trust < 65 THEN 'Medium' ELSE 'Low' END AS risk
 FROM days JOIN trusted t ON t.repo_id = split_part(days.repo_id, '@', 1)""")
-_ALL_FLAGS = ", flags AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, bool_or(event_type = 'purchase') AS critical, bool_or(event_type IN ('error', 'purchase') AND event_id % 6 < 2) AS grave FROM events GROUP BY 1)"
+_ALL_FLAGS = """,
+  flags AS (SELECT CAST(user_id AS VARCHAR) AS repo_id, bool_or(event_type = 'purchase') AS critical, bool_or(event_type IN ('error', 'purchase') AND event_id % 6 < 2) AS grave
+  FROM events
+  GROUP BY 1)"""
 add("g3_risk_level_all", lambda s, d: scoring.risk_level(scoring.trust_score(_breakdown(s, d)).select("repo_id", "trust"), _by_user(T.findings(s, d))),
-    _BREAKDOWN + _ALL_FLAGS + " SELECT t.repo_id, CASE WHEN coalesce(critical, FALSE) THEN 'Critical' WHEN coalesce(grave, FALSE) OR trust < 45 THEN 'High' WHEN trust < 65 THEN 'Medium' ELSE 'Low' END AS risk FROM trusted t LEFT JOIN flags f USING (repo_id)")
+    _BREAKDOWN + _ALL_FLAGS + """ SELECT t.repo_id, CASE
+  WHEN coalesce(critical, FALSE) THEN 'Critical'
+  WHEN coalesce(grave, FALSE) OR trust < 45 THEN 'High'
+  WHEN trust < 65 THEN 'Medium'
+  ELSE 'Low' END AS risk
+  FROM trusted t
+  LEFT
+  JOIN flags f USING (repo_id)""")
 _REC = [
     ("n_critical > 0", "Treat this repository as untrusted until its critical findings are resolved."), ("n_high > 0", "Inspect every HIGH finding before installing or building."), ("security < 60", "Review scripts and install hooks before running anything."),
     ("documentation < 50", "Ask the maintainer for setup and security guidance: documentation is thin."), ("maintenance < 50", "Maintenance is weak; consider a maintained fork or another project."),
 ]
 add("g4_recommendations", lambda s, d: scoring.recommendations(_breakdown(s, d).withColumn("n_critical", F.col("security") % 3).withColumn("n_high", F.col("security") % 2)).withColumn("recommendations", F.array_join("recommendations", "|")),
-    _BREAKDOWN + " SELECT repo_id, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in _REC) + "], lambda x: x IS NOT NULL), '|'), ''), 'No major issues found. Still review the code before granting privileges.') AS recommendations FROM (SELECT *, security % 3 AS n_critical, security % 2 AS n_high FROM breakdown)")
+    _BREAKDOWN + " SELECT repo_id, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in _REC) + """], lambda x: x IS NOT NULL), '|'), ''), 'No major issues found. Still review the code before granting privileges.') AS recommendations
+  FROM (SELECT *, security % 3 AS n_critical, security % 2 AS n_high
+  FROM breakdown)""")
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
@@ -456,10 +722,21 @@ on_findings("g6_gate", lambda f: scoring.gate(f, "medium"), f"SELECT repo_id, ['
 on_findings("g7_sort_findings", lambda f: scoring.sort_findings(f).select("repo_id", "finding_pos", "place"), "SELECT repo_id, finding_pos, row_number() OVER (PARTITION BY repo_id ORDER BY sev DESC, rule_id, coalesce(file_path, ''), coalesce(line_number, 0), finding_pos) AS place FROM findings")
 on_findings("g8_severity_counts", scoring.severity_counts, "SELECT repo_id, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high, count(*) AS n_findings FROM findings GROUP BY repo_id")
 _LEVELS, _SEVS = "['note', 'note', 'warning', 'error', 'error'][sev + 1]", "['0.0', '2.0', '5.0', '8.0', '9.5'][sev + 1]"
-_DESCRIPTORS = f", d AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY finding_pos) - 1 AS rule_index FROM (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY repo_id, rule_id ORDER BY finding_pos) = 1))"
+_DESCRIPTORS = f""",
+  d AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY finding_pos) - 1 AS rule_index
+  FROM (SELECT *
+  FROM findings
+  QUALIFY row_number() OVER (PARTITION BY repo_id, rule_id ORDER BY finding_pos) = 1))"""
 on_findings("g9_rule_descriptors", scoring.rule_descriptors, _DESCRIPTORS + f" SELECT repo_id, rule_id, rule_index, title, split_part(description, chr(10), 1) AS full_description, recommendation AS help_text, {_LEVELS} AS level, category, {_SEVS} AS security_severity FROM d")
-on_findings("g10_sarif_results", scoring.sarif_results, _DESCRIPTORS + f" SELECT f.repo_id, f.finding_pos, f.rule_id, d.rule_index, {_LEVELS.replace('sev', 'f.sev')} AS level, split_part(f.description, chr(10), 1) AS message, f.severity, f.category, f.file_path AS uri, CASE WHEN f.file_path IS NOT NULL THEN greatest(1, coalesce(f.line_number, 1)) END AS start_line, f.rule_id || ':' || coalesce(f.file_path, '') || ':' || coalesce(f.line_number, 0) AS fingerprint FROM findings f JOIN d ON f.repo_id = d.repo_id AND f.rule_id = d.rule_id")
-add("g11_effective_weights", lambda s, d: scoring.effective_weights(_breakdown(s, d)), _BREAKDOWN + " SELECT repo_id, u.area AS area, u.score AS score, CASE WHEN u.score IS NOT NULL THEN CAST(round_even(100.0 * u.w / (90 + CASE WHEN popularity IS NULL THEN 0 ELSE 10 END), 0) AS INT) END AS weight FROM (SELECT repo_id, popularity, unnest([" + ", ".join(f"{{'area': '{a}', 'score': {a}, 'w': {w}}}" for a, w in C.WEIGHTS) + "]) AS u FROM breakdown)")
+on_findings("g10_sarif_results", scoring.sarif_results, _DESCRIPTORS + f""" SELECT f.repo_id, f.finding_pos, f.rule_id, d.rule_index, {_LEVELS.replace('sev', 'f.sev')} AS level, split_part(f.description, chr(10), 1) AS message, f.severity, f.category, f.file_path AS uri, CASE
+  WHEN f.file_path IS NOT NULL THEN greatest(1, coalesce(f.line_number, 1)) END AS start_line, f.rule_id || ':' || coalesce(f.file_path, '') || ':' || coalesce(f.line_number, 0) AS fingerprint
+  FROM findings f
+  JOIN d ON f.repo_id = d.repo_id AND f.rule_id = d.rule_id""")
+add("g11_effective_weights", lambda s, d: scoring.effective_weights(_breakdown(s, d)), _BREAKDOWN + """ SELECT repo_id, u.area AS area, u.score AS score, CASE
+  WHEN u.score IS NOT NULL THEN CAST(round_even(100.0 * u.w / (90 + CASE
+  WHEN popularity IS NULL THEN 0
+  ELSE 10 END), 0) AS INT) END AS weight
+  FROM (SELECT repo_id, popularity, unnest([""" + ", ".join(f"{{'area': '{a}', 'score': {a}, 'w': {w}}}" for a, w in C.WEIGHTS) + "]) AS u FROM breakdown)")
 
 
 # --- the whole audit, sinks and sources ------------------------------------------------------------------------------
@@ -509,12 +786,19 @@ add("s7_markdown_report", lambda s, d: reports.to_markdown(_audit(s, d)))
 
 def _raw_repos(s: SparkSession, d: str) -> DataFrame:
     r, k = T.repos(s, d), F.col("repo_id").cast("long")
-    raw = F.struct(F.col("name"), F.struct(F.col("kind").alias("login")).alias("owner"), F.col("url").alias("html_url"), F.col("stars").alias("stargazers_count"), F.col("forks").alias("forks_count"), (k % 3).alias("subscribers_count"), F.col("stars").alias("watchers_count"), F.col("open_issues").alias("open_issues_count"), F.when(k % 5 > 0, F.struct(F.col("license").alias("spdx_id"))).alias("license"), "archived", "pushed_at")
+    raw = F.struct(
+        F.col("name"), F.struct(F.col("kind").alias("login")).alias("owner"), F.col("url").alias("html_url"), F.col("stars").alias("stargazers_count"),
+        F.col("forks").alias("forks_count"), (k % 3).alias("subscribers_count"), F.col("stars").alias("watchers_count"), F.col("open_issues").alias("open_issues_count"),
+        F.when(k % 5 > 0, F.struct(F.col("license").alias("spdx_id"))).alias("license"), "archived", "pushed_at",
+    )
     return r.select("repo_id", F.to_json(raw).alias("json"))
 
 
 add("s3_normalize_metadata", lambda s, d: snapshots.normalize_metadata(_raw_repos(s, d)).select("repo_id", "name", "owner", "url", "stars", "forks", "watchers", "open_issues", "license", "archived"),
-    f"WITH {T.REPOS_SQL} SELECT repo_id, name, kind AS owner, url, stars, forks, CASE WHEN CAST(repo_id AS BIGINT) % 3 = 0 THEN stars ELSE CAST(repo_id AS BIGINT) % 3 END AS watchers, open_issues, license, archived FROM repos")
+    f"""WITH {T.REPOS_SQL} SELECT repo_id, name, kind AS owner, url, stars, forks, CASE
+  WHEN CAST(repo_id AS BIGINT) % 3 = 0 THEN stars
+  ELSE CAST(repo_id AS BIGINT) % 3 END AS watchers, open_issues, license, archived
+  FROM repos""")
 
 
 def _trees(s: SparkSession, d: str) -> DataFrame:

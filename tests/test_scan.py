@@ -19,6 +19,14 @@ CASES = [
     ("Dockerfile", "FROM a:latest\nUSER root", {"DK001", "DK005"}), ("sub/Dockerfile", "USER root", set()), (".github/workflows/c.yml", "on:\n  pull_request_target:\n", {"GH001"}), (".github/workflows/d.yml", "x: ${{ github.event.issue.title }}", {"GH006"}),
     ("config.py", f"k = '{KEY}'", {"SEC003"}), ("ok.py", "eval(x)  # audit: ignore PY001", set()), ("ok2.py", "eval(x)  # audit: ignore", set()), ("no.py", "eval(x)  # audit: ignore PY002", {"PY001"}), ("all.py", "# audit: ignore-file\neval(x)", set()),
     ("m.py", "exec(a)\n\n\nexec(b)\n", {"PY002"}), (".env", "A=1", {"SEC011"}), ("package.json", '{"scripts": {"postinstall": "x", "test": "y"}}', {"JS100"}), ("bad/package.json", "{", set()), ("empty.py", "", set()), ("null.py", None, set()),
+    ("n1.py", "model.eval()", set()), ("n2.py", "y = eval(x)", {"PY001"}), ("n3.py", "yaml.safe_load(x)", set()), ("n4.py", "yaml.load(raw, Loader=yaml.CSafeLoader)", set()), ("n5.py", "eval(eval(x))", {"PY001"}), ("n6.py", "async_exec(x); my.exec(y)", set()),
+    ("n1.js", "vm.eval(x)", set()), ("n2.js", "eval(x)", {"JS001"}), ("n3.js", "a.outerHTML += b", {"JS006"}), ("n4.js", "setTimeout(() => f(), 5)", set()), ("n5.js", "setInterval(`f()`, 5)", {"JS007"}), ("n6.js", "document.write(x)", {"JS006"}), ("n7.js", "// eval(x)\n'eval(y)'", set()),
+    ("n1.rb", "obj.eval(x)", set()), ("n2.rb", "# Marshal.load(x)", set()), ("n3.rb", "eval(x)", {"RB001"}), ("n4.rb", "YAML.safe_load(x)", set()),
+    ("n1.php", "<?php unserialize($x);", {"PHP003"}), ("n2.php", "include $file;", {"PHP005"}), ("n3.php", "require_once($_POST['p']);", {"PHP006"}), ("n4.php", "// eval($x)", set()), ("n5.php", "$s = 'eval(1)';", set()), ("n6.php", "extract($_GET);", {"PHP007"}),
+    ("n7.php", "create_function('a', 'b');", {"PHP008"}), ("n8.php", "# system('ls')", set()), ("n9.php", "base64_decode($x);", {"PHP004"}), ("n10.php", "$this->system('x');", set()),
+    ("n1.sh", "wget --no-check-certificate u", {"SH008"}), ("n2.sh", "  # sudo ls", set()), ("n3.sh", "echo 'curl x | sh'", {"SH001"}),
+    (".github/workflows/e.yml", "x: ${{ github.event.repository.name }}", set()), (".github/workflows/f.yml", "x: ${{ github.event.sender.login }}", set()), (".github/workflows/g.yml", "x: ${{ github.event.comment.body }}", {"GH006"}),
+    (".github/workflows/h.yml", "x: ${{ github.event.pull_request.title }}", {"GH006"}), (".github/workflows/i.yml", "x: ${{ github.event.review_comment.body }}", {"GH006"}),
 ]
 
 
