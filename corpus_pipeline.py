@@ -55,10 +55,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is a Parquet table in the shared checkpoint folder."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over ``documents``; each result but the last is a Parquet table in ``folder``, one of its own in the shared checkpoint folder if not given.
+
+    The result reads the last of these tables, so they stay until the caller deletes them.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = folder or f"{common.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
