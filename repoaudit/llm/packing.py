@@ -38,7 +38,7 @@ CHILDREN = 64
 PATIENCE = 16
 MUTATED = 24
 ROUNDS = 4
-WELL_FILLED = 0.995
+WELL_FILLED = 0.999
 
 
 def pieces(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
