@@ -84,6 +84,18 @@ def _level(counts: DataFrame, max_rows: int) -> int:
     return low
 
 
+def lookup(rows: DataFrame, values: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` left-joined to ``values``, which has one row a ``key`` with the number ``n`` of rows that hold it; ``total`` is the count of ``rows``.
+
+    Fewer than ``share`` keys can be held by more than one ``share``-th of all rows each. These, whatever they are, are broadcast to their rows; all other keys
+    are joined by a shuffle in which none is hot. Both sides should be saved, as both are read twice.
+    """
+    hot = values.where(F.col("n") * share > total).drop("n")
+    rest = values.where(F.col("n") * share <= total).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def bounded(rows: DataFrame, n: str, most: int) -> DataFrame:
     """``rows`` (with ``weight``) whose numbers ``n`` add up to about ``most`` at most: all, or those under a hash bound that thins them evenly."""
     rows = saved(rows)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    filter_audit,
+    hard_negatives,
     language_id,
     mpeg_audio,
     packing,
@@ -16,6 +18,7 @@ from . import (
     sentencepiece_codec,
     sharding,
     simhash_dedup,
+    token_counts,
     url_filters,
 )
 
@@ -32,8 +35,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_media_columns": mpeg_audio.op9_media_columns,
         "op10_sharding": sharding.op10_sharding,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_filter_interaction_audit": filter_audit.op12_filter_interaction_audit,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scans": secret_scans.ORACLE_SQL, "op5_url_filters": url_filters.ORACLE_SQL}
+    return {"op3_secret_scans": secret_scans.ORACLE_SQL, "op5_url_filters": url_filters.ORACLE_SQL, "op12_filter_interaction_audit": filter_audit.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
