@@ -6,27 +6,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalogs as C
+from ..functions import versions as V
 from ..plans.saved import saved
 
 KEY = ["ecosystem", "name", "version"]
 #: Known pins that are broadcast, and parts that a pin's repositories are dealt into where there are more.
 MAX_BROADCAST, SALTS = 200_000, 32
+#: events of a range (a version each, in one of four fields) and the intervals they come to
+EVENT = "struct<introduced:string,fixed:string,last_affected:string,limit:string>"
+_INTERVAL = "struct<low:string,high:string,closed:boolean>"
 
 
-def match_advisories(deps: DataFrame, advisories: DataFrame, max_queries: int | None = C.MAX_QUERIES) -> DataFrame:
+def _first_of_each(deps: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` dependencies of every repository. Only repositories with more are sorted, and nothing is joined where there are none."""
+    if most is None:
+        return deps
+    large = saved(deps.groupBy("repo_id").count().where(F.col("count") > most).select("repo_id"))
+    if large.isEmpty():
+        return deps
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("dep_pos"))
+    first = deps.join(large, "repo_id", "left_semi").withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return deps.join(large, "repo_id", "left_anti").unionByName(first)
+
+
+def keyed_events(ranges: DataFrame) -> DataFrame:
+    """``ranges`` with ``marks``, their events as (key, kind) in order, and ``problem``, why a range can't be read.
+
+    Kinds at one version: fixed (0), introduced (1), last_affected (2), so a version that is fixed and introduced again is affected. The version ``0`` comes before all.
+    """
+    kinds = (("fixed", 0), ("introduced", 1), ("last_affected", 2), ("limit", 3))
+
+    def marks(e: Column) -> Column:
+        def key(text: Column) -> Column:
+            return F.when(text == "0", "").otherwise(V.version_key(F.col("ecosystem"), text))
+
+        return F.filter(F.array(*(F.struct(F.when(e[f].isNotNull(), key(e[f])).alias("key"), F.lit(k).alias("kind"), e[f].alias("text")) for f, k in kinds)), lambda m: m["text"].isNotNull())
+
+    out = ranges.withColumn("marks", F.flatten(F.transform(F.coalesce("events", F.expr(f"cast(array() AS array<{EVENT}>)")), marks)))
+    unread = F.exists("marks", lambda m: m["key"].isNull())
+    starts = F.exists("marks", lambda m: m["kind"] == 1)
+    problem = F.when(~F.col("range_type").isin("SEMVER", "ECOSYSTEM"), "range type").when(~F.col("ecosystem").isin(*V.ORDERS), "ecosystem").when(unread, "version").when(~starts, "no introduced event")
+    return out.withColumn("problem", problem).withColumn("marks", F.array_sort(F.transform("marks", lambda m: F.struct(m["key"].alias("key"), m["kind"].alias("kind")))))
+
+
+def intervals(ranges: DataFrame) -> DataFrame:
+    """(vuln_id, vuln_pos, ecosystem, package, low, high, closed, below): the affected versions of readable ranges as intervals of version keys.
+
+    ``low`` belongs to an interval, ``high`` only if it is ``closed``; a null ``high`` has no end. Versions from ``below`` on, where it isn't null, are beyond the range's limits.
+    """
+    state = lambda low, out: F.struct(low.alias("low"), out.alias("out"))
+    interval = lambda a, high, closed: F.concat(a["out"], F.array(F.struct(a["low"].alias("low"), high.alias("high"), F.lit(closed).alias("closed"))))
+    nothing = F.lit(None).cast("string")
+
+    def step(a: Column, m: Column) -> Column:
+        opened = a["low"].isNotNull()
+        return (
+            F.when((m["kind"] == 1) & ~opened, state(m["key"], a["out"])).when((m["kind"] == 0) & opened, state(nothing, interval(a, m["key"], False)))
+            .when((m["kind"] == 2) & opened, state(nothing, interval(a, m["key"], True))).otherwise(a)
+        )
+
+    start = state(nothing, F.expr(f"cast(array() AS array<{_INTERVAL}>)"))
+    folded = F.aggregate("marks", start, step, lambda a: F.when(a["low"].isNotNull(), interval(a, nothing, False)).otherwise(a["out"]))
+    below = F.array_max(F.transform(F.filter("marks", lambda m: m["kind"] == 3), lambda m: m["key"]))
+    rows = keyed_events(ranges).where(F.col("problem").isNull())
+    rows = rows.select("vuln_id", "vuln_pos", "ecosystem", V.package_name(F.col("ecosystem"), F.col("name")).alias("package"), below.alias("below"), F.explode(folded).alias("i"))
+    return rows.select("vuln_id", "vuln_pos", "ecosystem", "package", "i.low", "i.high", "i.closed", "below")
+
+
+def unread_ranges(ranges: DataFrame) -> DataFrame:
+    """(vuln_id, ecosystem, name, range_type, problem) of ranges that ``intervals`` leaves out, so that none is lost silently."""
+    return keyed_events(ranges).where(F.col("problem").isNotNull()).select("vuln_id", "ecosystem", "name", "range_type", "problem")
+
+
+def pins_in_ranges(pins: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, vuln_id, vuln_pos) of distinct ``pins`` whose version lies in a range of an advisory.
+
+    An equi-join on ecosystem and package with comparisons of keys. The versions of a package are dealt into salts which each have the package's intervals, since a
+    popular package has many of both.
+    """
+    of_pin = V.package_name(F.col("ecosystem"), F.col("name"))
+    salt = F.pmod(F.xxhash64("version"), F.lit(SALTS)).cast("int")
+    keyed = pins.select(*KEY, of_pin.alias("package"), V.version_key(F.col("ecosystem"), F.col("version")).alias("key"), salt.alias("salt")).where(F.col("key").isNotNull())
+    salted = intervals(ranges).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    high = F.col("high").isNull() | (F.col("key") < F.col("high")) | (F.col("closed") & (F.col("key") == F.col("high")))
+    inside = (F.col("low") <= F.col("key")) & high & (F.col("below").isNull() | (F.col("key") < F.col("below")))
+    return keyed.join(salted, ["ecosystem", "package", "salt"]).where(inside).select(*KEY, "vuln_id", "vuln_pos")
+
+
+def match_advisories(deps: DataFrame, advisories: DataFrame, max_queries: int | None = C.MAX_QUERIES, ranges: DataFrame | None = None) -> DataFrame:
     """One row per (dependency, advisory). ``max_queries``: the first so many dependencies of a repository; None takes all.
 
+    An advisory meets the versions that it lists (``advisories``, a row each) and those in its ``ranges`` (vuln_id, vuln_pos, ecosystem, name, range_type, events), once for both.
     Fleets share most pins, so distinct pins meet the advisories first. The few that have any are broadcast to the dependencies if their count allows it;
     else both sides are salted, as one pin may stand in most repositories.
     """
-    deps = saved(deps)  # read for the distinct pins and for the join
-    if max_queries is not None:
-        # only repositories with more dependencies than that are sorted
-        large = deps.groupBy("repo_id").count().where(F.col("count") > max_queries).select("repo_id")
-        place = F.row_number().over(Window.partitionBy("repo_id").orderBy("dep_pos"))
-        first = deps.join(large, "repo_id", "left_semi").withColumn("place", place).where(F.col("place") <= max_queries).drop("place")
-        deps = deps.join(large, "repo_id", "left_anti").unionByName(first)
-    known = saved(advisories.select(*KEY, "vuln_id", "vuln_pos").join(deps.select(*KEY).distinct(), KEY, "left_semi"))
+    deps = _first_of_each(saved(deps), max_queries)  # read for the distinct pins and for the join
+    pins = deps.select(*KEY).distinct()
+    known = advisories.select(*KEY, "vuln_id", "vuln_pos").join(pins, KEY, "left_semi")
+    if ranges is not None:
+        known = known.unionByName(pins_in_ranges(pins, ranges)).groupBy(*KEY, "vuln_id").agg(F.min("vuln_pos").alias("vuln_pos"))
+    known = saved(known)
     if known.count() <= MAX_BROADCAST:
         hits = deps.join(F.broadcast(known), KEY)
     else:

@@ -31,11 +31,12 @@ def _gather(df: DataFrame, name: str, order: str, *fields: str) -> DataFrame:
 def findings_of(
     files: DataFrame, repos: DataFrame, docs: DataFrame, cov: DataFrame, as_of: Column, advisories: DataFrame | None = None, advisory_details: DataFrame | None = None,
     advisory_status: DataFrame | None = None, rules: tuple[dict, ...] = C.RULES, max_queries: int | None = None, max_details: int | None = None, max_per_dep: int | None = None,
+    advisory_ranges: DataFrame | None = None,
 ) -> DataFrame:
     """All findings of all repositories as rows, however many one has; ``finding_pos`` is a struct that orders them.
 
     ``advisory_status`` (repo_id, available) names the repositories whose advisories could not be read: they get a note in place of dependency findings.
-    The three limits are of use only where advisories come from a service that sets them; None, the default, takes all.
+    ``advisory_ranges`` adds advisories that give ranges of versions. The three limits are of use only where advisories come from a service that sets them; None, the default, takes all.
     """
     groups = [scan.scan_files(files, rules), health.maintenance_findings(repos, as_of), health.documentation_findings(docs), health.coverage_findings(cov)]
     if advisories is not None:
@@ -43,7 +44,7 @@ def findings_of(
         if advisory_status is not None:
             groups.append(A.advisory_gap_findings(pins, advisory_status))
             pins = pins.join(advisory_status.where("NOT available").select("repo_id"), "repo_id", "left_anti")
-        hits = A.enrich(A.match_advisories(pins, advisories, max_queries), advisory_details, max_details)
+        hits = A.enrich(A.match_advisories(pins, advisories, max_queries, advisory_ranges), advisory_details, max_details)
         groups.append(A.dependency_findings(hits, max_per_dep))
     out = None
     for i, g in enumerate(groups):
@@ -56,6 +57,7 @@ def audit(
     files: DataFrame, repos: DataFrame, coverage_inputs: DataFrame, as_of: Column, language_bytes: DataFrame | None = None,
     advisories: DataFrame | None = None, advisory_details: DataFrame | None = None, rules: tuple[dict, ...] = C.RULES, max_findings: int | None = 10_000,
     advisory_status: DataFrame | None = None, max_queries: int | None = None, max_details: int | None = None, max_per_dep: int | None = None,
+    advisory_ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Everything about each row of ``repos``; local repositories take the licence of their files.
 
@@ -67,7 +69,7 @@ def audit(
     languages, frameworks, types = technologies(files, language_bytes)
     docs = health.documentation_score(files)
     cov = health.coverage(files, coverage_inputs)
-    findings = findings_of(files, repos, docs, cov, as_of, advisories, advisory_details, advisory_status, rules, max_queries, max_details, max_per_dep)
+    findings = findings_of(files, repos, docs, cov, as_of, advisories, advisory_details, advisory_status, rules, max_queries, max_details, max_per_dep, advisory_ranges)
     findings = saved(findings)  # scores, risk, counts and reports all read them; the scan of the texts runs once
     base = repos.select("repo_id")
     left = lambda df, other: df.join(other, "repo_id", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..catalogs import BINARY_EXTENSIONS, SKIP_DIRECTORIES
 from ..operators import paths
+from ..operators.advisories import EVENT
 
 FILE = "repo_id string, file_pos long, path string, size long, content string, is_binary boolean, truncated boolean"
 
@@ -116,8 +117,31 @@ def tree_paths(trees: DataFrame, column: str = "json") -> DataFrame:
     return rows.where("e.type = 'blob'").select("repo_id", "e.path", "e.size")
 
 
+ADVISORY = (
+    "id string, summary string, details string, database_specific struct<severity:string>, affected array<struct<package:struct<ecosystem:string,name:string>,versions:array<string>,"
+    f"ranges:array<struct<type:string,events:array<{EVENT}>>>>>"
+)
+
+
+def _affected(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.schema(ADVISORY).json(path).select("id", "summary", "details", F.col("database_specific.severity").alias("severity_label"), F.posexplode("affected").alias("vuln_pos", "a"))
+    return rows.select(F.col("id").alias("vuln_id"), "summary", "details", "severity_label", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), "vuln_pos", "a")
+
+
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
-    """(vuln_id, summary, details, severity_label, ecosystem, name, version, vuln_pos) from advisory JSON documents, a version a row."""
-    schema = "id string, summary string, details string, database_specific struct<severity:string>, affected array<struct<package:struct<ecosystem:string,name:string>,versions:array<string>>>"
-    rows = spark.read.schema(schema).json(path).select("id", "summary", "details", F.col("database_specific.severity").alias("severity_label"), F.posexplode("affected").alias("vuln_pos", "a"))
-    return rows.select(F.col("id").alias("vuln_id"), "summary", "details", "severity_label", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), F.explode("a.versions").alias("version"), "vuln_pos")
+    """(vuln_id, summary, details, severity_label, ecosystem, name, version, vuln_pos) from advisory JSON documents, a row for each version that they list.
+
+    Documents that give ranges have their rows in ``read_advisory_ranges``; the two together are what ``match_advisories`` takes.
+    """
+    return _affected(spark, path).select("vuln_id", "summary", "details", "severity_label", "ecosystem", "name", F.explode("a.versions").alias("version"), "vuln_pos")
+
+
+def read_advisory_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(vuln_id, vuln_pos, ecosystem, name, range_type, events): a row for each range of advisory JSON documents."""
+    rows = _affected(spark, path).select("vuln_id", "vuln_pos", "ecosystem", "name", F.explode("a.ranges").alias("r"))
+    return rows.select("vuln_id", "vuln_pos", "ecosystem", "name", F.col("r.type").alias("range_type"), F.col("r.events").alias("events"))
+
+
+def read_advisory_details(spark: SparkSession, path: str) -> DataFrame:
+    """(vuln_id, summary, details, severity_label): one row a document, whether it lists versions or ranges."""
+    return spark.read.schema(ADVISORY).json(path).select(F.col("id").alias("vuln_id"), "summary", "details", F.col("database_specific.severity").alias("severity_label")).dropDuplicates(["vuln_id"])

@@ -6,7 +6,7 @@ snippet from ``SLOTS``, so that every detector has something to find; optional s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _GH, _SLACK = "gh" + "p_" + "a" * 36, "https://hooks.slack" + ".com/services/" + "T0A1B2C3D4" * 3
@@ -150,6 +150,54 @@ advisory_details AS (SELECT 'ADV-' || p_partkey || '-' || i AS vuln_id, CASE WHE
   FROM (SELECT *, unnest(range(1, p_partkey % 13 + 1)) AS i FROM part))"""
 
 
+def ranged_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins per repository with numbers of two digits, pre-releases and padded releases, from line items; the first of each."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    key, k = F.col("l_partkey"), F.col("l_orderkey")
+    pre = F.concat(F.when(key % 3 == 1, "rc").otherwise("-rc."), (k % 11).cast("string"))
+    version = F.concat(F.col("l_linenumber").cast("string"), F.lit("."), (k % 12).cast("string"), F.when(k % 4 == 1, pre).when(k % 4 == 2, ".0").otherwise(""))
+    return rows.groupBy(F.col("o_custkey").cast("string").alias("repo_id"), _ecosystem(key).alias("ecosystem"), F.concat(F.lit("pkg"), key.cast("string")).alias("name"), version.alias("version")).agg(F.min(k * 8 + F.col("l_linenumber")).alias("dep_pos")).withColumn("source", F.lit("lock"))
+
+
+def advisory_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ranges a part: up to a fixed version, from a pre-release to a last affected one, and two intervals of which one is open."""
+    key = F.col("p_partkey")
+    text = lambda *parts: F.concat(*(x.cast("string") if i % 2 == 0 else F.lit(".") for i, x in enumerate(parts)))
+
+    def event(**field: Column) -> Column:
+        return F.struct(*(field.get(n, F.lit(None).cast("string")).alias(n) for n in ("introduced", "fixed", "last_affected", "limit")))
+
+    pre = F.concat(text(key % 4 + 1, None, key % 10), F.when(key % 3 == 1, "rc").otherwise("-rc."), (key % 9).cast("string"))
+    lists = [
+        [event(introduced=F.lit("0")), event(fixed=text(key % 7 + 1, None, key % 12))],
+        [event(last_affected=text(key % 4 + 2, None, key % 11)), event(introduced=pre)],
+        [event(introduced=F.lit("1.2")), event(fixed=F.lit("1.10")), event(introduced=text(key % 3 + 4, None, F.lit(3)))],
+    ]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.array(*(F.array(*x) for x in lists))).alias("vuln_pos", "events"))
+    return rows.select(F.concat(F.lit("RNG-"), key.cast("string"), F.lit("-"), F.col("vuln_pos").cast("string")).alias("vuln_id"), "vuln_pos", _ecosystem(key).alias("ecosystem"), F.concat(F.lit("pkg"), key.cast("string")).alias("name"), F.lit("ECOSYSTEM").alias("range_type"), "events")
+
+
+def _version_list(text: str) -> str:
+    """A version as a list that sorts: numbers, then 0 and its number for a pre-release or 1."""
+    number = lambda k: f"coalesce(try_cast(string_split(regexp_extract({text}, '^[0-9.]+'), '.')[{k}] AS INT), 0)"
+    pre = f"try_cast(regexp_extract({text}, 'rc\\.?([0-9]+)$', 1) AS INT)"
+    return f"[{number(1)}, {number(2)}, {number(3)}, CASE WHEN {pre} IS NULL THEN 1 ELSE 0 END, coalesce({pre}, 0)]"
+
+
+RANGES_SQL = f"""
+ranged_pins AS (SELECT CAST(o_custkey AS VARCHAR) AS repo_id, CASE l_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'Go' END AS ecosystem, 'pkg' || l_partkey AS name,
+  l_linenumber || '.' || (l_orderkey % 12) || CASE l_orderkey % 4 WHEN 1 THEN (CASE l_partkey % 3 WHEN 1 THEN 'rc' ELSE '-rc.' END) || (l_orderkey % 11) WHEN 2 THEN '.0' ELSE '' END AS version,
+  min(l_orderkey * 8 + l_linenumber) AS dep_pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4),
+spans AS (
+  SELECT p_partkey, 0 AS vuln_pos, '0' AS low, (p_partkey % 7 + 1) || '.' || (p_partkey % 12) AS high, false AS closed FROM part
+  UNION ALL SELECT p_partkey, 1, (p_partkey % 4 + 1) || '.' || (p_partkey % 10) || CASE p_partkey % 3 WHEN 1 THEN 'rc' ELSE '-rc.' END || (p_partkey % 9), (p_partkey % 4 + 2) || '.' || (p_partkey % 11), true FROM part
+  UNION ALL SELECT p_partkey, 2, '1.2', '1.10', false FROM part
+  UNION ALL SELECT p_partkey, 2, (p_partkey % 3 + 4) || '.3', NULL, false FROM part),
+keyed_spans AS (SELECT 'RNG-' || p_partkey || '-' || vuln_pos AS vuln_id, vuln_pos, 'pkg' || p_partkey AS name, closed, CASE WHEN low = '0' THEN [0] ELSE {_version_list("low")} END AS low, CASE WHEN high IS NOT NULL THEN {_version_list("high")} END AS high FROM spans),
+range_hits AS (SELECT DISTINCT repo_id, dep_pos, ecosystem, name, version, vuln_id, vuln_pos FROM (SELECT *, {_version_list("version")} AS v FROM ranged_pins) JOIN keyed_spans USING (name)
+  WHERE v >= low AND (high IS NULL OR v < high OR (closed AND v = high)))"""
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as findings: a user's day is a repository."""
     e, c = table(spark, sf_dir, "events"), F.col("event_id") % 6
