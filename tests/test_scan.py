@@ -109,3 +109,29 @@ def test_masks_agree_with_a_state_machine(spark, mask, starts, quotes):
     got = spark.createDataFrame([(t,) for t in texts], "content string").select("content", mask(F.col("content")).alias("m")).collect()
     wrong = [(r["content"], r["m"]) for r in got if r["m"] != plain_mask(r["content"], starts, quotes)]
     assert not wrong, wrong[:3]
+
+
+def test_equal_texts_are_scanned_once_with_equal_findings(spark, monkeypatch):
+    """Forks of one repository: the same findings as file by file, from as many scanned texts as there are distinct ones a profile."""
+    texts = [c for _, c, _ in CASES if c] + ["eval(x)\nexec(y)\n", f"k = '{KEY}'", "a\x01b eval(z)\x02", "# audit: ignore-file\neval(x)"]
+    names = ["a.py", "b.js", "c.rb", "Rakefile", "d.php", "e.sh", "Makefile", "Dockerfile", ".github/workflows/x.yml", "docker-compose.yml", "n.txt", "tests/a.py", "lib/other.py"]
+    rows = [(f"r{r}", i, f"f{i // len(names)}/{names[i % len(names)]}" if names[i % len(names)][0] not in ".D" else names[i % len(names)], len(t), t, False, False) for r in range(3) for i, t in enumerate(t for t in texts for _ in names)]
+    files = spark.createDataFrame(rows, "repo_id string, file_pos long, path string, size long, content string, is_binary boolean, truncated boolean").repartition(4)
+    scanned = []
+    true = scan.scan_matches
+    monkeypatch.setattr(scan, "scan_matches", lambda f, *a, **k: (scanned.append(f.count()), true(f, *a, **k))[1])
+    read = lambda distinct: sorted(map(repr, scan.scan_files(files, distinct=distinct).collect()))
+    once, each = read(True), read(False)
+    assert once == each and len(once) > 300
+    profiles = 8  # Python, JavaScript, Ruby, PHP, shell, Dockerfile, workflow, compose; plain files share one with none
+    assert scanned[0] <= len(set(texts)) * (profiles + 1) < scanned[1] / 3
+
+
+def test_profiles_of_rules_without_globs(spark, files):
+    """Rules of one's own that look at masked or raw text everywhere."""
+    base = {"title": "t", "severity": "low", "globs": (), "literals": (), "redact": False, "description": "d", "recommendation": "r", "pack": "X"}
+    rules = ({**base, "rule_id": "X1", "pattern": "foo", "category": "code_pattern"}, {**base, "rule_id": "X2", "pattern": "foo", "category": "secret"})
+    table = files(("a.py", "x = 'foo'  # foo\nfoo()"), ("b.txt", "foo\n# foo"), ("c.md", "foo\n# foo"))
+    for distinct in (True, False):
+        found = sorted((r["rule_id"], r["file_path"], r["line_number"]) for r in scan.scan_files(table, rules, distinct=distinct).collect())
+        assert found == [("X1", "a.py", 2), ("X1", "b.txt", 1), ("X1", "c.md", 1), ("X2", "a.py", 1), ("X2", "a.py", 2), ("X2", "b.txt", 1), ("X2", "b.txt", 2), ("X2", "c.md", 1), ("X2", "c.md", 2)]
