@@ -277,8 +277,13 @@ def test_unigram_models(fallback, remove_extra, prefix):
 def test_parity_shows_a_wrong_backend():
     codec = sentencepiece_codec.Codec(P.path("piece_bpe_32k.model"))
     right = codec.round_trip(["some text"])[0]
+    assert right == (codec.reference.encode("some text"), "some text", True)
     codec.prefix = ""
-    assert right[2] and codec.round_trip(["some text"])[0] == (right[0], right[1], False)
+    wrong = codec.round_trip(["some text"])[0]
+    assert wrong[0] != right[0] and wrong[0] == codec.encode_batch(["some text"])[0] and not wrong[2]  # its own ids, not repaired ones
+    codec = sentencepiece_codec.Codec(P.path("piece_bpe_32k.model"))
+    codec.decode_batch = lambda ids: ["other"] * len(ids)
+    assert codec.round_trip(["some text"]) == [(right[0], "other", False)]
 
 
 def test_media_round_trip(spark):
