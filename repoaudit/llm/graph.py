@@ -2,7 +2,8 @@
 
 A group of G nodes is not compared each with each. Its nodes are first compared with one centre of the group, and nodes that prove linked
 are one from then on; after a few such rounds with other centres only nodes of different components still have to be compared. These
-remaining rows are compared within tasks, a large group cut into tiles of which each pair is a task, and only links leave a task.
+remaining rows are compared within tasks, a large group cut into tiles of which each pair is a task, and only links leave a task. Where the caller
+has a sharper grouping, large groups are dealt into that first, so what is common to many nodes that are not linked costs no comparison of all.
 """
 
 from __future__ import annotations
@@ -84,26 +85,46 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def group_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _tiled(sizes: DataFrame) -> DataFrame:
+    """(key, tile, node, component) of groups (with their size ``n``): each pair of tiles of a group is a tile here."""
+    tiles = sizes.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("mine", F.pmod(F.xxhash64(F.lit("tile"), "node"), "tiles"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return tiles.select("key", (F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")).alias("tile"), "node", "component")
+
+
+def group_links(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], regroup: Callable[[DataFrame], DataFrame] | None = None,
+    known: tuple[DataFrame, ...] = (),
+) -> DataFrame:
     """(a, b): links that join whatever the links between two nodes of one group join; ``members`` has distinct (key, node).
 
     ``verify`` returns those rows of pairs (a, b) that are links. ``compare`` gets rows (key, tile, node, component) dealt out and sorted by key and tile, and returns
-    the links (a, b) between rows of one key and tile that lie in different components.
+    the links (a, b) between rows of one key and tile that lie in different components. ``regroup`` gets the nodes of groups that are still large and not joined, and deals
+    them into other groups (key, node), of which every link between two of them has one in common; without it such groups are compared tile by tile.
+    ``known`` are links found before.
     """
-    found, now = [], members.withColumn("component", F.col("node"))
+    found, now = list(known), members.withColumn("component", F.col("node"))
     for r in range(ROUNDS):
+        if found:
+            label = components(_joined(found)).withColumnRenamed("component", "reached")
+            now = saved(now.drop("component").join(label, "node", "left").select("key", "node", F.coalesce("reached", "node").alias("component")))
+            several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+            now = saved(now.join(several, "key"))
+            if now.isEmpty():
+                return _joined(found)
         centre = F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("order"), "node", "component"))
         stars = now.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
         pairs = now.join(stars, "key").where("component <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         found.append(saved(verify(pairs)))
-        label = components(_joined(found)).withColumnRenamed("component", "reached")
-        now = saved(now.join(label, "node", "left").select("key", "node", F.coalesce("reached", "node").alias("component")))
-        several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
-        now = saved(now.join(several, "key"))
-        if now.isEmpty():
-            return _joined(found)
-        now, sizes = now.drop("n"), now
-    tiles = sizes.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("mine", F.pmod(F.xxhash64(F.lit("tile"), "node"), "tiles"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiles = tiles.select("key", (F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")).alias("tile"), "node", "component")
-    return _joined([*found, compare(tiles)])
+    label = components(_joined(found)).withColumnRenamed("component", "reached")
+    now = saved(now.drop("component").join(label, "node", "left").select("key", "node", F.coalesce("reached", "node").alias("component")))
+    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+    sizes = saved(now.join(several, "key"))
+    if sizes.isEmpty():
+        return _joined(found)
+    if regroup is not None:
+        crowded = saved(sizes.where(F.col("n") > TILE).select("node").distinct())
+        if not crowded.isEmpty():
+            found.append(saved(compare(_tiled(sizes.where(F.col("n") <= TILE)))))
+            return group_links(regroup(crowded), verify, compare, None, tuple(found))
+    return _joined([*found, compare(_tiled(sizes))])

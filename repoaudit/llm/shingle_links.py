@@ -4,6 +4,9 @@ Candidates come from MinHash bands: ``ROWS`` minima of a set make one band's key
 a probability of ``MISSED`` only (less for sets that are more alike). Sets of one key are a group, whose links ``graph.group_links`` finds without
 comparing each with each. A pair is a link only if its whole sets, not their sketches, are at ``least`` or more.
 
+Texts that share boilerplate crowd into band keys without being links. Groups that stay large are dealt anew by the shingles of their sets' prefixes, rarest first,
+which is exact and leaves out what most of them share (``regrouped``).
+
 Where rows of a group must be compared each with each, a parity bitmap of each set rules out pairs first: two bitmaps differ in at most as many bits as
 the sets differ in shingles, so no link is lost there.
 """
@@ -24,6 +27,8 @@ from .features import mix
 from .graph import group_links, groups_of
 
 ROWS, MISSED = 5, 1e-5
+#: sets that the order of shingles is learnt from, and shingles it learns
+ORDER_SETS, ORDER_SHINGLES = 2000, 1 << 16
 
 
 def n_bands(least: float) -> int:
@@ -90,15 +95,54 @@ def may_link(sizes: np.ndarray, bits: list[np.ndarray], group: np.ndarray, least
                 yield q[i], all_[j]
 
 
-def links(documents: DataFrame, prints: DataFrame, shingled: Callable[[str | None], np.ndarray], least: float) -> DataFrame:
+def prefix(shingles: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of ``counts`` (of the ``common`` ones, sorted; others first) and of their hashes: so many that two sets at ``least`` share one.
+
+    That holds for any order; one that puts common shingles last keeps sets apart that have only these in common.
+    """
+    n = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1
+    at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
+    count = np.where(common[at] == shingles, counts[at], 0) if len(common) else np.zeros(len(shingles), np.int64)
+    return shingles[np.lexsort((mix(shingles), count))[: min(n, len(shingles))]]
+
+
+def regrouped(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(key, node): the nodes by the shingles of their prefixes, for nodes whose band keys are crowded; exact at ``least`` or more.
+
+    Shingles that hold for one set in fifty and more of a bounded hash sample come last, commonest at the very end.
+    """
+    chosen = saved(sets.join(nodes.select(F.col("node").alias("sig")), "sig", "left_semi").select("sig", "s"))
+    share = max(1, chosen.count()) / ORDER_SETS
+    split = F.transform(F.sequence(F.lit(0), (F.length("s") / 8).cast("int") - 1), lambda i: F.substring(F.col("s"), i * 8 + 1, F.lit(8)))
+    sample = chosen.where(F.pmod(F.xxhash64(F.lit("order"), "sig"), F.lit(1 << 30)) < int((1 << 30) / max(1.0, share)))
+    held = sample.where(F.length("s") > 0).select(F.explode(split).alias("x")).groupBy("x").count().where(F.col("count") > ORDER_SETS // 50)
+    top = held.orderBy(F.desc("count"), "x").limit(ORDER_SHINGLES).collect()
+    common, counts = np.array([int.from_bytes(r["x"], "little") for r in top], np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
+
+    def keys(s: bytes) -> tuple:
+        return (prefix(np.frombuffer(s, np.uint64), least, common, counts).view(np.int64).tolist(),)
+
+    keyed = saved(map_rows(chosen, ["s"], lambda: keys, "keys array<long>", ["sig"]).select(F.explode("keys").alias("key"), F.col("sig").alias("node")))
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    return saved(keyed.join(several, "key"))
+
+
+def links(documents: DataFrame, prints: DataFrame, shingled: Callable[[str | None], np.ndarray], least: float, candidates: DataFrame | None = None) -> DataFrame:
     """(a, b) by signature: links that join all sets at ``least`` or more.
 
-    ``documents`` has doc_id, th and text of each row, ``prints`` doc_id, th, sig, size and bands.
+    ``documents`` has doc_id, th and text of each row, ``prints`` doc_id, th, sig, size and bands. ``candidates`` are pairs (a, b) from elsewhere, of which those
+    at ``least`` or more become links too.
     """
     keyed = prints.select(F.explode("bands").alias("key"), "sig", "size")
     groups = saved(keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key"))
     members = saved(keyed.join(broadcast_if(groups, groups.count(), 1 << 18), "key").select("key", F.col("sig").alias("node"), "size").distinct())
-    nodes = members.select(F.col("node").alias("sig")).distinct()
+    nodes = members.select(F.col("node").alias("sig"))
+    if candidates is not None:
+        candidates = saved(candidates.distinct())
+        nodes = nodes.union(candidates.select("a")).union(candidates.select("b"))
+    nodes = nodes.distinct()
     # one row for each set: its texts are alike, so any of them will do
     wanted = saved(prints.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("at.doc_id", "at.th").distinct())
 
@@ -133,4 +177,5 @@ def links(documents: DataFrame, prints: DataFrame, shingled: Callable[[str | Non
 
         return verify(saved(rows.mapInArrow(run, "a long, b long").distinct()))
 
-    return group_links(members.select("key", "node"), verify, compare)
+    known = () if candidates is None else (saved(verify(candidates)),)
+    return group_links(members.select("key", "node"), verify, compare, lambda crowded: regrouped(sets, crowded, least), known)

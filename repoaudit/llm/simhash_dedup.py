@@ -258,8 +258,8 @@ def near_duplicates(documents: DataFrame, n: int = 3, limit: int = 2) -> DataFra
 def deduplicate(documents: DataFrame, n: int = 5, limit: int = 2, least: float = 0.8) -> DataFrame:
     """``documents`` with one row of each group of near-duplicates, all columns kept.
 
-    Texts are linked whose fingerprints lie within ``limit`` bits or whose sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more;
-    groups are whatever such links join. The row with the smallest id stays, of several the one whose text has the least hash; a null id
+    Texts are linked whose whole sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more; candidates are those whose fingerprints lie within ``limit``
+    bits, by the Gray index, and those that share a MinHash band. Groups are whatever such links join. The row with the smallest id stays, of several the one whose text has the least hash; a null id
     comes after all others. Rows are told apart by id and text, so no text is lost by an id that repeats; of rows equal in both one stays.
     """
     texts = documents.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -273,8 +273,8 @@ def deduplicate(documents: DataFrame, n: int = 5, limit: int = 2, least: float =
     # a class of equal fingerprints goes by the smallest signature in it
     classes = saved(prints.groupBy("fp").agg(F.min("sig").alias("rep"), F.max("sig").alias("high")))
     equal = prints.select("fp", F.col("sig").alias("a")).join(classes.where("rep <> high").select("fp", F.col("rep").alias("b")), "fp").select("a", "b").where("a <> b")
-    edges = links(classes.select("fp", "rep"), limit).unionByName(equal).unionByName(shingle_links.links(texts, prints, lambda text: shingles(text, n), least))
-    label = saved(components(edges)).select(F.col("node").alias("sig"), "component")
+    near = links(classes.select("fp", "rep"), limit).unionByName(equal)
+    label = saved(components(shingle_links.links(texts, prints, lambda text: shingles(text, n), least, near))).select(F.col("node").alias("sig"), "component")
     row_key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th").alias("row_key")
     named = saved(prints.select("sig", row_key).join(broadcast_if(label, label.count(), 1 << 18), "sig", "left").select(F.coalesce("component", "sig").alias("group"), "row_key"))
     groups = named.groupBy("group").agg(F.min("row_key").alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")

@@ -225,7 +225,7 @@ def five_word_sets(texts):
 def brute_kept(rows):
     """(id, text) of what stays of (id, text): the smallest row of each group, by a comparison of each with each."""
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
-    sets, prints = five_word_sets([t for _, t in rows]), [simhash_dedup.fingerprint(t, 5) & (1 << 64) - 1 for _, t in rows]
+    sets = five_word_sets([t for _, t in rows])
     label = list(range(len(rows)))
 
     def root(i):
@@ -236,7 +236,7 @@ def brute_kept(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if (prints[i] ^ prints[j]).bit_count() <= 2 or sets[i] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] | sets[j] == set() or sets[i] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((root(i), root(j)))
                 label[b] = a
     return sorted((rows[i][0] or 0, rows[i][1]) for i in range(len(rows)) if root(i) == i)
@@ -285,6 +285,61 @@ def test_every_near_copy_is_found(spark, monkeypatch, rounds):
     assert len(alike) > 300 and sum((prints[i] ^ prints[j]).bit_count() > 6 for i, j in alike) > 50  # far beyond fingerprints
 
 
+def templated(n, seed, own=25):
+    """Texts of one header of 80 words and some words of their own: alike by about 0.6, with fingerprints that are often within two bits."""
+    rng = random.Random(seed)
+    header = " ".join(f"h{i}" for i in range(80))
+    return [header + " " + " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(own)) for _ in range(n)]
+
+
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return sorted(r["doc_id"] for r in simhash_dedup.deduplicate(docs).select("doc_id").collect())
+
+
+def test_shared_header_loses_no_text(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 64)
+    texts = templated(400, 1, 14) + templated(60, 2)
+    prints = [simhash_dedup.fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
+    assert sum((a ^ b).bit_count() <= 2 for i, a in enumerate(prints) for b in prints[:i]) >= 5  # near by fingerprint
+    planted = [texts[i] + " tail" for i in range(0, 400, 10)] + texts[:5]  # copies within the crowd
+    kept = kept_ids(spark, texts + planted)
+    assert kept == [i for i, _ in brute_kept(list(enumerate(texts + planted)))]
+    assert set(range(len(texts))) <= set(kept) | {0} and len(kept) == len(texts)
+
+
+def test_crowded_keys_are_compared_in_proportion(spark, monkeypatch):
+    """Rows into the comparison each with each, for templated corpora of growing size."""
+    monkeypatch.setattr(graph, "TILE", 32)
+    rows = []
+    true = shingle_links.group_links
+
+    def counted(members, verify, compare, *more):
+        return true(members, verify, lambda tiles: (rows.append(tiles.count()), compare(tiles))[1], *more)
+
+    monkeypatch.setattr(shingle_links, "group_links", counted)
+    seen = []
+    for n in (250, 1000):
+        rows.clear()
+        texts = templated(n, n)
+        assert kept_ids(spark, texts + texts[:9]) == list(range(n))
+        seen.append(sum(rows))
+    assert seen[1] <= 5 * max(seen[0], 250)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_prefixes_of_alike_sets_meet(least):
+    rng = np.random.default_rng(3)
+    common = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
+    counts = rng.integers(1, 99, 40)
+    for _ in range(400):
+        own = rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64)
+        shared = np.concatenate([own, rng.choice(common, rng.integers(0, 40), replace=False)])
+        a, b = (np.unique(np.concatenate([shared[rng.random(len(shared)) < 0.97], rng.integers(0, 1 << 63, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(2))
+        if len(a) and len(b) and len(np.intersect1d(a, b)) >= least * len(np.union1d(a, b)):
+            assert len(np.intersect1d(shingle_links.prefix(a, least, common, counts), shingle_links.prefix(b, least, common, counts)))
+
+
 def test_bands_of_pairs_at_the_limit():
     rng = np.random.default_rng(1)
     missed = 0
