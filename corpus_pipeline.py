@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near-duplicates, the document with the smallest id.
 
-    Linked are texts whose fingerprints of five-word shingles lie within two bits, and all whose sets of these shingles have a Jaccard similarity of 0.8
-    or more. Documents are told apart by id and text, so no text is lost where an id repeats; of rows equal in both one stays.
+    Linked are texts whose whole sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come from fingerprints within two bits and from
+    MinHash bands. Documents are told apart by id and text, so no text is lost where an id repeats; of rows equal in both one stays.
     """
     return simhash_dedup.deduplicate(docs, n=5, limit=2, least=0.8)
 
