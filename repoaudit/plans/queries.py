@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +121,43 @@ def _match_sql(rules: tuple[dict, ...], text: str, source: str) -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _bare(pattern: str) -> tuple[str, str | None, str | None]:
+    """A pattern without its look-behind and look-ahead, and what these ask: the class that may not stand before, the pattern that may not follow. The second engine knows neither."""
+    behind = re.match(r"\(\?<!(\[[^\]]*\])\)", pattern)
+    pattern = pattern[behind.end() :] if behind else pattern
+    start = pattern.find("(?!")
+    if start < 0:
+        return pattern, behind and behind[1], None
+    depth, end, in_class = 1, start + 3, False
+    while depth:
+        c = pattern[end]
+        in_class = (c == "[" or in_class) and c != "]"
+        depth += 0 if in_class or pattern[end - 1] == "\\" else (c == "(") - (c == ")")
+        end += 1
+    return pattern[:start] + pattern[end:], behind and behind[1], pattern[start + 3 : end - 1]
+
+
+def _guarded_sql(rules: tuple[dict, ...], text: str, source: str) -> str:
+    """All matches of any rules: those of the bare pattern whose neighbours are as the pattern asks. No match of these rules lies within one that its neighbours rule out."""
+    parts = []
+    for i, r in enumerate(rules):
+        bare, behind, ahead = _bare(r["pattern"])
+        p = bare.replace("'", "''")
+        plain = "replace(array_to_string({}, ''), chr(2), '')".format
+        before, after = f"right({plain('p[:k - 1]')}, 1)", f"split_part(p[k], chr(2), 2) || {plain('p[k + 1:]')}"
+        # a guard in front of or behind one alternative only
+        first = {"RB002": "NOT regexp_matches(hit, '^[%`]')", "JS006": "TRUE"}.get(r["rule_id"], "TRUE")
+        last = {"JS006": "ends_with(hit, '=')"}.get(r["rule_id"], "TRUE")
+        keep = [f"NOT ({first} AND regexp_matches(before, '^{behind}$'))"] * bool(behind) + [f"NOT ({last} AND regexp_matches(after, '^(?:{ahead})'))"] * bool(ahead)
+        parts.append(f"""SELECT repo_id, file_pos, path, {i} AS rule, k, line_number, hit FROM (
+  SELECT repo_id, file_pos, path, u.k, u.hit, u.before, u.after, 1 + length(u.front) - length(replace(u.front, chr(10), '')) AS line_number
+  FROM (SELECT repo_id, file_pos, path, unnest(list_transform(range(2, len(p) + 1), lambda k: {{
+    'k': k, 'front': {plain('p[:k - 1]')}, 'hit': split_part(p[k], chr(2), 1), 'before': {before}, 'after': {after}}})) AS u
+  FROM (SELECT *, string_split(regexp_replace({text}, '{p}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS p FROM {source} WHERE {_globs(r["globs"])})))
+  WHERE {' AND '.join(keep) or 'TRUE'}""")
+    return "\nUNION ALL ".join(parts)
+
+
 def _rules_sql(rules: tuple[dict, ...]) -> str:
     rows = ", ".join("(" + ", ".join([str(i), *(f"'{r[k].replace(chr(39), chr(39) * 2)}'" for k in ("rule_id", "title", "severity", "category", "description", "recommendation")), str(r["redact"]).lower()]) + ")" for i, r in enumerate(rules))
     return f"rules(rule, rule_id, title, severity, category, description, recommendation, redact) AS (VALUES {rows})"
@@ -190,8 +228,19 @@ on_files("m6_mask_python", lambda f: f.where(X.suffix() == ".py").select("repo_i
 on_files("m7_mask_code", lambda f: masking.mask_code(f).select("repo_id", "file_pos", "path", "masked"))
 _TITLES = ({"rule_id": "LIC", "title": "licence line", "severity": "info", "pattern": r"\b(?:MIT|Apache) License\b", "globs": (), "literals": (), "redact": False, "category": "secret", "pack": "LIC", "description": "licence", "recommendation": "-"},)
 on_files("m8_scan_matches", lambda f: scan.scan_matches(paths.scannable(f), _TITLES).select("repo_id", "path", "line_number", "hit"), f", kept AS (SELECT * FROM files WHERE {_SCANNABLE}), m AS ({_match_sql(_TITLES, 'content', 'kept')}) SELECT repo_id, path, line_number, hit FROM m")
+#: what Python's tokenizer blanks in code without triple quotes and f-strings, quotes included
+_PY_MASK = "array_to_string(list_transform(regexp_extract_all(content, {}), lambda t: CASE WHEN regexp_matches(t, '^[#\"'']') AND (length(t) > 1 OR starts_with(t, '#')) THEN regexp_replace(t, '[^\\r\\n]', ' ', 'g') ELSE t END), '')".format(_list([masking.RUBY_TOKENS.replace("(?ds)", "(?s)").replace("++", "+").replace("*+", "*")]))
+_CODE_MASK = f"CASE WHEN suffix = '.py' THEN {_PY_MASK} " + " ".join(f"WHEN {where} THEN {_mask_sql(*parts)}" for _, _, where, parts in _MASKS.values()) + f" ELSE {_LINE_MASK} END"
+_CODE_KEPT = f", kept AS (SELECT *, {_CODE_MASK} AS masked FROM files WHERE {_SCANNABLE} AND NOT {_IGNORED})"
+
+
+def _code_pack_sql(pack: str) -> str:
+    rules = C.pack(pack)
+    return f"{_CODE_KEPT}, m AS ({_guarded_sql(rules, _MASKED, 'kept')}), {_rules_sql(rules)} SELECT repo_id, path, rule_id, line_number, hit FROM m JOIN rules USING (rule)"
+
+
 for _m, _p in (("m9_secret_pack", "SEC"), ("m10_python_pack", "PY"), ("m11_javascript_pack", "JS"), ("m12_ruby_pack", "RB"), ("m13_php_pack", "PHP"), ("m14_shell_pack", "SH"), ("m15_docker_pack", "DK"), ("m16_workflow_pack", "GH")):
-    on_files(_m, _pack(_p), _pack_sql(_p) if _p in ("SEC", "SH", "DK", "GH") else None)
+    on_files(_m, _pack(_p), _pack_sql(_p) if _p in ("SEC", "SH", "DK", "GH") else _code_pack_sql(_p))
 
 _SIMPLE = tuple({**r, "pattern": p} for r, p in ((next(x for x in C.RULES if x["rule_id"] == "PY001"), r"\beval\s*\("), (next(x for x in C.RULES if x["rule_id"] == "PY002"), r"\bexec\s*\(")))
 
@@ -811,8 +860,8 @@ def _trees(s: SparkSession, d: str) -> DataFrame:
 add("s4_tree_paths", lambda s, d: snapshots.tree_paths(_trees(s, d)), f"WITH {T.FILES_SQL} SELECT repo_id, path, size FROM files WHERE NOT is_binary")
 
 
-def _archives(s: SparkSession, d: str) -> DataFrame:
-    """The fleet's files packed as one archive per repository, then read by the archive source."""
+def _packed(files: DataFrame) -> DataFrame:
+    """(repo_id, content): an archive of each repository's texts."""
     import io
     import tarfile
 
@@ -828,25 +877,81 @@ def _archives(s: SparkSession, d: str) -> DataFrame:
                 tar.addfile(info, io.BytesIO(data))
         return pd.DataFrame({"repo_id": [key[0]], "content": [buffer.getvalue()]})
 
-    packed = T.files(s, d).select("repo_id", "file_pos", "path", "content").groupBy("repo_id").applyInPandas(pack, "repo_id string, content binary")
-    return snapshots.read_archives(packed, max_files=None).select("repo_id", "path", "size", "is_binary", "truncated", F.length("content").alias("n_chars"))
+    return files.select("repo_id", "file_pos", "path", "content").groupBy("repo_id").applyInPandas(pack, "repo_id string, content binary")
+
+
+def _write_files(rows: DataFrame, root: str) -> None:
+    """Writes each row's ``bytes`` to the file ``at`` under ``root``, from the tasks and through the storage that ``root`` names."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-add("s2_read_archives", _archives, f"""
+        store, base = fs.FileSystem.from_uri(root)
+        n, made = 0, set()
+        for batch in batches:
+            for at, data in zip(batch.column("at").to_pylist(), batch.column("bytes").to_pylist()):
+                folder, _, _ = f"{base}/{at}".rpartition("/")
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{base}/{at}", compression=None) as out:
+                    out.write(data)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select("at", "bytes").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    shared = shared_folder(s)
+    return f"{shared if ':' in shared.split('/')[0] else 'file://' + shared}/{name}-{uuid.uuid4().hex}"
+
+
+_MEMBERS = ("repo_id", "path", "size", "is_binary", "truncated")
+
+
+def _archives(s: SparkSession, d: str) -> DataFrame:
+    """The fleet's files packed as one archive per repository in a table, then read from there."""
+    return snapshots.read_archives(_packed(T.files(s, d)), max_files=None).select(*_MEMBERS, F.length("content").alias("n_chars"))
+
+
+def _archive_files(s: SparkSession, d: str) -> DataFrame:
+    """The same archives as files in the shared folder, streamed by the data source with a bound on the files of a repository."""
+    root = _folder(s, "archives")
+    _write_files(_packed(T.files(s, d)).select(F.concat(F.regexp_replace("repo_id", "/", "-"), F.lit(".tar.gz")).alias("at"), F.col("content").alias("bytes")), root)
+    found = snapshots.load_archives(s, f"{root}/*.tar.gz", max_files=30)
+    return found.groupBy("repo_id", "beyond_cap").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), F.max("file_pos").alias("last"), F.count_if("is_binary").alias("n_binary"), F.sum(F.length("content")).alias("n_chars"))
+
+
+_ARCHIVED = f"""
 WITH {T.FILES_SQL}, kept AS (SELECT *, coalesce(content, '') AS body, suffix IN ({_list(C.BINARY_EXTENSIONS)}) AS binary_name FROM files
-  WHERE NOT list_has_any(list_slice(string_split(path, '/'), 1, -2), [{_list(C.SKIP_DIRECTORIES)}]))
+  WHERE NOT list_has_any(list_slice(string_split(path, '/'), 1, -2), [{_list(C.SKIP_DIRECTORIES)}]))"""
+add("s2_read_archives", _archives, f"""{_ARCHIVED}
 SELECT repo_id, path, CAST(strlen(body) AS BIGINT) AS size, binary_name AS is_binary, FALSE AS truncated, CASE WHEN NOT binary_name THEN length(body) END AS n_chars FROM kept""")
+# members stand in an archive in no order that a second engine could know, so only counts of those within the bound are compared
+add("s2_load_archives", lambda s, d: _archive_files(s, d).groupBy("repo_id").agg(F.sum("n_files").alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.max(F.when(~F.col("beyond_cap"), F.col("n_files"))).alias("within"), F.max("last").alias("last")),
+    f"""{_ARCHIVED}
+SELECT replace(repo_id, '/', '-') AS repo_id, count(*) AS n_files, CAST(sum(strlen(body)) AS BIGINT) AS n_bytes, least(30, count(*)) AS within, count(*) - 1 AS last FROM kept GROUP BY 1""")
 
 
 def _snapshots(s: SparkSession, d: str) -> DataFrame:
-    """The fleet's texts written as a folder of checked-out repositories, each one's texts in a file, then read by the snapshot source."""
-    root = f"{shared_folder(s)}/snapshots-{uuid.uuid4().hex}"
-    texts = T.files(s, d).select(F.regexp_replace("repo_id", "/", "-").alias("repo"), F.regexp_replace(F.coalesce("content", F.lit("")), "[\r\n]+", " ").alias("value"))
-    texts.repartition("repo").write.partitionBy("repo").text(root)
-    # the writer names files anew each time, so the names are left out here
-    return snapshots.read_snapshots(s, root, "repo=*", max_file_size=64 << 20).select("repo_id", "size", "is_binary", "truncated", F.length("content").alias("n_chars"))
+    """Every file of the fleet written into a folder of checked-out repositories, some with a NUL in front and some oversize, then read by the snapshot source.
+
+    A path that comes twice in a repository is one file, with the least of its contents.
+    """
+    front, big = F.when(F.col("file_pos") % 9 == 0, F.lit(b"\x00")).otherwise(F.lit(b"")), F.lit("x" * 300_000)
+    body = F.when(F.col("truncated"), big).otherwise(F.coalesce("content", F.lit("")))
+    files = T.files(s, d).select(F.concat(F.regexp_replace("repo_id", "/", "-"), F.lit("/"), "path").alias("at"), front.alias("front"), body.alias("body"))
+    root = _folder(s, "snapshots")
+    _write_files(files.groupBy("at").agg(F.min(F.struct("front", "body")).alias("f")).select("at", F.concat("f.front", F.col("f.body").cast("binary")).alias("bytes")), root)
+    return snapshots.read_snapshots(s, root, "*").select("repo_id", "file_pos", *_MEMBERS[1:], F.length("content").alias("n_chars"))
 
 
 add("s1_read_snapshots", _snapshots, f"""
-WITH {T.FILES_SQL}, texts AS (SELECT 'repo=' || replace(repo_id, '/', '-') AS repo_id, regexp_replace(coalesce(content, ''), '[\r\n]+', ' ', 'g') AS value FROM files)
-SELECT repo_id, CAST(sum(strlen(value) + 1) AS BIGINT) AS size, FALSE AS is_binary, FALSE AS truncated, CAST(sum(length(value) + 1) AS INT) AS n_chars FROM texts GROUP BY repo_id""")
+WITH {T.FILES_SQL}, one AS (SELECT replace(repo_id, '/', '-') AS repo_id, path, any_value(suffix) AS suffix,
+  min({{'front': CASE file_pos % 9 WHEN 0 THEN 1 ELSE 0 END, 'body': CASE WHEN truncated THEN repeat('x', 300000) ELSE coalesce(content, '') END}}) AS f FROM files GROUP BY ALL),
+kept AS (SELECT repo_id, path, f.front + strlen(f.body) AS size, suffix IN ({_list(C.BINARY_EXTENSIONS)}) OR f.front = 1 AS looks_binary, length(f.body) AS n_chars,
+  list_transform(string_split(path, '/'), lambda p, i: CASE WHEN i = len(string_split(path, '/')) THEN '0' ELSE '1' END || p) AS walk
+  FROM one WHERE NOT list_has_any(list_slice(string_split(path, '/'), 1, -2), [{_list(C.SKIP_DIRECTORIES)}]))
+SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY walk) - 1 AS file_pos, path, CAST(size AS BIGINT) AS size, looks_binary AND size <= 200000 AS is_binary, size > 200000 AS truncated,
+  CASE WHEN size <= 200000 AND NOT looks_binary THEN n_chars END AS n_chars FROM kept""")

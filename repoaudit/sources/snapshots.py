@@ -1,97 +1,117 @@
-"""Readers: checked-out snapshots, archives, repository metadata, trees and advisory documents."""
+"""Readers: checked-out snapshots, repository metadata, trees and advisory documents."""
 
 from __future__ import annotations
 
-import io
-import tarfile
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..catalogs import BINARY_EXTENSIONS, SKIP_DIRECTORIES
+from ..catalogs import SKIP_DIRECTORIES
 from ..operators import paths
 from ..operators.advisories import EVENT
+from ..plans.saved import saved
+from .archives import glob_pattern, load_archives, opened, read_archives  # noqa: F401  archives are read from here too
 
 FILE = "repo_id string, file_pos long, path string, size long, content string, is_binary boolean, truncated boolean"
+#: bytes of files that one task reads, about
+TASK_BYTES = 64 << 20
 
 
-def walk_order(path: str = "path"):
-    """A sort key that lists a directory's files before its sub-directories, each sorted."""
-    parts = F.split(path, "/")
-    folders = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.concat(F.lit("1"), p))
-    return F.concat(folders, F.array(F.concat(F.lit("0"), F.element_at(parts, -1))))
+@dataclass
+class Checkouts(InputPartition):
+    """Folders of repositories that one task lists."""
+
+    folders: list[str]
+
+
+class CheckoutReader(DataSourceReader):
+    """Lists the files of checked-out repositories in the order of a walk: a folder's files by name, then its folders by name."""
+
+    def __init__(self, root: str, repos: str):
+        self.root, self.repos = root, repos
+
+    def partitions(self) -> list[Checkouts]:
+        store, base = opened(self.root)
+        wanted = glob_pattern(self.repos)
+        names = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(base or "/")) if f.type == fs.FileType.Directory and wanted.fullmatch(f.base_name) and not self.is_link(store, f.path))
+        step = max(1, len(names) // 4096)
+        return [Checkouts(names[at : at + step]) for at in range(0, len(names), step)] or [Checkouts([])]
+
+    @staticmethod
+    def is_link(store: fs.FileSystem, path: str) -> bool:
+        """Links could lead out of a checkout, so they are not followed; only local file systems have them."""
+        return isinstance(store, fs.LocalFileSystem) and os.path.islink(path)
+
+    def read(self, partition: Checkouts) -> Iterator[pa.RecordBatch]:
+        store, base = opened(self.root)
+        skip, names = set(SKIP_DIRECTORIES), ["repo_id", "file_pos", "path", "size"]
+        for repo in partition.folders:
+            rows, place, left = [], 0, [f"{base}/{repo}"]
+            while left:
+                folder = left.pop()
+                found = sorted((f for f in store.get_file_info(fs.FileSelector(folder)) if not self.is_link(store, f.path)), key=lambda f: f.base_name)
+                for f in found:
+                    if f.type == fs.FileType.File:
+                        rows.append((repo, place, f.path[len(base) + len(repo) + 2 :], f.size))
+                        place += 1
+                left += [f.path for f in reversed(found) if f.type == fs.FileType.Directory and f.base_name not in skip]
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+
+class CheckoutSource(DataSource):
+    """``spark.read.format("checkouts").load(root)``, with a pattern for the folders' names in option ``repos``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "checkouts"
+
+    def schema(self) -> str:
+        return "repo_id string, file_pos long, path string, size long"
+
+    def reader(self, schema) -> CheckoutReader:
+        return CheckoutReader(self.options["path"], self.options.get("repos", "*"))
 
 
 def read_snapshots(spark: SparkSession, root: str, repos: str = "*", max_file_size: int = 200_000) -> DataFrame:
-    """``files`` of the folders under ``root`` whose names match ``repos``, one repository each. Files over the size are listed and never opened."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/{repos}")
-    # the source takes a condition on the length before it reads contents
-    small = raw.where(F.col("length") <= max_file_size).select("path", "length", "content")
-    raw = small.unionByName(raw.where(F.col("length") > max_file_size).select("path", "length", F.lit(None).cast("binary").alias("content")))
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    inside = F.substring_index("path", base, -1)
-    rows = raw.select(inside.alias("inside"), F.col("length").alias("size"), F.col("content").alias("bytes"))
-    rows = rows.where(F.contains("inside", F.lit("/"))).select(F.split("inside", "/", 2)[0].alias("repo_id"), F.split("inside", "/", 2)[1].alias("path"), "size", "bytes")
-    rows = paths.decode_text(paths.flag_binary(paths.prune_skip_dirs(rows))).withColumn("truncated", F.col("size") > max_file_size)
-    rows = rows.withColumn("is_binary", F.col("is_binary") & ~F.col("truncated")).withColumn("content", F.when(~F.col("is_binary"), F.col("content"))).drop("bytes")
-    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(walk_order())) - 1
-    order = rows.select("repo_id", "path").withColumn("file_pos", place.cast("long"))
-    return rows.join(order, ["repo_id", "path"]).select("repo_id", "file_pos", "path", "size", "content", "is_binary", "truncated")
-
-
-def read_archives(archives: DataFrame, max_files: int | None = 500, max_file_size: int = 200_000, max_bytes: int = 80 << 20) -> DataFrame:
-    """``files`` of gzipped tar archives (repo_id, content), with ``error`` on one row for an archive that can't be read.
-
-    The archive's root folder is stripped and vendored folders are dropped; a row is sent for each member as it is read, so memory follows one member.
+    """``files`` of the folders under ``root`` whose names match ``repos``, one repository each. Files over the size are listed and never opened.
+
+    Spark's own file sources leave out names that begin with a dot or an underscore, which for repositories are ``.env``, ``.github`` and ``__init__.py``. So a data source lists
+    the folders, a task each, without entering vendored ones or following links, and the listing is dealt out evenly to tasks that read: a large repository is
+    listed in one task and read in many.
     """
-    skip, binary = set(SKIP_DIRECTORIES), BINARY_EXTENSIONS
-
-    def members(repo_id: str, data: bytes) -> Iterator[tuple]:
-        seen = 0
-        try:
-            if len(data) > max_bytes:
-                raise OSError("the archive is too large")
-            with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
-                for m in tar:
-                    path = m.name.partition("/")[2]
-                    if not m.isfile() or not path or skip & set(path.split("/")[:-1]):
-                        continue
-                    seen += 1
-                    if max_files is not None and seen > max_files:
-                        yield repo_id, seen - 1, path, m.size, None, False, False, True, None
-                        continue
-                    if m.size > max_file_size:
-                        yield repo_id, seen - 1, path, m.size, None, False, True, False, None
-                        continue
-                    raw = tar.extractfile(m).read()
-                    is_binary = path.lower().endswith(binary) or b"\x00" in raw[:1024]
-                    yield repo_id, seen - 1, path, m.size, None if is_binary else raw.decode("utf-8", "replace"), is_binary, False, False, None
-        except (tarfile.TarError, OSError, EOFError) as e:
-            yield repo_id, -1, None, None, None, None, None, None, str(e)
-
-    names = ["repo_id", "file_pos", "path", "size", "content", "is_binary", "truncated", "beyond_cap", "error"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark.dataSource.register(CheckoutSource)
+    listed = saved(spark.read.format("checkouts").option("repos", repos).load(root))
+    total = listed.where(F.col("size") <= max_file_size).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root)
         for batch in batches:
-            for repo_id, data in zip(batch["repo_id"], batch["content"]):
-                rows = []
-                for row in members(repo_id, bytes(data)):
-                    rows.append(row)
-                    if len(rows) == 64:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return archives.select("repo_id", "content").mapInPandas(run, FILE + ", beyond_cap boolean, error string")
-
-
-def load_archives(spark: SparkSession, glob: str, **limits) -> DataFrame:
-    """``read_archives`` over the files that ``glob`` matches; the repository is named by the file."""
-    raw = spark.read.format("binaryFile").load(glob)
-    return read_archives(raw.select(F.regexp_extract("path", r"([^/]+?)(?:\.tar\.gz|\.tgz)?$", 1).alias("repo_id"), "content"), **limits)
+            for at in range(0, len(batch), 32):
+                part = batch.slice(at, 32)
+                data = []
+                for repo, path, size in zip(*(part.column(c).to_pylist() for c in ("repo_id", "path", "size"))):
+                    if size > max_file_size:
+                        data.append(None)
+                    else:
+                        with store.open_input_stream(f"{base}/{repo}/{path}", compression=None) as stream:
+                            data.append(stream.read())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*part.schema.names, "bytes"])
+
+    rows = listed.repartition(tasks, "repo_id", "path").mapInArrow(run, "repo_id string, file_pos long, path string, size long, bytes binary")
+    rows = paths.decode_text(paths.flag_binary(rows)).withColumn("truncated", F.col("size") > max_file_size)
+    rows = rows.withColumn("is_binary", F.col("is_binary") & ~F.col("truncated")).withColumn("content", F.when(~F.col("is_binary"), F.col("content")))
+    return rows.select("repo_id", "file_pos", "path", "size", "content", "is_binary", "truncated")
 
 
 RAW = (

@@ -65,6 +65,22 @@ def test_lockfiles(files):
     }
 
 
+def test_deep_npm_trees(files):
+    """Pins at any depth that the JSON parser takes, in the order of the tree; texts beyond that are named, not dropped."""
+    level = lambda n, inner: '{"p%d": {"version": "%d", "dependencies": %s}, "q%d": {"version": 1}}' % (n, n, inner, n)
+
+    def tree(depth):
+        return '{"dependencies": ' + "".join('{"p%d": {"version": "%d", "dependencies": ' % (n, n) for n in range(depth)) + "{}" + "}}" * depth + "}"
+
+    small = '{"dependencies": ' + level(0, level(1, level(2, "null"))) + "}"
+    df = files(("package-lock.json", small), ("a/package-lock.json", tree(900)), ("b/package-lock.json", tree(50_000)), ("c/package-lock.json", "{"), ("Pipfile.lock", "{"), ("d/Pipfile.lock", "{}"), ("composer.lock", "[]"), ("e/composer.lock", "x"), ("f/package-lock.json", '{"packages": {}}'), ("g/package-lock.json", '{"dependencies": [1, {"a": 2}]}'), ("h/package-lock.json", '{"dependencies": {"a": null, "b": "1", "c": {"version": ""}}}'))
+    pins = deps.parse_package_lock_v1(df).collect()
+    assert [(r["name"], r["version"]) for r in sorted((r for r in pins if r["file_pos"] == 0), key=lambda r: r["item"])] == [("p0", "0"), ("q0", "1"), ("p1", "1"), ("q1", "1"), ("p2", "2"), ("q2", "1")]
+    assert {r["name"] for r in pins if r["file_pos"] == 1} == {f"p{n}" for n in range(900)} and {r["file_pos"] for r in pins} == {0, 1}
+    assert {r["path"] for r in deps.unread_lockfiles(df).collect()} == {"b/package-lock.json", "c/package-lock.json", "Pipfile.lock", "e/composer.lock"}
+    assert deps.extract_versions(df).where("name LIKE 'p%'").count() == 900  # p0 to p2 stand in both
+
+
 def test_advisories(spark):
     d = spark.createDataFrame([("r", 1, "npm", "a", "1", "lock"), ("r", 2, "npm", "b", "1", "lock")], "repo_id string, dep_pos long, ecosystem string, name string, version string, source string")
     adv = spark.createDataFrame([("npm", "a", "1", f"V{i}", i) for i in range(12)], "ecosystem string, name string, version string, vuln_id string, vuln_pos int")
