@@ -137,11 +137,12 @@ def _bare(pattern: str) -> tuple[str, str | None, str | None]:
     return pattern[:start] + pattern[end:], behind and behind[1], pattern[start + 3 : end - 1]
 
 
-def _guarded_sql(rules: tuple[dict, ...], text: str, source: str) -> str:
-    """All matches of any rules: those of the bare pattern whose neighbours are as the pattern asks. No match of these rules lies within one that its neighbours rule out."""
+def _guarded_sql(rules: tuple[dict, ...], source: str) -> str:
+    """All matches of any rules, secrets in ``content`` and others in ``masked``: those of the bare pattern whose neighbours are as the pattern asks. No match of these rules lies within one that its neighbours rule out."""
     parts = []
     for i, r in enumerate(rules):
         bare, behind, ahead = _bare(r["pattern"])
+        text = _RAW if r["category"] == "secret" else _MASKED
         p = bare.replace("'", "''")
         plain = "replace(array_to_string({}, ''), chr(2), '')".format
         before, after = f"right({plain('p[:k - 1]')}, 1)", f"split_part(p[k], chr(2), 2) || {plain('p[k + 1:]')}"
@@ -236,33 +237,28 @@ _CODE_KEPT = f", kept AS (SELECT *, {_CODE_MASK} AS masked FROM files WHERE {_SC
 
 def _code_pack_sql(pack: str) -> str:
     rules = C.pack(pack)
-    return f"{_CODE_KEPT}, m AS ({_guarded_sql(rules, _MASKED, 'kept')}), {_rules_sql(rules)} SELECT repo_id, path, rule_id, line_number, hit FROM m JOIN rules USING (rule)"
+    return f"{_CODE_KEPT}, m AS ({_guarded_sql(rules, 'kept')}), {_rules_sql(rules)} SELECT repo_id, path, rule_id, line_number, hit FROM m JOIN rules USING (rule)"
 
 
 for _m, _p in (("m9_secret_pack", "SEC"), ("m10_python_pack", "PY"), ("m11_javascript_pack", "JS"), ("m12_ruby_pack", "RB"), ("m13_php_pack", "PHP"), ("m14_shell_pack", "SH"), ("m15_docker_pack", "DK"), ("m16_workflow_pack", "GH")):
     on_files(_m, _pack(_p), _pack_sql(_p) if _p in ("SEC", "SH", "DK", "GH") else _code_pack_sql(_p))
 
-_SIMPLE = tuple({**r, "pattern": p} for r, p in ((next(x for x in C.RULES if x["rule_id"] == "PY001"), r"\beval\s*\("), (next(x for x in C.RULES if x["rule_id"] == "PY002"), r"\bexec\s*\(")))
 
 
-def _simple(files: DataFrame) -> DataFrame:
-    """Two detectors without lookarounds over raw text, so that SQL can follow the steps behind the scan."""
-    rules = tuple({**r, "category": "secret"} for r in _SIMPLE)
-    return scan.with_rules(scan.scan_matches(paths.scannable(files), rules), rules)
+def _all_matches(files: DataFrame) -> DataFrame:
+    """Every match of every rule, with its rule and line."""
+    return scan.with_rules(scan.scan_matches(masking.mask_code(paths.drop_ignored_files(paths.scannable(files))), C.RULES), C.RULES)
 
 
-_SIMPLE_SQL = f""",
-  kept AS (SELECT *
-  FROM files
-  WHERE {_SCANNABLE}),
-  hits AS ({_match_sql(_SIMPLE, 'content', 'kept')}), {_rules_sql(tuple({**r, 'category': 'secret'} for r in _SIMPLE))},
-  m AS (SELECT h.*, r.* EXCLUDE (rule), string_split(f.content, chr(10))[h.line_number] AS line_text
+_ALL_SQL = f"""{_CODE_KEPT}, hits AS ({_guarded_sql(C.RULES, 'kept')}), {_rules_sql(C.RULES)},
+  m AS (SELECT h.*, r.* EXCLUDE (rule), string_split(f.content, chr(10))[h.line_number] AS line_text,
+  row_number() OVER (PARTITION BY repo_id, file_pos ORDER BY rule, h.k) - 1 AS match_pos
   FROM hits h
   JOIN rules r USING (rule)
-  JOIN files f USING (repo_id, file_pos))"""
-on_files("m17_drop_suppressed", lambda f: scan.drop_suppressed(_simple(f)).select("repo_id", "path", "rule_id", "line_number"), _SIMPLE_SQL + """
-SELECT repo_id, path, rule_id, line_number FROM (SELECT *, regexp_matches(line_text, 'audit:\\s*ignore') AS marked, regexp_extract(line_text, 'audit:\\s*ignore(?:\\s+([A-Z0-9,\\s]+))?', 1) AS named FROM m)
-WHERE NOT (marked AND (named = '' OR list_contains(list_transform(string_split(named, ','), lambda t: trim(t)), rule_id)))""")
+  JOIN files f USING (repo_id, file_pos)),
+  told AS (SELECT * FROM (SELECT *, regexp_matches(line_text, 'audit:\\s*ignore') AS marked, regexp_extract(line_text, 'audit:\\s*ignore(?:\\s+([A-Z0-9,\\s]+))?', 1) AS named FROM m)
+  WHERE NOT (marked AND (named = '' OR list_contains(list_transform(string_split(named, ','), lambda t: trim(t)), rule_id))))"""
+on_files("m17_drop_suppressed", lambda f: scan.drop_suppressed(_all_matches(f)).select("repo_id", "path", "rule_id", "line_number"), f"{_ALL_SQL} SELECT repo_id, path, rule_id, line_number FROM told")
 _REDACTED = "CASE WHEN length({c}) <= 4 THEN repeat('*', length({c})) ELSE substr({c}, 1, 4) || repeat('*', greatest(8, length({c}) - 4)) END"
 add(
     "m18_redact", lambda s, d: T.table(s, d, "documents").select("doc_id", X.redact("lang").alias("lang"), X.redact("source").alias("source"), X.redact("text").alias("text")),
@@ -300,7 +296,21 @@ on_findings("m23_dedupe", lambda f: scan.dedupe_findings(f.withColumn("repo_id",
     """SELECT split_part(repo_id, '@', 1) AS repo_id, min(finding_pos) AS finding_pos, rule_id, file_path, line_number
   FROM findings
   GROUP BY split_part(repo_id, '@', 1), rule_id, file_path, line_number, title""")
-on_files("m24_full_scan", lambda f: scan.scan_files(f))
+_POS = "CAST({stage} * 1152921504606846976 + file_pos * 16777216 + {at} AS BIGINT) AS finding_pos".format
+_SCAN_SQL = f"""{_ALL_SQL},
+  shown AS (SELECT repo_id, file_pos, match_pos, rule_id, title, severity, path AS file_path, line_number, {_DESCRIBED} AS description, recommendation, category,
+    list_position(['info', 'low', 'medium', 'high', 'critical'], severity) - 1 AS sev FROM told),
+  hooks AS (SELECT *, json_extract_string(content, '$.scripts.' || hook) AS command FROM (
+    SELECT repo_id, file_pos, path, content, unnest(['preinstall', 'install', 'postinstall', 'prepare']) AS hook FROM files WHERE name = 'package.json' AND content <> '')),
+  found AS (
+    SELECT repo_id, {_POS(stage=0, at='match_pos')}, rule_id, title, CASE WHEN {_DOWN} THEN ['info', 'low', 'medium', 'high', 'critical'][sev] ELSE severity END AS severity, file_path, CAST(line_number AS INT) AS line_number,
+      CASE WHEN {_DOWN} THEN description || chr(10) || chr(10) || '{scan.DOWNRANKED.strip()}' ELSE description END AS description, recommendation, category FROM shown
+    UNION ALL SELECT repo_id, {_POS(stage=1, at="list_position(json_keys(content, '$.scripts'), hook) - 1")}, 'JS100', 'npm `' || hook || '` script declared', CASE hook WHEN 'prepare' THEN 'medium' ELSE 'high' END, path, NULL,
+      'The script `' || hook || '` runs on install: `' || substr(command, 1, 200) || '`', 'Read the script before installing.', 'install_hook' FROM hooks WHERE command IS NOT NULL
+    UNION ALL SELECT repo_id, {_POS(stage=2, at=0)}, 'SEC011', '`' || name || '` committed to the repository', 'high', path, NULL,
+      'Environment files often hold credentials.', 'Move the values to a secret store and ignore the file.', 'secret' FROM files WHERE name IN ('.env', '.env.local', '.env.production') AND content <> '')
+SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY repo_id, file_path, rule_id, line_number, title ORDER BY finding_pos) = 1"""
+on_files("m24_full_scan", lambda f: scan.scan_files(f), _SCAN_SQL)
 
 # --- dependencies ----------------------------------------------------------------------------------------------------
 
@@ -444,8 +454,8 @@ _COUNTS = f""", {_LANGS},
   JOIN by_suffix b ON files.suffix = b.suffix)
   GROUP BY repo_id, lang)"""
 on_files("t1_language_counts", lambda f: tech.language_counts(f).withColumn("evidence", F.array_join("evidence", "|")), _COUNTS + " SELECT repo_id, lang, CAST(n AS BIGINT) AS n, array_to_string(evidence, '|') AS evidence, first_seen FROM counts")
-# half of the repositories have counts of their own too
-_OWN = "SELECT CAST(c_custkey AS VARCHAR) AS repo_id, CASE c_custkey % 4 WHEN 0 THEN 'Go' ELSE 'Lua' END AS lang, c_custkey % 23 AS n, c_custkey AS first_seen FROM customer WHERE c_custkey % 2 = 0"
+# every repository has a count of its own, for a language that its bytes may know or not
+_OWN = "SELECT CAST(c_custkey AS VARCHAR) AS repo_id, CASE c_custkey % 4 WHEN 0 THEN 'Go' WHEN 1 THEN 'Shell' WHEN 2 THEN 'Lua' ELSE 'C' END AS lang, c_custkey % 23 AS n, c_custkey AS first_seen FROM customer"
 _MERGED = f"""WITH {T.LANGUAGE_BYTES_SQL},
   own AS ({_OWN}),
   scaled AS (SELECT repo_id, lang, CAST(floor(20 * bytes / greatest(1, max(bytes) OVER (PARTITION BY repo_id))) AS BIGINT) AS scaled, lang_pos
@@ -458,7 +468,8 @@ _MERGED = f"""WITH {T.LANGUAGE_BYTES_SQL},
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey")
-    own = T.table(s, d, "customer").where(key % 2 == 0).select(key.cast("string").alias("repo_id"), F.when(key % 4 == 0, "Go").otherwise("Lua").alias("lang"), (key % 23).alias("n"), F.array(F.lit("own")).alias("evidence"), key.alias("first_seen"))
+    lang = F.when(key % 4 == 0, "Go").when(key % 4 == 1, "Shell").when(key % 4 == 2, "Lua").otherwise("C")
+    own = T.table(s, d, "customer").select(key.cast("string").alias("repo_id"), lang.alias("lang"), (key % 23).alias("n"), F.array(F.lit("own")).alias("evidence"), key.alias("first_seen"))
     return tech.merge_language_bytes(own, T.language_bytes(s, d))
 
 
