@@ -12,6 +12,8 @@ from ..plans.saved import saved
 KEY = ["ecosystem", "name", "version"]
 #: Known pins that are broadcast, and parts that a pin's repositories are dealt into where there are more.
 MAX_BROADCAST, SALTS = 200_000, 32
+#: parts of a package's versions; distinct pins meet ranges, so a part holds at most a share of what was ever published
+RANGE_SALTS = 4
 #: events of a range (a version each, in one of four fields) and the intervals they come to
 EVENT = "struct<introduced:string,fixed:string,last_affected:string,limit:string>"
 _INTERVAL = "struct<low:string,high:string,closed:boolean>"
@@ -68,8 +70,10 @@ def intervals(ranges: DataFrame) -> DataFrame:
     start = state(nothing, F.expr(f"cast(array() AS array<{_INTERVAL}>)"))
     folded = F.aggregate("marks", start, step, lambda a: F.when(a["low"].isNotNull(), interval(a, nothing, False)).otherwise(a["out"]))
     below = F.array_max(F.transform(F.filter("marks", lambda m: m["kind"] == 3), lambda m: m["key"]))
-    rows = keyed_events(ranges).where(F.col("problem").isNull())
-    rows = rows.select("vuln_id", "vuln_pos", "ecosystem", V.package_name(F.col("ecosystem"), F.col("name")).alias("package"), below.alias("below"), F.explode(folded).alias("i"))
+    # no filter on the problem: it would be pushed down and the keys made twice
+    readable = F.when(F.col("problem").isNull(), folded)
+    package = V.package_name(F.col("ecosystem"), F.col("name"))
+    rows = keyed_events(ranges).select("vuln_id", "vuln_pos", "ecosystem", package.alias("package"), below.alias("below"), F.explode(readable).alias("i"))
     return rows.select("vuln_id", "vuln_pos", "ecosystem", "package", "i.low", "i.high", "i.closed", "below")
 
 
@@ -85,9 +89,9 @@ def pins_in_ranges(pins: DataFrame, ranges: DataFrame) -> DataFrame:
     popular package has many of both.
     """
     of_pin = V.package_name(F.col("ecosystem"), F.col("name"))
-    salt = F.pmod(F.xxhash64("version"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("version"), F.lit(RANGE_SALTS)).cast("int")
     keyed = pins.select(*KEY, of_pin.alias("package"), V.version_key(F.col("ecosystem"), F.col("version")).alias("key"), salt.alias("salt")).where(F.col("key").isNotNull())
-    salted = intervals(ranges).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = intervals(ranges).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RANGE_SALTS - 1))))
     high = F.col("high").isNull() | (F.col("key") < F.col("high")) | (F.col("closed") & (F.col("key") == F.col("high")))
     inside = (F.col("low") <= F.col("key")) & high & (F.col("below").isNull() | (F.col("key") < F.col("below")))
     return keyed.join(salted, ["ecosystem", "package", "salt"]).where(inside).select(*KEY, "vuln_id", "vuln_pos")

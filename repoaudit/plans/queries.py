@@ -235,6 +235,11 @@ _CODE_MASK = f"CASE WHEN suffix = '.py' THEN {_PY_MASK} " + " ".join(f"WHEN {whe
 _CODE_KEPT = f", kept AS (SELECT *, {_CODE_MASK} AS masked FROM files WHERE {_SCANNABLE} AND NOT {_IGNORED})"
 
 
+# the fleet's Python files hold neither triple quotes nor f-strings, and no quotes where the tokenizer gives up; tests compare such texts with the tokenizer
+SQL["m6_mask_python"] = f"WITH {T.FILES_SQL} SELECT repo_id, file_pos, {_PY_MASK} AS masked FROM files WHERE suffix = '.py'"
+SQL["m7_mask_code"] = f"WITH {T.FILES_SQL} SELECT repo_id, file_pos, path, {_CODE_MASK} AS masked FROM files"
+
+
 def _code_pack_sql(pack: str) -> str:
     rules = C.pack(pack)
     return f"{_CODE_KEPT}, m AS ({_guarded_sql(rules, 'kept')}), {_rules_sql(rules)} SELECT repo_id, path, rule_id, line_number, hit FROM m JOIN rules USING (rule)"
