@@ -848,6 +848,15 @@ by_result AS (SELECT repo_id, string_agg('{{"ruleId":' || to_json(rule_id) || ',
 SELECT repo_id, '{{"$schema":"{reports.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{reports.TOOL}","rules":[' || rules || ']}}}},"results":[' || results || ']}}]}}' AS report
 FROM by_rule JOIN by_result USING (repo_id)"""
 on_findings("s6_sarif_report", lambda f: reports.to_sarif(f, None), _SARIF_SQL)
+# pages of three findings; the second engine places them by a window
+_PLACE = "row_number() OVER (PARTITION BY repo_id ORDER BY sev DESC, rule_id, coalesce(file_path, ''), coalesce(line_number, 0), finding_pos)"
+_PAGED_SQL = f"WITH {T.FINDINGS_SQL.replace('findings AS', 'all_findings AS', 1)}, placed AS (SELECT *, {_PLACE} AS place FROM all_findings)"
+add("s6_sarif_pages", lambda s, d: reports.to_sarif_pages(T.findings(s, d), 3), f"""
+SELECT split_part(repo_id, '#', 1) AS repo_id, CAST(split_part(repo_id, '#', 2) AS INT) AS part, report FROM (
+{_PAGED_SQL}, findings AS (SELECT * REPLACE (repo_id || '#' || lpad(CAST((place - 1) // 3 AS VARCHAR), 10, '0') AS repo_id) FROM placed){_SARIF_SQL})""")
+add("s5_json_pages", lambda s, d: reports.to_json_pages(T.findings(s, d), 3), f"""{_PAGED_SQL}
+SELECT repo_id, CAST((place - 1) // 3 AS INT) AS part, to_json({{'repo_id': repo_id, 'part': CAST((place - 1) // 3 AS INT), 'findings': list({{'rule_id': rule_id, 'title': title, 'severity': severity, 'file_path': file_path,
+  'line_number': line_number, 'description': description, 'recommendation': recommendation, 'category': category}} ORDER BY place)}})::VARCHAR AS report FROM placed GROUP BY repo_id, (place - 1) // 3""")
 add("s7_markdown_report", lambda s, d: reports.to_markdown(_audit(s, d)))
 
 

@@ -1,7 +1,7 @@
 """Report sinks: one JSON, SARIF or Markdown document per repository.
 
 ``results`` are rows of ``plans.audit.audit``. ``max_findings`` bounds what one report row gathers, worst first (a code-scanning upload takes no more
-than some thousands anyway); None takes all.
+than some thousands anyway); None takes all. The paged reports hold every finding in documents of bounded size, however many a repository has.
 """
 
 from __future__ import annotations
@@ -45,6 +45,26 @@ def to_sarif(findings: DataFrame, max_findings: int | None = 10_000) -> DataFram
     return by_rule.join(by_result, "repo_id").select("repo_id", F.to_json(document).alias("report"))
 
 
+def paged(findings: DataFrame, page: int) -> DataFrame:
+    """``findings`` with ``part``, the page from 0 that each stands on, worst first: every page but a repository's last is full."""
+    return scoring.sort_findings(findings).withColumn("part", F.floor((F.col("place") - 1) / page).cast("int"))
+
+
+def to_sarif_pages(findings: DataFrame, page: int = 10_000) -> DataFrame:
+    """(repo_id, part, report): all findings of a repository as SARIF documents of at most ``page`` results, each complete with the rules that it names."""
+    key = F.concat("repo_id", F.lit("#"), F.lpad(F.col("part").cast("string"), 10, "0"))
+    documents = to_sarif(paged(findings, page).withColumn("repo_id", key).drop("place", "part"), None)
+    return documents.select(F.expr("substring(repo_id, 1, length(repo_id) - 11)").alias("repo_id"), F.substring("repo_id", -10, 10).cast("int").alias("part"), "report")
+
+
+def to_json_pages(findings: DataFrame, page: int = 10_000) -> DataFrame:
+    """(repo_id, part, report): all findings of a repository as JSON documents of at most ``page``, in the order of its report."""
+    fields = ("rule_id", "title", "severity", "file_path", "line_number", "description", "recommendation", "category")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*fields).alias("v")))), lambda x: x["v"])
+    pages = paged(findings, page).groupBy("repo_id", "part").agg(listed.alias("findings"))
+    return pages.select("repo_id", "part", F.to_json(F.struct("repo_id", "part", "findings"), {"ignoreNullFields": "false"}).alias("report"))
+
+
 def _line(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
