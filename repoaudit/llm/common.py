@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.saved import broadcast_if, saved, shared_folder  # noqa: F401  for the other modules
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -107,6 +112,27 @@ def bounded(rows: DataFrame, n: str, most: int) -> DataFrame:
     return rows.where(hashed < share * (1 << 30)).withColumn("weight", F.col("weight") / share)
 
 
+def fitted(rows: DataFrame, keys: list[str], fit: Callable[[pa.Table, list[int]], T]) -> T:
+    """What ``fit`` makes of all ``rows``, which must be a bounded and saved sample, in one task of an executor.
+
+    ``fit`` gets the rows and their places in the order of ``keys``, and returns plain values and arrays. Only what it returns comes to the driver, whose memory so stays free of the sample.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(rows.schema)
+
+    def made(batches: list[pa.RecordBatch]) -> T:
+        table = pa.Table.from_batches(batches, schema)
+        return fit(table, pc.sort_indices(table, [(k, "ascending") for k in keys]).to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema)], schema=schema) for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made(got))], pa.binary())], names=["made"])
+
+    one = rows.coalesce(1).mapInArrow(run, "made binary").first()
+    return pickle.loads(one["made"]) if one else made([])
+
+
 def keep_rows(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame], condition: str) -> DataFrame:
     """The rows of ``docs`` for which ``condition`` holds on the columns that ``judge(docs, columns to carry)`` adds.
 

@@ -16,17 +16,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as X
-from .common import bounded, id_crc32, labelled_sample, map_rows, table
+from .common import bounded, fitted, id_crc32, labelled_sample, map_rows, table
 
 BITS = 15
 SIZES = (2, 3, 4)
 DIM = 16
 MAX_ROWS = 3000
-#: Eight bytes each come to the driver.
+#: Eight bytes each go to the task that fits.
 MAX_FEATURES = 8_000_000
 UNKNOWN = "und"
 #: Share of rightly predicted held-back rows that the rejection may lose, and the highest bound it may set.
@@ -49,7 +50,8 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def _rows(documents: DataFrame, max_rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def _rows(documents: DataFrame, max_rows: int) -> DataFrame:
+    """A bounded sample (doc_id, th, lang, idx, n) of the rows to learn from, as n-grams and their numbers."""
     known = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (id_crc32(F.col("doc_id")) % 4 != 2))
     sample = labelled_sample(known.select("doc_id", "lang", F.xxhash64("text").alias("th"), "text"), "lang", max_rows, ("doc_id", "th"))
     docs = sample.groupBy("doc_id", "lang", "th", "weight").agg(F.first("text").alias("text"))
@@ -62,8 +64,7 @@ def _rows(documents: DataFrame, max_rows: int) -> list[tuple[str, np.ndarray, np
         return row
 
     rows = map_rows(docs, ["text"], make, "size long, idx binary, n binary, letters boolean", ["doc_id", "lang", "th", "weight"]).where("letters AND size > 0")
-    got = sorted(bounded(rows, "size", MAX_FEATURES).select("doc_id", "th", "lang", "idx", "n").collect())
-    return [(r["lang"], np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in got]
+    return bounded(rows, "size", MAX_FEATURES).select("doc_id", "th", "lang", "idx", "n")
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, seed: int = 5) -> Model:
@@ -115,7 +116,13 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    return fit(_rows(documents, max_rows))
+    """The model, fitted in a task of an executor."""
+
+    def of(rows: pa.Table, order: list[int]) -> dict:
+        get = lambda name, kind, i: np.frombuffer(rows[name][i].as_buffer(), kind)
+        return vars(fit([(rows["lang"][i].as_py(), get("idx", "<i4", i), get("n", "<f4", i)) for i in order]))
+
+    return Model(**fitted(_rows(documents, max_rows), ["doc_id", "th", "lang"], of))
 
 
 def identify(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

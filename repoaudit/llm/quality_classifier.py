@@ -15,19 +15,21 @@ least hash is learnt from; without labels of both classes the score is 0.5 for e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import features as X
-from .common import bounded, broadcast_if, id_crc32, labelled_sample, map_rows, saved, table
+from .common import T, bounded, broadcast_if, fitted, id_crc32, labelled_sample, map_rows, saved, table
 
 BITS = 18
 SIZES = (2, 3, 4)
 MAX_ROWS = 3000
-#: Four bytes each come to the driver.
+#: Four bytes each go to the task that fits.
 MAX_FEATURES = 16_000_000
 THRESHOLD = 0.3
 DAMPING = 25.0
@@ -52,8 +54,8 @@ def labelled(labels: DataFrame, label: str, drop_mod: int | None = 5) -> DataFra
 
 def sparse_rows(
     documents: DataFrame, examples: DataFrame, max_rows: int, bits: int = BITS, sizes: tuple[int, ...] = SIZES, max_features: int = MAX_FEATURES
-) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct buckets, label and weight of a bounded sample of labelled documents; the texts stay on the executors."""
+) -> DataFrame:
+    """(doc_id, y, weight, n, idx): the distinct buckets of a bounded sample of labelled documents."""
     sample = saved(labelled_sample(examples, "y", max_rows))
     docs = documents.select("doc_id", "text").join(broadcast_if(sample, sample.count(), 100_000), "doc_id")
     docs = docs.groupBy("doc_id", "y", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -65,9 +67,17 @@ def sparse_rows(
 
         return row
 
-    rows = bounded(map_rows(docs, ["text"], make, "n long, idx binary", ["doc_id", "y", "weight"]), "n", max_features)
-    got = sorted(rows.collect())
-    return [np.frombuffer(r["idx"], "<i4") for r in got], np.array([r["y"] for r in got], np.int32), np.array([r["weight"] for r in got])
+    return bounded(map_rows(docs, ["text"], make, "n long, idx binary", ["doc_id", "y", "weight"]), "n", max_features)
+
+
+def fit_rows(rows: DataFrame, fit: Callable[[list[np.ndarray], np.ndarray, np.ndarray], T]) -> T:
+    """What ``fit`` makes of the buckets, labels and weights of ``sparse_rows``, in a task of an executor."""
+
+    def of(got: pa.Table, order: list[int]) -> T:
+        column = lambda name: got[name].to_numpy()[order]
+        return fit([np.frombuffer(got["idx"][i].as_buffer(), "<i4") for i in order], column("y").astype(np.int32), column("weight").astype(float))
+
+    return fitted(rows, ["doc_id"], of)
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int) -> np.ndarray:
@@ -144,7 +154,7 @@ def scorer(model: Model, bits: int = BITS, sizes: tuple[int, ...] = SIZES):
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    return fit(*sparse_rows(documents, labelled(labels, label), max_rows))
+    return Model(**fit_rows(sparse_rows(documents, labelled(labels, label), max_rows), lambda *rows: vars(fit(*rows))))
 
 
 def classify(documents: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:

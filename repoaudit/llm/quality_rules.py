@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import features as X
 from .common import map_rows, table
-from .quality_classifier import labelled, sparse_rows
+from .quality_classifier import fit_rows, labelled, sparse_rows
 
 BITS = 18
 SIZES = (2, 3, 4)
@@ -115,6 +115,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, folds: int =
     return Model(w.astype(np.float32), bias, *X.platt(out, y, weight), True)
 
 
+def train(documents: DataFrame, examples: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """The model, fitted in a task of an executor."""
+    return Model(**fit_rows(sparse_rows(documents, examples, max_rows, BITS, SIZES), lambda *rows: vars(fit(*rows))))
+
+
 def judge(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id if not given) with the statistics, base_failed, kept and probability."""
 
@@ -137,4 +142,4 @@ def judge(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     examples = labelled(table(spark, sf_dir, "labels"), "quality")
-    return judge(docs, fit(*sparse_rows(docs, examples, MAX_ROWS, BITS, SIZES)))
+    return judge(docs, train(docs, examples))

@@ -19,6 +19,11 @@ def odd(spark):
     return spark.createDataFrame(ODD, DOCS)
 
 
+def sampled(*args, **options):
+    """Buckets, labels and weights of a sample."""
+    return quality_classifier.fit_rows(quality_classifier.sparse_rows(*args, **options), lambda *rows: rows)
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     got = quality_classifier.op1_quality_classifier(spark, SF)
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -153,7 +158,7 @@ def test_scores_against_plain_sums(spark, some):
         size = 8 / np.sqrt(sum(float(m.ratios[b]) ** 2 for b in own) + 25.0)
         margin = sum(float(m.weights[b]) * float(m.ratios[b]) * size for b in own) + m.bias
         assert abs(r["score"] - logistic(m.slope * margin + m.offset)) < 1e-5
-    rules = quality_rules.fit(*quality_rules.sparse_rows(docs, quality_rules.labelled(labels, "quality"), 3000))
+    rules = quality_rules.train(docs, quality_rules.labelled(labels, "quality"))
     for r in quality_rules.judge(few, rules, ["text"]).collect():
         own = plain_indicators(r["text"])
         p = logistic(rules.slope * (sum(float(rules.weights[b]) for b in own) * 8 / np.sqrt(len(own) + 60.0) + rules.bias) + rules.offset)
@@ -223,7 +228,7 @@ def test_many_long_texts_stay_within_the_bound(spark):
     """The features that come to the driver are bounded whatever the texts' lengths."""
     docs = spark.range(60).selectExpr("id AS doc_id", "repeat(concat(sha2(cast(id AS string), 512), ' ', sha2(cast(id + 1 AS string), 256), ' '), 40) AS text")
     labels = spark.range(60).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
-    rows, y, weight = quality_classifier.sparse_rows(docs, quality_classifier.labelled(labels, "quality"), 1000, max_features=8000)
+    rows, y, weight = sampled(docs, quality_classifier.labelled(labels, "quality"), 1000, max_features=8000)
     total = sum(map(len, rows))
     assert 2000 < total < 16_000 and abs(weight.sum() - 48) < 30 and set(y.tolist()) == {0, 1}
 
@@ -244,6 +249,6 @@ def test_an_id_with_several_texts_is_learnt_from_once(spark):
     docs = spark.createDataFrame([(1, "one text"), (1, "another text"), (2, "word soup"), (None, "no id")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
     examples = quality_classifier.labelled(labels, "quality", None)
-    first = quality_classifier.sparse_rows(docs, examples, 100)
-    again = quality_classifier.sparse_rows(docs.repartition(3), examples, 100)
+    first = sampled(docs, examples, 100)
+    again = sampled(docs.repartition(3), examples, 100)
     assert len(first[0]) == 2 and all(np.array_equal(a, b) for a, b in zip(first[0], again[0]))
