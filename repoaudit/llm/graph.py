@@ -94,18 +94,18 @@ def _tiled(sizes: DataFrame) -> DataFrame:
 
 def group_links(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], regroup: Callable[[DataFrame], DataFrame] | None = None,
-    known: tuple[DataFrame, ...] = (),
+    known: tuple[DataFrame, ...] = (), labels: DataFrame | None = None,
 ) -> DataFrame:
     """(a, b): links that join whatever the links between two nodes of one group join; ``members`` has distinct (key, node).
 
     ``verify`` returns those rows of pairs (a, b) that are links. ``compare`` gets rows (key, tile, node, component) dealt out and sorted by key and tile, and returns
     the links (a, b) between rows of one key and tile that lie in different components. ``regroup`` gets the nodes of groups that are still large and not joined, and deals
     them into other groups (key, node), of which every link between two of them has one in common; without it such groups are compared tile by tile.
-    ``known`` are links found before.
+    ``known`` are links found before, ``labels`` components (node, component) that some of them make.
     """
-    found, now = list(known), members.withColumn("component", F.col("node"))
+    found, now = list(known), members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     for r in range(ROUNDS):
-        if found:
+        if r:
             label = components(_joined(found)).withColumnRenamed("component", "reached")
             now = saved(now.drop("component").join(label, "node", "left").select("key", "node", F.coalesce("reached", "node").alias("component")))
             several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -116,7 +116,8 @@ def group_links(
         stars = now.groupBy("key").agg(centre.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.component").alias("own"))
         pairs = now.join(stars, "key").where("component <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         found.append(saved(verify(pairs)))
-    label = components(_joined(found)).withColumnRenamed("component", "reached")
+    reached = components(_joined(found))
+    label = reached.withColumnRenamed("component", "reached")
     now = saved(now.drop("component").join(label, "node", "left").select("key", "node", F.coalesce("reached", "node").alias("component")))
     several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
     sizes = saved(now.join(several, "key"))
@@ -126,5 +127,5 @@ def group_links(
         crowded = saved(sizes.where(F.col("n") > TILE).select("node").distinct())
         if not crowded.isEmpty():
             found.append(saved(compare(_tiled(sizes.where(F.col("n") <= TILE)))))
-            return group_links(regroup(crowded), verify, compare, None, tuple(found))
+            return group_links(regroup(crowded), verify, compare, None, tuple(found), reached)
     return _joined([*found, compare(_tiled(sizes))])
