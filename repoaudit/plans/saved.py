@@ -25,10 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: with this set, a query's shuffle files go as soon as it has ended
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once to the shared folder, so a lost executor costs no recomputation.
+
+    The shuffle files behind it are not needed any more and go at once, rather than when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -124,10 +124,13 @@ class ArchiveReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(base, recursive="/" in glob, allow_not_found=True))
         sizes = sorted(((f.path, f.size) for f in found if f.is_file and wanted.fullmatch(f.path)), key=lambda f: (-f[1], f[0]))
         tasks: list[list[tuple[str, int]]] = []
+        room = 0
         for path, size in sizes:
-            if not tasks or sum(s for _, s in tasks[-1]) + size > TASK_BYTES:
+            if not tasks or size > room:
                 tasks.append([])
+                room = TASK_BYTES
             tasks[-1].append((path, size))
+            room -= size
         return [Archives(t) for t in tasks] or [Archives([])]
 
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:

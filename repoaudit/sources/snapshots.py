@@ -103,9 +103,12 @@ def read_snapshots(spark: SparkSession, root: str, repos: str = "*", max_file_si
                 for repo, path, size in zip(*(part.column(c).to_pylist() for c in ("repo_id", "path", "size"))):
                     if size > max_file_size:
                         data.append(None)
-                    else:
+                        continue
+                    try:
                         with store.open_input_stream(f"{base}/{repo}/{path}", compression=None) as stream:
                             data.append(stream.read())
+                    except OSError:  # gone since it was listed, or not to be read: listed without content
+                        data.append(None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=[*part.schema.names, "bytes"])
 
     rows = listed.repartition(tasks, "repo_id", "path").mapInArrow(run, "repo_id string, file_pos long, path string, size long, bytes binary")
