@@ -144,3 +144,42 @@ def test_random_ranges_equal_a_plain_reading(spark):
     none = spark.createDataFrame([], "ecosystem string, name string, version string, vuln_id string, vuln_pos int")
     found = advisories.match_advisories(spark.createDataFrame(pins, PINS), none, None, frame)
     assert {(r["dep_pos"], r["vuln_id"]) for r in found.collect()} == want and len(want) > 100
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_not_broadcast_on_a_guess(spark, monkeypatch):
+    """Rows exploded from a small table: their guessed size stays under Spark's broadcast limit, whatever comes out (d12, d13, d16)."""
+    monkeypatch.setattr(advisories, "MAX_BROADCAST", 0)
+    pins = spark.createDataFrame([(f"r{i % 50}", i, "npm", f"p{i % 7}", "1", "lock") for i in range(300)], PINS)
+    many = spark.range(7).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), F.lit("1").alias("version"), F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("vuln_pos"))
+    listed = many.withColumn("vuln_id", F.concat_ws("-", "name", F.col("vuln_pos").cast("string")))
+    hits = advisories.match_advisories(pins, listed, None)
+    assert "BroadcastHashJoin" not in _plan(hits)
+    details = listed.select("vuln_id", F.lit("s").alias("summary"), F.lit("d").alias("details"), F.lit("low").alias("severity_label"))
+    for most, told in ((None, 1200), (1000, 1200), (2, 600)):
+        out = advisories.enrich(hits, details, most)
+        assert "BroadcastHashJoin" not in _plan(out)
+        rows = out.collect()
+        assert len(rows) == 1200 and sum(r["summary"] is not None for r in rows) <= told
+
+
+def test_only_heavy_pins_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(advisories, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(advisories, "HEAVY", 10)
+    pins = spark.createDataFrame([(f"r{i}", i, "npm", "hot" if i % 2 else f"p{i}", "1", "lock") for i in range(60)], PINS)
+    listed = spark.createDataFrame([("npm", n, "1", f"{n}-{k}", k) for n in ["hot", "p4", "gone"] for k in range(2)], "ecosystem string, name string, version string, vuln_id string, vuln_pos int")
+    found = sorted((r["repo_id"], r["vuln_id"]) for r in advisories.match_advisories(pins, listed, None).collect())
+    assert found == sorted([(f"r{i}", f"hot-{k}") for i in range(1, 60, 2) for k in range(2)] + [("r4", "p4-0"), ("r4", "p4-1")])
+
+
+def test_intervals_are_not_broadcast_on_a_guess(spark):
+    pins = spark.createDataFrame([(f"r{i}", i, "npm", f"p{i % 5}", f"{i % 4}.0", "lock") for i in range(40)] + [("x", 99, "npm", "p1", "latest", "lock")], PINS)
+    ranges = spark.range(5).select(F.concat(F.lit("V"), F.col("id").cast("string")).alias("vuln_id"), F.lit(0).alias("vuln_pos"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), F.lit("SEMVER").alias("range_type"),
+        F.expr(f"array(cast(named_struct('introduced', '1.0', 'fixed', null, 'last_affected', null, 'limit', null) AS {advisories.EVENT}), cast(named_struct('introduced', null, 'fixed', '3.0', 'last_affected', null, 'limit', null) AS {advisories.EVENT}))").alias("events"))
+    found = advisories.pins_in_ranges(pins, ranges)
+    joins = [x for x in _plan(found).splitlines() if "BroadcastHashJoin" in x]
+    assert len(joins) == 1 and "salt" not in joins[0]  # only that of the keys, which are counted
+    assert {(r["name"], r["version"]) for r in found.collect()} == {(f"p{i % 5}", f"{i % 4}.0") for i in range(40) if i % 4 in (1, 2)}
