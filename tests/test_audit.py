@@ -280,3 +280,11 @@ def test_checkpoint_folder_is_never_guessed_on_a_cluster(spark):
         saved.shared_folder(session(master, "hdfs://x/y"))
     for master in ("local", "local[4]", "local[*]"):
         saved.shared_folder(session(master))
+
+
+def test_a_report_holds_no_plan_of_the_files(spark):
+    """Rows of one repository each are written once; before, the plan behind every report read the files again in many copies (g12, s5, s7)."""
+    from repoaudit.plans import queries
+
+    out = queries._audit(spark, "/root/testdata/sf0.001")
+    assert "FileScan parquet" not in out._jdf.queryExecution().executedPlan().toString() and out.count() > 0
