@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.saved import broadcast_if, saved, shared_folder  # noqa: F401  for the other modules
+from ..plans.saved import broadcast_if, counted, first_row, saved, shared_folder  # noqa: F401  for the other modules
 
 T = TypeVar("T")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import first_row, saved
 
 #: Rows of one tile, and rounds of comparing with centres.
 TILE, ROUNDS = 2048, 3
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones; both keep connections and end at stars.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    state = _told(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -37,12 +37,22 @@ def components(edges: DataFrame) -> DataFrame:
         down = star.groupBy("u").agg(F.min("v").alias("m"))
         new = star.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = saved(new.select("e.u", "e.v").where("u <> v").distinct())
-        told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        told = _told(now)
         if told == state:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         state = told
 
 
+def _told(edges: DataFrame) -> tuple:
+    """Count and checksum of edges, which tell whether a step changed any."""
+    return tuple(first_row(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))))
+
+
+def _stars(label: DataFrame) -> DataFrame:
+    """(a, b): the edges of components (node, component), which join what the edges behind them join."""
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+
+
 def local_components(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest place that each of ``n`` places reaches."""
     label = np.arange(n)
@@ -106,7 +116,8 @@ def group_links(
     found, now = list(known), members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     for r in range(ROUNDS):
         if r:
-            label = components(_joined(found)).withColumnRenamed("component", "reached")
+            label = components(_joined(found))
+            found, label = [_stars(label)], label.withColumnRenamed("component", "reached")  # the next round starts from what is joined already
             now = saved(now.drop("component").join(label, "node", "left").select("key", "node", F.coalesce("reached", "node").alias("component")))
             several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
             now = saved(now.join(several, "key"))
@@ -117,6 +128,7 @@ def group_links(
         pairs = now.join(stars, "key").where("component <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         found.append(saved(verify(pairs)))
     reached = components(_joined(found))
+    found = [_stars(reached)]
     label = reached.withColumnRenamed("component", "reached")
     now = saved(now.drop("component").join(label, "node", "left").select("key", "node", F.coalesce("reached", "node").alias("component")))
     several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")

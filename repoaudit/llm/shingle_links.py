@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, map_rows, saved
+from .common import broadcast_if, counted, map_rows, saved
 from .features import mix
 from .graph import group_links, groups_of
 
@@ -112,7 +112,7 @@ def regrouped(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     Shingles that hold for one set in fifty and more of a bounded hash sample come last, commonest at the very end.
     """
     chosen = saved(sets.join(nodes.select(F.col("node").alias("sig")), "sig", "left_semi").select("sig", "s"))
-    share = max(1, chosen.count()) / ORDER_SETS
+    share = max(1, counted(chosen)) / ORDER_SETS
     split = F.transform(F.sequence(F.lit(0), (F.length("s") / 8).cast("int") - 1), lambda i: F.substring(F.col("s"), i * 8 + 1, F.lit(8)))
     sample = chosen.where(F.pmod(F.xxhash64(F.lit("order"), "sig"), F.lit(1 << 30)) < int((1 << 30) / max(1.0, share)))
     held = sample.where(F.length("s") > 0).select(F.explode(split).alias("x")).groupBy("x").count().where(F.col("count") > ORDER_SETS // 50)
@@ -137,20 +137,21 @@ def links(documents: DataFrame, prints: DataFrame, shingled: Callable[[str | Non
     """
     keyed = prints.select(F.explode("bands").alias("key"), "sig", "size")
     groups = saved(keyed.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("key"))
-    members = saved(keyed.join(broadcast_if(groups, groups.count(), 1 << 18), "key").select("key", F.col("sig").alias("node"), "size").distinct())
+    members = saved(keyed.join(broadcast_if(groups, counted(groups), 1 << 18), "key").select("key", F.col("sig").alias("node"), "size").distinct())
     nodes = members.select(F.col("node").alias("sig"))
     if candidates is not None:
         candidates = saved(candidates.distinct())
         nodes = nodes.union(candidates.select("a")).union(candidates.select("b"))
     nodes = nodes.distinct()
-    # one row for each set: its texts are alike, so any of them will do
-    wanted = saved(prints.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("at.doc_id", "at.th").distinct())
+    # one row for each set: its texts are alike, so any of them will do; taken before the join, so copies meet in their map tasks and none is a hot key
+    one = prints.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("at"))
+    wanted = saved(one.join(nodes, "sig", "left_semi").select("at.doc_id", "at.th").distinct())
 
     def whole(text: str | None) -> tuple:
         s = np.unique(shingled(text))
         return signature(s), len(s), s.tobytes(), parity(s).tobytes()
 
-    hint = broadcast_if(wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")), wanted.count(), 1 << 18)
+    hint = broadcast_if(wanted.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")), counted(wanted), 1 << 18)
     texts = documents.join(hint, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
     sets = saved(map_rows(texts, ["text"], lambda: whole, "sig long, size int, s binary, parity binary", []).dropDuplicates(["sig"]))
 

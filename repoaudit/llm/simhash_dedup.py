@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_links
-from .common import broadcast_if, map_rows, packed, saved, table, unpacked
+from .common import broadcast_if, counted, map_rows, packed, saved, table, unpacked
 from .graph import components, group_links, groups_of, local_components
 
 MAX_GROUP = 8192
@@ -202,7 +202,7 @@ def links(classes: DataFrame, limit: int = 2) -> DataFrame:
     structs = (F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("key")) for i, (_, mask) in enumerate(choices(limit)))
     keyed = classes.select("fp", "rep", F.explode(F.array(*structs)).alias("k")).select("k.choice", "k.key", "fp", "rep")
     large = saved(keyed.groupBy("choice", "key").count().where(F.col("count") > MAX_GROUP).select("choice", "key"))
-    n_large = large.count()
+    n_large = counted(large)
     if n_large:
         hint = broadcast_if(large, n_large, 100_000)
         hot = keyed.join(hint, ["choice", "key"])
@@ -276,7 +276,7 @@ def deduplicate(documents: DataFrame, n: int = 5, limit: int = 2, least: float =
     near = links(classes.select("fp", "rep"), limit).unionByName(equal)
     label = saved(components(shingle_links.links(texts, prints, lambda text: shingles(text, n), least, near))).select(F.col("node").alias("sig"), "component")
     row_key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th").alias("row_key")
-    named = saved(prints.select("sig", row_key).join(broadcast_if(label, label.count(), 1 << 18), "sig", "left").select(F.coalesce("component", "sig").alias("group"), "row_key"))
+    named = saved(prints.select("sig", row_key).join(broadcast_if(label, counted(label), 1 << 18), "sig", "left").select(F.coalesce("component", "sig").alias("group"), "row_key"))
     groups = named.groupBy("group").agg(F.min("row_key").alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
     marked = saved(named.join(groups, "group").select("row_key", F.col("row_key").eqNullSafe(F.col("first")).alias("stays")))
     gone = saved(marked.where("NOT stays").select("row_key.doc_id", "row_key.th").distinct())
@@ -284,7 +284,7 @@ def deduplicate(documents: DataFrame, n: int = 5, limit: int = 2, least: float =
     rows = documents.select(packed(documents), "doc_id", F.xxhash64("text").alias("th"))
 
     def matched(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = broadcast_if(keys.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")), keys.count(), 1 << 18)
+        keys = broadcast_if(keys.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")), counted(keys), 1 << 18)
         return df.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), how)
 
     kept = matched(rows, gone, "left_anti")

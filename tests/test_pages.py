@@ -1,11 +1,12 @@
 """Places by ranges and paged reports."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from repoaudit.operators import scoring
-from repoaudit.plans.saved import ranked
+from repoaudit.plans.saved import counted, first_row, ranked, saved
 from repoaudit.sources import reports
 
 SEVERITIES = ("info", "low", "medium", "high", "critical")
@@ -72,3 +73,28 @@ def test_pages_hold_every_finding_once(spark):
         rules = [x["id"] for x in run["tool"]["driver"]["rules"]]
         assert [rules[x["ruleIndex"]] for x in run["results"]] == [x["ruleId"] for x in run["results"]] and set(rules) == {x["ruleId"] for x in run["results"]}
         assert len(run["results"]) == len(pages[r["repo_id"], r["part"]]["findings"])
+
+
+def test_no_shuffle_files_stay_behind_saved_results_and_numbers(spark):
+    """``saved`` is handed DataFrames made before it is called; their shuffle files have to go too."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def left():
+        return {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+    def gone(before):
+        end = time.time() + 20  # they are removed in the background
+        while left() - before and time.time() < end:
+            time.sleep(0.1)
+        return not left() - before
+
+    made = lambda: spark.range(0, 1000, 1, 5).groupBy((F.col("id") % 7).alias("k")).agg(F.max("id").alias("m"))
+    kept, before = made(), left()
+    kept.collect()
+    assert left() - before, "a plain query leaves its files, or this test sees none"
+    for act in (saved, first_row, counted):
+        df, before = made(), left()
+        assert act(df)
+        assert gone(before), act.__name__
+    df = made()
+    assert sorted(map(tuple, saved(df).collect())) == sorted(map(tuple, df.collect()))
