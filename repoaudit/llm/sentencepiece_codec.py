@@ -2,7 +2,8 @@
 
 The model file's protobuf is parsed here (pieces with scores and types, model type, normaliser settings), and the library's
 parts are rebuilt from it: the normaliser (character map, spaces, the metaspace marker), a unigram model with its scores or a
-BPE model with merges ranked by score, byte fallback, and the decoder. Whole texts are encoded and decoded by the library in multithreaded batches.
+BPE model with merges ranked by score, byte fallback, and the decoder. Whole texts are encoded and decoded by the library in batches, with as many threads as
+Spark gives a task cores (``spark.task.cpus``): more only contend with the other tasks of the executor.
 
 Ids and decoded text are always this backend's own. Parity is verified for every row: the sentencepiece library encodes the same whole text, and ``parity`` says whether the ids
 are equal and the decoded text is the source text again or, where it isn't, what sentencepiece decodes from its ids. Sentencepiece's own decoder runs only in that second case.
@@ -145,7 +146,7 @@ class Codec:
         said = (t.replace(MARK, " ") for t in self.tokenizer.decode_batch(ids, skip_special_tokens=False))
         return [t.removeprefix(" ") if self.prefix else t for t in said]
 
-    def round_trip(self, texts: list[str], threads: int = 2) -> list[tuple[list[int], str, bool]]:
+    def round_trip(self, texts: list[str], threads: int = 1) -> list[tuple[list[int], str, bool]]:
         """Ids and decoded text of each text by the tokenizers library, and their parity with sentencepiece."""
         ids = self.encode_batch(texts)
         decoded = self.decode_batch(ids)
@@ -153,12 +154,13 @@ class Codec:
         return [(own, said, own == other and (said == text or said == self.reference.decode(other))) for text, own, said, other in zip(texts, ids, decoded, want)]
 
 
-def encode(documents: DataFrame, model_file: str, threads: int = 2) -> DataFrame:
-    """(doc_id, ids, ids_crc32, decoded, parity) of every row; ``model_file`` must be readable on the executors."""
+def encode(documents: DataFrame, model_file: str, threads: int | None = None) -> DataFrame:
+    """(doc_id, ids, ids_crc32, decoded, parity) of every row; ``model_file`` must be readable on the executors. ``threads`` of a task are its cores if not given."""
     kind = documents.schema["doc_id"].dataType
+    threads = threads or int(documents.sparkSession.conf.get("spark.task.cpus", "1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
+        os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = str(threads > 1).lower(), str(threads)
         codec = None
         for batch in batches:
             codec = codec or Codec(model_file)

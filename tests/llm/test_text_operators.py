@@ -1,6 +1,7 @@
 """Secrets, URLs, tokenizers, media: against brute force, exact round trips and defined cases."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -244,6 +246,18 @@ def test_sentencepiece_parity(spark):
     assert all(r["parity"] for r in sentencepiece_codec.op7_sentencepiece(spark, SF).collect())
 
 
+def test_sentencepiece_uses_the_cores_of_its_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    batch = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "some text"}])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "")
+    monkeypatch.setenv("RAYON_NUM_THREADS", "")
+    seen, true = [], sentencepiece_codec.Codec.round_trip
+    monkeypatch.setattr(sentencepiece_codec.Codec, "round_trip", lambda self, texts, threads: (seen.append((threads, os.environ["TOKENIZERS_PARALLELISM"])), true(self, texts, threads))[1])
+    made = [[b.to_pylist() for b in sentencepiece_codec.encode(docs, P.path("piece_bpe_32k.model"), *more)(iter([batch]))] for more in ((), (2,))]
+    assert seen == [(1, "false"), (2, "true")] and made[0] == made[1] and made[0][0][0]["parity"]
+
+
 def wire(number, kind, value):
     """One field of a protobuf message."""
 
